@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from grove.llm.common import attach, by_bytes, coded, filled, keep, words
 
-_STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+_STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,6 +61,7 @@ def batch_stats(texts: pa.Array, batch_bytes: int = 8 << 20) -> dict[str, np.nda
         size = pc.utf8_length(distinct).to_numpy(zero_copy_only=False)
         out["word_chars"][a:b] = np.bincount(owner, size[code] if len(code) else None, b - a)
         out["n_symbols"][a:b] = pc.count_substring_regex(part, "[#*$%&|<>]").to_numpy(zero_copy_only=False)
+        out["n_capitals"][a:b] = pc.count_substring_regex(part, "[A-Z]{2,}").to_numpy(zero_copy_only=False)
         out["n_repeat_words"][a:b] = repeated_words(code, owner, b - a)
         out["n_lines"][a:b], out["n_dup_lines"][a:b] = line_stats(part)
     return out
@@ -79,25 +80,25 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"id {kind}, host string, " + ", ".join(f"{k} long" for k in _STATS)).withColumnRenamed("id", id_col)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5, max_symbols: float = 0.5, max_dup_lines: float = 0.3, min_mean_chars: float = 2.0, max_mean_chars: float = 30.0) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5, max_symbols: float = 0.1, max_capitals: float = 0.3, max_dup_lines: float = 0.3, min_mean_chars: float = 2.0, max_mean_chars: float = 30.0) -> DataFrame:
     """Judges documents by their own rules and by their host's record; a row per document.
 
     A document fails its base rules with under 10 words or over 20 % of them in repeated 5-word windows. Soft rules
-    look at symbols per word, repeated lines and the mean word length. Per host, the share of documents that fail any
+    look at symbols per word and words in capitals (two points each), repeated lines and the mean word length (one
+    each). Per host, the share of documents that fail any
     rule is shrunk towards the corpus: a beta prior is fitted to all hosts by moments, and the host's rate is the
-    posterior mean. On a host over ``max_host_rate`` a document that fails a soft rule goes; on any other it goes only
-    if it fails two, so that clean documents stay whatever their host. Only statistics are shuffled, added up before;
+    posterior mean. On a host over ``max_host_rate`` a document with any point goes, on others one with two
+    points, so that clean documents stay whatever their host. Only statistics are shuffled, added up before;
     verdicts are broadcast when there are few hosts. A null text has no words and fails; null hosts are one host;
     repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
     """
-    soft = sum(
-        (F.coalesce(c, F.lit(False)).cast("int") for c in (
-            F.col("n_symbols") > max_symbols * F.col("n_words"),
-            F.col("n_dup_lines") > max_dup_lines * F.col("n_lines"),
-            ~(F.col("word_chars") / F.nullif(F.col("n_words"), F.lit(0))).between(min_mean_chars, max_mean_chars),
-        )),
-        F.lit(0),
-    )
+    rules = [
+        (2, F.col("n_symbols") > max_symbols * F.col("n_words")),
+        (2, F.col("n_capitals") > max_capitals * F.col("n_words")),
+        (1, F.col("n_dup_lines") > max_dup_lines * F.col("n_lines")),
+        (1, ~(F.col("word_chars") / F.nullif(F.col("n_words"), F.lit(0))).between(min_mean_chars, max_mean_chars)),
+    ]
+    soft = sum((weight * F.coalesce(rule, F.lit(False)).cast("int") for weight, rule in rules), F.lit(0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     stats = keep(text_stats(docs, id_col, text_col, host_col).withColumns({"base_failed": failed, "n_soft": soft, "host": F.struct("host")}))
     hosts = keep(stats.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | (F.col("n_soft") > 0)).alias("bad")))
