@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grove.llm.fingerprints import edited_likeness
 from grove.llm.mixing import mix
 from grove.llm.packing import pack
 from grove.llm.quality import quality_rules
 from grove.llm.tokens import token_counts
+from grove.llm.urls import url_filter
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +33,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_quality_rules, op6_mixing, op7_token_counts)}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(_docs(spark, sf_dir))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op4_quality_rules, op6_mixing, op7_token_counts, op8_fingerprints, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {}
