@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from grove.llm.fingerprints import edited_likeness
 from grove.llm.mixing import mix
 from grove.llm.packing import pack
+from grove.llm.pii import KINDS, joined, personal_data
 from grove.llm.quality import quality_rules
 from grove.llm.tokens import token_counts
 from grove.llm.urls import url_filter
@@ -25,6 +26,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_docs(spark, sf_dir).select("doc_id", "text"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(joined(of(*KINDS[:4])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,5 +49,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_quality_rules, op6_mixing, op7_token_counts, op8_fingerprints, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_quality_rules, op5_pii, op6_mixing, op7_token_counts, op8_fingerprints, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {}
