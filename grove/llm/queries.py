@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grove.llm.fingerprints import edited_likeness
 from grove.llm.mixing import mix
+from grove.llm.ngram_join import ngram_components
 from grove.llm.packing import pack
 from grove.llm.pii import KINDS, joined, personal_data
 from grove.llm.quality import quality_rules
@@ -45,9 +46,13 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(_docs(spark, sf_dir))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_docs(spark, sf_dir))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_quality_rules, op5_pii, op6_mixing, op7_token_counts, op8_fingerprints, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_quality_rules, op5_pii, op6_mixing, op7_token_counts, op8_fingerprints, op9_ngram_join, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {}
