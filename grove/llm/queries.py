@@ -11,6 +11,7 @@ from grove.llm.ngram_join import ngram_components
 from grove.llm.packing import pack
 from grove.llm.pii import KINDS, joined, personal_data
 from grove.llm.quality import quality_rules
+from grove.llm.suffixes import suffix_dedup
 from grove.llm.tokens import token_counts
 from grove.llm.urls import url_filter
 
@@ -19,6 +20,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_docs(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_docs(spark, sf_dir))
 
@@ -54,5 +59,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_quality_rules, op5_pii, op6_mixing, op7_token_counts, op8_fingerprints, op9_ngram_join, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_packing, op4_quality_rules, op5_pii, op6_mixing, op7_token_counts, op8_fingerprints, op9_ngram_join, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {}
