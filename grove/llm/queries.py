@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.llm.fingerprints import edited_likeness
+from grove.llm.lm import lm_scores
 from grove.llm.mixing import mix
 from grove.llm.ngram_join import ngram_components
 from grove.llm.packing import pack
@@ -20,6 +21,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_docs(spark, sf_dir))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_docs(spark, sf_dir))
 
@@ -59,5 +64,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_packing, op4_quality_rules, op5_pii, op6_mixing, op7_token_counts, op8_fingerprints, op9_ngram_join, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_suffix_dedup, op3_packing, op4_quality_rules, op5_pii, op6_mixing, op7_token_counts, op8_fingerprints, op9_ngram_join, op10_url_filters)}
 ORACLE_SQL: dict[str, str] = {}
