@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from grove.llm.common import attach, fresh, keep, shared_dir
 from grove.llm.mixing import mix
+from grove.llm.ngram_join import ngram_components
 from grove.llm.packing import pack
+from grove.llm.pii import masked, personal_data
 from grove.llm.quality import quality_rules
 
 #: So many rows of ids and counts (16 MB) are broadcast; more are joined by shuffling.
@@ -20,6 +22,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return attach(docs, gone, "doc_id", "left_anti", ROWS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by alike word shingles, directly or through others, the one with the smallest id stays."""
+    gone = keep(ngram_components(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
+    return attach(docs, gone, "doc_id", "left_anti", ROWS)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind."""
+    found = personal_data(docs)
+    text = masked(F.col("text"), F.col("spans"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
     copies = keep(mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0"))
@@ -32,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("quality", quality), ("mixing", mixing), ("packing", packing)]
+STAGES = [("quality rules", quality), ("n-gram join", near_duplicates), ("personal data", private), ("mixing", mixing), ("packing", packing)]
 #: The stages run models and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
