@@ -43,7 +43,7 @@ def positions(df: DataFrame, *cols: str) -> DataFrame:
     df = df.select(*cols, text.alias("_t")).select(*cols, "_t", F.explode(F.sequence(F.lit(1), F.length("_t") - pad, F.lit(PIECE))).alias("_at"))
     df = df.select(*cols, (F.col("_at") == 1).alias("_first"), F.expr(f"substring(_t, _at, {PIECE + pad})").alias("_t"))
     df = df.select(*cols, "_t", "_first", F.explode(F.sequence(F.lit(1), F.length("_t") - pad)).alias("_i"))
-    context = [F.lit(0) if k == 0 else F.pmod(F.xxhash64(F.expr(f"substring(_t, _i + {pad - k}, {k})")), F.lit(CONTEXTS)).cast("int") for k in range(ORDERS)]
+    context = [F.pmod(F.xxhash64(F.expr(f"substring(_t, _i + {pad - k}, {k})")), F.lit(CONTEXTS)).cast("int") for k in range(ORDERS)]
     symbol = F.instr(F.lit(SYMBOLS), F.expr(f"substring(_t, _i + {pad}, 1)"))
     return df.select(*cols, (F.col("_first") & (F.col("_i") == 1)).alias("_first"), symbol.alias("symbol"), *(c.alias(f"c{k}") for k, c in enumerate(context)))
 
