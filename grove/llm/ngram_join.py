@@ -61,6 +61,28 @@ def _parts(batch: pa.RecordBatch, batch_bytes: int = 8 << 20):
             yield batch.column(0).slice(i, min(ROWS, b - i)), texts.slice(i, min(ROWS, b - i))
 
 
+def count_vectors(token: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """How many of a set's tokens fall into each group. Larger sets have more groups, about four tokens to each, so that
+    the bound stays sharp; the first byte is the width of the counts that follow."""
+    out, low = [], (token & np.uint64((1 << 31) - 1)).astype(np.int64)
+    for end, n in zip(np.cumsum(size), size, strict=True):
+        groups = max(GROUPS, 1 << int(n // 4).bit_length())
+        v = np.bincount(low[end - n : end] & (groups - 1), minlength=groups)
+        kind = "<u1" if v.max(initial=0) < 1 << 8 else "<u2" if v.max() < 1 << 16 else "<u4"
+        out.append(bytes([int(kind[2])]) + v.astype(kind).tobytes())
+    return out
+
+
+def _vector(raw: bytes, groups: int | None = None) -> np.ndarray:
+    """A count vector, folded to ``groups`` groups if it has more: folding adds counts, so the bound still holds."""
+    v = np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    return v if groups is None or len(v) == groups else v.reshape(-1, groups).sum(axis=0)
+
+
+def _groups(raw: bytes) -> int:
+    return (len(raw) - 1) // raw[0]
+
+
 _SUMMARY = "id long, n long, k1 long, k2 long, vec binary, block int, counts binary"
 
 
@@ -81,8 +103,7 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
                     for i, s in enumerate(sums):
                         if len(start):
                             s[size > 0] = np.add.reduceat(_mixed(token * _M + np.uint64(i * 77 + 1)), start)
-                vec = np.bincount(row * GROUPS + (token & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(size) * GROUPS).reshape(-1, GROUPS)
-                vec = [v.astype("<u2" if n < 1 << 16 else "<u4").tobytes() for v, n in zip(vec, size, strict=True)]
+                vec = count_vectors(token, size)
                 none = pa.nulls(len(size), pa.int32())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(size), *(pa.array(s.view(np.int64)) for s in sums), pa.array(vec, pa.binary()), none, pa.nulls(len(size), pa.binary())], names)
         blocks = np.flatnonzero(sketch.reshape(-1, BLOCK).any(axis=1))
@@ -189,8 +210,8 @@ def overlap_needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def _vectors(raw: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in raw]).astype(np.int64)
+def _vectors(raw: list[bytes], groups: int) -> np.ndarray:
+    return np.stack([_vector(x, groups) for x in raw])
 
 
 class RTree:
@@ -227,8 +248,13 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b, n, m = (batch.column(k).to_numpy() for k in range(4))
-            x, y = (_vectors(batch.column(k).to_pylist()) for k in (4, 5))
-            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(x, y).sum(axis=1) >= overlap_needed(n, m, percent))
+            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            need = overlap_needed(n, m, percent)
+            for i, x, y in zip(range(len(n)), batch.column(4), batch.column(5), strict=True):
+                if ok[i]:
+                    x, y = x.as_py(), y.as_py()
+                    g = min(_groups(x), _groups(y))
+                    ok[i] = np.minimum(_vector(x, g), _vector(y, g)).sum() >= need[i]
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
     return both.select("a", "b", "n_a", "n_b", "vec_a", "vec_b").mapInArrow(run, "a long, b long")
@@ -236,7 +262,6 @@ def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose shingle sets have the similarity; sets are made again for the documents in pairs only."""
-    pairs = keep(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +274,6 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([ids, pa.array([raw[e - s : e].tobytes() for s, e in zip(size, ends, strict=True)], pa.binary())], ["id", "set"])
 
     made = attach(docs, keep(ids), "id", "left_semi", 1_000_000).mapInArrow(sets, "id long, set binary")
-    made = keep(made.groupBy("id").agg(F.first("set").alias("set")))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tokens(raw: bytes) -> np.ndarray:
@@ -270,6 +294,30 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return keep(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(same, "a long, b long"))
 
 
+def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``links`` and those among ``pairs`` that connect more: first one pair for each document, in the end every pair that
+    still spans two components, so sets are compared about once for each document of a group, not for each pair."""
+    pairs = keep(pairs)
+    tested = None
+    for step in range(3):
+        rest = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        if links is not None:
+            label = components(links)
+            side = lambda x: label.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: B023, E731
+            rest = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        if step < 2:
+            rest = keep(rest)
+            low = rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            rest = low if step == 0 else low.union(rest.groupBy("a").agg(F.max("b").alias("b"))).distinct()
+        rest = keep(rest)
+        if rest.isEmpty():
+            break
+        found = verified(rest, docs, width, percent)
+        links = found if links is None else links.union(found)
+        tested = rest if tested is None else tested.union(rest)
+    return keep(links.distinct()) if links is not None else pairs
+
+
 def remaining_pairs(hot: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, most: int | None, block: int = 256) -> DataFrame:
     """Pairs across components that share a common token, found in R-trees over blocks of the larger component.
 
@@ -293,8 +341,9 @@ def remaining_pairs(hot: DataFrame, labels: DataFrame, sets: DataFrame, percent:
         ask, there = pdf[pdf["asks"]], pdf[~pdf["asks"]]
         if there.empty or ask.empty:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        tree, ids = RTree(_vectors(list(there["vec"])), there["n"].to_numpy()), there["id"].to_numpy()
-        out = [(x, y) for x, n, v in zip(ask["id"], ask["n"], _vectors(list(ask["vec"])), strict=True) for y in ids[tree.search(v, n, percent)[:most]]]
+        g = min(map(_groups, pdf["vec"]))
+        tree, ids = RTree(_vectors(list(there["vec"]), g), there["n"].to_numpy()), there["id"].to_numpy()
+        out = [(x, y) for x, n, v in zip(ask["id"], ask["n"], _vectors(list(ask["vec"]), g), strict=True) for y in ids[tree.search(v, n, percent)[:most]]]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return both.groupBy("c", "k").applyInPandas(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -338,15 +387,15 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     hot = keep(hot.join(ends, "token"))
     star = hot.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id != end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b"))
     pairs = calm_pairs(first.where("part >= 0"), parts, percent).union(star).distinct()
-    links = verified(bounded(pairs, sets, percent), rows, width, percent)
+    links = linked(bounded(pairs, sets, percent), None, rows, width, percent)
     labels = keep(components(links))
     for most in (1, 4, None):
         if hot.isEmpty():
             break
-        more = verified(bounded(remaining_pairs(hot.select("token", "id"), labels, sets, percent, most), sets, percent), rows, width, percent)
+        more = keep(bounded(remaining_pairs(hot.select("token", "id"), labels, sets, percent, most), sets, percent))
         if more.isEmpty():
-            continue
-        links = links.union(more)
+            break
+        links = linked(more, links, rows, width, percent)
         labels = keep(components(links))
     label = copies.join(labels, copies["first"] == labels["node"], "left").select("id", F.coalesce("root", "first").alias("root")).union(labels)
     out = whole.select("id", "n").join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
