@@ -47,10 +47,10 @@ class VectorStore:
 
     def _current(self) -> str | None:
         fs, path = self._fs()
-        pointer = path(self.path, "_current")
+        pointer = path(self.path, "current.txt")
         if not fs.exists(pointer):
             return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
+        return self.spark.read.text(f"{self.path}/current.txt").first()[0]
 
     def all(self) -> DataFrame:
         at = self._current()
@@ -58,11 +58,11 @@ class VectorStore:
 
     def _point(self, at: str) -> None:
         fs, path = self._fs()
-        out = fs.create(path(self.path, "_next"), True)
+        out = fs.create(path(self.path, "next.txt"), True)
         out.write(bytearray(at.encode()))
         out.close()
-        fs.delete(path(self.path, "_current"), False)
-        fs.rename(path(self.path, "_next"), path(self.path, "_current"))
+        fs.delete(path(self.path, "current.txt"), False)
+        fs.rename(path(self.path, "next.txt"), path(self.path, "current.txt"))
 
     def add(self, files: DataFrame) -> int:
         """Upserts ``filepath, code, embedding``; returns how many."""
