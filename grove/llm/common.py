@@ -57,6 +57,11 @@ def filled(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "")
 
 
+def lean() -> None:
+    """Lets an Arrow function's memory go back to the system at once, as several workers share an executor's memory."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def by_bytes(sizes: np.ndarray, limit: int):
     """Slices of consecutive rows with about ``limit`` bytes each (one row at least)."""
     start, ends = 0, np.cumsum(sizes)

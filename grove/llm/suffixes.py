@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import attach, by_bytes, filled, fresh, keep, ragged, shared_dir
+from grove.llm.common import attach, by_bytes, filled, fresh, keep, lean, ragged, shared_dir
 
 GRAM = 16
 _M1, _M2, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0xD6E8FEB86659FD93
@@ -225,13 +225,14 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets[:-1] - offsets[0] if len(size) else np.zeros(0, np.int64), size
 
 
-def anchors(rows: DataFrame, length: int, reach: int, batch_bytes: int = 2 << 20) -> DataFrame:
+def anchors(rows: DataFrame, length: int, reach: int, batch_bytes: int = 1 << 20) -> DataFrame:
     """``key, pos, lo, hi, h, x``: each anchor, how far before it its windows start, and hashes.
 
     ``h`` is of the bytes that every window of the anchor holds from it on, ``x`` of all that its windows cover.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), filled(batch.column(1))
             for a, b in by_bytes(pc.binary_length(texts).to_numpy(zero_copy_only=False), batch_bytes):
@@ -244,13 +245,49 @@ def anchors(rows: DataFrame, length: int, reach: int, batch_bytes: int = 2 << 20
     return rows.mapInArrow(run, "key long, pos int, lo int, hi int, h long, x long")
 
 
-def repeats(rows: DataFrame, length: int, reach: int, most: int = 256) -> DataFrame:
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size
+
+
+def _sorted_groups(table: pa.Table, length: int, step: int = 32) -> pa.RecordBatch:
+    """The repeated windows of all contexts of some groups (rows sorted by h).
+
+    Windows that start in the same ``step`` bytes before an anchor hold a common core. A context none of whose cores
+    occurs in another context of its group has no repeated window; only the others are sorted.
+    """
+    h, x = table.column("h").to_numpy(), table.column("x").to_numpy()
+    lo, hi = (table.column(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
+    texts = table.column("text").to_pylist()
+    data, start, _ = _joined(texts)
+    n = lo // step - hi // step + 1
+    row, block = np.repeat(np.arange(len(h)), n), ragged(hi // step, n)
+    begin = start[row] + lo[row] - block * step
+    core = _hash(_sums(data), begin, begin + length - step + 1)
+    group = np.cumsum(np.r_[True, h[1:] != h[:-1]])
+    _, back, count = np.unique(np.stack([group[row], block, core.view(np.int64)], axis=1), axis=0, return_inverse=True, return_counts=True)
+    keep = np.zeros(len(h), bool)
+    keep[row[count[back.ravel()] > 1]] = True
+    at = np.flatnonzero(keep)
+    out: list[list[int]] = []
+    took = []
+    for part in np.split(at, np.flatnonzero(np.diff(group[at])) + 1) if len(at) else []:
+        if len(part) > 1:
+            flags = repeated_windows([texts[i] for i in part], lo[part], hi[part], length)
+            out += [runs(f) for f in flags]
+            took.append(part)
+    took = np.concatenate(took) if took else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(h[took]), pa.array(x[took]), pa.array(out, pa.list_(pa.int32()))], ["h", "x", "at"])
+
+
+def repeats(rows: DataFrame, length: int, reach: int, most: int = 64) -> DataFrame:
     """``key, spans``: for each text (``key, t``) the byte intervals that repeated strings of ``length`` bytes cover.
 
     Anchors whose h is unique cannot be in a repeat. Contexts that are wholly equal are repeats of each other; where a
     group of equal h has different ones, one of each kind is sorted with the others. Groups of over ``most`` kinds are
     dealt out by the hash of every single window instead, which gives the same answer without a large group in a task.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = f"{shared_dir(rows.sparkSession)}/{fresh('anchors')}"
     anchors(rows, length, reach).write.parquet(found)
     found = rows.sparkSession.read.parquet(found)
@@ -263,33 +300,46 @@ def repeats(rows: DataFrame, length: int, reach: int, most: int = 256) -> DataFr
     per = keep(one.groupBy("key").agg(F.collect_list(F.struct("h", "x", "pos", "lo", "hi", "kinds")).alias("at")))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            at = pc.list_flatten(batch.column(1))
-            owner = pc.list_parent_indices(batch.column(1)).to_numpy(zero_copy_only=False)
-            texts = [x.encode() for x in filled(batch.column(0)).to_pylist()]
-            pos, lo, hi = (at.field(k).to_numpy() for k in ("pos", "lo", "hi"))
-            some = pa.array([texts[i][p - a : p - b + length] for i, p, a, b in zip(owner, pos, lo, hi, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(at.field(k) for k in ("h", "x", "lo", "hi", "kinds")), some], ["h", "x", "lo", "hi", "kinds", "text"])
+            for a, b in by_bytes(pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False), 4 << 20):
+                lists = batch.column(1).slice(a, b - a)
+                at, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+                texts = [x.encode() for x in batch.column(0).slice(a, b - a).to_pylist()]
+                pos, lo, hi = (at.field(k).to_numpy() for k in ("pos", "lo", "hi"))
+                some = pa.array([texts[i][p - x : p - y + length] for i, p, x, y in zip(owner, pos, lo, hi, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(at.field(k) for k in ("h", "x", "lo", "hi", "kinds")), some], ["h", "x", "lo", "hi", "kinds", "text"])
 
     context = attach(rows, per, "key", "inner", 100_000).select("t", "at").mapInArrow(contexts, "h long, x long, lo int, hi int, kinds long, text binary")
 
-    def sort_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        flags = repeated_windows(list(pdf["text"]), pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), length)
-        return pd.DataFrame({"h": pdf["h"], "x": pdf["x"], "at": [runs(f) for f in flags]})
-
-    few = context.where(F.col("kinds") <= most).groupBy("h").applyInPandas(sort_group, "h long, x long, at array<int>")
+    def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            h = table.column("h").to_numpy()
+            end = len(h) if batch is None else int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0  # the last group may go on
+            rest = table.slice(end) if batch is not None else None
+            for a in range(0, end, 8000):  # a group's rows are together; one that is cut starts the next part
+                a, b = int(np.searchsorted(h[:end], h[a])), int(np.searchsorted(h[:end], h[min(a + 8000, end - 1)])) if a + 8000 < end else end
+                if a < b:
+                    yield _sorted_groups(table.slice(a, b - a), length)
+
+    few = context.where(F.col("kinds") <= most).select("h", "x", "lo", "hi", "text").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(sort_groups, "h long, x long, at array<int>")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            h, x, lo, hi = (batch.column(k).to_numpy() for k in range(4))
-            out = []
-            for i, text in enumerate(batch.column(5).to_pylist()):
-                back = np.arange(hi[i], lo[i] + 1)
-                out.append((back, _hash(_sums(np.frombuffer(text, np.uint8)), lo[i] - back, lo[i] - back + length).view(np.int64)))
-            n = [len(b) for b, _ in out]
-            cols = [np.repeat(h, n), np.repeat(x, n), *(np.concatenate(c).astype(np.int64) if out else np.zeros(0, np.int64) for c in zip(*out, strict=True))] if out else [np.zeros(0, np.int64)] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "x", "back", "w"])
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                h, x, lo, hi = (part.column(c).to_numpy().astype(np.int64) for c in range(4))
+                data, start, _ = _joined(part.column(5).to_pylist())
+                n = lo - hi + 1
+                row, back = np.repeat(np.arange(len(h)), n), ragged(hi, n)
+                at = start[row] + lo[row] - back
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[row], x[row], back, _hash(_sums(data), at, at + length).view(np.int64))], ["h", "x", "back", "w"])
 
     window = context.where(F.col("kinds") > most).mapInArrow(windows, "h long, x long, back long, w long")
     twice = window.groupBy("h", "back", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "back", "w")
@@ -323,20 +373,21 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     both = attach(rows, spans, "key", "left", 100_000).select("id", "t", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            out = []
-            spans = batch.column(2)
-            for text, s in zip(batch.column(1).to_pylist(), spans, strict=True):
-                data = text.encode()
-                if not s.is_valid:
-                    out.append((len(data), 0, 0, data))
-                    continue
-                a, b = merged(*(s.values.field(k).to_numpy().astype(np.int64) for k in ("a", "b")))
-                edges = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(data)]
-                out.append((len(data), int((b - a).sum()), len(a), b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))))
-            n = list(zip(*out, strict=True)) or [[]] * 4
-            sha = [hashlib.sha256(x).hexdigest() for x in n[3]]
-            cols = [batch.column(0), *(pa.array(c, pa.int64()) for c in n[:3]), pa.array(sha, pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(n[3], pa.binary())] if with_text else [])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
+            for k, stop in by_bytes(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), 4 << 20):
+                part, out = batch.slice(k, stop - k), []
+                for text, s in zip(part.column(1).to_pylist(), part.column(2), strict=True):
+                    data = text.encode()
+                    if not s.is_valid:
+                        out.append((len(data), 0, 0, data))
+                        continue
+                    a, b = merged(*(s.values.field(c).to_numpy().astype(np.int64) for c in ("a", "b")))
+                    edges = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(data)]
+                    out.append((len(data), int((b - a).sum()), len(a), b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True))))
+                n = list(zip(*out, strict=True))
+                sha = [hashlib.sha256(x).hexdigest() for x in n[3]]
+                cols = [part.column(0), *(pa.array(c, pa.int64()) for c in n[:3]), pa.array(sha, pa.string())]
+                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(n[3], pa.binary())] if with_text else [])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
 
     return both.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text).withColumnRenamed("id", id_col)
