@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +25,35 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges`` (``a, b``) but the roots; a root is its component's smallest node."""
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of some edges but the roots, with its component's smallest node (union by smaller, halving paths)."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up.setdefault(up[x], up[x])
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    nodes = np.fromiter(up, np.int64, len(up))
+    roots = np.fromiter(map(root, nodes.tolist()), np.int64, len(up))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != roots]), pa.array(roots[nodes != roots])], ["a", "b"])
+
+
+def components(edges: DataFrame, few: int = 200_000) -> DataFrame:
+    """``node, root`` for every node of ``edges`` (``a, b``) but the roots; a root is its component's smallest node.
+
+    Each task first reduces its edges to a forest. Up to ``few`` edges (a few MB) are then joined in one task; more go
+    through star steps until nothing changes.
+    """
     seal = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    edges = keep(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = keep(edges.select("a", "b").mapInArrow(_forest, "a long, b long"))
+    if edges.count() <= few:
+        edges = keep(edges.coalesce(1).mapInArrow(_forest, "a long, b long"))
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     while before != (now := seal(edges)) and now[0]:
         before, edges = now, keep(_star(_star(edges, large=True), large=False))

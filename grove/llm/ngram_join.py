@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import attach, by_bytes, coded, filled, keep, ragged, words
+from grove.llm.common import attach, by_bytes, coded, filled, keep, lean, ragged, words
 from grove.llm.components import components
 
 #: Bits of a shingle's token; with a level and a row number it fills 64.
@@ -90,6 +90,7 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
     """A row for each document (set size, a hash of the set, its count vector) and, from each task, blocks of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         sketch = np.zeros(COUNTERS, np.int64)
         names = [f.split()[0] for f in _SUMMARY.split(", ")]
         for batch in batches:
@@ -142,6 +143,7 @@ def prefixes(docs: DataFrame, level: bytes, width: int, percent: int, parts: int
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         high = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for ids, texts in _parts(batch):
@@ -388,7 +390,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     star = hot.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id != end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b"))
     pairs = calm_pairs(first.where("part >= 0"), parts, percent).union(star).distinct()
     links = linked(bounded(pairs, sets, percent), None, rows, width, percent)
-    labels = keep(components(links))
+    labels = components(links)
     for most in (1, 4, None):
         if hot.isEmpty():
             break
@@ -396,7 +398,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
         if more.isEmpty():
             break
         links = linked(more, links, rows, width, percent)
-        labels = keep(components(links))
+        labels = components(links)
     label = copies.join(labels, copies["first"] == labels["node"], "left").select("id", F.coalesce("root", "first").alias("root")).union(labels)
     out = whole.select("id", "n").join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
