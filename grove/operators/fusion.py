@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grove.storage import running
+
 #: Weights of the blocks; the structural one is smaller beside transformer embeddings.
 STRUCTURAL, STRUCTURAL_BESIDE, EMBEDDING, GRAPH = 1.0, 0.4, 0.6, 0.5
 
@@ -38,10 +40,10 @@ def min_max(df: DataFrame, col: str, out: str, top: float = 100.0) -> DataFrame:
 
 
 def percentile_rank(df: DataFrame, col: str, out: str) -> DataFrame:
-    """The share of rows at or below each value, in per cent. Values are counted first, so the ordered part is small."""
+    """The share of rows at or below each value, in per cent. Values are counted first, then ranged."""
     by = df.groupBy(col).agg(F.count("*").alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
-    ranks = by.select(col, (F.sum("_n").over(Window.orderBy(col)) / total * 100).alias(out))
+    total = df.count()
+    ranks = running(by, [F.col(col)], F.col("_n"), "_upto").select(col, (F.col("_upto") / total * 100).alias(out))
     return df.join(ranks, df[col].eqNullSafe(ranks[col])).drop(ranks[col])
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.config import EXCLUDED, MAX_BYTES, MIN_BYTES
 from grove.functions.text import basename, code_lines, total_lines
+from grove.storage import running
 
 
 def glob_regex(pattern: str) -> str:
@@ -59,7 +60,7 @@ def batches(files: DataFrame, size: int = 32, readable: Column | None = None) ->
     """``batch_id``: slices of ``size`` files by path, cut before unreadable ones drop out, so batches may shrink."""
     if size < 1:
         raise ValueError("a batch holds one file at least")
-    numbered = files.withColumn("batch_id", F.floor((F.row_number().over(Window.orderBy("path")) - 1) / size))
+    numbered = running(files, [F.col("path")], F.lit(1), "_n", peers=False).withColumn("batch_id", F.floor((F.col("_n") - 1) / size)).drop("_n")
     return numbered.where(readable) if readable is not None else numbered
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def sealed(df: DataFrame) -> DataFrame:
@@ -13,3 +14,19 @@ def sealed(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="grove-"))
     return df.checkpoint(eager=True)
+
+
+def running(df: DataFrame, order: list[Column], value: Column, out: str, peers: bool = True) -> DataFrame:
+    """``out``: the running total of ``value`` in the given order (with ``peers``, equal rows share theirs).
+
+    Rows are dealt out by ranges of the order; only one total for each range reaches the driver, so no task sees all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sealed(df.withColumn("_value", value).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before, total = {}, 0
+    for r in sorted(rows.groupBy("_part").agg(F.sum("_value").alias("n")).collect()):
+        before[r["_part"]], total = total, total + r["n"]
+    start = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("_part")) if before else F.lit(0)
+    frame = Window.partitionBy("_part").orderBy(*order)
+    inner = F.sum("_value").over(frame if peers else frame.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(out, inner + start).drop("_value", "_part")
