@@ -297,8 +297,6 @@ def repeats(rows: DataFrame, length: int, reach: int, most: int = 64) -> DataFra
     mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     one = kinds.join(mixed, "h").select("row", "kinds")
     one = keep(member.join(one, "row").select("key", "h", "x", "pos", "lo", "hi", "kinds"))
-    per = keep(one.groupBy("key").agg(F.collect_list(F.struct("h", "x", "pos", "lo", "hi", "kinds")).alias("at")))
-
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in batches:
@@ -310,7 +308,11 @@ def repeats(rows: DataFrame, length: int, reach: int, most: int = 64) -> DataFra
                 some = pa.array([texts[i][p - x : p - y + length] for i, p, x, y in zip(owner, pos, lo, hi, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(at.field(k) for k in ("h", "x", "lo", "hi", "kinds")), some], ["h", "x", "lo", "hi", "kinds", "text"])
 
-    context = attach(rows, per, "key", "inner", 100_000).select("t", "at").mapInArrow(contexts, "h long, x long, lo int, hi int, kinds long, text binary")
+    def context(some: DataFrame) -> DataFrame:
+        """The bytes around one anchor of each kind; only texts that hold one are shuffled."""
+        per = some.groupBy("key").agg(F.collect_list(F.struct("h", "x", "pos", "lo", "hi", "kinds")).alias("at"))
+        texts = attach(rows, keep(some.select("key").distinct()), "key", "left_semi", 500_000)
+        return texts.join(per.hint("merge"), "key").select("t", "at").mapInArrow(contexts, "h long, x long, lo int, hi int, kinds long, text binary")
 
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -327,7 +329,7 @@ def repeats(rows: DataFrame, length: int, reach: int, most: int = 64) -> DataFra
                 if a < b:
                     yield _sorted_groups(table.slice(a, b - a), length)
 
-    few = context.where(F.col("kinds") <= most).select("h", "x", "lo", "hi", "text").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(sort_groups, "h long, x long, at array<int>")
+    few = context(one.where(F.col("kinds") <= most)).select("h", "x", "lo", "hi", "text").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(sort_groups, "h long, x long, at array<int>")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -341,7 +343,7 @@ def repeats(rows: DataFrame, length: int, reach: int, most: int = 64) -> DataFra
                 at = start[row] + lo[row] - back
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[row], x[row], back, _hash(_sums(data), at, at + length).view(np.int64))], ["h", "x", "back", "w"])
 
-    window = context.where(F.col("kinds") > most).mapInArrow(windows, "h long, x long, back long, w long")
+    window = context(one.where(F.col("kinds") > most)).mapInArrow(windows, "h long, x long, back long, w long")
     twice = window.groupBy("h", "back", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "back", "w")
     many = window.join(twice.hint("merge"), ["h", "back", "w"]).groupBy("h", "x").agg(F.array_sort(F.collect_list(F.col("back").cast("int"))).alias("b")).select("h", "x", F.flatten(F.transform("b", lambda b: F.array(b, b))).alias("at"))
     partly = keep(few.union(many).where(F.size("at") > 0))
