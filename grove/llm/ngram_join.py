@@ -297,20 +297,18 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
 
 def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``links`` and those among ``pairs`` that connect more: first one pair for each document, in the end every pair that
-    still spans two components, so sets are compared about once for each document of a group, not for each pair."""
+    """``links`` and those among ``pairs`` that connect more: first one pair for each document, then every pair that
+    still spans two components, so sets are compared as often as a group has documents, not as it has pairs."""
     pairs = keep(pairs)
     tested = None
-    for step in range(3):
+    for step in range(2):
         rest = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         if links is not None:
             label = components(links)
             side = lambda x: label.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: B023, E731
             rest = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        if step < 2:
-            rest = keep(rest)
-            low = rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            rest = low if step == 0 else low.union(rest.groupBy("a").agg(F.max("b").alias("b"))).distinct()
+        if step == 0:
+            rest = rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         rest = keep(rest)
         if rest.isEmpty():
             break
@@ -391,7 +389,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     pairs = calm_pairs(first.where("part >= 0"), parts, percent).union(star).distinct()
     links = linked(bounded(pairs, sets, percent), None, rows, width, percent)
     labels = components(links)
-    for most in (1, 4, None):
+    for most in (2, None):
         if hot.isEmpty():
             break
         more = keep(bounded(remaining_pairs(hot.select("token", "id"), labels, sets, percent, most), sets, percent))
