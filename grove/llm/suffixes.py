@@ -372,7 +372,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("t"))
     spans = keep(repeats(rows.select("key", "t").where(F.octet_length("t") >= length), length, length // 2))
-    both = attach(rows, spans, "key", "left", 20_000).select("id", "t", "spans")
+    both = rows.join(spans.hint("merge"), "key", "left").select("id", "t", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
