@@ -392,9 +392,12 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     for most in (2, None):
         if hot.isEmpty():
             break
-        more = keep(bounded(remaining_pairs(hot.select("token", "id"), labels, sets, percent, most), sets, percent))
-        if more.isEmpty():
+        sought = keep(remaining_pairs(hot.select("token", "id"), labels, sets, percent, most))
+        if sought.isEmpty():  # not for want of places: the next round would find none either
             break
+        more = keep(bounded(sought, sets, percent))
+        if more.isEmpty():  # false candidates may have taken every place of a capped round
+            continue
         links = linked(more, links, rows, width, percent)
         labels = components(links)
     label = copies.join(labels, copies["first"] == labels["node"], "left").select("id", F.coalesce("root", "first").alias("root")).union(labels)

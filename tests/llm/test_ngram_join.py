@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grove.llm import components, ngram_join
@@ -79,3 +80,39 @@ def test_components_both_ways(spark, few):
     df = spark.createDataFrame(edges, "a long, b long").repartition(4)
     got = {r["node"]: r["root"] for r in components.components(df, few).collect()}
     assert got == {**{i: 0 for i in range(1, 31)}, 50: 40, 60: 40, 70: 40, 99: 90}
+
+
+def test_false_candidates_do_not_hide_a_link(spark, monkeypatch):
+    words = ["c1", "c2", "c3", *(f"w{i}" for i in range(40_000))]
+    tokens = ngram_join.token_sets(pa.array(words), 1)[0] & np.uint64((1 << ngram_join.BITS) - 1)
+    token = dict(zip(words, tokens.tolist(), strict=True)).get
+    words = sorted(words[3:], key=token)
+    low, high = words[:600], words[10_000:]  # prefixes hold words of ``low`` only, the same in every text
+    at = {}
+    for w in high:
+        at.setdefault((token(w) % 256, token(w) >> 8 & 1), []).append(w)
+    other = {w: at[token(w) % 256, 1] for w in high}
+    swapped = [w for w in high if not token(w) >> 8 & 1][:600]
+    used = iter(w for w in high if token(w) >> 8 & 1 and token(w) % 256 < 64)
+    same = [other[w].pop() for w in swapped]  # alike in 256 groups, not in 512
+    same2 = [other[w].pop() for w in swapped[:200]] + same[200:]
+    far = [w for w in used if w not in {*same, *same2}][:280]
+    rest = low + [w for w in high if w not in {*swapped, *same, *same2, *far}][:800]
+    texts = {
+        0: [*rest, *same, "c3"], 9: [*rest, *same2],
+        3: [*rest, *swapped],
+        4: [*rest, *far, *swapped[280:], "c1"], 5: [*rest, *far, *same[280:560], *swapped[560:], "c1", "c2"], 6: [*rest, *same[:280], *same[280:560], *swapped[560:], "c2", "c3"],
+        7: low[:100],
+    }
+    level = np.ones(ngram_join.COUNTERS, np.uint8)
+    level[[token(w) >> ngram_join.BITS - 20 for w in ("c1", "c2", "c3")]] = 0
+    monkeypatch.setattr(ngram_join, "levels", lambda blocks: level.tobytes())
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    up = {i: i for i in texts}
+    for _ in texts:
+        for a, b in itertools.permutations(texts, 2):
+            x, y = set(texts[a]), set(texts[b])
+            if 100 * len(x & y) >= 75 * len(x | y):
+                up[a] = min(up[a], up[b])
+    assert up == {**{i: 0 for i in texts}, 7: 7}
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df, width=1).collect()} == up
