@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from grove.storage import running
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +50,35 @@ def attach(df: DataFrame, small: DataFrame, on: str | list[str], how: str = "inn
     return df.join(F.broadcast(small) if n <= limit else small.hint("merge"), on, how)
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``id, t``: texts under numbers in the order of their ids, and the ids behind numbers unless they are integers."""
+    kind = docs.schema[id_col].dataType
+    if isinstance(kind, IntegralType):
+        return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")), None
+    names = docs.select(F.col(id_col).alias("name")).where("name is not null").distinct()
+    names = keep(running(names, [F.col("name")], F.lit(1).cast("long"), "number").select("name", "number"))
+    return docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("t")).join(names, "name", "left").select(F.col("number").alias("id"), "t"), names
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """Sorted rows in tables that hold every row of each of their groups; one batch and one group are in memory at a time."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(by).to_numpy()
+        if rest and rest[0].column(by)[0].as_py() != key[0]:
+            yield pa.Table.from_batches(rest)
+            rest = []
+        other = np.flatnonzero(key != key[-1])
+        if len(other):
+            yield pa.Table.from_batches([*rest, batch.slice(0, other[-1] + 1)])
+            rest = []
+        rest.append(batch.slice(other[-1] + 1 if len(other) else 0))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
 def fresh(stem: str) -> str:
     """A name that no other query uses."""
     return f"{stem}_{uuid.uuid4().hex[:12]}"

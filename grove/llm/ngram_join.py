@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -13,13 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import attach, by_bytes, coded, filled, keep, lean, ragged, words
+from grove.llm.common import attach, by_bytes, coded, filled, keep, lean, numbered, ragged, whole_groups, words
 from grove.llm.components import components
 
 #: Bits of a shingle's token; with a level and a row number it fills 64.
 BITS, LEVEL_BITS, ROWS = 48, 4, 1 << 12
-#: Dimensions of a count vector, and counters of the frequency sketch (4 MB, whatever the input) in blocks.
+#: Dimensions of a count vector, and counters of the frequency sketch (8 MB, whatever the input) in blocks.
 GROUPS, COUNTERS, BLOCK = 256, 1 << 20, 1 << 12
+#: Bounds of a task's data: prefix tokens of a part of the token range, documents of a block, tokens of a leaf's sets.
+PART, MEMBERS, LEAF = 500_000, 1024, 1 << 19
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,7 +57,7 @@ def token_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=n)
 
 
-def _parts(batch: pa.RecordBatch, batch_bytes: int = 8 << 20):
+def _parts(batch: pa.RecordBatch, batch_bytes: int = 2 << 20):
     """Ids and texts of at most ROWS rows and about ``batch_bytes`` bytes."""
     texts = filled(batch.column(1))
     for a, b in by_bytes(pc.binary_length(texts).to_numpy(zero_copy_only=False), batch_bytes):
@@ -116,8 +120,8 @@ def summaries(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, _SUMMARY)
 
 
-def levels(blocks: DataFrame, calm: int = 200) -> bytes:
-    """For each counter of the sketch, how far it stands out: 0, or a step for each doubling over ``calm``.
+def levels(blocks: DataFrame, calm: int = 200) -> tuple[bytes, int]:
+    """For each counter of the sketch, how far it stands out: 0, or a step for each doubling over ``calm``; and the sum.
 
     The sketch orders tokens only: any order gives the same links, this one keeps very common tokens out of prefixes.
     """
@@ -131,80 +135,120 @@ def levels(blocks: DataFrame, calm: int = 200) -> bytes:
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<i8")
     mean = sketch.mean()
     over = (sketch - mean - 6 * np.sqrt(mean)) / calm
-    return np.where(over > 1, np.clip(np.log2(np.maximum(over, 1)) + 1, 1, (1 << LEVEL_BITS) - 1), 0).astype(np.uint8).tobytes()
+    return np.where(over > 1, np.clip(np.log2(np.maximum(over, 1)) + 1, 1, (1 << LEVEL_BITS) - 1), 0).astype(np.uint8).tobytes(), int(sketch.sum())
+
+
+def _raw(token: np.ndarray) -> bytes:
+    """Six bytes for each token."""
+    return token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes()
+
+
+def _tokens(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def prefixes(docs: DataFrame, level: bytes, width: int, percent: int, parts: int) -> DataFrame:
     """The tokens that linked sets must share one of: of n, the first n - ceil(n * percent / 100) + 1 in the common order.
 
-    Calm tokens come packed, a row for each part of the token range and batch (``part, ids, sizes, tokens``), common
-    ones (``part`` -1) with a row for each document.
+    They come packed, a row for each part of the token range and batch: ids and sizes of documents, how many tokens
+    each has there, and those tokens. Common tokens (``hot``) are spread over the parts by document.
     """
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
+    def packed(ids: np.ndarray, size: np.ndarray, row: np.ndarray, token: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+        part = np.where(hot, ids[row].view(np.uint64) % np.uint64(parts), token * np.uint64(parts) >> np.uint64(BITS)).astype(np.int64)
+        order = np.argsort(part * 2 + hot, kind="stable")
+        part, row, token, hot = part[order], row[order], token[order], hot[order]
+        new = np.r_[True, (part[1:] != part[:-1]) | (hot[1:] != hot[:-1]) | (row[1:] != row[:-1])]
+        each = np.flatnonzero(new)
+        many = np.diff(np.r_[each, len(row)]).astype("<i4")
+        cut = np.flatnonzero(np.r_[True, (part[each][1:] != part[each][:-1]) | (hot[each][1:] != hot[each][:-1]), True])
+        ends = np.r_[each, len(row)]
+        name, n = ids[row[each]].astype("<i8"), size[row[each]].astype("<i4")
+        out = [(part[ends[a]], hot[ends[a]], name[a:b].tobytes(), n[a:b].tobytes(), many[a:b].tobytes(), _raw(token[ends[a] : ends[b]])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        cols = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["part", "hot", "ids", "sizes", "counts", "tokens"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         high = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            for ids, texts in _parts(batch):
-                keys, size = token_sets(texts, width)
+        held: list[tuple] = []
+        rows = total = 0
+        for part in itertools.chain((p for batch in batches for p in _parts(batch)), [None]):
+            if part is not None:
+                keys, size = token_sets(part[1], width)
                 token, row = keys & np.uint64((1 << BITS) - 1), keys >> np.uint64(BITS)
                 lv = high[(token >> np.uint64(BITS - 20)).astype(np.int64)]
                 order = np.sort(row << np.uint64(52) | lv.astype(np.uint64) << np.uint64(BITS) | token)
                 need = size - (size * percent + 99) // 100 + 1
                 taken = order[ragged(np.cumsum(size) - size, np.where(size > 0, need, 0))]
-                token, row = taken & np.uint64((1 << BITS) - 1), (taken >> np.uint64(52)).astype(np.int64)
-                hot = (taken >> np.uint64(BITS)) & np.uint64(15) > 0
-                part = np.where(hot, -1, (token * np.uint64(parts) >> np.uint64(BITS)).astype(np.int64))
-                back, key = np.argsort(part, kind="stable"), ids.to_numpy(zero_copy_only=False)
-                cuts = np.r_[0, np.flatnonzero(np.diff(part[back])) + 1, len(back)]
-                out = []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if a == b:
-                        continue
-                    at = back[a:b]
-                    groups = np.split(at, np.flatnonzero(np.diff(row[at])) + 1) if part[at[0]] < 0 else [at]
-                    out += [(part[g[0]], key[row[g]].astype("<i8").tobytes() if part[g[0]] >= 0 else key[row[g[:1]]].astype("<i8").tobytes(), size[row[g]].astype("<i4").tobytes(), token[g].astype("<u8").tobytes()) for g in groups]
-                if out:
-                    cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["part", "ids", "sizes", "tokens"])
-
-    return docs.mapInArrow(run, "part int, ids binary, sizes binary, tokens binary")
-
-
-def calm_pairs(packed: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Pairs of documents that share a calm token in their prefixes and whose sizes allow a link.
-
-    A calm token is in few documents (the sketch says so), so its pairs are few.
-    """
+                held.append((part[0].to_numpy(zero_copy_only=False), size, (taken >> np.uint64(52)).astype(np.int64) + rows, taken & np.uint64((1 << BITS) - 1), (taken >> np.uint64(BITS)) & np.uint64(15) > 0))
+                rows, total = rows + len(size), total + len(taken)
+            if total and (part is None or total >= PART):
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                held, rows, total = [], 0, 0
+
+    return docs.mapInArrow(run, "part int, hot boolean, ids binary, sizes binary, counts binary, tokens binary")
+
+
+def blocks_of(doc: np.ndarray, size: np.ndarray, token: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Documents that share a token, in runs by size that a link may span: documents, tokens, sizes and where runs start."""
+    order = np.argsort(token, kind="stable")
+    same = token[order][1:] == token[order][:-1]
+    order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+    doc, size, token = doc[order], size[order].astype(np.int64), token[order]
+    order = np.lexsort((doc, size, token))
+    doc, size, token = doc[order], size[order], token[order]
+    new = np.r_[True, (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])] if len(doc) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    return doc, token, size, start
+
+
+def routed(packed: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Blocks of documents that share a prefix token: ``block, ids``, those with the same documents once in a part; those
+    of over MEMBERS documents, and common tokens, as rows ``token, id, n``."""
+    members = MEMBERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[], [], []]
+        lean()
+        names = ["block", "ids", "token", "id", "n"]
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
+
+        def loose(token: np.ndarray, doc: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(doc), kinds[0]), pa.nulls(len(doc), kinds[1]), pa.array(token.astype(np.int64)), pa.array(doc), pa.array(size.astype(np.int64))], names)
+
+        got: list[tuple] = []
         for batch in batches:
-            for k, kind in ((1, "<i8"), (2, "<i4"), (3, "<u8")):
-                got[k - 1] += [np.frombuffer(x, kind) for x in batch.column(k).to_pylist()]
-        if not got[0]:
+            for hot, *cols in zip(*(batch.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                many = np.frombuffer(cols[2], "<i4")
+                one = (np.repeat(np.frombuffer(cols[0], "<i8"), many), np.repeat(np.frombuffer(cols[1], "<i4"), many), _tokens(cols[3]))
+                if hot:
+                    yield loose(one[2], one[0], one[1])
+                else:
+                    got.append(one)
+        if not got:
             return
-        doc, size, token = map(np.concatenate, got)
+        doc, token, size, start = blocks_of(*map(np.concatenate, zip(*got, strict=True)), percent)
         del got
-        order = np.argsort(token)
-        token, doc, size = token[order], doc[order], size[order].astype(np.int64)
-        edge = np.r_[True, token[1:] != token[:-1], True]
-        twice = ~(edge[:-1] & edge[1:])
-        token, doc, size = token[twice], doc[twice], size[twice]
-        pairs, near = [], np.arange(len(token))
-        for d in range(1, len(token)):
-            near = near[near + d < len(token)]
-            near = near[token[near] == token[near + d]]
-            if not len(near):
-                break
-            low, top = np.minimum(size[near], size[near + d]), np.maximum(size[near], size[near + d])
-            at = near[(100 * low >= percent * top) & (doc[near] != doc[near + d])]
-            pairs.append(np.stack([np.minimum(doc[at], doc[at + d]), np.maximum(doc[at], doc[at + d])], axis=1))
-        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return packed.repartition(parts, "part").mapInArrow(run, "a long, b long").distinct()
+        many = np.diff(np.r_[start, len(doc)])
+        large = many > members
+        at = ragged(start[large], many[large])
+        if len(at):
+            yield loose(token[at], doc[at], size[at])
+        start, many = start[~large & (many > 1)], many[~large & (many > 1)]
+        if not len(start):
+            return
+        at = ragged(start, many)
+        with np.errstate(over="ignore"):
+            key = np.add.reduceat(_mixed(doc[at].astype(np.uint64) * _M + np.uint64(1)), np.cumsum(many) - many) * _M + many.astype(np.uint64)
+        key, first = np.unique(key, return_index=True)
+        values, many = doc[ragged(start[first], many[first])], many[first]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)], pa.int32()), pa.array(values))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), lists, *(pa.nulls(len(key), k) for k in kinds[2:])], names)
+
+    return packed.repartitionById(parts, "part").mapInArrow(run, "block long, ids array<long>, token long, id long, n long")
 
 
 def overlap_needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -239,57 +283,73 @@ class RTree:
         ok = (100 * low >= percent * top) & (bound >= overlap_needed(self.sizes[at], size, percent))
         return self.order[at[ok][np.argsort(-bound[ok], kind="stable")]]
 
+    def pairs(self, percent: int) -> np.ndarray:
+        """All pairs of its points that a link is possible between, as rows of two numbers; a single leaf is compared at once."""
+        if len(self.points) > self.leaf:
+            near = [self.search(p, n, percent) for p, n in zip(self.points, self.sizes, strict=True)]
+            return np.stack([np.repeat(self.order, [len(x) for x in near]), np.concatenate(near)], axis=1)
+        a, b = np.triu_indices(len(self.points), 1)
+        low, top = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        ok = (100 * low >= percent * top) & (np.minimum(self.points[a], self.points[b]).sum(axis=1) >= overlap_needed(low, top, percent))
+        return np.stack([self.order[a[ok]], self.order[b[ok]]], axis=1)
+
 
-def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose count vectors leave a link possible."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("vec").alias(f"vec_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def block_pairs(blocks: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs of documents of a block whose count vectors leave a link possible, each block searched through its tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for table in whole_groups(batches, "block"):
+            block, ids, n = (table.column(k).to_numpy() for k in ("block", "id", "n"))
+            raw = table.column("vec").to_pylist()
+            cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+            out = [np.zeros((0, 2), np.int64)]
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                g = min(map(_groups, raw[a:b]))
+                tree = RTree(_vectors(raw[a:b], g), n[a:b])
+                out.append(ids[a:b][tree.pairs(percent)])
+            found = np.concatenate(out)
+            found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    each = blocks.groupBy("block").agg(F.first("ids").alias("ids")).select("block", F.explode("ids").alias("id"))
+    rows = each.join(sets.hint("merge"), "id").select("block", "id", "n", "vec")
+    return rows.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``id, set``: the sorted tokens, six bytes each, of the documents named in ``ids``, made again from their texts."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b, n, m = (batch.column(k).to_numpy() for k in range(4))
-            ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-            need = overlap_needed(n, m, percent)
-            for i, x, y in zip(range(len(n)), batch.column(4), batch.column(5), strict=True):
-                if ok[i]:
-                    x, y = x.as_py(), y.as_py()
-                    g = min(_groups(x), _groups(y))
-                    ok[i] = np.minimum(_vector(x, g), _vector(y, g)).sum() >= need[i]
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+            for names, texts in _parts(batch):
+                keys, size = token_sets(texts, width)
+                token, ends = keys & np.uint64((1 << BITS) - 1), np.cumsum(size)
+                yield pa.RecordBatch.from_arrays([names, pa.array([_raw(token[e - s : e]) for s, e in zip(size, ends, strict=True)], pa.binary())], ["id", "set"])
 
-    return both.select("a", "b", "n_a", "n_b", "vec_a", "vec_b").mapInArrow(run, "a long, b long")
+    return attach(docs, keep(ids), "id", "left_semi", 1_000_000).mapInArrow(sets, "id long, set binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose shingle sets have the similarity; sets are made again for the documents in pairs only."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have the similarity."""
+    low, top = sorted((len(x), len(y)))
+    if 100 * low < percent * top:
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts in _parts(batch):
-                keys, size = token_sets(texts, width)
-                token = keys & np.uint64((1 << BITS) - 1)
-                raw = token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8]  # six bytes each
-                ends = np.cumsum(size)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([raw[e - s : e].tobytes() for s, e in zip(size, ends, strict=True)], pa.binary())], ["id", "set"])
 
-    made = attach(docs, keep(ids), "id", "left_semi", 1_000_000).mapInArrow(sets, "id long, set binary")
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose shingle sets have the similarity."""
+    made = shingle_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tokens(raw: bytes) -> np.ndarray:
-            out = np.zeros((len(raw) // 6, 8), np.uint8)
-            out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            return out.view("<u8").ravel()
-
+        lean()
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = tokens(x), tokens(y)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            ok = pa.array(ok, pa.bool_())
+            ok = pa.array([alike(_tokens(x), _tokens(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     side = lambda x: made.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
@@ -318,88 +378,130 @@ def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, width: in
     return keep(links.distinct()) if links is not None else pairs
 
 
-def remaining_pairs(hot: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, most: int | None, block: int = 256) -> DataFrame:
-    """Pairs across components that share a common token, found in R-trees over blocks of the larger component.
+def leaf_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join components of a leaf's documents: those that ask (or all) are sought in the tree over the others,
+    best bounds first, and compared unless they are already in one component."""
+    n = np.array([len(x) for x in sets], np.int64)
+    g = max(GROUPS, 1 << int(n.min() // 4).bit_length())
+    token = np.concatenate(sets)
+    points = np.bincount(np.repeat(np.arange(len(n)) * g, n) + (token & np.uint64(g - 1)).astype(np.int64), minlength=len(n) * g).reshape(-1, g).astype(np.int32)
+    base, who = (np.arange(len(n)), np.arange(len(n))) if asks is None else (np.flatnonzero(~asks), np.flatnonzero(asks))
+    tree, up = RTree(points[base], n[base]), {int(c): int(c) for c in comp}
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    out = []
+    for i in who.tolist():
+        for j in base[tree.search(points[i], n[i], percent)].tolist():
+            a, b = root(int(comp[i])), root(int(comp[j]))
+            if a != b and (asks is not None or j > i) and alike(sets[i], sets[j], percent):
+                up[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def searched(cells: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Links found in each cell of ``cell, id, c, asks`` (``asks`` null: all against all)."""
 
-    Per document and block the ``most`` most promising pairs come out, or all of them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for table in whole_groups(batches, "cell"):
+            cell, ids, comp = (table.column(k).to_numpy() for k in ("cell", "id", "c"))
+            asks, raw = table.column("asks").to_pylist(), table.column("set")
+            cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+            out: list[tuple[int, int]] = []
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                flags = None if asks[a] is None else np.array(asks[a:b], bool)
+                if flags is None or flags.any() and not flags.all():
+                    out += leaf_links(ids[a:b], comp[a:b], [_tokens(x.as_py()) for x in raw.slice(a, b - a)], flags, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["a", "b"])
+
+    rows = cells.join(sets.hint("merge"), "id").select("cell", "id", "c", "asks", "set")
+    return keep(rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct())
+
+
+def common_links(hot: DataFrame, links: DataFrame, docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """``links`` and those between documents that share a common token (``token, id, n``).
+
+    A token all of whose documents have the same more common one adds nothing and is left out. The documents of a token
+    are cut by size into bands that a link spans two of, and bands by bytes into leaves, so no task sees a whole token.
+    Leaves are first searched by themselves, which joins groups of copies; then documents outside a token's largest
+    component are sought in all its leaves of neighbouring bands, a chunk of them against a leaf in each task.
     """
-    rows = keep(hot.join(labels, hot["id"] == labels["node"], "left").select("token", "id", F.coalesce("root", "id").alias("c")))
-    mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    rows = rows.join(mixed, "token", "left_semi")
-    members = keep(rows.select("id", "c").distinct())
-    sizes = keep(members.groupBy("c").agg(F.count("*").alias("m")))
-    there = rows.select("token", "c").distinct().join(sizes, "c").select("token", F.col("c").alias("other"), F.col("m").alias("m_other"))
-    mine = rows.join(sizes, "c")
-    asks = mine.join(there, "token").where("c != other and (m < m_other or (m = m_other and c < other))").select("id", "other", "m_other").distinct()
-    n_blocks = lambda m: F.ceil(F.col(m) / block)
-    asks = asks.select("id", F.col("other").alias("c"), F.explode(F.sequence(F.lit(0), n_blocks("m_other") - 1)).alias("k"), F.lit(True).alias("asks"))
-    base = members.join(sizes, "c").select("id", "c", F.pmod(F.xxhash64("id"), n_blocks("m")).alias("k"), F.lit(False).alias("asks"))
-    base = base.join(asks.select("c", "k").distinct(), ["c", "k"], "left_semi")
-    both = asks.unionByName(base).join(sets.select("id", "n", "vec"), "id")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, there = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if there.empty or ask.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        g = min(map(_groups, pdf["vec"]))
-        tree, ids = RTree(_vectors(list(there["vec"]), g), there["n"].to_numpy()), there["id"].to_numpy()
-        out = [(x, y) for x, n, v in zip(ask["id"], ask["n"], _vectors(list(ask["vec"]), g), strict=True) for y in ids[tree.search(v, n, percent)[:most]]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return both.groupBy("c", "k").applyInPandas(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    many = hot.groupBy("token").agg(F.count("*").alias("k"))
+    best = attach(hot, keep(many), "token").withColumn("best", F.struct("k", "token"))
+    first = best.groupBy("id").agg(F.max("best")["token"].alias("first"))
+    ends = hot.join(first, "id").groupBy("token").agg(F.min("first").alias("lo"), F.max("first").alias("hi"))
+    rows = hot.join(ends.where("lo = hi and lo != token").select("token"), "token", "left_anti")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    rows = keep(rows.select("token", "id", "n", band.alias("band")).distinct())
+    pieces = lambda df, name: df.groupBy("token", "band").agg(F.ceil(F.greatest(F.sum("n") / LEAF, F.count("*") / MEMBERS)).alias(name))
+    leaves = keep(pieces(rows, "leaves"))
+    sets = keep(shingle_sets(docs, rows.select("id").distinct(), width))
+    spread = lambda name: F.pmod(F.xxhash64("id"), F.col(name))
+    placed = attach(rows, leaves, ["token", "band"]).withColumn("leaf", spread("leaves"))
+
+    def named(links: DataFrame) -> DataFrame:
+        label = components(links)
+        return placed.join(label, placed["id"] == label["node"], "left").select("token", "band", "leaf", "id", "n", F.coalesce("root", "id").alias("c"))
+
+    cell = F.xxhash64("token", "band", "leaf").alias("cell")
+    found = searched(named(links).select(cell, "id", "c", F.lit(None).cast("boolean").alias("asks")), sets, percent, parts)
+    links = keep(links.union(found))
+    now = keep(named(links))
+    sizes = now.groupBy("token", "c").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main")
+    mixed = attach(now, keep(main), "token")
+    asks = mixed.where("c != main").select("token", "id", "n", "c", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    chunks = keep(pieces(asks, "chunks"))
+    upto = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    asks = attach(attach(asks, leaves, ["token", "band"]), chunks, ["token", "band"]).withColumn("chunk", spread("chunks")).withColumn("leaf", upto("leaves"))
+    base = attach(mixed, chunks, ["token", "band"]).withColumn("chunk", upto("chunks"))
+    cell = F.xxhash64("token", "band", "leaf", "chunk").alias("cell")
+    both = asks.select(cell, "id", "c", F.lit(True).alias("asks")).union(base.select(cell, "id", "c", F.lit(False)))
+    return links.union(searched(both, sets, percent, parts))
 
 
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_shingles, component_id``: components of documents whose shingle sets are at least ``percent`` % alike.
 
     1. Sets are hashed; documents with equal sets are one from here on. A sketch of fixed size counts tokens.
-    2. Linked sets share a token of their prefixes (rare tokens first). Calm tokens give their pairs at once.
-    3. A common token gives each of its documents the smallest and largest one there; pairs that count vectors allow are
-       verified on whole sets, and links joined to components. Then, while a common token still has several components,
-       documents of the smaller are sought in R-trees over the larger's count vectors, best bounds first, then all.
-    So a group of copies gives pairs in proportion to its documents, and no link between different sets is lost. A null
-    or wordless text has no shingles and is its own component, as is a row with a null id (component null); repeated
-    rows share their id's result; an empty table gives an empty result; other columns are ignored.
+    2. Linked sets share a token of their prefixes (rare tokens first), which routes documents to blocks; blocks of the
+       same documents are one.
+    3. Each block is searched through an R-tree over its count vectors; pairs that the bound allows are verified on whole
+       sets, first one for each document, then those that still span two components.
+    4. Tokens with too many documents for a block are searched leaf by leaf (``common_links``).
+    So a group of copies gives pairs in proportion to its documents, and no link between different sets is lost. Ids may
+    have any type that sorts. A null or wordless text has no shingles and is its own component, as is a row with a null
+    id (component null); repeated rows share their id's result; an empty table gives an empty result; other columns are
+    ignored.
     """
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    rows, names = numbered(docs, id_col, text_col)
     made = keep(summaries(rows, width))
     whole = made.where("block is null").select("id", "n", "k1", "k2", "vec")
     some = whole.where("n > 0 and id is not null")
     classes = keep(some.groupBy("n", "k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     many = classes.where("copies > 1").select("n", "k1", "k2", "first")
     copies = keep(some.select("id", "n", "k1", "k2").join(many, ["n", "k1", "k2"]).where("id != first").select("id", "first").distinct())
-    level = levels(made.where("block is not null").select("block", "counts"))
+    level, total = levels(made.where("block is not null").select("block", "counts"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     single = attach(rows.where("id is not null"), copies.select("id"), "id", "left_anti", 1_000_000)
     sets = attach(some, copies.select("id"), "id", "left_anti", 1_000_000).dropDuplicates(["id"]).select("id", "n", "vec")
-    first = keep(prefixes(single, level, width, percent, parts))
-    hot = first.where("part < 0").select("ids", "tokens")
-
-    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc = [np.frombuffer(x, "<i8")[0] for x in batch.column(0).to_pylist()]
-            tok = [np.frombuffer(x, "<u8").astype(np.int64) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok)), pa.array(np.repeat(doc, [len(x) for x in tok]))], ["token", "id"])
-
-    hot = keep(hot.mapInArrow(rows_of, "token long, id long"))
-    ends = hot.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi")
-    hot = keep(hot.join(ends, "token"))
-    star = hot.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id != end").select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b"))
-    pairs = calm_pairs(first.where("part >= 0"), parts, percent).union(star).distinct()
-    links = linked(bounded(pairs, sets, percent), None, rows, width, percent)
+    slots = max(parts, -(-total * (100 - percent) // (100 * PART)))
+    found = keep(routed(prefixes(single, level, width, percent, slots), slots, percent))
+    blocks, hot = found.where("block is not null").select("block", "ids"), found.where("token is not null").select("token", "id", "n")
+    links = linked(block_pairs(blocks, sets, percent, parts), None, rows, width, percent)
+    if not hot.isEmpty():
+        links = common_links(hot, links, rows, width, percent, parts)
     labels = components(links)
-    for most in (2, None):
-        if hot.isEmpty():
-            break
-        sought = keep(remaining_pairs(hot.select("token", "id"), labels, sets, percent, most))
-        if sought.isEmpty():  # not for want of places: the next round would find none either
-            break
-        more = keep(bounded(sought, sets, percent))
-        if more.isEmpty():  # false candidates may have taken every place of a capped round
-            continue
-        links = linked(more, links, rows, width, percent)
-        labels = components(links)
     label = copies.join(labels, copies["first"] == labels["node"], "left").select("id", F.coalesce("root", "first").alias("root")).union(labels)
-    out = whole.select("id", "n").join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    out = whole.select("id", "n").join(label.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+    kind = docs.schema[id_col].dataType
+    if names is None:
+        return out.select(F.col("id").cast(kind).alias(id_col), "n_shingles", F.col("component_id").cast(kind).alias("component_id"))
+    back = lambda c, name: names.select(F.col("number").alias(c), F.col("name").alias(name))
+    return out.join(back("id", id_col), "id", "left").join(back("component_id", "_component"), "component_id", "left").select(id_col, "n_shingles", F.col("_component").alias("component_id"))

@@ -33,8 +33,8 @@ def brute(texts):
     return [(i, len(sets[i]), root(i)) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("calm", [200, 2])
-def test_components_match_brute_force(spark, monkeypatch, calm):
+@pytest.mark.parametrize("calm,members", [(200, 1024), (2, 1024), (2, 6), (200, 6)])
+def test_components_match_brute_force(spark, monkeypatch, calm, members):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     passage = [word() for _ in range(40)]
@@ -49,9 +49,11 @@ def test_components_match_brute_force(spark, monkeypatch, calm):
             texts.append("\n".join(w))
     texts += [" ".join([*passage, *(word() for _ in range(r.choice([3, 5, 40])))]) for _ in range(25)]
     original = ngram_join.levels
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    monkeypatch.setattr(ngram_join, "LEAF", 80 * members)
     monkeypatch.setattr(ngram_join, "levels", lambda blocks: original(blocks, calm))
     if calm == 2:  # every token counts as common
-        monkeypatch.setattr(ngram_join, "levels", lambda blocks: np.ones(ngram_join.COUNTERS, np.uint8).tobytes())
+        monkeypatch.setattr(ngram_join, "levels", lambda blocks: (np.ones(ngram_join.COUNTERS, np.uint8).tobytes(), 0))
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, root int")
     assert sorted(map(tuple, ngram_join.ngram_components(df).collect())) == brute(texts)
 
@@ -62,6 +64,13 @@ def test_empty_and_repeated_rows(spark):
     assert ngram_join.ngram_components(df.limit(0)).count() == 0
 
 
+def test_string_ids_and_a_long_text(spark):
+    long = " ".join(f"w{i * i % 9973}" for i in range(300_000))
+    df = spark.createDataFrame([("d21", "a b c d e f"), ("d0", "A b c d e f"), ("x", long), ("y", long + " end"), ("z", None), (None, "a b c d e f")], "doc_id string, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df).collect()}
+    assert got == {"d21": "d0", "d0": "d0", "x": "x", "y": "x", "z": "z", None: None}
+
+
 def test_tree_finds_what_the_bound_allows():
     r = np.random.default_rng(1)
     points = r.poisson(2, (200, 32))
@@ -72,6 +81,13 @@ def test_tree_finds_what_the_bound_allows():
         m, s = np.minimum(points, points[i]).sum(axis=1), n + n[i]
         want = set(np.flatnonzero((m >= -(-75 * s // 175)) & (100 * np.minimum(n, n[i]) >= 75 * np.maximum(n, n[i]))))
         assert set(tree.search(points[i], n[i], 75)) == want
+    for some in (200, 12):
+        tree = ngram_join.RTree(points[-some:], n[-some:])
+        got = {(min(a, b), max(a, b)) for a, b in tree.pairs(75).tolist() if a != b}
+        m = np.minimum(points[-some:, None], points[None, -some:]).sum(axis=2)
+        s = n[-some:, None] + n[None, -some:]
+        fits = (m >= -(-75 * s // 175)) & (100 * np.minimum(n[-some:, None], n[None, -some:]) >= 75 * np.maximum(n[-some:, None], n[None, -some:]))
+        assert got == {(a, b) for a, b in zip(*np.nonzero(np.triu(fits, 1)), strict=True)}
 
 
 @pytest.mark.parametrize("few", [200_000, 0])
@@ -106,7 +122,7 @@ def test_false_candidates_do_not_hide_a_link(spark, monkeypatch):
     }
     level = np.ones(ngram_join.COUNTERS, np.uint8)
     level[[token(w) >> ngram_join.BITS - 20 for w in ("c1", "c2", "c3")]] = 0
-    monkeypatch.setattr(ngram_join, "levels", lambda blocks: level.tobytes())
+    monkeypatch.setattr(ngram_join, "levels", lambda blocks: (level.tobytes(), 0))
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     up = {i: i for i in texts}
     for _ in texts:
