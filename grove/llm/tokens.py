@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -129,7 +130,12 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
 
 
 class WordIds:
-    """Token ids of words that are encoded one by one; ``room`` words are remembered from batch to batch."""
+    """Token ids of words; ``room`` stems are remembered from batch to batch.
+
+    The tokenizer's pattern separates letters from what follows them, so a word of letters and common end marks is a
+    stem and a tail. Stems are encoded many at a time as one text: each is one run of the pattern, whose last token ends
+    a word, and if the ends don't add up (a letter that decomposes, say), they are encoded one by one like other words.
+    """
 
     def __init__(self, name: str, room: int = 800_000):
         from tokenizers import Tokenizer
@@ -137,6 +143,9 @@ class WordIds:
         self.bpe = Tokenizer.from_file(public_tokenizers.path(name))
         self.bpe.no_truncation()
         self.bpe.no_padding()
+        vocabulary = self.bpe.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.room = room
         self.forget()
 
@@ -145,12 +154,22 @@ class WordIds:
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            ids = [x.ids for x in self.bpe.encode_batch_fast(part, add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int32, len(ids))
-            flat = np.fromiter((x for xs in ids for x in xs), np.int32, int(n.sum()))
+    def _encoded(self, xs: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        if joined:
+            flat = np.array(self.bpe.encode_batch_fast([" ".join(xs)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends[flat])
+            if len(ends) == len(xs) and ends[-1] == len(flat) - 1:
+                return flat, np.diff(np.r_[-1, ends])
+        ids = [x.ids for x in self.bpe.encode_batch_fast(xs, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _known(self, values: pa.Array, joined: bool) -> np.ndarray:
+        """Numbers of the words in the pool; new ones are encoded."""
+        values = values.to_numpy(zero_copy_only=False).tolist()
+        new = [x for x in values if x not in self.seen]
+        for i in range(0, len(new), 5000):
+            part = new[i : i + 5000]
+            flat, n = self._encoded(part, joined)
             k = len(self.seen)
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -161,17 +180,28 @@ class WordIds:
             self.lengths[k : k + len(part)] = n
             self.seen.update(zip(part, range(k, k + len(part)), strict=True))
             self.used += len(flat)
+        return np.fromiter(map(self.seen.__getitem__, values), np.int64, len(values))
 
-    def of(self, code: np.ndarray, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, code: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and how many each word has."""
-        new = [x for x in distinct if x not in self.seen]
-        if len(self.seen) + len(new) > self.room and self.seen:
+        if len(self.seen) > self.room:
             self.forget()
-            new = distinct
-        self.learn(new)
-        at = np.fromiter(map(self.seen.__getitem__, distinct), np.int64, len(distinct))[code]
-        n = self.lengths[at].astype(np.int64)
-        return self.pool[ragged(self.starts[at], n)], n
+        halves = pc.extract_regex(distinct, r"^(?P<stem>\p{L}+)(?P<tail>[.,;:!?]*)$")
+        plain = pc.is_valid(halves)
+        halves, plain = halves.filter(plain), plain.to_numpy(zero_copy_only=False)
+        stem, tail = halves.field("stem"), halves.field("tail")
+        stem = pc.if_else(pc.string_is_ascii(stem), pc.ascii_lower(stem), stem)  # elsewhere lower case may compose otherwise
+        pieces = np.zeros((len(distinct), 2), np.int64)
+        for column, values, joined in ((0, stem, True), (1, tail, False)):
+            at, kinds = coded(values)
+            pieces[plain, column] = self._known(kinds, joined)[at]
+        pieces[~plain, 0] = self._known(distinct.filter(pa.array(~plain)), False)
+        pieces[~plain, 1] = self._known(pa.array([""], distinct.type), False)
+        starts, n = self.starts[pieces], self.lengths[pieces].astype(np.int64)
+        pool = self.pool[ragged(starts.ravel(), n.ravel())]
+        n = n.sum(axis=1)
+        starts = np.cumsum(n) - n
+        return pool[ragged(starts[code], n[code])], n[code]
 
 
 @functools.lru_cache(maxsize=2)

@@ -56,18 +56,49 @@ def test_packing_is_gapless_and_whole(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def plain_sum_of_squares(sizes, size):
+    """The rule by a plain loop: for each piece the level that leaves the smallest sum of squared counts, fullest first."""
+    level, placed = [0] * (size + 1), []
+    for s in sizes:
+        def change(h):
+            out = 0 if h + s == size else 2 * level[h + s] + 1
+            return out + (1 - 2 * level[h] if h else 0)
+
+        h = min((h for h in range(size - s + 1) if h == 0 or level[h]), key=lambda h: (change(h), -h))
+        level[h] -= bool(h)
+        level[h + s] += h + s < size
+        placed.append(h)
+    return level, placed
+
+
 def test_sum_of_squares_prefers_the_best_level():
     p = packing.SumOfSquares(10, 0)
     for n in (6, 6, 4):
-        p.add(n, np.arange(n, dtype=np.int32))
+        p.add(n, np.arange(n, dtype="<u4"))
     assert p.level[6] == 1 and len(p.done) == 2 and p.n_open == 1
     q = packing.SumOfSquares(16, 0, most_open=3)
     for i in range(50):
-        q.add(i, np.arange(9, dtype=np.int32))
-    q.recut()
+        q.add(i, np.arange(9, dtype="<u4"))
+    q.finish()
     assert sum(d[2] for d in q.done) == 450 and q.n_open == 0
 
 
+def test_whole_tables_are_placed_by_the_rule_and_little_is_moved():
+    r = np.random.default_rng(3)
+    sizes = np.maximum(1, r.lognormal(5, 1, 4000)).astype(int)
+    p = packing.SumOfSquares(2048, 0)
+    for i, n in enumerate(sizes):
+        p.add(i, np.arange(n, dtype="<u4"))
+    level, _ = plain_sum_of_squares([n % 2048 for n in sizes if n % 2048], 2048)
+    assert p.level == level  # equal ones at every step, ties included
+    p.finish()
+    assert sum(d[2] for d in p.done) == sizes.sum() and p.moved < 0.05 * sizes.sum()
+    fill = {}
+    for d in p.done:
+        fill[d[5]] = fill.get(d[5], 0) + d[2]
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in fill.values())
+
+
 def test_quality_statistics(spark, docs):
     rows = {r["doc_id"]: r for r in quality.quality_rules(docs).collect()}
     for i, t in enumerate(TEXTS):
