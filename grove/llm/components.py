@@ -25,22 +25,39 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every node of some edges but the roots, with its component's smallest node (union by smaller, halving paths)."""
-    up: dict[int, int] = {}
+class Joined:
+    """Disjoint sets of numbers, each named by its smallest (halving paths)."""
 
-    def root(x: int) -> int:
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
         while up.setdefault(x, x) != x:
             up[x] = x = up.setdefault(up[x], up[x])
         return x
 
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+
+
+def _forest(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """The nodes of some edges but the roots, each with its component's smallest node; a forest for every ``most`` nodes."""
+    joined = Joined()
+
+    def out() -> pa.RecordBatch:
+        nodes = np.fromiter(joined.up, np.int64, len(joined.up))
+        roots = np.fromiter(map(joined.root, nodes.tolist()), np.int64, len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[nodes != roots]), pa.array(roots[nodes != roots])], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            up[max(a, b)] = min(a, b)
-    nodes = np.fromiter(up, np.int64, len(up))
-    roots = np.fromiter(map(root, nodes.tolist()), np.int64, len(up))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != roots]), pa.array(roots[nodes != roots])], ["a", "b"])
+            joined.join(a, b)
+        if len(joined.up) > most:
+            yield out()
+            joined = Joined()
+    yield out()
 
 
 def components(edges: DataFrame, few: int = 200_000) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grove.llm.common import attach, by_bytes, coded, filled, keep, lean, numbered, ragged, whole_groups, words
-from grove.llm.components import components
+from grove.llm.components import Joined, components
 
 #: Bits of a shingle's token; with a level and a row number it fills 64.
 BITS, LEVEL_BITS, ROWS = 48, 4, 1 << 12
@@ -342,40 +342,46 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose shingle sets have the similarity."""
-    made = shingle_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), width)
+def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """Links among ``pairs`` (``a, b``) that join the same components as all pairs whose sets have the similarity.
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
-        for batch in batches:
-            ok = pa.array([alike(_tokens(x), _tokens(y), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
-
-    side = lambda x: made.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
-    return keep(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(same, "a long, b long"))
-
-
-def linked(pairs: DataFrame, links: DataFrame | None, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``links`` and those among ``pairs`` that connect more: first one pair for each document, then every pair that
-    still spans two components, so sets are compared as often as a group has documents, not as it has pairs."""
+    Pairs that hang together are compared in one task, which gets each set once and passes over pairs that are linked
+    already. What hangs together is cut by documents into leaves of a bounded size, and a task gets two of them.
+    """
     pairs = keep(pairs)
-    tested = None
-    for step in range(2):
-        rest = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        if links is not None:
-            label = components(links)
-            side = lambda x: label.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))  # noqa: B023, E731
-            rest = rest.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        if step == 0:
-            rest = rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        rest = keep(rest)
-        if rest.isEmpty():
-            break
-        found = verified(rest, docs, width, percent)
-        links = found if links is None else links.union(found)
-        tested = rest if tested is None else tested.union(rest)
-    return keep(links.distinct()) if links is not None else pairs
+    label = keep(components(pairs))
+    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
+    weight = ids.join(sizes.hint("merge"), "id").groupBy("root").agg(F.ceil(F.sum("n") / LEAF).alias("leaves"))
+    placed = keep(ids.join(weight, "root").select("id", "root", F.pmod(F.xxhash64("id"), "leaves").alias("leaf")))
+    side = lambda x: placed.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("leaf").alias(f"leaf_{x}"))
+    asked = pairs.join(side("a"), "a").join(side("b").drop("root_b"), "b")
+    asked = keep(asked.select(F.xxhash64("root_a", F.least("leaf_a", "leaf_b"), F.greatest("leaf_a", "leaf_b")).alias("cell"), "a", "b"))
+    sets = shingle_sets(docs, ids.select("id"), width)
+    member = asked.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.hint("merge"), F.col("a") == F.col("id")).select("cell", "a", F.lit(None).cast("long").alias("b"), "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for table in whole_groups(batches, "cell"):
+            cell, raw = table.column("cell").to_numpy(), table.column("set")
+            a, b = (pc.fill_null(table.column(k), 0).to_numpy() for k in "ab")
+            is_set = raw.is_valid().to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True])
+            out: list[tuple[int, int]] = []
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                own: dict[int, list[np.ndarray]] = {}
+                for k in range(i, j):
+                    if is_set[k]:
+                        own.setdefault(int(a[k]), []).append(_tokens(raw[k].as_py()))
+                joined = Joined()
+                for k in np.flatnonzero(~is_set[i:j]) + i:
+                    x, y = int(a[k]), int(b[k])
+                    if joined.root(x) != joined.root(y) and any(alike(u, v, percent) for u in own.get(x, ()) for v in own.get(y, ())):
+                        joined.join(x, y)
+                        out.append((x, y))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    rows = member.union(asked.select("cell", "a", "b", F.lit(None).cast("binary").alias("set")))
+    return keep(rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long"))
 
 
 def leaf_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -386,19 +392,12 @@ def leaf_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], asks:
     token = np.concatenate(sets)
     points = np.bincount(np.repeat(np.arange(len(n)) * g, n) + (token & np.uint64(g - 1)).astype(np.int64), minlength=len(n) * g).reshape(-1, g).astype(np.int32)
     base, who = (np.arange(len(n)), np.arange(len(n))) if asks is None else (np.flatnonzero(~asks), np.flatnonzero(asks))
-    tree, up = RTree(points[base], n[base]), {int(c): int(c) for c in comp}
-
-    def root(c: int) -> int:
-        while up[c] != c:
-            up[c] = c = up[up[c]]
-        return c
-
-    out = []
+    tree, joined, out = RTree(points[base], n[base]), Joined(), []
     for i in who.tolist():
         for j in base[tree.search(points[i], n[i], percent)].tolist():
-            a, b = root(int(comp[i])), root(int(comp[j]))
-            if a != b and (asks is not None or j > i) and alike(sets[i], sets[j], percent):
-                up[max(a, b)] = min(a, b)
+            a, b = int(comp[i]), int(comp[j])
+            if (asks is not None or j > i) and joined.root(a) != joined.root(b) and alike(sets[i], sets[j], percent):
+                joined.join(a, b)
                 out.append((int(ids[i]), int(ids[j])))
     return out
 
@@ -472,7 +471,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     2. Linked sets share a token of their prefixes (rare tokens first), which routes documents to blocks; blocks of the
        same documents are one.
     3. Each block is searched through an R-tree over its count vectors; pairs that the bound allows are verified on whole
-       sets, first one for each document, then those that still span two components.
+       sets, which are shuffled once for all pairs that hang together.
     4. Tokens with too many documents for a block are searched leaf by leaf (``common_links``).
     So a group of copies gives pairs in proportion to its documents, and no link between different sets is lost. Ids may
     have any type that sorts. A null or wordless text has no shingles and is its own component, as is a row with a null
@@ -494,7 +493,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 75, id_col:
     slots = max(parts, -(-total * (100 - percent) // (100 * PART)))
     found = keep(routed(prefixes(single, level, width, percent, slots), slots, percent))
     blocks, hot = found.where("block is not null").select("block", "ids"), found.where("token is not null").select("token", "id", "n")
-    links = linked(block_pairs(blocks, sets, percent, parts), None, rows, width, percent)
+    links = verified(block_pairs(blocks, sets, percent, parts), sets.select("id", "n"), rows, width, percent, parts)
     if not hot.isEmpty():
         links = common_links(hot, links, rows, width, percent, parts)
     labels = components(links)
