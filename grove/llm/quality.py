@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import attach, by_bytes, coded, filled, keep, words
+from grove.llm.common import attach, by_bytes, coded, filled, keep, lean, words
 
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -50,7 +50,7 @@ def line_stats(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return n, n - np.bincount(first // (int(code.max(initial=0)) + 1), minlength=len(texts))
 
 
-def batch_stats(texts: pa.Array, batch_bytes: int = 8 << 20) -> dict[str, np.ndarray]:
+def batch_stats(texts: pa.Array, batch_bytes: int = 2 << 20) -> dict[str, np.ndarray]:
     texts = filled(texts)
     out = {k: np.zeros(len(texts), np.int64) for k in _STATS}
     for a, b in by_bytes(pc.binary_length(texts).to_numpy(zero_copy_only=False), batch_bytes):
@@ -71,6 +71,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             stats = batch_stats(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(stats[k]) for k in _STATS)], ["id", "host", *_STATS])
@@ -80,17 +81,19 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, f"id {kind}, host string, " + ", ".join(f"{k} long" for k in _STATS)).withColumnRenamed("id", id_col)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = 0.5, max_symbols: float = 0.1, max_capitals: float = 0.3, max_dup_lines: float = 0.3, min_mean_chars: float = 2.0, max_mean_chars: float = 30.0) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_ratio: float = 1.5, host_z: float = 1.645, prior_docs: float = 200.0, max_symbols: float = 0.1, max_capitals: float = 0.3, max_dup_lines: float = 0.3, min_mean_chars: float = 2.0, max_mean_chars: float = 30.0) -> DataFrame:
     """Judges documents by their own rules and by their host's record; a row per document.
 
     A document fails its base rules with under 10 words or over 20 % of them in repeated 5-word windows. Soft rules
     look at symbols per word and words in capitals (two points each), repeated lines and the mean word length (one
-    each). Per host, the share of documents that fail any
-    rule is shrunk towards the corpus: a beta prior is fitted to all hosts by moments, and the host's rate is the
-    posterior mean. On a host over ``max_host_rate`` a document with any point goes, on others one with two
-    points, so that clean documents stay whatever their host. Only statistics are shuffled, added up before;
-    verdicts are broadcast when there are few hosts. A null text has no words and fails; null hosts are one host;
-    repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
+    each). Per host, the share of documents that fail any rule is shrunk towards the corpus: a beta prior, worth
+    ``prior_docs`` documents at most, is fitted to all hosts by moments, and ``host_rate`` is the posterior mean. A host
+    is bad if its rate is ``host_ratio`` times that of the corpus (or half-way from there to 1, if that is less) even at
+    the lower end of the posterior, ``host_z`` deviations below the mean. On a bad host a document with any point goes,
+    on others one with two points, so that clean documents stay whatever their host, and where hosts are alike no host
+    is bad. Only statistics are shuffled, added up before; verdicts are broadcast when there are few hosts. A null text
+    has no words and fails; null hosts are one host; repeated rows are judged each; an empty table gives an empty
+    result; other columns are ignored.
     """
     rules = [
         (2, F.col("n_symbols") > max_symbols * F.col("n_words")),
@@ -104,18 +107,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hosts = keep(stats.groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | (F.col("n_soft") > 0)).alias("bad")))
     rate = F.col("bad") / F.col("n")
     m = hosts.agg(F.count("*").alias("k"), (F.sum("bad") / F.sum("n")).alias("mean"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("n")).alias("inv")).first()
-    a, b = beta_prior(m["k"], m["mean"], m["var"], m["inv"])
-    verdicts = hosts.select("host", ((F.col("bad") + a) / (F.col("n") + (a + b))).alias("host_rate"))
+    a, b = beta_prior(m["k"], m["mean"], m["var"], m["inv"], prior_docs)
+    limit = min(host_ratio * (m["mean"] or 0.0), (1 + (m["mean"] or 0.0)) / 2)
+    rate, n = (F.col("bad") + a) / (F.col("n") + (a + b)), F.col("n") + (a + b + 1)
+    verdicts = hosts.select("host", rate.alias("host_rate"), (rate - host_z * F.sqrt(rate * (1 - rate) / n) > limit).alias("bad_host"))
     out = attach(stats, verdicts, "host", "left", rows=m["k"])
-    bad_host = F.col("host_rate") > max_host_rate
-    return out.select(id_col, *_STATS, "base_failed", "n_soft", "host_rate", (~F.col("base_failed") & (F.col("n_soft") < F.when(bad_host, 1).otherwise(2))).alias("kept"))
+    return out.select(id_col, *_STATS, "base_failed", "n_soft", "host_rate", "bad_host", (~F.col("base_failed") & (F.col("n_soft") < F.when(F.col("bad_host"), 1).otherwise(2))).alias("kept"))
 
 
-def beta_prior(k: int, mean: float | None, var: float | None, inv: float | None) -> tuple[float, float]:
-    """Parameters of a beta distribution with the hosts' mean rate and their variance beyond sampling error."""
+def beta_prior(k: int, mean: float | None, var: float | None, inv: float | None, most: float) -> tuple[float, float]:
+    """Parameters, ``most`` in sum at most, of a beta distribution with the hosts' mean rate and their variance beyond sampling error."""
     if not k or mean is None:
         return 1.0, 1.0
     mean = min(max(mean, 1e-4), 1 - 1e-4)
     between = max((var or 0) - mean * (1 - mean) * inv, 1e-6)
-    size = min(max(mean * (1 - mean) / between - 1, 1.0), 1e4)
+    size = min(max(mean * (1 - mean) / between - 1, 1.0), most)
     return mean * size, (1 - mean) * size
