@@ -6,12 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grove.llm.common import WORD, attach, keep
 
 
+def exact_sum(c: Column) -> Column:
+    """A sum that doesn't depend on the order of rows, so that reruns agree to the last bit."""
+    return F.sum(c.cast("decimal(38,6)")).cast("double")
+
+
 def ranked(keys: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """Distinct ``keys`` with their 0-based ``rank`` in code point order, nulls last; no task sees more than its range."""
     spark = keys.sparkSession
@@ -38,7 +43,7 @@ def capped_targets(sources: DataFrame, weights: list[float], cap: float) -> Data
     level, full = 0.0, None
     while True:
         over = F.col("weight") * level > F.col("_most")
-        s = sources.agg(F.sum(F.when(over, F.col("_most"))).alias("given"), F.sum(F.when(~over, F.col("weight"))).alias("free"), F.count_if(over).alias("n")).first()
+        s = sources.agg(exact_sum(F.when(over, F.col("_most"))).alias("given"), exact_sum(F.when(~over, F.col("weight"))).alias("free"), F.count_if(over).alias("n")).first()
         if s["n"] == full or not s["free"]:
             break
         full, level = s["n"], (total - (s["given"] or 0.0)) / s["free"]
@@ -46,32 +51,62 @@ def capped_targets(sources: DataFrame, weights: list[float], cap: float) -> Data
     return sources.withColumn("target", F.when(over, F.col("_most")).otherwise(F.col("weight") * level)).drop("_most")
 
 
-def balanced_rates(cells: DataFrame, steps: int = 60) -> DataFrame:
-    """Adds ``tilt`` and ``rate`` = exp(tilt): the rates closest in relative entropy to 1 that meet every token target.
+def balanced_rates(rows: DataFrame, cells: DataFrame, traits: list[str], cap: float, steps: int = 25, close: float = 1e-7) -> DataFrame:
+    """``rows`` (``source, size, traits``) with ``rate``, exponentially tilted and at most ``cap``.
 
-    The dual, sum over cells of source_size * exp(tilt) - tilt * target, is convex and its Hessian is diagonal, as a
-    token counts for one constraint only; Newton's iterations therefore run in every cell on its own, wherever it is.
+    The rates are those closest to 1 in relative entropy, weighted by size, under which every source has its ``target``
+    tokens and the mix has the corpus's token mean of each trait (traits have mean 0 and deviation 1, weighted by
+    tokens, so that is a sum of 0). The dual is convex in a number for each source and one for each trait, which
+    couples all sources. Each Newton step is one aggregation over the documents, a row for each source; as the
+    sources' block of the Hessian is diagonal, it is eliminated there, and only sums by traits reach the driver. A
+    small ridge on the traits keeps unreachable means from running away. Sources with a target of ``cap`` times their
+    size have no choice and take no part but for what they add to the traits.
     """
-    s, t = F.col("source_size").cast("double"), F.col("target")
-    step = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (t - s * F.exp(x)) / (s * F.exp(x))))
-    tilt = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda x, _: x + step(x))
-    return cells.withColumn("tilt", F.when((s > 0) & (t > 0), tilt)).withColumn("rate", F.coalesce(F.exp("tilt"), F.lit(0.0)))
+    spark, d = rows.sparkSession, range(len(traits))
+    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
+    state = keep(cells.where("source_size > 0 and target > 0").select(F.struct("source").alias("_key"), "target", full.alias("_full"), F.log(F.col("target") / F.col("source_size")).alias("_tilt")))
+    n, mu = state.count(), np.zeros(len(traits))
+    total = state.agg(exact_sum(F.col("target"))).first()[0] or 0.0
+    x = [F.col(t) for t in traits]
+
+    def rated(state: DataFrame, mu: np.ndarray) -> DataFrame:
+        tilted = F.exp(F.col("_tilt") + sum((F.lit(float(m)) * c for m, c in zip(mu, x, strict=True)), F.lit(0.0)))
+        both = attach(rows.withColumn("_key", F.struct("source")), state, "_key", "left", rows=n)
+        return both.withColumn("rate", F.when(F.col("size") > 0, F.when(F.col("_full"), float(cap)).otherwise(F.least(F.lit(float(cap)), tilted))).otherwise(0.0)).fillna(0.0, ["rate"])
+
+    for _ in range(steps):
+        mass = F.col("size") * F.col("rate")
+        loose = F.when(~F.col("_full") & (F.col("rate") < cap), mass).otherwise(0.0)
+        sums = [exact_sum(mass).alias("_g"), exact_sum(loose).alias("_h"), *(exact_sum(mass * x[i]).alias(f"_m{i}") for i in d), *(exact_sum(loose * x[i]).alias(f"_b{i}") for i in d), *(exact_sum(loose * x[i] * x[j]).alias(f"_c{i}_{j}") for i in d for j in d if j <= i)]
+        by = keep(rated(state, mu).where("_tilt is not null").groupBy("_key").agg(F.first("target").alias("target"), F.first("_full").alias("_full"), F.first("_tilt").alias("_tilt"), *sums))
+        off, live = F.col("_g") - F.col("target"), ~F.col("_full") & (F.col("_h") > 0)
+        share = lambda c: exact_sum(F.when(live, c / F.col("_h")).otherwise(0.0))  # noqa: B023, E731
+        s = by.agg(F.max(F.when(live, F.abs(off) / F.col("target"))).alias("far"), *(exact_sum(F.col(f"_m{i}")).alias(f"m{i}") for i in d), *(share(F.col(f"_b{i}") * off).alias(f"r{i}") for i in d), *((exact_sum(F.col(f"_c{i}_{j}")) - share(F.col(f"_b{i}") * F.col(f"_b{j}"))).alias(f"s{i}_{j}") for i in d for j in d if j <= i)).first()
+        ridge = 1e-4 * total
+        slope = np.array([(s[f"m{i}"] or 0.0) + ridge * mu[i] for i in d])
+        if not total or (s["far"] or 0.0) < close and (abs(slope) < 1e-6 * total).all():
+            break
+        hessian = np.array([[s[f"s{max(i, j)}_{min(i, j)}"] or 0.0 for j in d] for i in d]).reshape(len(traits), len(traits)) + ridge * np.eye(len(traits))
+        step = np.clip(-np.linalg.solve(hessian, slope - np.array([s[f"r{i}"] or 0.0 for i in d])), -0.5, 0.5) if len(traits) else mu
+        down = (off + sum((F.lit(float(v)) * F.col(f"_b{i}") for i, v in enumerate(step)), F.lit(0.0))) / F.col("_h")
+        state = by.select("_key", "target", "_full", F.when(live, F.col("_tilt") - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), down))).otherwise(F.col("_tilt")).alias("_tilt"))
+        mu = mu + step
+    return rated(state, mu).drop("_key", "target", "_full", "_tilt")
 
 
-def round_group(ids: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
-    """Which documents get one copy more, so that their sizes add up to about ``share`` of all.
+def round_group(sizes: np.ndarray, share: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which documents get one copy more, so that their sizes add up to about the sum of ``share`` times size.
 
-    The error is carried from document to document in an order that doesn't depend on size; at the end the one change
-    that leaves the smallest error is made, again and again while it helps.
+    By size, documents are taken whenever the running sum of shares passes a half, so what is left out is made up for
+    by a document of about the same size; then the one change that leaves the smallest error is made while it helps.
     """
+    order = np.lexsort((h, sizes))
     extra = np.zeros(len(sizes), bool)
-    error = 0.0
-    for i in np.argsort(ids * np.uint64(0x9E3779B97F4A7C15), kind="stable"):
-        error += sizes[i] * share
-        if error >= sizes[i] / 2 and sizes[i]:
-            extra[i], error = True, error - sizes[i]
+    extra[order] = np.diff(np.floor(np.r_[0.0, np.cumsum(share[order])] + 0.5)) > 0
+    extra &= share > 0
+    error = float((sizes * share).sum() - sizes[extra].sum())
     for _ in range(8):
-        after = np.abs(error - np.where(extra, -sizes, sizes))
+        after = np.where(share > 0, np.abs(error - np.where(extra, -sizes, sizes)), np.inf)
         i = int(np.argmin(after)) if len(after) else 0
         if not len(after) or after[i] >= abs(error):
             break
@@ -80,32 +115,42 @@ def round_group(ids: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
     return extra
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, group_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, group_rows: int = 1000, traits: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rates and copies of documents so that the sources' words meet target shares; a row per document.
 
-    Sources in code point order (null last) have the ``weights`` in turn. Rates are rounded down or up into copies
-    inside groups of about ``group_rows`` documents of one source, so the largest source is dealt over many tasks and
-    only ids and sizes are shuffled. Copies depend on ids and sizes alone: reruns agree. A null text has size 0 and
-    takes no words; repeated rows each take their own; an empty table gives an empty result; other columns are ignored.
+    Sources in code point order (null last) have the ``weights`` in turn. The log of a document's size, and any numeric
+    columns named in ``traits`` (null: 0), keep their mean over the corpus's words, so that the mix does not drift to
+    short or long documents; which documents of a source are copied follows from that. Rates are rounded down or up
+    into copies inside groups of about ``group_rows`` documents of one source, so the largest source is dealt over many
+    tasks and only ids and sizes are shuffled. Copies depend on ids, texts and traits alone: reruns agree. A null text
+    has size 0 and takes no words; null ids are dealt out by their texts; repeated rows each take their own; an empty
+    table gives an empty result; other columns are ignored.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = keep(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")))
+    own = [F.coalesce(F.col(t).cast("double"), F.lit(0.0)).alias(f"_t{i}") for i, t in enumerate(traits, 1)]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(id_col, text_col).alias("h"), *own)
+    rows = keep(rows.withColumn("_t0", F.log1p("size")))
+    names = [f"_t{i}" for i in range(len(traits) + 1)]
     sums = keep(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n")))
-    cells = keep(balanced_rates(capped_targets(ranked(sums, "source"), [float(w) for w in weights], cap)))
-    cells = cells.withColumns({"_key": F.struct("source"), "_groups": F.ceil(F.col("_n") / group_rows)})
-    n = cells.count()
+    m = rows.agg(F.sum("size").alias("n"), *(exact_sum(F.col("size") * F.col(t)).alias(t) for t in names), *(exact_sum(F.col("size") * F.col(t) ** 2).alias(f"{t}2") for t in names)).first()
+    mean = [(m[t] or 0.0) / (m["n"] or 1) for t in names]
+    dev = [max((m[f"{t}2"] or 0.0) / (m["n"] or 1) - a * a, 0.0) ** 0.5 for t, a in zip(names, mean, strict=True)]
+    scaled = {t: (F.col(t) - a) / (s or 1.0) for t, a, s in zip(names, mean, dev, strict=True)}
+    cells = keep(capped_targets(ranked(sums, "source"), [float(w) for w in weights], cap))
+    rated = balanced_rates(rows.withColumns(scaled), cells, names, cap).drop(*names)
+    cells = cells.select(F.struct("source").alias("_key"), "source_size", "target", "rank", F.ceil(F.col("_n") / group_rows).alias("_groups"))
     nearest = F.round("rate")
-    rate = F.least(F.when(F.abs(F.col("rate") - nearest) < 1e-9, nearest).otherwise(F.col("rate")), F.lit(float(cap)))
-    spread = attach(rows.withColumn("_key", F.struct("source")), cells.select("_key", "source_size", "target", "rank", "_groups", rate.alias("rate")), "_key", "left", rows=n).drop("_key")
-    spread = spread.withColumn("_group", F.pmod(F.xxhash64("id"), F.col("_groups")))
+    rate = F.when(F.abs(F.col("rate") - nearest) < 1e-9, nearest).otherwise(F.col("rate"))
+    spread = attach(rated.withColumns({"_key": F.struct("source"), "rate": rate}), cells, "_key", "left").drop("_key")
+    spread = spread.withColumn("_group", F.pmod("h", F.col("_groups")))
     kind = rows.schema["id"].dataType.simpleString()
 
     def copies(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "size"], kind="stable", ignore_index=True)
-        low = np.floor(pdf["rate"].iloc[0])
-        extra = round_group(pdf["h"].to_numpy().astype(np.uint64), pdf["size"].to_numpy(np.float64), pdf["rate"].iloc[0] - low)
+        pdf = pdf.sort_values(["size", "h"], kind="stable", ignore_index=True)
+        low = np.floor(pdf["rate"].to_numpy())
+        extra = round_group(pdf["size"].to_numpy(np.float64), pdf["rate"].to_numpy() - low, pdf["h"].to_numpy())
         pdf["copies"] = (low + extra).astype(np.int64)
         return pdf[["id", "source", "size", "source_size", "target", "rate", "copies"]]
 
-    out = spread.withColumn("h", F.xxhash64("id")).groupBy("rank", "_group").applyInPandas(copies, f"id {kind}, source string, size long, source_size long, target double, rate double, copies long")
+    out = spread.groupBy("rank", "_group").applyInPandas(copies, f"id {kind}, source string, size long, source_size long, target double, rate double, copies long")
     return out.withColumn("taken", F.col("size") * F.col("copies")).withColumnRenamed("id", id_col)

@@ -125,6 +125,16 @@ def test_bad_hosts_lose_doubtful_documents_only(spark):
     assert kept[100] and kept[102] and not kept[101] and not kept[0] and all(kept[200 + i] for i in range(60))
 
 
+def test_host_verdicts_follow_the_corpus(spark):
+    clean = "the quick brown fox jumps over a lazy dog near some river bank today"
+    doubtful = clean + "\n\n" + "same line\n" * 3 + "a b"
+    for bad_share, gone in ((30, True), (6, False)):  # per 100 documents; the other hosts have 5
+        rows = [(1000 * h + i, "a b" if i < (bad_share if h == 0 else 5) else doubtful if i == 99 else clean + str(i), f"h{h}") for h in range(12) for i in range(100)]
+        got = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert got[99]["bad_host"] == gone == (not got[99]["kept"]) and got[1099]["kept"] and not got[1099]["bad_host"]
+        assert all(got[1000 * h + i]["kept"] for h in range(12) for i in range(40, 99))  # clean ones stay on any host
+
+
 def test_base_spans_match_the_patterns(spark):
     texts = ["a@b.c_d@e.f x@y mail: q.w+e@sub.dom-a.org.", "1.2.3.4.5.6.7.8 300.1.1.1 001.02.3.4 0000255.1.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1112 1" + "0" * 40, "+1 (377) 555-0271, +12 +1234567890123456", "é@b.c 👍+49 30 1234567", None, "1 " * 5000]
     pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -180,6 +190,47 @@ def test_mix_meets_targets(spark):
     assert {g["doc_id"]: g["taken"] for g in got} == {g["doc_id"]: g["taken"] for g in again}
 
 
+def test_rates_are_the_duals(spark):
+    """Against a plain solver over all documents: bisection on the trait's number, and on each source's inside it."""
+    r = np.random.default_rng(1)
+    source = r.choice(["a", "b", "c"], 900, p=[0.6, 0.3, 0.1])
+    n = np.maximum(1, r.lognormal(np.where(source == "a", 3.0, 4.0), 1.0)).astype(int)
+    df = spark.createDataFrame([(i, "w " * int(k), s) for i, (k, s) in enumerate(zip(n, source, strict=True))], "doc_id long, text string, source string")
+    got = {g["doc_id"]: g for g in mixing.mix(df).collect()}
+    rate = np.array([got[i]["rate"] for i in range(900)])
+    target = {s: next(g["target"] for g in got.values() if g["source"] == s) for s in "abc"}
+    x = np.log1p(n)
+    x = (x - np.average(x, weights=n)) / np.sqrt(np.cov(x, aweights=n, ddof=0))
+
+    def rates(mu):
+        out = np.zeros(900)
+        for s in "abc":
+            own = source == s
+            if target[s] >= 3 * n[own].sum() * (1 - 1e-12):
+                out[own] = 3
+                continue
+            low, top = -20.0, 20.0
+            for _ in range(80):
+                mid = (low + top) / 2
+                low, top = (mid, top) if (n[own] * np.minimum(3, np.exp(mid + mu * x[own]))).sum() < target[s] else (low, mid)
+            out[own] = np.minimum(3, np.exp(low + mu * x[own]))
+        return out
+
+    low, top = -5.0, 5.0
+    for _ in range(60):
+        mid = (low + top) / 2
+        low, top = (mid, top) if (n * rates(mid) * x).sum() + 1e-4 * sum(target.values()) * mid < 0 else (low, mid)
+    assert np.abs(rate - rates(low)).max() < 1e-3 and len(set(rate.round(6))) > 20 and abs(low) > 0.01
+
+
+def test_mix_edge_cases(spark):
+    rows = [(None, "a b c", None), (None, "a b c d", None), (1, None, "s"), (1, "", "s"), (2, "x", "t"), (2, "x", "t"), (3, "w " * 200_000, "t")]
+    df = spark.createDataFrame([(*x, 5, 6.0) for x in rows], "doc_id long, text string, source string, size int, rate double")
+    got = mixing.mix(df).collect()
+    assert len(got) == 7 and all(g["taken"] <= 3 * g["size"] for g in got)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
 def test_fingerprints(spark):
     texts = ["a b c\nd e f", "d e f\na b c", "a b c\nd e f", "x y z w " * 20, None, "é👍" * 7, "long text " * 40]
     df = spark.createDataFrame([(i * 3, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, vec int")
