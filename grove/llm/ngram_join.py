@@ -342,22 +342,13 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(both) - same)
 
 
-def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
-    """Links among ``pairs`` (``a, b``) that join the same components as all pairs whose sets have the similarity.
-
-    Pairs that hang together are compared in one task, which gets each set once and passes over pairs that are linked
-    already. What hangs together is cut by documents into leaves of a bounded size, and a task gets two of them.
-    """
-    pairs = keep(pairs)
-    label = keep(components(pairs))
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
-    weight = ids.join(sizes.hint("merge"), "id").groupBy("root").agg(F.ceil(F.sum("n") / LEAF).alias("leaves"))
-    placed = keep(ids.join(weight, "root").select("id", "root", F.pmod(F.xxhash64("id"), "leaves").alias("leaf")))
-    side = lambda x: placed.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("leaf").alias(f"leaf_{x}"))
-    asked = pairs.join(side("a"), "a").join(side("b").drop("root_b"), "b")
-    asked = keep(asked.select(F.xxhash64("root_a", F.least("leaf_a", "leaf_b"), F.greatest("leaf_a", "leaf_b")).alias("cell"), "a", "b"))
-    sets = shingle_sets(docs, ids.select("id"), width)
-    member = asked.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct().join(sets.hint("merge"), F.col("a") == F.col("id")).select("cell", "a", F.lit(None).cast("long").alias("b"), "set")
+def compared(asked: DataFrame, docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """Links among the pairs of each cell (``cell, a, b``) that join the same components as all pairs whose sets have the
+    similarity: a task gets each set of a cell once and passes over pairs that are linked already."""
+    asked = keep(asked)
+    member = asked.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct()
+    sets = shingle_sets(docs, member.select(F.col("a").alias("id")).distinct(), width)
+    member = member.join(sets.hint("merge"), F.col("a") == F.col("id")).select("cell", "a", F.lit(None).cast("long").alias("b"), "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -371,11 +362,11 @@ def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, pe
                 own: dict[int, list[np.ndarray]] = {}
                 for k in range(i, j):
                     if is_set[k]:
-                        own.setdefault(int(a[k]), []).append(_tokens(raw[k].as_py()))
+                        own.setdefault(int(a[k]), []).append(raw[k].as_py())
                 joined = Joined()
                 for k in np.flatnonzero(~is_set[i:j]) + i:
                     x, y = int(a[k]), int(b[k])
-                    if joined.root(x) != joined.root(y) and any(alike(u, v, percent) for u in own.get(x, ()) for v in own.get(y, ())):
+                    if joined.root(x) != joined.root(y) and any(alike(_tokens(u), _tokens(v), percent) for u in own.get(x, ()) for v in own.get(y, ())):
                         joined.join(x, y)
                         out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
@@ -384,6 +375,35 @@ def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, pe
     return keep(rows.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long"))
 
 
+def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """Links among ``pairs`` (``a, b``) that join the same components as all pairs whose sets have the similarity.
+
+    What pairs hang together is cut by documents into leaves of a bounded size. Pairs inside a leaf are compared first,
+    which joins most copies; then one pair for each two components, then every pair that still spans two of them.
+    """
+    pairs = keep(pairs)
+    label = keep(components(pairs))
+    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(label, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
+    weight = ids.join(sizes.hint("merge"), "id").groupBy("root").agg(F.ceil(F.sum("n") / (4 * LEAF)).alias("leaves"))
+    placed = keep(ids.join(weight, "root").select("id", "root", F.pmod(F.xxhash64("id"), "leaves").alias("leaf")))
+    side = lambda x: placed.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("leaf").alias(f"leaf_{x}"))
+    pairs = keep(pairs.join(side("a"), "a").join(side("b").drop("root_b"), "b"))
+    cell = F.xxhash64("root_a", F.least("leaf_a", "leaf_b"), F.greatest("leaf_a", "leaf_b")).alias("cell")
+    links = compared(pairs.where("leaf_a = leaf_b").select(cell, "a", "b"), docs, width, percent, parts)
+    rest = pairs.where("leaf_a != leaf_b")
+    for few in (True, False):
+        label = components(links)
+        end = lambda x: label.select(F.col("node").alias(x), F.col("root").alias(f"c_{x}"))  # noqa: B023, E731
+        rest = rest.join(end("a"), "a", "left").join(end("b"), "b", "left").withColumns({f"c_{x}": F.coalesce(f"c_{x}", x) for x in "ab"}).where("c_a != c_b")
+        rest = keep(rest)
+        if rest.isEmpty():
+            break
+        some = rest.groupBy(F.least("c_a", "c_b"), F.greatest("c_a", "c_b")).agg(F.min(F.struct("a", "b", cell)).alias("p")).select("p.cell", "p.a", "p.b") if few else rest.select(cell, "a", "b")
+        links = keep(links.union(compared(some, docs, width, percent, parts)))
+        rest = rest.drop("c_a", "c_b")
+    return links
+
+
 def leaf_links(ids: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], asks: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
     """Links that join components of a leaf's documents: those that ask (or all) are sought in the tree over the others,
     best bounds first, and compared unless they are already in one component."""
