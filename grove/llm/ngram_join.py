@@ -294,6 +294,24 @@ class RTree:
         return np.stack([self.order[a[ok]], self.order[b[ok]]], axis=1)
 
 
+def tree_pairs(raw: list[bytes], n: np.ndarray, percent: int) -> np.ndarray:
+    """All pairs of count vectors that a link is possible between, as rows of two positions.
+
+    There is a tree for each number of groups, as vectors folded to fewer bound less well; what may be linked has as
+    many groups or half as many, so vectors are also sought, folded once, in the tree below theirs.
+    """
+    groups = np.fromiter(map(_groups, raw), np.int64, len(raw))
+    out = [np.zeros((0, 2), np.int64)]
+    for g in np.unique(groups).tolist():
+        at, more = np.flatnonzero(groups == g), np.flatnonzero((groups > g) & (100 * n[groups == g].max() >= percent * n))
+        tree = RTree(_vectors([raw[i] for i in at], g), n[at])
+        out.append(at[tree.pairs(percent)])
+        for i in more.tolist():
+            hits = at[tree.search(_vector(raw[i], g), n[i], percent)]
+            out.append(np.stack([np.full(len(hits), i), hits], axis=1))
+    return np.concatenate(out)
+
+
 def block_pairs(blocks: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs of documents of a block whose count vectors leave a link possible, each block searched through its tree."""
 
@@ -305,9 +323,7 @@ def block_pairs(blocks: DataFrame, sets: DataFrame, percent: int, parts: int) ->
             cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
             out = [np.zeros((0, 2), np.int64)]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                g = min(map(_groups, raw[a:b]))
-                tree = RTree(_vectors(raw[a:b], g), n[a:b])
-                out.append(ids[a:b][tree.pairs(percent)])
+                out.append(ids[a:b][tree_pairs(raw[a:b], n[a:b], percent)])
             found = np.concatenate(out)
             found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])

@@ -90,6 +90,20 @@ def test_tree_finds_what_the_bound_allows():
         assert got == {(a, b) for a, b in zip(*np.nonzero(np.triu(fits, 1)), strict=True)}
 
 
+def test_block_pairs_span_numbers_of_groups():
+    r = np.random.default_rng(2)
+    sizes = np.r_[r.integers(20, 5000, 60), [1000, 1023, 1024, 1300, 1365]]
+    base = np.unique(r.integers(0, 1 << 47, 6000)).astype(np.uint64)
+    sets = [np.sort(r.permutation(base)[:n] if i % 2 else base[:n]) for i, n in enumerate(sizes)]
+    n = np.array([len(x) for x in sets])
+    raw = ngram_join.count_vectors(np.concatenate(sets), n)
+    got = {(min(a, b), max(a, b)) for a, b in ngram_join.tree_pairs(raw, n, 75).tolist() if a != b}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if ngram_join.alike(sets[a], sets[b], 75):
+            assert (a, b) in got
+    assert all(100 * min(n[a], n[b]) >= 75 * max(n[a], n[b]) for a, b in got)
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_components_both_ways(spark, few):
     edges = [(i, i + 1) for i in range(30)] + [(50, 40), (40, 60), (60, 70), (99, 90)]
