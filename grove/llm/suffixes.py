@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import attach, by_bytes, filled, fresh, keep, lean, ragged, shared_dir
+from grove.llm.common import attach, by_bytes, filled, keep, lean, ragged, whole_groups
 
 GRAM = 16
 _M1, _M2, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 0xD6E8FEB86659FD93
@@ -225,24 +225,65 @@ def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets[:-1] - offsets[0] if len(size) else np.zeros(0, np.int64), size
 
 
-def anchors(rows: DataFrame, length: int, reach: int, batch_bytes: int = 1 << 20) -> DataFrame:
-    """``key, pos, lo, hi, h, x``: each anchor, how far before it its windows start, and hashes.
+#: Bytes of the shorter strings that are looked for in other texts.
+SHARED = 256
 
-    ``h`` is of the bytes that every window of the anchor holds from it on, ``x`` of all that its windows cover.
+
+def _represented(h: np.ndarray) -> np.ndarray:
+    """For each row 0, but for the first of each h the number of its rows."""
+    _, first, many = np.unique(h, return_index=True, return_counts=True)
+    out = np.zeros(len(h), np.int32)
+    out[first] = many
+    return out
+
+
+def anchors(rows: DataFrame, length: int, reach: int, parts: int, batch_bytes: int = 1 << 20) -> DataFrame:
+    """``key, pos, lo, hi, h, x, short``: anchors that may be in a repeat, how far before each its windows start, and hashes.
+
+    ``h`` is of the bytes that every window of the anchor holds from it on, ``x`` of all that its windows cover; anchors
+    whose h is unique are dropped. ``short`` rows are anchors of windows of SHARED bytes, one for each h of a text, whose
+    h is in another text too. A batch sends one row for each h to that h's task, with the number of its rows; the others
+    are repeats already and are dealt out anyhow, so a common passage gives a task no more rows than there are batches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
         for batch in batches:
             keys, texts = batch.column(0).to_numpy(), filled(batch.column(1))
             for a, b in by_bytes(pc.binary_length(texts).to_numpy(zero_copy_only=False), batch_bytes):
                 data, start, size = _flat(texts.slice(a, b - a))
-                text, at, first, last = anchors_of(data, start, size, length, reach)
                 sums = _sums(data)
-                cols = [keys[a:b][text], at - start[text], at - first, at - last, _hash(sums, at, at + length - reach + 1).view(np.int64), _hash(sums, first, last + length).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["key", "pos", "lo", "hi", "h", "x"])
+                text, at, first, last = anchors_of(data, start, size, length, reach)
+                h = _hash(sums, at, at + length - reach + 1).view(np.int64)
+                cols = [keys[a:b][text], at - start[text], at - first, at - last, h, _hash(sums, first, last + length).view(np.int64), _represented(h), np.zeros(len(h), bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "pos", "lo", "hi", "h", "x", "m", "short"])
+                text, at, _, _ = anchors_of(data, start, size, SHARED, SHARED // 2)
+                h = _hash(sums, at, at + SHARED // 2 + 1).view(np.int64)
+                once = np.unique(np.stack([h, text], axis=1), axis=0, return_index=True)[1] if len(h) else np.zeros(0, np.int64)
+                text, at, h = text[once], at[once], h[once]
+                none = np.zeros(len(h), np.int64)
+                cols = [keys[a:b][text], at - start[text], none, none, h, none, _represented(h), np.ones(len(h), bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "pos", "lo", "hi", "h", "x", "m", "short"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        for table in whole_groups(batches, "h"):
+            _, group = np.unique(table.column("h").to_numpy() * 2 + table.column("short").to_numpy(), return_inverse=True)
+            m = table.column("m").to_numpy()
+            yield from table.filter(pa.array((m == 0) | (np.bincount(group, m)[group] > 1))).drop_columns(["m"]).to_batches()
+
+    made = rows.mapInArrow(run, "key long, pos int, lo int, hi int, h long, x long, m int, short boolean")
+    dealt = made.repartition(parts, F.when(F.col("m") > 0, F.col("h")).otherwise(F.xxhash64("key", "pos")))
+    return dealt.sortWithinPartitions("h").mapInArrow(again, "key long, pos int, lo int, hi int, h long, x long, short boolean")
 
-    return rows.mapInArrow(run, "key long, pos int, lo int, hi int, h long, x long")
+
+def shared_bytes(short: DataFrame) -> DataFrame:
+    """``key, n_shared``: the bytes that the cores at ``short`` anchors cover."""
+    core = SHARED // 2 + 1
+    steps = lambda p: F.zip_with(F.slice(p, F.lit(2), F.size(p)), F.slice(p, F.lit(1), F.size(p) - 1), lambda b, a: F.least(b - a, F.lit(core)))
+    spots = short.groupBy("key").agg(F.array_sort(F.collect_list("pos")).alias("p"))
+    return spots.select("key", F.aggregate(steps(F.col("p")), F.lit(core).cast("long"), lambda n, x: n + x).alias("n_shared"))
 
 
 def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,22 +322,20 @@ def _sorted_groups(table: pa.Table, length: int, step: int = 32) -> pa.RecordBat
 
 
 def repeats(rows: DataFrame, length: int, reach: int, most: int = 64) -> DataFrame:
-    """``key, spans``: for each text (``key, t``) the byte intervals that repeated strings of ``length`` bytes cover.
+    """``key, spans, n_shared``: for each text (``key, t``) the byte intervals that repeated strings of ``length`` bytes cover.
 
     Anchors whose h is unique cannot be in a repeat. Contexts that are wholly equal are repeats of each other; where a
     group of equal h has different ones, one of each kind is sorted with the others. Groups of over ``most`` kinds are
     dealt out by the hash of every single window instead, which gives the same answer without a large group in a task.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = f"{shared_dir(rows.sparkSession)}/{fresh('anchors')}"
-    anchors(rows, length, reach).write.parquet(found)
-    found = rows.sparkSession.read.parquet(found)
-    again = found.groupBy("h").count().where("count > 1").select("h")
-    member = keep(found.join(again.hint("merge"), "h").withColumn("row", F.monotonically_increasing_id()))
+    found = keep(anchors(rows, length, reach, parts).withColumn("row", F.monotonically_increasing_id()))
+    member = found.where(~F.col("short"))
     kinds = keep(member.groupBy("h", "x").agg(F.count("*").alias("n"), F.min("row").alias("row")))
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    one = kinds.join(mixed, "h").select("row", "kinds")
+    mixed = keep(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"))  # apart, so that Spark may split its join
+    one = kinds.join(mixed.hint("merge"), "h").select("row", "kinds")
     one = keep(member.join(one, "row").select("key", "h", "x", "pos", "lo", "hi", "kinds"))
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in batches:
@@ -351,7 +390,8 @@ def repeats(rows: DataFrame, length: int, reach: int, most: int = 64) -> DataFra
     kind = kind.unionByName(partly.join(kind.select("h", "x"), ["h", "x"], "left_anti"))
     cover = member.join(kind.hint("merge"), ["h", "x"]).select("key", "pos", F.coalesce("at", F.array("hi", "lo")).alias("at"))
     pairs = F.transform(F.sequence(F.lit(0), (F.size("at") / 2 - 1).cast("int")), lambda i: F.struct((F.col("pos") - F.get("at", 2 * i + 1)).alias("a"), (F.col("pos") - F.get("at", 2 * i) + length).alias("b")))
-    return cover.select("key", pairs.alias("s")).groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    spans = cover.select("key", pairs.alias("s")).groupBy("key").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return spans.join(shared_bytes(found.where("short")), "key", "full")
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -365,14 +405,16 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Removes every byte that lies in a string of ``length`` bytes starting anywhere else too; a row per document.
 
-    ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept``: the remaining bytes. Strings are
-    judged on the input. A null text is empty; texts under ``length`` bytes keep all; repeated rows are repeats of each
+    ``id_col, n_bytes, n_removed, n_spans, kept_sha256, n_shared`` and, if asked for, ``kept``: the remaining bytes.
+    Strings are judged on the input. ``n_shared`` looks for shorter passages and removes nothing: the bytes of
+    129-byte strings at content-chosen places that another row's text holds too, each once a text. Whatever string of
+    SHARED bytes two texts share, both have such a place in it. A null text is empty; texts under ``length`` bytes keep all; repeated rows are repeats of each
     other; null ids are fine; an empty table gives an empty result; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("t"))
-    spans = keep(repeats(rows.select("key", "t").where(F.octet_length("t") >= length), length, length // 2))
-    both = rows.join(spans.hint("merge"), "key", "left").select("id", "t", "spans")
+    spans = keep(repeats(rows.select("key", "t").where(F.octet_length("t") >= min(length, SHARED)), length, length // 2))
+    both = rows.join(spans.hint("merge"), "key", "left").select("id", "t", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -390,6 +432,6 @@ def suffix_dedup(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
                 n = list(zip(*out, strict=True))
                 sha = [hashlib.sha256(x).hexdigest() for x in n[3]]
                 cols = [part.column(0), *(pa.array(c, pa.int64()) for c in n[:3]), pa.array(sha, pa.string())]
-                yield pa.RecordBatch.from_arrays([*cols, *([pa.array(n[3], pa.binary())] if with_text else [])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
+                yield pa.RecordBatch.from_arrays([*cols, part.column(3), *([pa.array(n[3], pa.binary())] if with_text else [])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", *(["kept"] if with_text else [])])
 
-    return both.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text).withColumnRenamed("id", id_col)
+    return both.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long" + ", kept binary" * with_text).withColumnRenamed("id", id_col)

@@ -51,6 +51,47 @@ def test_removal_matches_brute_force(spark, monkeypatch, most):
     original = suffixes.repeats
     monkeypatch.setattr(suffixes, "repeats", lambda rows, length, reach: original(rows, length, reach, most))
     df = spark.createDataFrame([(i if i else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
-    got = sorted(tuple(x)[1:] for x in suffixes.suffix_dedup(df, 400).collect())
+    got = sorted(tuple(x)[1:5] for x in suffixes.suffix_dedup(df, 400).collect())
     assert got == sorted(brute([(t or "").encode() for t in texts], 400))
     assert suffixes.suffix_dedup(df.limit(0), 400).count() == 0
+
+
+def covered(texts, k):
+    """Bytes of each text in strings of k bytes that another text holds."""
+    seen = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - k + 1):
+            seen.setdefault(t[j : j + k], set()).add(i)
+    out = []
+    for t in texts:
+        mark = np.zeros(len(t), bool)
+        for j in range(len(t) - k + 1):
+            if len(seen[t[j : j + k]]) > 1:
+                mark[j : j + k] = True
+        out.append(int(mark.sum()))
+    return out
+
+
+def test_shared_passages_are_seen(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(2, 9)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    passages = [some(55) for _ in range(3)]
+    texts = [some(r.randrange(5, 90)) + " " + passages[i % 3] + " " + some(r.randrange(5, 90)) for i in range(12)] + [some(200) for _ in range(12)]
+    texts += [None, "", some(3000) * 2, "one " * 4000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: x for x in suffixes.suffix_dedup(df).collect()}
+    raw = [(t or "").encode() for t in texts]
+    whole, core = covered(raw, suffixes.SHARED), covered(raw, suffixes.SHARED // 2 + 1)
+    for i in range(len(texts)):
+        assert (got[i]["n_shared"] > 0) >= (whole[i] > 0) and got[i]["n_shared"] <= core[i]
+        assert (got[i]["n_shared"] > 0) == (i < 12)
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(9)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(1000))
+    text = "".join(r.choice("abcdefgh ") for _ in range(3_000_000))
+    df = spark.createDataFrame([("p", text + passage), ("q", passage), ("q", "x")], "doc_id string, text string")
+    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in suffixes.suffix_dedup(df).collect())
+    assert got == [("p", 3_001_000, 1000), ("q", 1, 0), ("q", 1000, 1000)]
