@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grove.operators.cluster import distances
@@ -122,8 +122,7 @@ def lof(rows: DataFrame, k: int = 20) -> DataFrame:
     """``row_id, lof``: mean density of the neighbours over a row's own (the usual factor, larger is odder)."""
     n = rows.count()
     k = min(k, n - 1)
-    w = Window.partitionBy("a").orderBy("d", "b")
-    near = sealed(distances(rows).where("a != b").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k))
+    near = sealed(distances(rows, k=k))
     reach = near.groupBy("a").agg(F.max("d").alias("kd"))
     r = near.join(reach.select(F.col("a").alias("b"), F.col("kd").alias("kb")), "b")
     density = r.groupBy("a").agg((1 / (F.avg(F.greatest("kb", "d")) + 1e-10)).alias("lrd"))

@@ -8,11 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grove.operators.fusion import standardized
-from grove.storage import sealed
+from grove.storage import running, sealed
 
 #: Rows: ``row_id long, features array<double>``. Defaults.
 K, STARTS, ROUNDS, SEED, EPS, MIN_SAMPLES, K_RANGE, MOST_COMPONENTS = 7, 10, 300, 42, 0.5, 3, (3, 15), 50
@@ -69,21 +69,60 @@ def kmeans(rows: DataFrame, k: int = K, starts: int = STARTS, rounds: int = ROUN
     return labels, centers, float(best.summary.trainingCost)
 
 
-def distances(rows: DataFrame, block: int = 2000) -> DataFrame:
-    """``a, b, d`` between all rows (a row with itself too): blocks against blocks, so every task sees two blocks."""
+def _blocks(rows: DataFrame, block: int, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Rows twice, cut into blocks so that every pair of blocks (i, j) meets in one task."""
     blocks = max(1, -(-rows.count() // block))
-    marked = rows.select("row_id", F.transform("features", lambda x: x.cast("double")).alias("x"), F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("k"))
-    left = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("row_id", "x", F.col("k").alias("i"), F.col("other").alias("j"))
-    right = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.col("row_id").alias("other_id"), F.col("x").alias("y"), F.col("other").alias("i"), F.col("k").alias("j"))
+    marked = rows.select("row_id", F.transform("features", lambda x: x.cast("double")).alias("x"), *more, F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("k"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    left = marked.select("row_id", "x", *more, F.col("k").alias("i"), other).withColumnRenamed("other", "j")
+    right = marked.select(F.col("row_id").alias("id2"), F.col("x").alias("y"), *(F.col(c).alias(f"{c}2") for c in more), F.col("k").alias("j"), other).withColumnRenamed("other", "i")
+    return left, right.select("id2", "y", *(f"{c}2" for c in more), "i", "j")
+
+
+def _apart(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    x, y = np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy())
+    return np.sqrt(np.stack([((y - row) ** 2).sum(axis=1) for row in x]))
+
+
+def distances(rows: DataFrame, eps: float | None = None, k: int | None = None, block: int = 2000) -> DataFrame:
+    """``a, b, d`` between rows at most ``eps`` apart (a row with itself too), or between each row and its ``k`` nearest others.
+
+    Blocks meet blocks, and only what is asked for leaves a task; of equal distances the smaller ids are nearer.
+    """
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"a": [], "b": [], "d": []})
-        x, y = np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy())
-        d = np.sqrt(np.stack([((y - row) ** 2).sum(axis=1) for row in x]))
-        return pd.DataFrame({"a": np.repeat(a["row_id"].to_numpy(), len(y)), "b": np.tile(b["other_id"].to_numpy(), len(x)), "d": d.ravel()})
+        d, x, y = _apart(a, b), a["row_id"].to_numpy(), b["id2"].to_numpy()
+        keep = np.ones(d.shape, bool) if eps is None else d <= eps
+        if k is not None:
+            keep &= x[:, None] != y[None]
+            far = np.where(keep, d, np.inf)
+            keep &= d <= np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, [min(k, far.shape[1]) - 1]]
+        i, j = np.nonzero(keep)
+        return pd.DataFrame({"a": x[i], "b": y[j], "d": d[i, j]})
+
+    left, right = _blocks(rows, block)
+    out = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, "a long, b long, d double")
+    if k is None:
+        return out
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= k)
+
+
+def cluster_distances(rows: DataFrame, labels: DataFrame, block: int = 2000) -> DataFrame:
+    """``a, ca, cb, s, n``: each row's cluster, and the sum and number of its distances to the rows of every cluster."""
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": [], "ca": [], "cb": [], "s": [], "n": []})
+        kinds, of = np.unique(b["cluster2"].to_numpy(), return_inverse=True)
+        s = _apart(a, b) @ np.eye(len(kinds))[of]
+        wide = lambda x: np.repeat(x.to_numpy(), len(kinds))
+        return pd.DataFrame({"a": wide(a["row_id"]), "ca": wide(a["cluster"]), "cb": np.tile(kinds, len(a)), "s": s.ravel(), "n": np.tile(np.bincount(of), len(a))})
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, "a long, b long, d double")
+    left, right = _blocks(rows.join(labels.select("row_id", "cluster"), "row_id"), block, "cluster")
+    made = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, "a long, ca int, cb int, s double, n long")
+    return made.groupBy("a", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
@@ -101,16 +140,12 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
 
 def dbscan(rows: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """``row_id, cluster``: components of core rows numbered by their smallest row; border rows join the smallest number; noise is -1."""
-    near = sealed(distances(rows).where(F.col("d") <= eps).select("a", "b"))
+    near = sealed(distances(rows, eps=eps).select("a", "b"))
     core = near.groupBy("a").count().where(F.col("count") >= min_samples).select("a")
     linked = near.join(core, "a").join(core.select(F.col("a").alias("b")), "b").select("a", "b")
     roots = smallest_reachable(linked)
-    ids = sealed(roots.select("root").distinct())
-    number = {r["root"]: i for i, r in enumerate(ids.orderBy("root").collect())} if ids.count() <= 100_000 else None
-    if number is None:
-        raise ValueError("over 100,000 clusters: choose a larger eps")
-    at = F.element_at(F.create_map(*(F.lit(x) for kv in number.items() for x in kv)), F.col("root")) if number else F.lit(None).cast("int")
-    inner = roots.select("node", at.cast("int").alias("cluster"))
+    number = running(roots.select("root").distinct(), [F.col("root")], F.lit(1), "number")
+    inner = roots.join(number, "root").select("node", (F.col("number") - 1).cast("int").alias("cluster"))
     by = near.join(inner, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster").alias("border"))
     labels = rows.select("row_id").join(inner, F.col("row_id") == F.col("node"), "left").join(by, F.col("row_id") == F.col("a"), "left")
     return labels.select("row_id", F.coalesce("cluster", "border", F.lit(-1)).alias("cluster"))
@@ -153,9 +188,7 @@ def hierarchical(rows: DataFrame, k: int = K, linkage: str = "ward") -> DataFram
 
 def silhouette(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``silhouette``: the mean over rows of (b - a) / max(a, b) with Euclidean distances; rows alone in a cluster count 0."""
-    mine = labels.select(F.col("row_id").alias("a"), F.col("cluster").alias("ca"))
-    theirs = labels.select(F.col("row_id").alias("b"), F.col("cluster").alias("cb"))
-    by = distances(rows).join(mine, "a").join(theirs, "b").groupBy("a", "ca", "cb").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
+    by = cluster_distances(rows, labels)
     same = F.col("ca") == F.col("cb")
     per = by.groupBy("a").agg(F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("own"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("other"))
     value = F.when(F.col("own").isNull() | (F.greatest("own", "other") == 0), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
@@ -216,7 +249,7 @@ def reduced(rows: DataFrame, dim: int, method: str = "tsne", k: int = 2, rounds:
         f = f.sort_values("row_id")
         x = np.stack(f["features"].to_numpy()).astype(float)
         d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
-        goal, p = np.log(max(1.0, min(30, n - 1))), np.zeros_like(d)
+        goal, p = np.log(max(1.0, min(30.0, (n - 1) / 3))), np.zeros_like(d)  # a third, or all rows are about equally near
         for i in range(n):
             low, high, beta = 0.0, np.inf, 1.0
             for _ in range(50):
@@ -228,13 +261,18 @@ def reduced(rows: DataFrame, dim: int, method: str = "tsne", k: int = 2, rounds:
                 beta = beta * 2 if high == np.inf else (low + high) / 2
             p[i] = q
         p = np.maximum((p + p.T) / (2 * n), 1e-12)
-        y = np.random.default_rng(SEED).standard_normal((n, k)) * 1e-4
-        v = np.zeros_like(y)
+        middle = x - x.mean(axis=0)
+        y = middle @ np.linalg.svd(middle, full_matrices=False)[2][:k].T
+        y *= 1e-4 / max(y[:, 0].std(), 1e-12)  # starts from scaled principal components
+        y += np.random.default_rng(SEED).standard_normal(y.shape) * 1e-6
+        v, gain = np.zeros_like(y), np.ones_like(y)
         for step in range(rounds):
             near = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
             np.fill_diagonal(near, 0)
             w = (p * (12 if step < 100 else 1) - near / near.sum()) * near
-            v = (0.5 if step < 100 else 0.8) * v - max(n / 12, 50) * 4 * ((np.diag(w.sum(axis=1)) - w) @ y)
+            slope = 4 * ((np.diag(w.sum(axis=1)) - w) @ y)
+            gain = np.maximum(np.where((slope > 0) != (v > 0), gain + 0.2, gain * 0.8), 0.01)
+            v = (0.5 if step < 100 else 0.8) * v - max(n / 48, 50) * gain * slope
             y = y + v
         return pd.DataFrame({"row_id": f["row_id"], "features": list(y)})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.functions import text
@@ -438,14 +438,12 @@ _D = "(SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[],
 
 @query(f"SELECT a AS row_id, count(*)::BIGINT AS near FROM {_D} WHERE d <= {CLOSE} GROUP BY 1")
 def close_neighbours(spark, d):
-    return cluster.distances(_rows(spark, d)).where(F.col("d") <= CLOSE).groupBy(F.col("a").alias("row_id")).agg(F.count("*").alias("near"))
+    return cluster.distances(_rows(spark, d), eps=CLOSE).groupBy(F.col("a").alias("row_id")).agg(F.count("*").alias("near"))
 
 
 @query(f"SELECT a AS row_id, b AS neighbour, round(d,6) AS d, r AS rank FROM (SELECT a, b, d, row_number() OVER (PARTITION BY a ORDER BY d, b)::INT AS r FROM {_D} WHERE a<>b) WHERE r<=5")
 def nearest_neighbours(spark, d):
-    w = Window.partitionBy("a").orderBy("d", "b")
-    n = cluster.distances(_rows(spark, d)).where("a != b").withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-    return n.select(F.col("a").alias("row_id"), F.col("b").alias("neighbour"), F.round("d", 6).alias("d"), "rank")
+    return cluster.distances(_rows(spark, d), k=5).select(F.col("a").alias("row_id"), F.col("b").alias("neighbour"), F.round("d", 6).alias("d"), "rank")
 
 
 @query(f"WITH RECURSIVE n AS MATERIALIZED (SELECT a, b FROM {_D} WHERE d<={CLOSE}), core AS MATERIALIZED (SELECT a FROM n GROUP BY a HAVING count(*)>=3), e AS MATERIALIZED (SELECT n.a, n.b FROM n JOIN core c ON c.a=n.a JOIN core k ON k.a=n.b), r(a, b) AS (SELECT a, a FROM core UNION SELECT r.a, e.b FROM r JOIN e ON e.a=r.b), root AS (SELECT a, min(b) AS root FROM r GROUP BY 1), num AS (SELECT a, dense_rank() OVER (ORDER BY root)-1 AS c FROM root), border AS (SELECT n.a, min(num.c) AS c FROM n JOIN num ON num.a=n.b GROUP BY 1) SELECT v.vec_id AS row_id, coalesce(num.c, border.c, -1)::INT AS cluster FROM embeddings v LEFT JOIN num ON num.a=v.vec_id LEFT JOIN border ON border.a=v.vec_id")

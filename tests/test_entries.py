@@ -82,7 +82,7 @@ def test_graph_training_lowers_the_error(spark, corpus, tmp_path):
 
 def test_reduced_coordinates(spark):
     r = np.random.default_rng(0)
-    x = spark.createDataFrame([(i, [float(v) for v in r.normal(5 * (i % 2), 0.1, 4)]) for i in range(30)], "row_id long, features array<double>")
+    x = spark.createDataFrame([(i, [float(v) for v in r.normal(5 * (i % 2), 0.1, 4)]) for i in range(120)], "row_id long, features array<double>")
     got = {g["row_id"]: np.array(g["features"]) for g in cluster.reduced(x, 4, "tsne", 2, rounds=200).collect()}
     near = [np.linalg.norm(got[i] - got[j]) for i in got for j in got if i < j and (i - j) % 2 == 0]
     far = [np.linalg.norm(got[i] - got[j]) for i in got for j in got if (i - j) % 2]
