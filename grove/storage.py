@@ -4,18 +4,33 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def sealed(df: DataFrame) -> DataFrame:
-    """Writes the rows to spark.checkpoint.dir and reads them from there; a folder of our own only where it is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one on a local master only."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="grove-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="grove-"))
+    return sc.getCheckpointDir()
+
+
+def sealed(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder and reads them from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever it is stored."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def running(df: DataFrame, order: list[Column], value: Column, out: str, peers: bool = True) -> DataFrame:
     """``out``: the running total of ``value`` in the given order (with ``peers``, equal rows share theirs).
 
