@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from grove.storage import running
+from grove.storage import running, sealed
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,23 +24,9 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns; columns that clash or that an operator doesn't know are left behind."""
-    return df.select(*names)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where it is unset."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="grove-"))
-    return sc.getCheckpointDir()
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder, from where every executor can read them again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return sealed(df)
 
 
 def attach(df: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner", limit: int = 200_000, rows: int | None = None) -> DataFrame:
@@ -79,6 +64,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(rest)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while stem in df.columns:
+        stem += "_"
+    return stem
+
+
 def fresh(stem: str) -> str:
     """A name that no other query uses."""
     return f"{stem}_{uuid.uuid4().hex[:12]}"

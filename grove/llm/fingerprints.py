@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grove.llm.common import numbered
+
 #: Exact lanes of 32 bits; sketch lanes of 16 bits, two to a summed column.
 EXACT, PACKED = 8, 32
 SKETCH = 2 * PACKED
@@ -20,9 +22,11 @@ def vectors(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     line = df.select(*keys, F.explode(F.split(text, "\n")).alias("_p"))
     words = F.split("_p", " ")
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.xxhash64(a, b))
-    unit = line.select(*keys, "_p", F.posexplode(pairs).alias("_j", "_h"))
-    unit = unit.select(*keys, "_p", "_j", F.col("_h").bitwiseAND(PACKED - 1).alias("_slot"), F.expr("shiftleft(if(_h & 64 = 0, 1L, -1L), if(_h & 128 = 0, 0, 32))").alias("_one"))
-    exact = [F.sum(F.when(F.col("_j") == 0, F.xxhash64(F.lit(i), "_p").bitwiseAND(_32 - 1)).otherwise(F.lit(0))).alias(f"e{i}") for i in range(EXACT)]
+    whole = [F.xxhash64(F.lit(i), "_p").bitwiseAND(_32 - 1).alias(f"_e{i}") for i in range(EXACT)]
+    line = line.select(*keys, *whole, pairs.alias("_pairs"))  # the line itself stays behind: it may be long
+    unit = line.select(*keys, *(f"_e{i}" for i in range(EXACT)), F.posexplode("_pairs").alias("_j", "_h"))
+    unit = unit.withColumns({"_slot": F.col("_h").bitwiseAND(PACKED - 1), "_one": F.expr("shiftleft(if(_h & 64 = 0, 1L, -1L), if(_h & 128 = 0, 0, 32))")})
+    exact = [F.sum(F.when(F.col("_j") == 0, F.col(f"_e{i}")).otherwise(F.lit(0))).alias(f"e{i}") for i in range(EXACT)]
     packed = [F.sum(F.when(F.col("_slot") == i, F.col("_one")).otherwise(F.lit(0))).alias(f"s{i}") for i in range(PACKED)]
     sums = unit.groupBy(*keys).agg(*exact, *packed)
     low = lambda c: F.pmod(c + _32 // 2, F.lit(_32)) - _32 // 2  # noqa: E731  the lower of two signed numbers
@@ -62,21 +66,23 @@ def _bucket(bounds: list[int], c: Column, step: int = 64) -> Column:
     """How many bounds after the first are at or below a value, by a search in two levels; nulls come last."""
     if not bounds:
         return F.lit(0)
+    step = max(step, int(len(bounds) ** 0.5))
     every = F.lit(bounds[::step])
     coarse = F.greatest(F.size(F.filter(every, lambda b: b <= c)) - 1, F.lit(0))
     fine = F.size(F.filter(F.slice(F.lit(bounds), coarse * step + 1, F.lit(step)), lambda b: b <= c))
     return F.coalesce(F.greatest(coarse * step + fine - 1, F.lit(0)), F.lit(len(bounds) - 1))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, most_buckets: int = 4096) -> DataFrame:
+def with_next(rows: DataFrame, bucket_bytes: int = 32 << 20, most_buckets: int = 1 << 15) -> DataFrame:
     """``_bucket, _row, _id, _t, _next, _guard``: each text beside the next by id (ties: by text; nulls last; then the first).
 
-    Ids are cut at quantiles into buckets, several to a shuffle partition. Each bucket also gets the first row of the
-    next one as its guard, so no window spans more than a bucket; texts are shuffled once.
+    ``rows`` are ``_id`` (a number), ``_t``. Ids are cut at quantiles into buckets of about ``bucket_bytes``, several to a
+    shuffle partition. Each bucket also gets the first row of the next one as its guard, so no window spans more than a
+    bucket, which may spill; texts are shuffled once.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
-    n = min(most_buckets, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(rows.agg(F.percentile_approx("_id", [i / n for i in range(n)], 20_000)).first()[0] or []))
+    size = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    n = min(most_buckets, max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bucket_bytes))
+    bounds = sorted(set(rows.agg(F.percentile_approx("_id", [i / n for i in range(n)], max(20_000, 4 * n))).first()[0] or []))
     first = rows.agg(F.min("_id")).first()[0]
     bounds = sorted({first, *bounds}) if bounds else []
     own = rows.withColumns({"_bucket": _bucket(bounds, F.col("_id")), "_guard": F.lit(False)})
@@ -92,10 +98,11 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Fingerprints of each text, of its edit (second half replaced by the next text's start) and their likeness.
 
     Everything after the one shuffle of texts stays in the partitions of their buckets. A null text is empty; with one
-    row only, it is its own next; repeated rows get a row each, ordered by text; an empty table gives an empty result;
-    other columns are ignored.
+    row only, it is its own next; repeated rows get a row each, ordered by text; ids may have any type that sorts; an
+    empty table gives an empty result; other columns are ignored.
     """
-    rows = with_next(docs, id_col, text_col)
+    rows, names = numbered(docs, id_col, text_col)
+    rows = with_next(rows.select(F.col("id").alias("_id"), F.coalesce("t", F.lit("")).alias("_t")))
     n = F.length("_t")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("left(_t, length(_t) - int(floor(length(_t) / 2)))"), F.expr("left(_next, int(floor(length(_t) / 2)))"))
@@ -108,4 +115,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     vec = vec.withColumns({"_edited": F.lead("vec").over(w), "_after": F.coalesce(F.lead("vec", 2).over(w), F.first("vec").over(w))})
     vec = vec.where((F.col("_which") == 0) & ~F.col("_guard"))
     v, e, x = F.col("vec"), F.col("_edited"), F.col("_after")
-    return vec.select(F.col("_id").alias(id_col), "n_chars", "edited_sha256", text_of(v).alias("fingerprint"), text_of(e).alias("edited_fingerprint"), likeness(v, e).alias("near_edited"), likeness(v, x).alias("near_next"))
+    if names is None:
+        vec = vec.withColumn("_name", F.col("_id").cast(docs.schema[id_col].dataType))
+    else:
+        vec = vec.join(names.select(F.col("number").alias("_id"), F.col("name").alias("_name")), "_id", "left")
+    return vec.select(F.col("_name").alias(id_col), "n_chars", "edited_sha256", text_of(v).alias("fingerprint"), text_of(e).alias("edited_fingerprint"), likeness(v, e).alias("near_edited"), likeness(v, x).alias("near_next"))

@@ -41,7 +41,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(_docs(spark, sf_dir).select("doc_id", "text"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(joined(of(*KINDS[:4])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(of(*KINDS[:4])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

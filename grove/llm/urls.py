@@ -7,13 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.llm.common import ascii_lower, keep
+from grove.llm.common import ascii_lower, attach, keep
 
 #: (rule, verdict): a rule is a host and the start of a path.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: The model's symbols: anything else is "?", the end is "$"; "^" pads the start.
 SYMBOLS = "?abcdefghijklmnopqrstuvwxyz0123456789-._~/%:=&+$"
-ORDERS, CONTEXTS, PIECE = 5, 4096, 512
+ORDERS, PIECE = 5, 512
+#: So many contexts of an order (about 10 MB) are broadcast; more are joined by shuffling.
+CONTEXTS = 50_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -43,7 +45,7 @@ def positions(df: DataFrame, *cols: str) -> DataFrame:
     df = df.select(*cols, text.alias("_t")).select(*cols, "_t", F.explode(F.sequence(F.lit(1), F.length("_t") - pad, F.lit(PIECE))).alias("_at"))
     df = df.select(*cols, (F.col("_at") == 1).alias("_first"), F.expr(f"substring(_t, _at, {PIECE + pad})").alias("_t"))
     df = df.select(*cols, "_t", "_first", F.explode(F.sequence(F.lit(1), F.length("_t") - pad)).alias("_i"))
-    context = [F.pmod(F.xxhash64(F.expr(f"substring(_t, _i + {pad - k}, {k})")), F.lit(CONTEXTS)).cast("int") for k in range(ORDERS)]
+    context = [F.expr(f"substring(_t, _i + {pad - k}, {k})") for k in range(ORDERS)]
     symbol = F.instr(F.lit(SYMBOLS), F.expr(f"substring(_t, _i + {pad}, 1)"))
     return df.select(*cols, (F.col("_first") & (F.col("_i") == 1)).alias("_first"), symbol.alias("symbol"), *(c.alias(f"c{k}") for k, c in enumerate(context)))
 
@@ -51,18 +53,15 @@ def positions(df: DataFrame, *cols: str) -> DataFrame:
 def train(labelled: DataFrame) -> DataFrame:
     """Counts of symbols after contexts of 0 to ORDERS - 1 symbols in accepted and rejected URLs.
 
-    A row for each order and hashed context: at most ORDERS * CONTEXTS rows with two arrays of one count per symbol,
-    whatever the input, which is why it may be broadcast.
+    A row for each context: its order ``k``, the counts of each symbol seen after it, their sums and kinds. There are at
+    most as many contexts as symbols in the labelled URLs; counts are added up before they are shuffled.
     """
     at = positions(labelled, "accepted")
     each = at.select("accepted", "symbol", F.posexplode(F.array(*(F.col(f"c{k}") for k in range(ORDERS)))).alias("k", "context"))
     counts = each.groupBy("k", "context", "symbol").agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"))
-    by = counts.groupBy("k", "context").agg(*(F.map_from_entries(F.collect_list(F.struct("symbol", x))).alias(x) for x in ("yes", "no")))
-    dense = lambda x: F.transform(F.sequence(F.lit(1), F.lit(len(SYMBOLS))), lambda s: F.coalesce(F.element_at(F.col(x), s), F.lit(0)).cast("int"))
-    by = by.select("k", "context", *(dense(x).alias(x) for x in ("yes", "no")))
-    total = lambda x: F.aggregate(F.col(x), F.lit(0), lambda a, n: a + n)
-    kinds = lambda x: F.size(F.filter(F.col(x), lambda n: n > 0))
-    return by.withColumns({"n_yes": total("yes"), "n_no": total("no"), "t_yes": kinds("yes"), "t_no": kinds("no")})
+    seen = F.map_from_entries(F.collect_list(F.struct("symbol", F.struct("yes", "no"))))  # a symbol is there once
+    sums = [F.sum(x).alias(f"n_{x}") for x in ("yes", "no")] + [F.count_if(F.col(x) > 0).alias(f"t_{x}") for x in ("yes", "no")]
+    return counts.groupBy("k", "context").agg(seen.alias("seen_after"), *sums)
 
 
 def scored(df: DataFrame, model: DataFrame, *cols: str) -> DataFrame:
@@ -74,10 +73,11 @@ def scored(df: DataFrame, model: DataFrame, *cols: str) -> DataFrame:
     at = positions(df, *cols)
     yes = no = F.lit(1.0 / len(SYMBOLS))
     for k in range(ORDERS):
-        names = {x: f"{x}{k}" for x in ("yes", "no", "n_yes", "n_no", "t_yes", "t_no")}
-        at = at.join(F.broadcast(model.where(F.col("k") == k).select(F.col("context").alias(f"c{k}"), *(F.col(a).alias(b) for a, b in names.items()))), f"c{k}", "left")
-        yes, no = (F.when(F.col(f"n_{x}{k}") > 0, (F.element_at(F.col(f"{x}{k}"), F.col("symbol")) + F.col(f"t_{x}{k}") * p) / (F.col(f"n_{x}{k}") + F.col(f"t_{x}{k}"))).otherwise(p) for x, p in (("yes", yes), ("no", no)))
-        at = at.withColumns({f"p_yes{k}": yes, f"p_no{k}": no})
+        names = {x: f"{x}{k}" for x in ("seen_after", "n_yes", "n_no", "t_yes", "t_no")}
+        at = attach(at, model.where(F.col("k") == k).select(F.col("context").alias(f"c{k}"), *(F.col(a).alias(b) for a, b in names.items())), f"c{k}", "left", CONTEXTS)
+        after = F.element_at(F.col(f"seen_after{k}"), F.col("symbol"))
+        yes, no = (F.when(F.col(f"n_{x}{k}") > 0, (F.coalesce(after[x], F.lit(0)) + F.col(f"t_{x}{k}") * p) / (F.col(f"n_{x}{k}") + F.col(f"t_{x}{k}"))).otherwise(p) for x, p in (("yes", yes), ("no", no)))
+        at = at.withColumns({f"p_yes{k}": yes, f"p_no{k}": no}).drop(*names.values())
         yes, no = F.col(f"p_yes{k}"), F.col(f"p_no{k}")
     out = at.select(*cols, "_first", F.log(yes / no).alias("_d")).groupBy(*cols).agg(F.avg("_d").alias("llr"), F.count_if("_first").alias("_n"))
     return out.select(*cols, "llr", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_")).drop("_")
@@ -102,8 +102,8 @@ def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     """``id_col, host, path, rule, verdict, llr``: the longest fitting rule's verdict, else the language models'.
 
     URLs with a rule are the labels: four fifths train a model of accepted and one of rejected host-and-path strings,
-    the rest set the threshold on the length-normalised log-likelihood difference. Counts are added up before they are
-    shuffled; the model's size is bounded by its hashed contexts, so it is broadcast. A null or odd URL has empty host
+    the rest set the threshold on the length-normalised log-likelihood difference. Contexts are exact; those of an order
+    are broadcast up to CONTEXTS of them, beyond that joined by shuffling. A null or odd URL has empty host
     and path and is judged as the empty text; repeated rows get a row each; an empty table gives an empty result;
     other columns are ignored. With labels of one kind only, everything gets that verdict; with none, "allow".
     """

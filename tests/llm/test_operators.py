@@ -165,6 +165,34 @@ def test_secrets_are_found_and_masked_and_clean_text_stays(spark):
     assert pii.personal_data(df.limit(0)).count() == 0
 
 
+def test_planted_personal_data_is_found_and_little_else(spark):
+    r = np.random.default_rng(7)
+    pick = lambda xs: str(r.choice(xs))
+    syllable = lambda: pick(["ta", "re", "mi", "lo", "ka", "nu", "sho", "ber"])
+    word = lambda: syllable() + syllable() + syllable()
+    digits = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    makers = {
+        "secret": lambda: ('api key = "', hashlib.sha1(digits(9).encode()).hexdigest(), '" so'),
+        "account": lambda: (pick(["passport no ", "account number ", "IBAN: ", "ssn "]), pick([f"DE{digits(20)}", f"C{digits(8)}", f"{digits(3)}-{digits(2)}-{digits(4)}"]), " was"),
+        "name": lambda: (pick(["by mr ", "dear ", "contact: ", "signed "]), pick(pii.FIRST_NAMES[:15]).title() + " " + word().title(), " about"),
+        "address": lambda: (pick(["address: ", "lives at ", "resides at "]), f"{r.integers(1, 900)} {word().title()} {pick(['Street', 'Road', 'Avenue', 'Lane'])}", ", 1"),
+    }
+    rows, want = [], set()
+    for i in range(400):
+        text = " ".join(word() for _ in range(12)).capitalize() + ". "
+        if i % 2:
+            kind = list(makers)[i // 2 % 4]
+            before, value, after = makers[kind]()
+            text += word() + " " + before
+            want.add((i, kind, len(text), len(text) + len(value)))
+            text += value + after
+        text += " " + " ".join(word() for _ in range(3)) + f". {word().title()} {word()} {word().title()} {r.integers(1, 99)} {word()} order {digits(4)}"
+        rows.append((i, text))
+    got = {(x["doc_id"], s["kind"], s["start"], s["end"]) for x in pii.personal_data(spark.createDataFrame(rows, "doc_id int, text string")).collect() for s in x["spans"]}
+    right = len(got & want)
+    assert right > 0.9 * len(want) and right > 0.9 * len(got), (right, len(want), len(got), sorted(want - got)[:5], sorted(got - want)[:5])
+
+
 def test_mix_meets_targets(spark):
     r = np.random.default_rng(0)
     rows = [(int(i), " ".join(["w"] * int(r.integers(1, 300))), s) for i, s in enumerate(r.choice(["a", "b", "c", None], 3000, p=[0.7, 0.02, 0.2, 0.08]).tolist())]
@@ -260,3 +288,61 @@ def test_url_rules_and_models(spark):
         assert (by[i]["host"], by[i]["path"], by[i]["rule"]) == (host, path, rule) and (verdict is None or by[i]["verdict"] == verdict)
     assert by[300]["verdict"] == "allow" and by[301]["verdict"] == "block" and got.count() == len(rows)
     assert urls.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def plain_ratio(labelled, text):
+    """The log-likelihood difference of a text by plain loops over exact contexts."""
+    def model(want):
+        seen = {}
+        for t, ok in labelled:
+            if ok == want:
+                full = "^^^^" + re.sub(r"[^a-z0-9\-._~/%:=&+]", "?", t) + "$"
+                for i in range(4, len(full)):
+                    for k in range(5):
+                        at = seen.setdefault(full[i - k : i], {})
+                        at[full[i]] = at.get(full[i], 0) + 1
+        return seen
+
+    def chance(seen, full, i):
+        p = 1 / len(urls.SYMBOLS)
+        for k in range(5):
+            if at := seen.get(full[i - k : i]):
+                p = (at.get(full[i], 0) + len(at) * p) / (sum(at.values()) + len(at))
+        return p
+
+    yes, no, full = model(True), model(False), "^^^^" + re.sub(r"[^a-z0-9\-._~/%:=&+]", "?", text) + "$"
+    each = [np.log(chance(yes, full, i) / chance(no, full, i)) for i in range(4, len(full))]
+    return sum(each) / len(each)
+
+
+@pytest.mark.parametrize("contexts", [50_000, 3])
+def test_url_ratios_match_a_plain_loop(spark, monkeypatch, contexts):
+    monkeypatch.setattr(urls, "CONTEXTS", contexts)
+    r = np.random.default_rng(0)
+    word = lambda n: "".join(r.choice(list("abcde-é"), n))
+    rows = [(i, f"http://{word(5)}.com/{('fr', 'de')[i % 2]}/{word(6)}") for i in range(60)] + [(100 + i, f"http://{word(5)}.net/{word(600 * (i == 0) + 5)}") for i in range(6)]
+    got = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    seen = {i: re.sub("[A-Z]", lambda m: m[0].lower(), u.split("://")[1]) for i, u in rows}
+    labelled = [(seen[i], "/fr/" in seen[i]) for i in seen if i < 100 and zlib.crc32(seen[i].encode()) % 5]
+    for g in got:
+        assert abs(g["llr"] - plain_ratio(labelled, seen[g["page_id"]])) < 1e-9
+
+
+def test_fingerprints_of_long_lines_and_string_ids(spark):
+    texts = {"b": " ".join(f"w{i * i % 9973}" for i in range(700_000)), "a": "x y\nz", "c": None}
+    df = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in fingerprints.edited_likeness(df).collect()}
+    order = sorted(texts)
+    for i, k in enumerate(order):
+        t, after = texts[k] or "", texts[order[(i + 1) % 3]] or ""
+        assert got[k]["n_chars"] == len(t) and got[k]["edited_sha256"] == hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
+
+
+def test_clashing_columns_and_null_ids(spark):
+    rows = [(None, "mail a@b.org", "s", "u", 1.0), (None, "mail a@b.org", "s", "u", 1.0), (1, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, spans string, start double")
+    assert packing.pack(df).where("start = 0").count() == 3 and tokens.token_counts(df).count() == 3 and quality.quality_rules(df).count() == 3
+    found = pii.personal_data(df)
+    assert found.columns[:5] == df.columns and [len(r["spans_"]) for r in found.orderBy("start").collect()] == [0, 1, 1]
+    assert {r["spans"] for r in found.collect()} == {"u", None}
+    assert fingerprints.edited_likeness(df).count() == 3
