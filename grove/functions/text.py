@@ -7,7 +7,7 @@ import io
 import tokenize
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -90,3 +90,12 @@ def cleaned(code: Column, docs: bool = True, comments: bool = True) -> Column:
 
     got = strip(code)
     return F.when(got["ok"], normalized(got["text"])).otherwise(code)
+
+
+def write_cleaned(files: DataFrame, out: str) -> None:
+    """Writes ``filepath, filename, code`` of ``files`` with the code cleaned; files without text are left out.
+
+    Files of one name in different folders keep a row each.
+    """
+    rows = files.where("code is not null").select("filepath", basename(F.col("filepath")).alias("filename"), cleaned(F.col("code")).alias("code"))
+    rows.write.mode("overwrite").parquet(out)

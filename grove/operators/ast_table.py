@@ -73,53 +73,90 @@ def _facts(node: ast.AST) -> dict:
     return {"cc_weight": 1} if kind in ("If", "While", "For") else {}
 
 
-def nodes_of(code: str) -> list[dict]:
-    """The rows of one file: one row without a node if it doesn't parse."""
-    try:
-        tree = ast.parse(code)
-    except SyntaxError as e:
-        return [{"parse_ok": False, "err_kind": "syntax", "err_line": e.lineno, "err_msg": str(e)}]
-    except (ValueError, RecursionError, MemoryError, TypeError) as e:
-        return [{"parse_ok": False, "err_kind": type(e).__name__, "err_msg": str(e)}]
-    rows: list[dict] = []
-    todo = [(tree, None, 0, 0, None, None, [], [], None)]
-    while todo:
-        node, parent, nest, block, func, name, funcs, handlers, if_funcs = todo.pop()
-        me, kind = len(rows), type(node).__name__
-        if isinstance(node, _DEFS):
-            func, name, funcs, nest = me, node.name, [*funcs, me], nest + 1
-        elif isinstance(node, _BLOCKS):
-            nest, block = nest + 1, block + 1
-            if_funcs = funcs if isinstance(node, ast.If) else if_funcs
-        elif isinstance(node, ast.ExceptHandler):
-            handlers = [*handlers, me]
-        rows.append({"parse_ok": True, "pre": me, "post_max": me, "parent_pre": parent, "type": kind, "type_id": TYPE_ID.get(kind, len(NODE_TYPES)), "lineno": getattr(node, "lineno", None), "end_lineno": getattr(node, "end_lineno", None), "nest_depth": nest, "block_depth": block, "func_pre": func, "func_name": name, "funcs": funcs, "handlers": handlers, "if_funcs": if_funcs, "cc_weight": 0} | _facts(node))
-        todo += [(c, me, nest, block, func, name, funcs, handlers, if_funcs) for c in reversed(list(ast.iter_child_nodes(node)))]
-    for row in reversed(rows):
-        if row["parent_pre"] is not None:
-            up = rows[row["parent_pre"]]
-            up["post_max"] = max(up["post_max"], row["post_max"])
-    kids: dict[int, list[int]] = {}
-    for row in rows:
-        kids.setdefault(row["parent_pre"], []).append(row["pre"])
-    queue, k = deque([0]), 0
-    while queue:
-        me = queue.popleft()
-        rows[me]["bfs_ord"], k = k, k + 1
-        queue.extend(kids.get(me, ()))
-    return rows
+class NodeColumns:
+    """The node relation of some files, column by column; a column that a node doesn't have is null there."""
+
+    def __init__(self):
+        self.size = 0
+        self.values: dict[str, list] = {name: [] for name, _ in COLUMNS}
+
+    def _row(self, path: str, facts: dict) -> None:
+        for name, value in facts.items():
+            mine = self.values[name]
+            mine.extend([None] * (self.size - len(mine)))
+            mine.append(value)
+        self.values["filepath"].append(path)
+        self.size += 1
+
+    def add(self, path: str, code: str) -> None:
+        """The nodes of one file: one row without a node if it doesn't parse."""
+        try:
+            tree = ast.parse(code)
+        except SyntaxError as e:
+            return self._row(path, {"parse_ok": False, "err_kind": "syntax", "err_line": e.lineno, "err_msg": str(e)})
+        except (ValueError, RecursionError, MemoryError, TypeError) as e:
+            return self._row(path, {"parse_ok": False, "err_kind": type(e).__name__, "err_msg": str(e)})
+        start, parents, ends = self.size, [], []
+        todo = [(tree, None, 0, 0, None, None, [], [], None)]
+        while todo:
+            node, parent, nest, block, func, name, funcs, handlers, if_funcs = todo.pop()
+            me, kind = len(parents), type(node).__name__
+            if isinstance(node, _DEFS):
+                func, name, funcs, nest = me, node.name, [*funcs, me], nest + 1
+            elif isinstance(node, _BLOCKS):
+                nest, block = nest + 1, block + 1
+                if_funcs = funcs if isinstance(node, ast.If) else if_funcs
+            elif isinstance(node, ast.ExceptHandler):
+                handlers = [*handlers, me]
+            parents.append(parent)
+            ends.append(me)
+            base = {"parse_ok": True, "pre": me, "type": kind, "type_id": TYPE_ID.get(kind, len(NODE_TYPES)), "nest_depth": nest, "block_depth": block, "funcs": funcs, "handlers": handlers, "cc_weight": 0}
+            if func is not None:
+                base |= {"func_pre": func, "func_name": name}
+            if if_funcs is not None:
+                base["if_funcs"] = if_funcs
+            if hasattr(node, "lineno"):
+                base |= {"lineno": node.lineno, "end_lineno": node.end_lineno}
+            self._row(path, base | _facts(node))
+            todo += [(c, me, nest, block, func, name, funcs, handlers, if_funcs) for c in reversed(list(ast.iter_child_nodes(node)))]
+        kids: list[list[int]] = [[] for _ in parents]
+        for me in range(len(parents) - 1, 0, -1):
+            up = parents[me]
+            ends[up] = max(ends[up], ends[me])
+        for me in range(1, len(parents)):
+            kids[parents[me]].append(me)
+        order, queue = [0] * len(parents), deque([0])
+        for k in range(len(parents)):
+            me = queue.popleft()
+            order[me] = k
+            queue.extend(kids[me])
+        for name, column in (("parent_pre", parents), ("post_max", ends), ("bfs_ord", order)):
+            mine = self.values[name]
+            mine.extend([None] * (start - len(mine)))
+            mine.extend(column)
+
+    def batch(self) -> pa.RecordBatch:
+        """All rows so far."""
+        arrays = []
+        for name, kind in COLUMNS:
+            values = self.values[name]
+            arrays.append(pa.array(values + [None] * (self.size - len(values)), _ARROW[kind]) if values else pa.nulls(self.size, _ARROW[kind]))
+        return pa.RecordBatch.from_arrays(arrays, [name for name, _ in COLUMNS])
 
 
 def ast_nodes(files: DataFrame, path_col: str = "filepath", code_col: str = "code") -> DataFrame:
     """The node relation of all files; every feature and rule reads it, so no file is parsed twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([(name, _ARROW[kind]) for name, kind in COLUMNS])
+        made = NodeColumns()
         for batch in batches:
-            paths, codes = (batch.column(k).to_pylist() for k in range(2))
-            for at in range(0, len(paths), 64):
-                rows = [r | {"filepath": p} for p, c in zip(paths[at : at + 64], codes[at : at + 64], strict=True) if c is not None for r in nodes_of(c)]
-                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+            for path, code in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                if code is not None:
+                    made.add(path, code)
+                if made.size > 20_000:
+                    yield made.batch()
+                    made = NodeColumns()
+        yield made.batch()
 
     return files.select(F.col(path_col).cast("string").alias("filepath"), F.col(code_col).alias("code")).mapInArrow(run, SCHEMA)
 

@@ -48,12 +48,14 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, spread) -> tuple[float, np.
     return float(pooled @ w["w"][:, 0] + w["b"][0]), pooled, seen
 
 
-def gradients(w: dict[str, np.ndarray], x: np.ndarray, spread, target: float) -> tuple[float, dict[str, np.ndarray]]:
-    """Squared error and its gradients."""
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, spread, target: float, kept: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Squared error and its gradients; ``kept`` scales the embedding before the last layer (dropout)."""
     y, pooled, seen = forward(w, x, spread)
+    kept = np.ones_like(pooled) if kept is None else kept
+    y = float((pooled * kept) @ w["w"][:, 0] + w["b"][0])
     d = 2 * (y - target)
-    g = {"w": pooled[:, None] * d, "b": np.array([d])}
-    dx = np.repeat(w["w"].T * d / len(x), len(x), axis=0)
+    g = {"w": (pooled * kept)[:, None] * d, "b": np.array([d])}
+    dx = np.repeat(w["w"].T * kept * d / len(x), len(x), axis=0)
     for i in (2, 1, 0):
         g[f"w{i}"], g[f"b{i}"] = seen[i].T @ dx, dx.sum(axis=0)
         dx = spread(dx @ w[f"w{i}"].T)  # the operator is symmetric
@@ -90,8 +92,11 @@ def embed(files: DataFrame, nodes: DataFrame, weights: dict[str, np.ndarray] | N
     return files.select("filepath").join(made, "filepath", "left").withColumn("embedding", F.coalesce("embedding", zero))
 
 
-def train(examples: DataFrame, epochs: int = 50, batch: int = 32, rate: float = 0.01, seed: int = 42, most: int = 5000) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Weights fitted to ``target`` (a risk score over 100) of up to ``most`` graphs by Adam, and each epoch's mean error."""
+def train(examples: DataFrame, epochs: int = 50, batch: int = 32, rate: float = 0.01, seed: int = 42, most: int = 5000, drop: float = 0.5) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Weights fitted to ``target`` (a risk score over 100) of up to ``most`` graphs by Adam, and each epoch's mean error.
+
+    A share ``drop`` of the embedding is left out in each step.
+    """
     rows = examples.orderBy(F.xxhash64("filepath"), "filepath").limit(most).collect()
     data = [(*_inputs(r["types"], r["src"], r["dst"]), r["target"]) for r in rows]
     w, r, losses, t = fresh(seed), np.random.default_rng(seed), [], 0
@@ -102,7 +107,7 @@ def train(examples: DataFrame, epochs: int = 50, batch: int = 32, rate: float =
             part, t = order[at : at + batch], t + 1
             sums = {k: np.zeros_like(v) for k, v in w.items()}
             for i in part:
-                loss, g = gradients(w, *data[i])
+                loss, g = gradients(w, *data[i], (r.random(WIDTHS[-1]) >= drop) / (1 - drop) if drop else None)
                 total += loss
                 for k, v in g.items():
                     sums[k] += v / len(part)

@@ -42,7 +42,7 @@ def profiles(rows: DataFrame, labels: DataFrame, names: list[str] | None = None,
     keys = F.array(*map(F.lit, names))
     reps = representatives(rows, labels, n).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_id"))), lambda x: x["row_id"]).alias("representatives"))
     out = by.select("cluster", "size", (100 * F.col("size") / total).alias("percentage"), F.map_from_arrays(keys, "m").alias("means"), F.map_from_arrays(keys, "s").alias("stds")).join(reps, "cluster")
-    return out.withColumn("description", description(F.col("means")))
+    return out.withColumn("description", F.concat(F.lit("Cluster "), F.col("cluster").cast("string"), F.lit(": "), description(F.col("means"))))
 
 
 def description(means) -> F.Column:

@@ -47,17 +47,17 @@ def findings(nodes: DataFrame, thresholds: dict | None = None) -> DataFrame:
     magic = magic.withColumn("k", F.row_number().over(Window.partitionBy("filepath").orderBy("func_ord", "bfs_ord"))).where(c("k") <= MAGIC_MOST)
     long = c("end_lineno") - c("lineno") + 1
     parts = [
-        found(nodes.where("err_kind = 'syntax'"), "SYNTAX_ERROR", _text("Code has syntax error: ", c("err_msg")), "err_line", F.lit(0)),
-        found(fits.where("type = 'ExceptHandler' and is_bare"), "BARE_EXCEPT", F.lit("Bare 'except:' catches all exceptions including KeyboardInterrupt and SystemExit. Use 'except Exception:' instead.")),
-        found(fits.where(c("type").isin("For", "While", "If", "With", "Try") & (c("block_depth") > t["max_nesting_depth"])), "DEEP_NESTING", _text("Code is nested ", c("block_depth").cast("string"), " levels deep. Consider refactoring to reduce complexity."), order=c("pre")),
-        found(defs.where(long > t["max_function_length"]), "LONG_FUNCTION", _text("Function '", c("name"), "' is ", long.cast("string"), " lines long. Consider breaking it into smaller functions.")),
-        found(defs.where(c("n_params") > t["max_parameters"]), "TOO_MANY_ARGS", _text("Function '", c("name"), "' has ", c("n_params").cast("string"), " parameters. Consider using a config object or dataclass.")),
-        found(fits.where("type = 'Global'"), "GLOBAL_USAGE", _text("Using global variables (", F.array_join("names", ", "), ") makes code harder to test and reason about.")),
-        found(defs.where("has_mutable_default"), "MUTABLE_DEFAULT", _text("Function '", c("name"), "' has a mutable default argument. This can cause unexpected behavior.")),
-        found(defs.join(itself, key, "left_semi").join(based, key, "left_anti"), "RECURSION_NO_BASE", _text("Recursive function '", c("name"), "' may not have a proper base case.")),
-        found(fits.where("type = 'ExceptHandler' and handler_name in ('Exception', 'BaseException')").join(again, key, "left_anti"), "BROAD_EXCEPTION", _text("Catching '", c("handler_name"), "' is too broad. Consider catching specific exception types.")),
-        found(unused, "UNUSED_VARIABLE", _text("Variable '", c("name"), "' is assigned but never used in function '", c("func"), "'.")),
-        found(magic, "MAGIC_NUMBER", _text("Magic number ", c("const_repr"), " should be extracted to a named constant."), order=c("k")),
+        found(nodes.where("err_kind = 'syntax'"), "SYNTAX_ERROR", _text("does not parse: ", c("err_msg")), "err_line", F.lit(0)),
+        found(fits.where("type = 'ExceptHandler' and is_bare"), "BARE_EXCEPT", F.lit("handler without a type also stops interrupts and exits")),
+        found(fits.where(c("type").isin("For", "While", "If", "With", "Try") & (c("block_depth") > t["max_nesting_depth"])), "DEEP_NESTING", _text("block at depth ", c("block_depth").cast("string")), order=c("pre")),
+        found(defs.where(long > t["max_function_length"]), "LONG_FUNCTION", _text(c("name"), " has ", long.cast("string"), " lines")),
+        found(defs.where(c("n_params") > t["max_parameters"]), "TOO_MANY_ARGS", _text(c("name"), " takes ", c("n_params").cast("string"), " arguments")),
+        found(fits.where("type = 'Global'"), "GLOBAL_USAGE", _text("rebinds module names: ", F.array_join("names", ", "))),
+        found(defs.where("has_mutable_default"), "MUTABLE_DEFAULT", _text("calls of ", c("name"), " share a default value that can change")),
+        found(defs.join(itself, key, "left_semi").join(based, key, "left_anti"), "RECURSION_NO_BASE", _text(c("name"), " calls itself and returns under no condition")),
+        found(fits.where("type = 'ExceptHandler' and handler_name in ('Exception', 'BaseException')").join(again, key, "left_anti"), "BROAD_EXCEPTION", _text("handler of any ", c("handler_name"), " that raises nothing again")),
+        found(unused, "UNUSED_VARIABLE", _text(c("func"), " never reads ", c("name"))),
+        found(magic, "MAGIC_NUMBER", _text("unnamed constant ", c("const_repr")), order=c("k")),
     ]
     out = parts[0]
     for p in parts[1:]:

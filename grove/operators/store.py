@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +33,10 @@ def lookup(store: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 class VectorStore:
-    """The store at a path: each upsert writes a new version beside the old one, then points to it."""
+    """The store at a path: each upsert writes the next version, and the newest complete one is read.
+
+    Spark writes ``_SUCCESS`` last, so a write that breaks off leaves the version before it in force.
+    """
 
     def __init__(self, spark: SparkSession, path: str = DEFAULT_PLACE, dim: int = 768):
         self.spark, self.path, self.dim = spark, path, dim
@@ -45,36 +46,32 @@ class VectorStore:
         place = jvm.org.apache.hadoop.fs.Path(self.path)
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _current(self) -> str | None:
+    def _versions(self) -> list[tuple[int, bool]]:
+        """The number of each version, and whether it is complete."""
         fs, path = self._fs()
-        pointer = path(self.path, "current.txt")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/current.txt").first()[0]
+        if not fs.exists(path(self.path)):
+            return []
+        names = [x.getPath().getName() for x in fs.listStatus(path(self.path))]
+        return sorted((int(n[1:]), fs.exists(path(self.path, f"{n}/_SUCCESS"))) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+    def _current(self) -> int | None:
+        return max((n for n, whole in self._versions() if whole), default=None)
 
     def all(self) -> DataFrame:
         at = self._current()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], SCHEMA)
-
-    def _point(self, at: str) -> None:
-        fs, path = self._fs()
-        out = fs.create(path(self.path, "next.txt"), True)
-        out.write(bytearray(at.encode()))
-        out.close()
-        fs.delete(path(self.path, "current.txt"), False)
-        fs.rename(path(self.path, "next.txt"), path(self.path, "current.txt"))
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{at}") if at is not None else self.spark.createDataFrame([], SCHEMA)
 
     def add(self, files: DataFrame) -> int:
         """Upserts ``filepath, code, embedding``; returns how many."""
         new = records(files)
         n = new.count()
         if n:
-            before, at = self._current(), f"v-{uuid.uuid4().hex}"
-            merged(self.all(), new).write.parquet(f"{self.path}/{at}")
-            self._point(at)
-            if before:
-                fs, path = self._fs()
-                fs.delete(path(self.path, before), True)
+            before = self._versions()
+            at = before[-1][0] + 1 if before else 0
+            merged(self.all(), new).write.parquet(f"{self.path}/v{at}")
+            fs, path = self._fs()
+            for old, _ in before:
+                fs.delete(path(self.path, f"v{old}"), True)
         return n
 
     def hashes(self) -> DataFrame:

@@ -18,24 +18,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(size > 0, dot(a, b) / size), F.lit(0.0))
 
 
-def terms(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, term, tf``: identifiers of the lower-cased text and pairs of neighbours, counted within each text."""
+def _listed(text_col: str) -> Column:
+    """Identifiers of the lower-cased text and pairs of neighbours."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(IDENTIFIER), F.lit(0))
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    return docs.select(F.col(id_col).alias("id"), F.explode(F.concat(words, pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return F.concat(words, pairs)
 
 
 def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, size: int = 768) -> DataFrame:
-    """``term, idf, pos``: the terms with the largest counts (ties by term), in alphabetical order."""
+    """``term, idf, pos``: the terms with the largest counts (ties by term), in alphabetical order.
+
+    A text's terms and its distinct terms are counted side by side, so one shuffle of partial sums is enough.
+    """
     n = docs.count()
-    counts = terms(docs, id_col, text_col).groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
+    all_terms = docs.select(_listed(text_col).alias("t"))
+    each = all_terms.select(F.explode(F.array(F.struct("t", F.lit(0).alias("first")), F.struct(F.array_distinct("t").alias("t"), F.lit(1).alias("first")))).alias("x"))
+    flat = each.select(F.col("x.first").alias("first"), F.explode("x.t").alias("term"))
+    counts = flat.groupBy("term").agg(F.sum(1 - F.col("first")).alias("total"), F.sum("first").alias("df"))
     top = counts.orderBy(F.desc("total"), "term").limit(size)
     return top.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"), (F.row_number().over(Window.orderBy("term")) - 1).alias("pos"))
 
 
 def tfidf(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, pos, term, weight``: sparse rows of length 1. The vocabulary has a fixed size, so it is broadcast."""
-    rows = terms(docs, id_col, text_col).join(F.broadcast(model), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    """``id, pos, term, weight``: sparse rows of length 1. The vocabulary has a fixed size, so it is broadcast, and other
+    terms go before anything is shuffled."""
+    flat = docs.select(F.col(id_col).alias("id"), F.explode(_listed(text_col)).alias("term")).join(F.broadcast(model), "term")
+    rows = flat.groupBy("id", "pos", "term", "idf").agg(F.count("*").alias("tf")).withColumn("w", F.col("tf") * F.col("idf"))
     size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return rows.select("id", "pos", "term", (F.col("w") / size).alias("weight"))
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grove.config import ProjectConfig
-from grove.functions.text import cleaned
-from grove.operators import anomaly, cluster, fusion, profile
-from grove.operators.ast_table import ast_nodes
+from grove.functions.text import basename, cleaned, guarded
+from grove.operators import anomaly, cluster, fusion, gcn, profile
+from grove.operators.ast_table import NodeColumns, ast_nodes
+from grove.operators.embed import code_embeddings, embed
 from grove.operators.rules import findings, risk
+from grove.operators.store import VectorStore, new_or_changed
 from grove.operators.structural import FEATURES, available, structural, vector
-from grove.operators.vectors import dense, tfidf, tfidf_fit
-from grove.storage import sealed
+from grove.plans.report import html_report, plot_data
+from grove.sources.files import scan
+from grove.storage import sealed, stored
 
 
 def extract(files: DataFrame, config: ProjectConfig | None = None) -> DataFrame:
@@ -20,7 +25,7 @@ def extract(files: DataFrame, config: ProjectConfig | None = None) -> DataFrame:
     config = config or ProjectConfig()
     if config.clean_code:
         files = sealed(files.select("filepath", cleaned(F.col("code")).alias("code")))
-    return structural(ast_nodes(files), files)
+    return structural(stored(ast_nodes(files)), files)
 
 
 def analyse(features: DataFrame, files: DataFrame | None = None, embeddings: DataFrame | None = None, dim: int = 768, config: ProjectConfig | None = None) -> DataFrame:
@@ -49,7 +54,7 @@ def analyse(features: DataFrame, files: DataFrame | None = None, embeddings: Dat
     odd = anomaly.detect(raw, len(names), config.contamination, config.anomaly_algorithm)
     out = keyed.drop("raw").join(labels, "row_id").join(odd.select("row_id", "is_anomaly", F.col("score").alias("anomaly_score")), "row_id")
     if files is not None:
-        scores = risk(findings(ast_nodes(files)).where("rule_id != 'SYNTAX_ERROR'"), files)
+        scores = risk(findings(stored(ast_nodes(files))).where("rule_id != 'SYNTAX_ERROR'"), files)
         out = out.join(scores.select("filepath", "risk_score", "risk_findings"), "filepath", "left")
         out = out.withColumns({"risk_score": F.coalesce("risk_score", F.lit(0.0)), "risk_findings": F.coalesce("risk_findings", F.lit(0))})
     return out
@@ -62,20 +67,70 @@ def cluster_info(results: DataFrame) -> DataFrame:
     return profile.profiles(rows, results.select("row_id", "cluster"), names).select(F.col("cluster").alias("cluster_id"), "size", "percentage", "description")
 
 
-def tfidf_embeddings(files: DataFrame, size: int = 768) -> DataFrame:
-    model = tfidf_fit(files, "filepath", "code", size)
-    return dense(tfidf(files, model, "filepath", "code"), files, "filepath", size).withColumnRenamed("id", "filepath")
+def cached_embeddings(files: DataFrame, store: VectorStore, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``filepath, embedding`` of all files; the encoder sees only what the store doesn't have yet or has another text of."""
+    fresh = sealed(new_or_changed(files, store.all()))
+    if not fresh.isEmpty():
+        store.add(fresh.join(make(fresh), "filepath"))
+    return files.select("filepath").join(store.all().select("filepath", "embedding"), "filepath")
 
 
-def run(spark: SparkSession, directory: str, out: str, config: ProjectConfig | None = None) -> DataFrame:
-    """Scan, extract, analyse and write ``features``, ``results`` (Parquet and CSV) and ``cluster_info`` (JSON)."""
-    from grove.sources.files import scan
+def run(spark: SparkSession, directory: str, out: str | None = None, config: ProjectConfig | None = None, load: Callable | None = None, dim: int = 768) -> DataFrame:
+    """Scan, extract, embed, analyse and write what both entries of the batch write.
 
-    files = sealed(scan(spark, directory).select(F.col("path").alias("filepath"), "code"))
+    ``features`` and ``results`` (Parquet and CSV), ``embeddings`` (Parquet, with paths), ``cluster_info`` (JSON), and if
+    configured the plots' tables and ``report.html``. With an encoder (``load``) its embeddings are kept in the vector
+    store, so a second run encodes new and changed files only; without one, TF-IDF is fitted to all files.
+    """
+    config = config or ProjectConfig()
+    out = out or config.output_dir
+    files = sealed(scan(spark, directory, patterns=config.excluded_patterns).select(F.col("path").alias("filepath"), "code"))
     features = sealed(extract(files, config))
+    if features.isEmpty():
+        return features
+    both = {"header": True, "mode": "overwrite"}
     features.write.mode("overwrite").parquet(f"{out}/features")
-    results = sealed(analyse(features, files, config=config))
+    features.coalesce(1).write.csv(f"{out}/features_csv", **both)
+    embeddings = None
+    if config.embeddings:
+        store = VectorStore(spark, f"{out}/vector_store", dim)
+        cached = load is not None and config.use_cache
+        embeddings = stored(cached_embeddings(files, store, lambda f: embed(f, load, dim)) if cached else code_embeddings(files, load, dim))
+        embeddings.write.mode("overwrite").parquet(f"{out}/embeddings")
+    results = stored(analyse(features, files, embeddings, dim, config))
     results.write.mode("overwrite").parquet(f"{out}/results")
-    results.coalesce(1).write.mode("overwrite").csv(f"{out}/results_csv", header=True)
-    cluster_info(results).coalesce(1).write.mode("overwrite").json(f"{out}/cluster_info")
+    results.coalesce(1).write.csv(f"{out}/results_csv", **both)
+    info = stored(cluster_info(results))
+    info.coalesce(1).write.mode("overwrite").json(f"{out}/cluster_info")
+    names = available(features)
+    if config.plots:
+        rows = results.select("row_id", vector(results, names).alias("features"))
+        for name, table in plot_data(results, rows, len(names), names).items():
+            table.write.mode("overwrite").parquet(f"{out}/plots/{name}")
+    if config.html_report:
+        shown = results if "filename" in results.columns else results.withColumn("filename", basename(F.col("filepath")))
+        html_report(shown, [r.asDict() for r in info.orderBy("cluster_id").collect()], f"{out}/report.html")
     return results
+
+
+def graph_embeddings(files: DataFrame, weights: dict | None, out: str) -> DataFrame:
+    """Writes the graph model's ``filepath, embedding`` as Parquet, and returns them."""
+    rows = stored(gcn.embed(files, stored(ast_nodes(files)), weights))
+    rows.write.mode("overwrite").parquet(out)
+    return rows
+
+
+def registered(spark: SparkSession) -> list[str]:
+    """Makes the code functions callable from SQL; their names."""
+
+    class Nodes:
+        def eval(self, code: str):  # noqa: ANN201
+            made = NodeColumns()
+            if code is not None:
+                made.add("", code)
+            for r in made.batch().to_pylist():
+                yield r["pre"], r["parent_pre"], r["type"], r["lineno"], r["name"]
+
+    spark.udtf.register("ast_nodes", F.udtf(Nodes, returnType="pre int, parent_pre int, type string, lineno int, name string"))
+    spark.udf.register("clean_code", F.pandas_udf(lambda s: s.map(guarded, na_action="ignore"), "string"))
+    return ["ast_nodes", "clean_code"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from grove.operators import anomaly, ast_table, cluster, fusion, gcn, profile, r
 from grove.plans import report
 from grove.plans.corpus import source_corpus
 from grove.sources import files as sources
-from grove.storage import sealed
+from grove.storage import sealed, shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,7 +46,7 @@ FILES = "(SELECT doc_id, coalesce(source,'none')||'__x/'||doc_id||'.py' AS path,
 
 def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     made = source_corpus(table(spark, d, "documents").select("doc_id"))
-    return made, sealed(ast_table.ast_nodes(made))
+    return made, stored(ast_table.ast_nodes(made))
 
 
 def _id(path: str = "filepath"):
@@ -243,11 +244,13 @@ def escaped_html(spark, d):
 
 # ---- store
 
-_STORE = f"(SELECT path AS filepath, sha256(CASE WHEN doc_id%6=0 THEN code||'x' ELSE code END) AS code_hash FROM {FILES} WHERE doc_id%2=0)"
+#: All documents are in the store, every sixth with another text, every fifth under another path.
+_STORE = f"(SELECT CASE WHEN doc_id%5=0 THEN 'old/'||path ELSE path END AS filepath, sha256(CASE WHEN doc_id%6=0 THEN code||'x' ELSE code END) AS code_hash FROM {FILES})"
 
 
 def _stored(spark, d):
-    f = _files(spark, d).where("doc_id % 2 = 0").withColumn("code", F.when(F.col("doc_id") % 6 == 0, F.concat("code", F.lit("x"))).otherwise(F.col("code")))
+    path = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("old/"), "filepath")).otherwise(F.col("filepath"))
+    f = _files(spark, d).withColumns({"filepath": path, "code": F.when(F.col("doc_id") % 6 == 0, F.concat("code", F.lit("x"))).otherwise(F.col("code"))})
     return store.records(f.withColumn("embedding", F.array(F.col("doc_id").cast("float"))))
 
 
@@ -256,21 +259,23 @@ def new_or_changed(spark, d):
     return store.new_or_changed(_files(spark, d), _stored(spark, d)).select("doc_id", "filepath")
 
 
-@query(f"SELECT path AS filepath, sha256(code) AS code_hash FROM {FILES} WHERE doc_id%3=0 UNION ALL SELECT filepath, code_hash FROM {_STORE} WHERE filepath NOT IN (SELECT path FROM {FILES} WHERE doc_id%3=0)")
+@query(f"SELECT path AS filepath, sha256(code) AS code_hash FROM {FILES} UNION ALL SELECT filepath, code_hash FROM {_STORE} WHERE filepath NOT IN (SELECT path FROM {FILES})")
 def store_upsert(spark, d):
-    new = store.records(_files(spark, d).where("doc_id % 3 = 0").withColumn("embedding", F.array(F.lit(1.0))))
+    new = store.records(_files(spark, d).withColumn("embedding", F.array(F.lit(1.0))))
     return store.merged(_stored(spark, d), new).select("filepath", "code_hash")
 
 
-@query(f"SELECT doc_id AS pos, path AS filepath, CASE WHEN doc_id%2=0 THEN doc_id::DOUBLE END AS first FROM {FILES}")
+@query(f"SELECT doc_id AS pos, path AS filepath, CASE WHEN doc_id%5<>0 THEN doc_id::DOUBLE END AS first FROM {FILES}")
 def store_lookup(spark, d):
     got = store.lookup(_stored(spark, d), _files(spark, d).select(F.col("doc_id").alias("pos"), "filepath"))
     return got.select("pos", "filepath", F.try_element_at("embedding", F.lit(1)).cast("double").alias("first"))
 
 
-@query(f"SELECT filepath, code_hash FROM {_STORE}")
+@query(f"SELECT path AS filepath, sha256(code) AS code_hash FROM {FILES}")
 def store_hashes(spark, d):
-    return _stored(spark, d).select("filepath", "code_hash")
+    place = store.VectorStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    place.add(_files(spark, d).select("filepath", "code", F.array(F.lit(1.0)).alias("embedding")))
+    return place.hashes()
 
 
 # ---- vectors
@@ -424,7 +429,7 @@ def cluster_representatives(spark, d):
 _MEANS = f"(SELECT cluster, avg(loop_count) l, avg(max_nesting_depth) n, avg(function_count) f, avg(cyclomatic_complexity) c FROM {RESULTS} WHERE cluster<>-1 GROUP BY 1)"
 
 
-@query(f"SELECT cluster, coalesce(nullif(concat_ws(', ', CASE WHEN l>5 THEN 'many loops' WHEN l<2 THEN 'few loops' END, CASE WHEN n>4 THEN 'deeply nested' WHEN n<2 THEN 'shallow' END, CASE WHEN f>5 THEN 'many functions' WHEN f<2 THEN 'few functions' END, CASE WHEN c>8 THEN 'high complexity' WHEN c<3 THEN 'low complexity' END), ''), 'general code patterns') AS description, n>3.9 OR c>6 AS is_outlier FROM {_MEANS}")
+@query(f"SELECT cluster, 'Cluster '||cluster||': '||coalesce(nullif(concat_ws(', ', CASE WHEN l>5 THEN 'many loops' WHEN l<2 THEN 'few loops' END, CASE WHEN n>4 THEN 'deeply nested' WHEN n<2 THEN 'shallow' END, CASE WHEN f>5 THEN 'many functions' WHEN f<2 THEN 'few functions' END, CASE WHEN c>8 THEN 'high complexity' WHEN c<3 THEN 'low complexity' END), ''), 'general code patterns') AS description, n>3.9 OR c>6 AS is_outlier FROM {_MEANS}")
 def cluster_descriptions(spark, d):
     names = ["loop_count", "max_nesting_depth", "function_count", "cyclomatic_complexity"]
     r = _results(spark, d)
@@ -463,7 +468,7 @@ def calinski_harabasz(spark, d):
 
 @query()
 def kmeans_clusters(spark, d):
-    return cluster.kmeans(_rows(spark, d), 10, starts=3)[0]
+    return cluster.kmeans(_rows(spark, d), 10)[0]
 
 
 @query()

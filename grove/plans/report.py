@@ -6,9 +6,10 @@ import html
 from datetime import datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grove.operators.cluster import reduced
 from grove.operators.rules import band
 
 RENAMED = {"filename": "file", "max_nesting_depth": "nesting_depth", "cyclomatic_complexity": "complexity"}
@@ -88,6 +89,40 @@ def report_stats(df: DataFrame, n_clusters: int) -> dict:
     return row.asDict() | {"clusters": n_clusters}
 
 
+def file_row(df: DataFrame, file: str) -> DataFrame:
+    """The first row of a file by ``row_id``; none if it isn't there."""
+    return df.where(F.col("file") == file).orderBy("row_id").limit(1)
+
+
+def demo_rows(spark: SparkSession, n: int = 100, seed: int = 42) -> DataFrame:
+    """Made-up dashboard rows, the same for a seed."""
+    u = lambda k: F.rand(seed + k)
+    whole = lambda k, top: F.floor(u(k) * top).cast("long")
+    return spark.range(n, numPartitions=1).select(
+        F.col("id").alias("row_id"), F.format_string("file_%03d.py", F.col("id")).alias("file"), whole(0, 5).cast("int").alias("cluster"), F.round(100 * u(1), 1).alias("risk_score"),
+        whole(2, 20).alias("function_count"), whole(3, 15).alias("loop_count"), whole(4, 8).alias("nesting_depth"), whole(5, 25).alias("complexity"), (u(6) < 0.1).alias("is_anomaly"),
+    )
+
+
+def cluster_points(rows: DataFrame, labels: DataFrame, dim: int, method: str = "pca") -> DataFrame:
+    """``row_id, x, y, cluster, size``: two coordinates of each row and how many rows its label has."""
+    at = reduced(rows, dim, method).select("row_id", F.try_element_at("features", F.lit(1)).alias("x"), F.coalesce(F.try_element_at("features", F.lit(2)), F.lit(0.0)).alias("y"))
+    return at.join(labels.select("row_id", "cluster"), "row_id").join(labels.groupBy("cluster").agg(F.count("*").alias("size")), "cluster").select("row_id", "x", "y", "cluster", "size")
+
+
+def elbow(spark: SparkSession, tried: list[dict]) -> DataFrame:
+    """``k, inertia, silhouette`` of what ``optimal_k`` tried."""
+    return spark.createDataFrame([(r["k"], r["inertia"], r["silhouette"]) for r in tried], "k int, inertia double, silhouette double")
+
+
+def plot_data(results: DataFrame, rows: DataFrame, dim: int, names: list[str]) -> dict[str, DataFrame]:
+    """The tables behind the summary figures: points by cluster, risks, riskiest files, features that part clusters."""
+    return {
+        "clusters": cluster_points(rows, results.select("row_id", "cluster"), dim), "risk_histogram": histogram(results, "risk_score"),
+        "riskiest": riskiest(results, 20).select("row_id", "filepath", "risk_score"), "importance": feature_importance(results, names),
+    }
+
+
 def html_report(df: DataFrame, cluster_info: list[dict], path: str, title: str = "Code analysis", plots: list[str] | None = None) -> Path:
     """Writes the page; ten rows and the clusters are all that reaches the driver. All texts are escaped."""
     stats = report_stats(df, len(cluster_info))

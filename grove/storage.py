@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,13 @@ def sealed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``sealed``, but as Parquet, of which later steps read the columns that they need only."""
+    at = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder wherever it is stored."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grove.config import EXCLUDED
 from grove.operators.store import VectorStore, new_or_changed
+from grove.sources.files import valid
 
 
-def follow(spark: SparkSession, directory: str, store: VectorStore, embed: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = True):
-    """Each micro-batch embeds the files whose hash is new and upserts them; edits in place are found by a batch run."""
+def follow(spark: SparkSession, directory: str, store: VectorStore, embed: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = True, patterns=EXCLUDED):
+    """Each micro-batch embeds the files whose hash is new and upserts them, under the scan's rules for names, sizes and encoding; edits in place are found by a batch run."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.py").option("recursiveFileLookup", "true").load(directory)
-    files = raw.where(F.is_valid_utf8(F.col("content"))).select(F.col("path").alias("filepath"), F.decode("content", "UTF-8").alias("code"))
+    files = raw.where(valid(F.regexp_replace("path", "^file:/*", "/"), F.col("length"), F.col("content"), patterns)).select(F.col("path").alias("filepath"), F.decode("content", "UTF-8").alias("code"))
 
     def upsert(batch: DataFrame, _: int) -> None:
         fresh = new_or_changed(batch, store.all())

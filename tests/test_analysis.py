@@ -122,7 +122,7 @@ def test_profiles(spark):
     labels = spark.createDataFrame([(0, 0), (1, 0), (2, -1)], "row_id long, cluster int")
     p = profile.profiles(x, labels, ["loop_count", "cyclomatic_complexity"]).first()
     assert (p["size"], round(p["percentage"], 2), p["means"]["loop_count"], p["stds"]["loop_count"], list(p["representatives"])) == (2, 66.67, 2.0, 1.0, [0, 1])
-    assert p["description"] == "high complexity"
+    assert p["description"] == f"Cluster {p['cluster']}: high complexity"
 
 
 def test_config(tmp_path):

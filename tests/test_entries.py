@@ -39,26 +39,75 @@ def test_extract_and_analyse(spark, corpus, tmp_path):
     assert report.report_stats(out, 3)["total"] == 40
 
 
-def test_run_writes_everything(spark, corpus, tmp_path):
-    src = tmp_path / "src"
-    src.mkdir()
+def test_run_writes_everything(spark, corpus, tmp_path, tmp_path_factory):
+    src = tmp_path_factory.mktemp("source")  # no folder may be named like a test
     for i, r in enumerate(corpus.limit(12).collect()):
         (src / f"f{i}.py").write_text(r["code"] + "# " + "x" * 60)
-    config = ProjectConfig(algorithm="hierarchical", n_clusters=2, anomaly_algorithm="isolation_forest", excluded_patterns=[])
-    from grove.sources.files import scan
-
-    files = scan(spark, str(src), patterns=()).select(F.col("path").alias("filepath"), "code")
-    assert pipeline.analyse(pipeline.extract(files, config), files, config=config).count() >= 10
-
-
-def test_stream_upserts(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    (src / "a.py").write_text("x = 1\n")
+    (src / "test_a.py").write_text("x = 1\n" * 20)
+    config = ProjectConfig(algorithm="hierarchical", n_clusters=2, anomaly_algorithm="isolation_forest")
+    load = lambda: lambda codes: np.array([[len(c), 1.0, c.count("def")] for c in codes], np.float32)
+    out = tmp_path / "out"
+    results = pipeline.run(spark, str(src), str(out), config, load, 3)
+    n = results.count()
+    assert n >= 10 and not any("test_a" in r["filepath"].rpartition("/")[2] for r in results.collect())
+    read = lambda name: spark.read.parquet(str(out / name))
+    assert read("features").count() == tables.read_features(spark, str(out / "features_csv")).count() == read("results").count() == n
+    assert read("embeddings").count() == VectorStore(spark, str(out / "vector_store"), 3).count() == 12
+    assert sum(json.loads(x)["size"] for f in (out / "cluster_info").glob("*.json") for x in f.read_text().splitlines()) == n
+    assert {p.name for p in (out / "plots").iterdir()} == {"clusters", "risk_histogram", "riskiest", "importance"}
+    assert "<h2>Clusters</h2>" in (out / "report.html").read_text()
+
+
+def test_the_store_spares_the_encoder(spark, tmp_path):
+    files = spark.createDataFrame([("a", "x"), ("b", "yy")], "filepath string, code string")
+    store, asked = VectorStore(spark, str(tmp_path / "s")), []
+    make = lambda f: asked.append(f.count()) or f.select("filepath", F.array(F.length("code").cast("float")).alias("embedding"))
+    for rows in (files, files, files.withColumn("code", F.concat("filepath", F.lit("!")))):
+        assert pipeline.cached_embeddings(rows, store, make).count() == 2
+    assert asked == [2, 2]
+
+
+def test_a_broken_write_leaves_the_store_as_it_was(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([("a", "x", [1.0])], "filepath string, code string, embedding array<float>")
+    store.add(rows)
+    (tmp_path / "v1").mkdir()
+    (tmp_path / "v1" / "part-0.parquet").write_text("half")
+    assert store.count() == 1
+    store.add(rows.withColumn("filepath", F.lit("b")))
+    assert store.count() == 2 and [p.name for p in tmp_path.iterdir()] == ["v2"]
+
+
+def test_sql_functions(spark):
+    assert pipeline.registered(spark) == ["ast_nodes", "clean_code"]
+    assert spark.sql("SELECT clean_code('x = 1  # one') AS c").first()[0].strip() == "x = 1"
+    rows = spark.sql("SELECT f.id, n.type, n.name FROM VALUES (1, 'def f(): pass'), (2, 'x ='), (3, NULL) AS f(id, code), LATERAL ast_nodes(f.code) AS n").collect()
+    assert [r["name"] for r in rows if r["type"] == "FunctionDef"] == ["f"] and len([r for r in rows if r["id"] == 2]) == 1
+
+
+def test_cleaned_files_lookup_demo_rows_and_plot_tables(spark, tmp_path):
+    from grove.functions.text import write_cleaned
+
+    files = spark.createDataFrame([("a/x.py", "x = 1  # c\n"), ("b/x.py", "'" * 3 + "d" + "'" * 3 + "\ny = 2\n"), ("c.py", None)], "filepath string, code string")
+    write_cleaned(files, str(tmp_path / "clean"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "clean")).collect())) == [("a/x.py", "x.py", "x = 1\n"), ("b/x.py", "x.py", "y = 2\n")]
+    rows = report.demo_rows(spark)
+    assert rows.count() == 100 and rows.collect() == report.demo_rows(spark).collect() and report.dashboard_table(rows)
+    assert [r["row_id"] for r in report.file_row(rows, "file_007.py").collect()] == [7] and report.file_row(rows, "none").count() == 0
+    x = rows.select("row_id", F.array(F.col("risk_score"), F.col("complexity").cast("double"), F.col("function_count").cast("double")).alias("features"))
+    points = report.cluster_points(x, rows.select("row_id", "cluster"), 3).collect()
+    assert len(points) == 100 and all(p["size"] == sum(q["cluster"] == p["cluster"] for q in points) for p in points)
+    assert report.elbow(spark, [{"k": 3, "inertia": 2.0, "silhouette": 0.5}]).first()[:] == (3, 2.0, 0.5)
+
+
+def test_stream_upserts(spark, tmp_path, tmp_path_factory):
+    src = tmp_path_factory.mktemp("incoming")
+    (src / "a.py").write_text("x = 1\n" * 20)
     store = VectorStore(spark, str(tmp_path / "store"))
     embed = lambda df: df.select("filepath", F.array(F.length("code").cast("float")).alias("embedding"))
     incremental.follow(spark, str(src), store, embed, str(tmp_path / "cp")).awaitTermination()
-    (src / "b.py").write_text("y = 2\n")
+    (src / "b.py").write_text("y = 2\n" * 20)
+    (src / "short.py").write_text("y")
     incremental.follow(spark, str(src), store, embed, str(tmp_path / "cp")).awaitTermination()
     assert store.count() == 2
 
