@@ -49,7 +49,7 @@ class SumOfSquares:
         for a in range(0, whole, self.size):
             self._close([(doc, a, ids[a : a + self.size], len(ids))])
         if whole < len(ids):
-            self._place((doc, whole, ids[whole:], len(ids)))
+            self._place((doc, whole, ids[whole:].copy(), len(ids)))  # not a view, which would keep the whole batch
 
     def _count(self, h: int, more: int) -> None:
         self.level[h] = n = self.level[h] + more
@@ -116,7 +116,7 @@ class SumOfSquares:
                     self._close(taken(self.size))
 
 
-def pack(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, batch_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, batch_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs all documents into windows of at most ``size`` tokens; a row for each piece.
 
     A document is its words' ids (the tokenizer drops white space, so words are encoded one by one), then ``end_id``.

@@ -137,7 +137,7 @@ class WordIds:
     a word, and if the ends don't add up (a letter that decomposes, say), they are encoded one by one like other words.
     """
 
-    def __init__(self, name: str, room: int = 800_000):
+    def __init__(self, name: str, room: int = 400_000):
         from tokenizers import Tokenizer
 
         self.bpe = Tokenizer.from_file(public_tokenizers.path(name))
