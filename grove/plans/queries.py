@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from grove.functions import text
 from grove.operators import anomaly, ast_table, cluster, fusion, gcn, profile, rules, store, structural, vectors
 from grove.plans import report
-from grove.plans.corpus import source_corpus
+from grove.plans.corpus import SEGMENTS, source_corpus
 from grove.sources import files as sources
 from grove.storage import sealed, shared_dir, stored
 
@@ -75,6 +76,12 @@ RESULTS = "(SELECT doc_id AS row_id, 'f'||doc_id||'.py' AS filename, (n_chars%10
 
 #: How often each segment of the corpus occurs in file n.
 TIMES = "SELECT doc_id, doc_id%3 a, doc_id%4 b, doc_id%2 c, doc_id%5 d, (doc_id//2)%3 e, (doc_id//3)%2 f, (doc_id//4)%2 g, (doc_id//5)%2 h, (doc_id//6)%2 i, (doc_id//7)%2 j, (doc_id//8)%2 k, (doc_id//9)%2 l, (doc_id//10)%2 m, (doc_id//11)%2 o, (doc_id//12)%2 p, (doc_id//13)%2 q FROM documents"
+#: How often as DuckDB has it, beside the code of each segment.
+_SEGMENTS = [(code, times.replace("if(n % 11 = 0, 1, 0)", "CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END").replace("div", "//")) for code, times in SEGMENTS]
+#: The corpus's files as text.
+_TEXTS = "(SELECT n AS doc_id, " + "||".join("repeat('" + code.replace("'", "''") + f"', ({times})::BIGINT)" for code, times in _SEGMENTS) + " AS code FROM (SELECT doc_id AS n FROM documents))"
+#: Syntax nodes of a file that parses: its module and those of its segments.
+_NODES = "1+" + "+".join(f"{sum(1 for _ in ast.walk(ast.parse(code))) - 1}*({times})" for code, times in _SEGMENTS[:-1])
 _DEFS = "(e+f+j+k+l+m+o+p)"
 _LINES = "(2*a+2*b+2*c+4*d+3*e+4*f+4*g+4*h+4*i+2*j+4*k+3*l+2*m+3*o+52*p+7*q+3*a+4*c)"
 
@@ -154,7 +161,7 @@ def ast_summary(spark, d):
     return s.select(_id(), "function_count", "class_count", "import_count", F.coalesce(F.try_element_at("node_counts", F.lit("For")), F.lit(0)).alias("n_for"))
 
 
-@query()
+@query(f"SELECT n AS doc_id, ({_NODES})::BIGINT AS nodes, (2*({_NODES}-1))::BIGINT AS edges FROM (SELECT doc_id AS n FROM documents) WHERE n%11<>0")
 def ast_graph(spark, d):
     nodes = _corpus(spark, d)[1]
     n = ast_table.graph_nodes(nodes).groupBy("filepath").agg(F.count("*").alias("nodes"))
@@ -168,12 +175,12 @@ def graph_embeddings(spark, d):
     return e.select(_id(), F.size("embedding").cast("long").alias("width"), F.forall("embedding", lambda x: x == 0).alias("empty"))
 
 
-@query("SELECT doc_id, doc_id%11<>0 AS parses, doc_id%11=0 AND doc_id%2=1 AS commented FROM documents")
+@query(f"SELECT doc_id, doc_id%11<>0 AS parses, sha256(CASE WHEN doc_id%11<>0 THEN replace(code, '# only a comment', '') ELSE code END) AS code_hash FROM {_TEXTS}")
 def cleaned_code(spark, d):
     made, _ = _corpus(spark, d)
-    clean = sealed(made.select("doc_id", "filepath", text.cleaned(F.col("code")).alias("code")))
+    clean = stored(made.select("doc_id", "filepath", text.cleaned(F.col("code")).alias("code")))
     bad = ast_table.ast_nodes(clean).where("not parse_ok").select("filepath").distinct().withColumn("bad", F.lit(True))
-    return clean.join(bad, "filepath", "left").select("doc_id", F.col("bad").isNull().alias("parses"), F.contains(F.col("code"), F.lit("# only")).alias("commented"))
+    return clean.join(bad, "filepath", "left").select("doc_id", F.col("bad").isNull().alias("parses"), text.code_hash(F.col("code")).alias("code_hash"))
 
 
 # ---- files
@@ -471,11 +478,31 @@ def kmeans_clusters(spark, d):
     return cluster.kmeans(_rows(spark, d), 10)[0]
 
 
+@query("SELECT count(*)::BIGINT AS rows, true AS nearest, true AS inertia_adds_up, true AS all_used FROM embeddings")
+def kmeans_invariants(spark, d):
+    """Every row is in the cluster of its nearest centre, and the inertia is the sum of squared distances to these."""
+    rows = sealed(_rows(spark, d))
+    labels, centers, inertia = cluster.kmeans(rows, 10)
+    gap = F.aggregate(F.zip_with("features", "center", lambda x, c: (x - c) ** 2), F.lit(0.0), lambda s, x: s + x)
+    each = rows.crossJoin(F.broadcast(centers.withColumnRenamed("cluster", "other"))).withColumn("gap", gap).join(labels, "row_id")  # ten centres
+    own = each.groupBy("row_id").agg(F.min("gap").alias("least"), F.min(F.when(F.col("other") == F.col("cluster"), F.col("gap"))).alias("mine"), F.first("cluster").alias("cluster"))
+    return own.agg(F.count("*").alias("rows"), F.bool_and(F.col("mine") <= F.col("least") + 1e-6).alias("nearest"), (F.abs(F.sum("mine") - inertia) < 1e-6 * inertia).alias("inertia_adds_up"), (F.count_distinct("cluster") == 10).alias("all_used"))
+
+
 @query()
 def principal_components(spark, d):
     return cluster.pca(_rows(spark, d), DIM, 2).select("row_id", F.round(F.col("features")[0], 6).alias("x"), F.round(F.col("features")[1], 6).alias("y"))
 
 
+@query("SELECT count(*)::BIGINT AS rows, true AS centred, true AS uncorrelated, true AS falling FROM embeddings")
+def component_invariants(spark, d):
+    """Projections have mean 0, no correlation, and variances that fall."""
+    x = [F.col("features")[i] for i in range(3)]
+    p = cluster.pca(_rows(spark, d), DIM, 3).agg(F.count("*").alias("rows"), *(F.avg(c).alias(f"m{i}") for i, c in enumerate(x)), *(F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)), F.corr(x[0], x[1]).alias("c01"), F.corr(x[0], x[2]).alias("c02"), F.corr(x[1], x[2]).alias("c12"))
+    small = lambda *names: F.greatest(*(F.abs(F.col(n)) for n in names)) < 1e-6
+    return p.select("rows", small("m0", "m1", "m2").alias("centred"), small("c01", "c02", "c12").alias("uncorrelated"), ((F.col("v0") >= F.col("v1")) & (F.col("v1") >= F.col("v2"))).alias("falling"))
+
+
 @query()
 def ward_clusters(spark, d):
     return cluster.hierarchical(_rows(spark, d), 10)
@@ -515,3 +542,23 @@ def one_class_svm(spark, d):
 @query()
 def anomaly_ensemble(spark, d):
     return anomaly.ensemble(_rows(spark, d), DIM)
+
+
+def _consistent(scores: DataFrame, share: float = 0.1) -> DataFrame:
+    """Scores and percentiles within 0 to 100, about the asked share flagged, and none scored below an unflagged row."""
+    odd = F.col("is_anomaly")
+    s = scores.agg(F.count("*").alias("rows"), F.min("score").alias("lo"), F.max("score").alias("hi"), F.min("percentile").alias("plo"), F.max("percentile").alias("phi"), F.avg(odd.cast("int")).alias("flagged"), F.min(F.when(odd, F.col("score"))).alias("in"), F.max(F.when(~odd, F.col("score"))).alias("out"))
+    return s.select("rows", ((F.col("lo") >= 0) & (F.col("hi") <= 100) & (F.col("plo") >= 0) & (F.col("phi") <= 100)).alias("bounded"), (F.abs(F.col("flagged") - share) < 0.02).alias("share"), (F.col("in") >= F.col("out")).alias("ordered"))
+
+
+_CONSISTENT = "SELECT count(*)::BIGINT AS rows, true AS bounded, true AS share, true AS ordered FROM embeddings"
+
+
+@query(_CONSISTENT)
+def isolation_invariants(spark, d):
+    return _consistent(sealed(anomaly.detect(_rows(spark, d), DIM)))
+
+
+@query(_CONSISTENT)
+def one_class_invariants(spark, d):
+    return _consistent(sealed(anomaly.detect(_rows(spark, d), DIM, algorithm="one_class_svm")))
