@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
-import json
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grove.operators.structural import FEATURES
+from grove.storage import sealed
 
 _WHOLE = [f for f in FEATURES if f not in ("avg_function_length", "has_recursion", "has_main_guard", "has_type_hints")]
 SCHEMA = "filepath string, filename string, " + ", ".join(f"{f} {'long' if f in _WHOLE else 'double' if f == 'avg_function_length' else 'boolean'}" for f in FEATURES)
@@ -22,11 +25,25 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str, names: list[str] | str) -> DataFrame:
-    """``filepath, embedding, row_id`` of a NumPy matrix (through Spark's reader) and the paths in its rows' order."""
-    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    """``filepath, embedding, row_id`` of a NumPy matrix (through Spark's reader) and the paths in its rows' order.
+
+    The file is taken apart by the task that reads it; the paths are a list or a JSON file of one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                x = np.load(io.BytesIO(raw.as_py()), allow_pickle=False).astype(np.float32)
+                for at in range(0, len(x), 4096):
+                    part = x[at : at + 4096]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * x.shape[1], pa.int32()), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), lists], ["row_id", "embedding"])
+
+    rows = sealed(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row_id long, embedding array<float>"))
     if isinstance(names, str):
-        names = json.loads("\n".join(r[0] for r in spark.read.text(names, wholetext=True).collect()))
-    x = np.load(io.BytesIO(bytes(raw)), allow_pickle=False)
-    if len(x) != len(names):
-        raise ValueError(f"the matrix has {len(x)} rows for {len(names)} files")
-    return spark.createDataFrame([(n, [float(v) for v in row], i) for i, (n, row) in enumerate(zip(names, x, strict=True))], "filepath string, embedding array<float>, row_id long")
+        listed = spark.read.text(names, wholetext=True).select(F.posexplode(F.from_json("value", "array<string>")).alias("row_id", "filepath"))
+    else:
+        listed = spark.createDataFrame(list(enumerate(names)), "row_id long, filepath string")
+    if (n := rows.count()) != (m := listed.count()):
+        raise ValueError(f"the matrix has {n} rows for {m} files")
+    return rows.join(listed.withColumn("row_id", F.col("row_id").cast("long")), "row_id").select("filepath", "embedding", "row_id")
