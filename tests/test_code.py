@@ -75,7 +75,7 @@ def test_rules(spark, rule, bad, good):
 
 
 def test_magic_numbers_stop_at_five_and_repeat_for_nested_functions(spark):
-    assert [m for r, _, m in found(spark, "def f():\n    def g():\n        return 7\n") if r == "MAGIC_NUMBER"] == ["Magic number 7 should be extracted to a named constant."] * 2
+    assert [m for r, _, m in found(spark, "def f():\n    def g():\n        return 7\n") if r == "MAGIC_NUMBER"] == ["unnamed constant 7"] * 2
     assert sum(r == "MAGIC_NUMBER" for r, _, _ in found(spark, "def f():\n    return [3, 4, 5, 6, 7, 8, 9]\n")) == 5
 
 
