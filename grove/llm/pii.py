@@ -82,8 +82,10 @@ def base_spans(text: Column) -> Column:
 
 def candidates(text: Column, base: Column) -> Column:
     """What may be an added span and overlaps no base span, with the text ``before`` and the characters ``after`` it."""
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    spans = F.filter(F.concat(*(found(text, pattern, kind, text.rlike(HINTS[kind])) for kind, pattern in CANDIDATES.items())), free)
+    over = lambda s: lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    more = F.concat(*(found(text, pattern, kind, text.rlike(HINTS[kind])) for kind, pattern in CANDIDATES.items()))
+    # a variable for the base spans, which would otherwise be sought anew for each candidate
+    spans = F.element_at(F.transform(F.array(base), lambda own: F.filter(more, lambda s: ~F.exists(own, over(s)))), 1)
     start = lambda s: F.greatest(s["start"] - NEAR, F.lit(0))
     return F.transform(spans, lambda s: s.withField("before", F.substring(text, start(s) + 1, s["start"] - start(s))).withField("after", F.substring(text, s["end"] + 1, F.lit(2))))
 

@@ -346,3 +346,14 @@ def test_clashing_columns_and_null_ids(spark):
     assert found.columns[:5] == df.columns and [len(r["spans_"]) for r in found.orderBy("start").collect()] == [0, 1, 1]
     assert {r["spans"] for r in found.collect()} == {"u", None}
     assert fingerprints.edited_likeness(df).count() == 3
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"Ab Cd{'e' * (i % 7)} a{i}@b.org" if i % 3 else "word" for i in range(3_000))
+    df = spark.createDataFrame([(1, text, f"http://a.net/{'x' * 200_000}")], "doc_id long, text string, url string").withColumn("source", F.lit("s"))
+    r = quality.quality_rules(df).first()
+    assert r["n_words"] == len(text.split()) and r["word_chars"] == sum(map(len, text.split()))
+    spans = pii.personal_data(df).select(F.explode("spans").alias("s")).where("s.kind = 'email'").select("s.*").collect()
+    want = [(m.start(), m.end()) for m in re.finditer(r"a[0-9]+@b\.org", text)]
+    assert [(x["start"], x["end"]) for x in spans] == want and len(want) == 2_000
+    assert len(urls.url_filter(df, id_col="doc_id").first()["path"]) == 200_001
