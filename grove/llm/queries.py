@@ -12,8 +12,11 @@ from grove.llm.ngram_join import ngram_components
 from grove.llm.packing import pack
 from grove.llm.pii import KINDS, joined, personal_data
 from grove.llm.quality import quality_rules
+from grove.llm.simhash import simhash_components
+from grove.llm.spelling import spelling_variants
 from grove.llm.suffixes import suffix_dedup
 from grove.llm.tokens import token_counts
+from grove.llm.trie import conversation_trie
 from grove.llm.urls import url_filter
 
 
@@ -64,7 +67,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_suffix_dedup, op3_packing, op4_quality_rules, op5_pii, op6_mixing, op7_token_counts, op8_fingerprints, op9_ngram_join, op10_url_filters)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_docs(spark, sf_dir))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_suffix_dedup, op3_packing, op4_quality_rules, op5_pii, op6_mixing, op7_token_counts, op8_fingerprints, op9_ngram_join, op10_url_filters, op11_spelling_variants, op12_conversation_trie, op13_simhash)}
 #: Shingle sets, links by counting common shingles, and everything that links reach.
 _COMPONENTS = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
