@@ -91,4 +91,35 @@ u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b)
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, coalesce(min(r.b), d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
 """
-ORACLE_SQL: dict[str, str] = {"op9_ngram_join": _COMPONENTS}
+#: The table of crc32, a row with a list of 256 numbers.
+_CRC = """tb(i, c, k) AS (SELECT range::BIGINT, range::BIGINT, 0 FROM range(256) UNION ALL SELECT i, xor(c >> 1, (c & 1) * 3988292384), k + 1 FROM tb WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY i) AS tab FROM tb WHERE k = 8)"""
+#: Deletions by checksum, links by equal texts without one code point, chains of forms.
+_VARIANTS = f"""
+WITH RECURSIVE {_CRC},
+r AS MATERIALIZED (SELECT i, w, count(*) AS n FROM (SELECT coalesce(doc_id::VARCHAR, '') AS i, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(i || ':' || w, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END))), lambda a, x: xor(a >> 8, tab[xor(a & 255, x) + 1])), 4294967295::BIGINT) AS h FROM r, tab),
+v AS MATERIALIZED (SELECT w, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM h) WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+x AS MATERIALIZED (SELECT w, n, i, w[:i - 1] || w[i + 1:] AS x FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM v)),
+l AS (SELECT a.w AS a, a.n AS na, b.w AS b, b.n AS nb FROM x a JOIN x b ON a.i = b.i AND a.x = b.x AND a.w != b.w UNION SELECT x.w, x.n, v.w, v.n FROM x JOIN v ON v.w = x.x UNION SELECT v.w, v.n, x.w, x.n FROM x JOIN v ON v.w = x.x),
+b AS MATERIALIZED (SELECT a, na, count(*) AS k, min({{'n': -nb, 'w': b}}) AS b FROM l GROUP BY ALL),
+f AS MATERIALIZED (SELECT a AS w, b.w AS form, -b.n AS form_n FROM b WHERE -b.n >= 2 * na),
+s(w, top) AS (SELECT w, form FROM f UNION ALL SELECT s.w, f.form FROM s JOIN f ON f.w = s.top)
+SELECT v.w AS word, f.form, coalesce(e.top, v.w) AS root, v.n, coalesce(b.k, 0)::BIGINT AS n_near, f.form_n
+FROM v LEFT JOIN b ON b.a = v.w LEFT JOIN f ON f.w = v.w LEFT JOIN (SELECT w, top FROM s WHERE top NOT IN (SELECT w FROM f)) e ON e.w = v.w
+"""
+#: Rebuilt turns as lists, a node for each first part of a list, sums over the nodes that a smallest member passes.
+_TRIE = f"""
+WITH RECURSIVE {_CRC},
+o AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS m FROM conversations WHERE conv_id IS NOT NULL),
+h AS MATERIALIZED (SELECT c, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda a, x: xor(a >> 8, tab[xor(a & 255, x) + 1])), 4294967295::BIGINT) % 9 AS h FROM (SELECT DISTINCT c FROM o), tab),
+z AS (SELECT h.c, 0 AS own, o.i, o.m FROM h JOIN o ON o.c = h.base AND o.i < h.h UNION ALL SELECT h.c, 1, o.i, o.m FROM h JOIN o ON o.c = h.c AND o.i >= h.h),
+t AS MATERIALIZED (SELECT h.c, coalesce(list(z.m ORDER BY own, i) FILTER (WHERE z.m IS NOT NULL), []) AS t FROM h LEFT JOIN z ON z.c = h.c GROUP BY h.c),
+p AS MATERIALIZED (SELECT c, d, sha256(t[:d]::VARCHAR) AS k, CASE WHEN d > 0 THEN sha256(t[:d-1]::VARCHAR) END AS up, d = len(t) AS last, CASE WHEN d > 0 THEN strlen(t[d].t) ELSE 0 END AS b FROM (SELECT c, t, unnest(range(len(t) + 1)) AS d FROM t)),
+n AS MATERIALIZED (SELECT k, any_value(d) AS d, any_value(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(b) AS s, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE last), '')) AS e FROM p GROUP BY k),
+k AS MATERIALIZED (SELECT up, count(*) AS n FROM n WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT p.k, count(*) FILTER (WHERE k.n IS NULL) AS leaves, sum(n.s) AS saved FROM n JOIN p ON p.c = n.c AND p.d <= n.d LEFT JOIN k ON k.up = n.k GROUP BY p.k)
+SELECT n.c AS conv_id, n.d::BIGINT AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.e AS ends_sha256
+FROM n JOIN s ON s.k = n.k LEFT JOIN k ON k.up = n.k LEFT JOIN n u ON u.k = n.up
+"""
+ORACLE_SQL: dict[str, str] = {"op9_ngram_join": _COMPONENTS, "op11_spelling_variants": _VARIANTS, "op12_conversation_trie": _TRIE}
