@@ -1,4 +1,4 @@
-"""A vector store in Parquet: hash-based change detection, upserts by path, ordered lookups."""
+"""A vector store in Parquet: hash-based change detection, a log of upserts by path, ordered lookups."""
 
 from __future__ import annotations
 
@@ -33,11 +33,17 @@ def lookup(store: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 class VectorStore:
-    """The store at a path: each upsert writes the next version, and the newest complete one is read.
+    """A log of upserts at a path, merged when read.
 
-    Spark writes ``_SUCCESS`` last, so a write that breaks off leaves the version before it in force.
+    Each ``add`` writes a folder ``v<N>`` with its records by ``bucket``, a hash of the path. Records of a path in a later
+    folder replace those before. A bucket that ``MOST`` folders have is rewritten as a whole: ``full/bucket=b`` in a new
+    folder stands for everything before it there. Spark writes ``_SUCCESS`` last, and folders without it are not read,
+    so a write that breaks off changes nothing. What a rewriting made useless goes with the next one, so that readers
+    of the state before can end.
     """
 
+    BUCKETS, MOST = 64, 8
+
     def __init__(self, spark: SparkSession, path: str = DEFAULT_PLACE, dim: int = 768):
         self.spark, self.path, self.dim = spark, path, dim
 
@@ -46,33 +52,85 @@ class VectorStore:
         place = jvm.org.apache.hadoop.fs.Path(self.path)
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _versions(self) -> list[tuple[int, bool]]:
-        """The number of each version, and whether it is complete."""
+    def _names(self, *below: str) -> list[str]:
         fs, path = self._fs()
-        if not fs.exists(path(self.path)):
-            return []
-        names = [x.getPath().getName() for x in fs.listStatus(path(self.path))]
-        return sorted((int(n[1:]), fs.exists(path(self.path, f"{n}/_SUCCESS"))) for n in names if n[:1] == "v" and n[1:].isdigit())
-
-    def _current(self) -> int | None:
-        return max((n for n, whole in self._versions() if whole), default=None)
+        at = path("/".join((self.path, *below)))
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _versions(self) -> list[int]:
+        """All folders' numbers, broken off ones too, as a number is used once only."""
+        return sorted(int(n[1:]) for n in self._names() if n[:1] == "v" and n[1:].isdigit())
+
+    def _log(self) -> dict[int, list[tuple[int, str, bool]]]:
+        """For each bucket the complete folders that have it, as number, kind and whether it is still needed."""
+        out: dict[int, list[tuple[int, str, bool]]] = {}
+        for n in self._versions():
+            for kind in ("delta", "full"):
+                names = self._names(f"v{n}", kind)
+                for name in names if "_SUCCESS" in names else ():
+                    if name.startswith("bucket="):
+                        out.setdefault(int(name[7:]), []).append((n, kind, True))
+        for b, log in out.items():
+            start = max((n for n, kind, _ in log if kind == "full"), default=-1)
+            out[b] = [(n, kind, n >= start) for n, kind, _ in log]
+        return out
+
+    def _folders(self, buckets: set[int] | None = None) -> list[str]:
+        return [f"{self.path}/v{n}/{kind}/bucket={b}" for b, log in self._log().items() if buckets is None or b in buckets for n, kind, needed in log if needed]
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        """The newest record of each path; nulls are a path too."""
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMA)
+        rows = self.spark.read.schema(SCHEMA).parquet(*folders).select("*", F.regexp_extract("_metadata.file_path", r"/v(\d+)/(?:delta|full)/bucket=", 1).cast("int").alias("_v"))
+        if len({f.split("/bucket=")[1] for f in folders}) == len(folders):  # no bucket has two folders
+            return rows.drop("_v")
+        kept = [c for c in rows.columns if c not in ("filepath", "_v")]
+        return rows.groupBy("filepath").agg(F.max_by(F.struct(*kept), "_v").alias("r")).select("filepath", *(F.col(f"r.{c}") for c in kept))
+
+    def _write(self, rows: DataFrame, kind: str) -> int:
+        n = max(self._versions(), default=-1) + 1
+        bucket = F.pmod(F.xxhash64("filepath"), F.lit(self.BUCKETS)).cast("int")
+        rows = rows.withColumn("bucket", bucket).repartition(F.col("bucket"))
+        if kind == "delta":
+            rows = rows.dropDuplicates(["bucket", "filepath"])
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/v{n}/{kind}")
+        return n
 
     def all(self) -> DataFrame:
-        at = self._current()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{at}") if at is not None else self.spark.createDataFrame([], SCHEMA)
+        return self._read(self._folders())
+
+    def of(self, paths: DataFrame) -> DataFrame:
+        """The records of some ``filepath``: only their buckets are read."""
+        bucket = F.pmod(F.xxhash64("filepath"), F.lit(self.BUCKETS)).cast("int")
+        asked = {r["b"] for r in paths.select(bucket.alias("b")).distinct().collect()}
+        return self._read(self._folders(asked)).join(paths.select("filepath").distinct(), "filepath", "left_semi")
 
     def add(self, files: DataFrame) -> int:
-        """Upserts ``filepath, code, embedding``; returns how many."""
-        new = records(files)
-        n = new.count()
-        if n:
-            before = self._versions()
-            at = before[-1][0] + 1 if before else 0
-            merged(self.all(), new).write.parquet(f"{self.path}/v{at}")
+        """Upserts ``filepath, code, embedding``; returns how many. ``files`` are evaluated once, by the write."""
+        n = self._write(records(files), "delta")
+        if not any(name.startswith("bucket=") for name in self._names(f"v{n}", "delta")):
             fs, path = self._fs()
-            for old, _ in before:
-                fs.delete(path(self.path, f"v{old}"), True)
-        return n
+            fs.delete(path(f"{self.path}/v{n}"), True)
+            return 0
+        added = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{n}/delta").count()
+        self.compact()
+        return added
+
+    def compact(self, most: int | None = None) -> set[int]:
+        """Rewrites the buckets that ``most`` folders or more have, and removes what the rewriting before made useless."""
+        log = self._log()
+        due = {b for b, seen in log.items() if sum(needed for *_, needed in seen) >= (most or self.MOST)}
+        if due:
+            fs, path = self._fs()
+            useless = [f"{self.path}/v{n}/{kind}/bucket={b}" for b, seen in log.items() for n, kind, needed in seen if not needed]
+            self._write(self._read(self._folders(due)), "full")
+            for at in useless:
+                fs.delete(path(at), True)
+            for n in self._versions()[:-1]:
+                if not any(name.startswith("bucket=") for kind in ("delta", "full") for name in self._names(f"v{n}", kind)):
+                    fs.delete(path(f"{self.path}/v{n}"), True)
+        return due
 
     def hashes(self) -> DataFrame:
         return self.all().select("filepath", "code_hash").where("filepath is not null and code_hash is not null")

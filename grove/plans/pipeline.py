@@ -69,10 +69,10 @@ def cluster_info(results: DataFrame) -> DataFrame:
 
 def cached_embeddings(files: DataFrame, store: VectorStore, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``filepath, embedding`` of all files; the encoder sees only what the store doesn't have yet or has another text of."""
-    fresh = sealed(new_or_changed(files, store.all()))
+    fresh = sealed(new_or_changed(files, store.of(files)))
     if not fresh.isEmpty():
         store.add(fresh.join(make(fresh), "filepath"))
-    return files.select("filepath").join(store.all().select("filepath", "embedding"), "filepath")
+    return files.select("filepath").join(store.of(files).select("filepath", "embedding"), "filepath")
 
 
 def run(spark: SparkSession, directory: str, out: str | None = None, config: ProjectConfig | None = None, load: Callable | None = None, dim: int = 768) -> DataFrame:
@@ -90,7 +90,7 @@ def run(spark: SparkSession, directory: str, out: str | None = None, config: Pro
         return features
     both = {"header": True, "mode": "overwrite"}
     features.write.mode("overwrite").parquet(f"{out}/features")
-    features.coalesce(1).write.csv(f"{out}/features_csv", **both)
+    features.write.csv(f"{out}/features_csv", **both)
     embeddings = None
     if config.embeddings:
         store = VectorStore(spark, f"{out}/vector_store", dim)
@@ -99,7 +99,7 @@ def run(spark: SparkSession, directory: str, out: str | None = None, config: Pro
         embeddings.write.mode("overwrite").parquet(f"{out}/embeddings")
     results = stored(analyse(features, files, embeddings, dim, config))
     results.write.mode("overwrite").parquet(f"{out}/results")
-    results.coalesce(1).write.csv(f"{out}/results_csv", **both)
+    results.write.csv(f"{out}/results_csv", **both)
     info = stored(cluster_info(results))
     info.coalesce(1).write.mode("overwrite").json(f"{out}/cluster_info")
     names = available(features)

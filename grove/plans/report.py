@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from grove.operators.cluster import reduced
 from grove.operators.rules import band
+from grove.storage import write_text
 
 RENAMED = {"filename": "file", "max_nesting_depth": "nesting_depth", "cyclomatic_complexity": "complexity"}
 REQUIRED = ("file", "cluster", "risk_score", "function_count", "loop_count", "nesting_depth", "complexity")
@@ -135,10 +136,8 @@ def html_report(df: DataFrame, cluster_info: list[dict], path: str, title: str =
     images = "".join(f"<img src='{e(p)}' alt='plot'>" for p in plots or [])
     style = ".card{display:inline-block;margin:8px;padding:12px;border:1px solid #ccc}.card span{display:block}.high{background:#fdd}.medium{background:#ffd}table{border-collapse:collapse}td,th{padding:4px 10px;border:1px solid #ddd}"
     page = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{e(title)}</title><style>{style}</style></head><body><h1>{e(title)}</h1><p>{datetime.now():%Y-%m-%d %H:%M}</p>{cards}<h2>Riskiest files</h2><table><tr><th>File</th><th>Risk</th><th>Level</th></tr>{risky}</table><h2>Clusters</h2><table><tr><th>Cluster</th><th>Size</th><th>Share</th><th>Description</th></tr>{groups}</table>{images}</body></html>"
-    out = Path(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    out.write_text(page)
-    return out
+    write_text(df.sparkSession, str(path), page)
+    return Path(path)
 
 
 def anomaly_text(scores: DataFrame, stats: DataFrame, n: int = 10) -> str:

@@ -39,6 +39,14 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text wherever the path is stored, over what is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def running(df: DataFrame, order: list[Column], value: Column, out: str, peers: bool = True) -> DataFrame:
     """``out``: the running total of ``value`` in the given order (with ``peers``, equal rows share theirs).
 

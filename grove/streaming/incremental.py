@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from grove.config import EXCLUDED
 from grove.operators.store import VectorStore, new_or_changed
 from grove.sources.files import valid
+from grove.storage import sealed
 
 
 def follow(spark: SparkSession, directory: str, store: VectorStore, embed: Callable[[DataFrame], DataFrame], checkpoint: str, once: bool = True, patterns=EXCLUDED):
@@ -18,7 +19,7 @@ def follow(spark: SparkSession, directory: str, store: VectorStore, embed: Calla
     files = raw.where(valid(F.regexp_replace("path", "^file:/*", "/"), F.col("length"), F.col("content"), patterns)).select(F.col("path").alias("filepath"), F.decode("content", "UTF-8").alias("code"))
 
     def upsert(batch: DataFrame, _: int) -> None:
-        fresh = new_or_changed(batch, store.all())
+        fresh = sealed(new_or_changed(batch, store.of(batch)))
         store.add(fresh.join(embed(fresh), "filepath"))
 
     writer = files.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)

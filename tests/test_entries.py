@@ -33,7 +33,7 @@ def test_extract_and_analyse(spark, corpus, tmp_path):
     info = pipeline.cluster_info(out)
     assert sum(r["size"] for r in info.collect()) == 40
     path = str(tmp_path / "csv")
-    features.coalesce(1).write.csv(path, header=True)
+    features.write.csv(path, header=True)
     again = tables.read_features(spark, path)
     assert again.count() == 40 and dict(again.dtypes)["has_recursion"] == "boolean"
     assert report.report_stats(out, 3)["total"] == 40
@@ -60,22 +60,61 @@ def test_run_writes_everything(spark, corpus, tmp_path, tmp_path_factory):
 
 def test_the_store_spares_the_encoder(spark, tmp_path):
     files = spark.createDataFrame([("a", "x"), ("b", "yy")], "filepath string, code string")
-    store, asked = VectorStore(spark, str(tmp_path / "s")), []
-    make = lambda f: asked.append(f.count()) or f.select("filepath", F.array(F.length("code").cast("float")).alias("embedding"))
-    for rows in (files, files, files.withColumn("code", F.concat("filepath", F.lit("!")))):
-        assert pipeline.cached_embeddings(rows, store, make).count() == 2
-    assert asked == [2, 2]
+    store, encoded = VectorStore(spark, str(tmp_path / "s")), spark.sparkContext.accumulator(0)
+
+    def encode(frames):
+        for f in frames:
+            encoded.add(len(f))
+            yield f[["filepath"]].assign(embedding=[[float(len(c))] for c in f["code"]])
+
+    make = lambda f: f.mapInPandas(encode, "filepath string, embedding array<float>")
+    for rows, seen in ((files, 2), (files, 2), (files.withColumn("code", F.concat("filepath", F.lit("!"))), 4), (files.limit(1), 5)):
+        assert pipeline.cached_embeddings(rows, store, make).count() == rows.count() and encoded.value == seen
+
+
+def _vectors(spark, names, value=1.0):
+    return spark.createDataFrame([(n, f"{n} {value}", [value]) for n in names], "filepath string, code string, embedding array<float>")
 
 
 def test_a_broken_write_leaves_the_store_as_it_was(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path))
-    rows = spark.createDataFrame([("a", "x", [1.0])], "filepath string, code string, embedding array<float>")
-    store.add(rows)
-    (tmp_path / "v1").mkdir()
-    (tmp_path / "v1" / "part-0.parquet").write_text("half")
+    store.add(_vectors(spark, "a"))
+    for kind in ("delta", "full"):  # broken off before _SUCCESS
+        half = tmp_path / "v1" / kind / next((tmp_path / "v0" / "delta").glob("bucket=*")).name
+        half.mkdir(parents=True)
+        (half / "part-0.parquet").write_text("half")
     assert store.count() == 1
-    store.add(rows.withColumn("filepath", F.lit("b")))
-    assert store.count() == 2 and [p.name for p in tmp_path.iterdir()] == ["v2"]
+    store.add(_vectors(spark, "b"))
+    store.add(_vectors(spark, "a", 2.0))
+    assert {r["filepath"]: r["embedding"] for r in store.all().collect()} == {"a": [2.0], "b": [1.0]} and (tmp_path / "v2").exists()
+
+
+def test_an_upsert_writes_its_buckets_only(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path))
+    names = [f"f{i}.py" for i in range(500)]
+    assert store.add(_vectors(spark, names)) == 500
+    before = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert store.add(_vectors(spark, [*names[:9], "new.py"], 2.0)) == 10
+    assert len(list((tmp_path / "v1").rglob("*.parquet"))) <= 10 and {p: p.stat().st_mtime_ns for p in before} == before
+    got = {r["filepath"]: r["embedding"][0] for r in store.all().collect()}
+    assert len(got) == 501 and all(got[n] == (2.0 if n in names[:9] else 1.0) for n in names) and got["new.py"] == 2.0
+    asked = spark.createDataFrame([("new.py",), ("no.py",), ("f3.py",), ("f3.py",)], "filepath string")
+    assert sorted((r["filepath"], r["embedding"][0]) for r in store.of(asked).collect()) == [("f3.py", 2.0), ("new.py", 2.0)]
+
+
+def test_compaction_keeps_the_newest_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(VectorStore, "MOST", 3)
+    monkeypatch.setattr(VectorStore, "BUCKETS", 4)
+    store, want = VectorStore(spark, str(tmp_path)), {}
+    for step in range(7):
+        names = [f"f{i}" for i in range(step, step + 6)]
+        old = store.all()
+        store.add(_vectors(spark, names, float(step)))
+        assert {r["filepath"]: r["embedding"][0] for r in old.collect()} == want  # readers of the state before go on
+        want |= {n: float(step) for n in names}
+        assert {r["filepath"]: r["embedding"][0] for r in store.all().collect()} == want
+    assert list(tmp_path.glob("v*/full/bucket=*")) and not (tmp_path / "v0").exists()
+    assert store.compact(1) and store.count() == len(want)
 
 
 def test_sql_functions(spark):
