@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grove.operators.cluster import distances
-from grove.operators.fusion import min_max, percentile_rank, standardized
+from grove.operators.fusion import min_max, percentile_rank, quantile, standardized
+from grove.operators.neighbours import distances
 from grove.storage import sealed
 
 TREES, SAMPLE, SEED = 100, 256, 42
@@ -114,8 +114,7 @@ def scored(rows: DataFrame, model) -> DataFrame:
 
 def flagged(scores: DataFrame, col: str, contamination: float, out: str = "is_anomaly") -> DataFrame:
     """Rows whose negated score is below its percentile of the contamination."""
-    cut = scores.agg(F.percentile(-F.col(col), contamination).alias("_cut"))
-    return scores.crossJoin(F.broadcast(cut)).withColumn(out, -F.col(col) < F.col("_cut")).drop("_cut")  # one row
+    return scores.withColumn(out, -F.col(col) < F.lit(quantile(scores.select((-F.col(col)).alias("v")), "v", contamination)))
 
 
 def lof(rows: DataFrame, k: int = 20) -> DataFrame:

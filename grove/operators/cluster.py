@@ -6,18 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grove.operators.fusion import standardized
-from grove.storage import running, sealed
+from grove.operators.hierarchy import compact, single
+from grove.operators.neighbours import apart, distances
+from grove.operators.sums import matrix, summed
+from grove.storage import running, sealed, stored
 
 #: Rows: ``row_id long, features array<double>``. Defaults.
 K, STARTS, ROUNDS, SEED, EPS, MIN_SAMPLES, K_RANGE, MOST_COMPONENTS = 7, 10, 300, 42, 0.5, 3, (3, 15), 50
-#: So many rows at most go to one task where an algorithm needs all of them (hierarchies, t-SNE).
-ONE_TASK = 5000
+#: So many rows at most go to one task for t-SNE, and so many starts of k-means are drawn from.
+ONE_TASK, SEEDS = 5000, 4096
 
 
 def preprocessed(rows: DataFrame, dim: int, normalize: bool = True, reduce: bool = True) -> DataFrame:
@@ -60,13 +61,89 @@ def pca(rows: DataFrame, dim: int, k: int) -> DataFrame:
     return rows.select(*other, "features").mapInPandas(project, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in other) + ", features array<double>")
 
 
+def seeded(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k rows of x, each drawn in proportion to its squared distance from those before."""
+    r = np.random.default_rng(seed)
+    at = [int(r.integers(len(x)))]
+    near = ((x - x[at[0]]) ** 2).sum(axis=1)
+    while len(at) < k:
+        at.append(int(r.choice(len(x), p=near / near.sum())) if near.sum() > 0 else int(r.integers(len(x))))
+        near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(axis=1))
+    return x[at]
+
+
+def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * x @ c.T, 0)
+
+
+def lloyd(data: DataFrame, models: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = 1e-6) -> list[tuple[np.ndarray, float]]:
+    """Centres and inertia of all models after Lloyd's rounds: a round is one job over the rows for all models together.
+
+    A task sends each centre's sum and count and each model's squared error. A model rests when no centre moves by
+    ``tolerance``; a centre without rows stays where it is.
+    """
+    moving, cost = [True] * len(models), [0.0] * len(models)
+    for step in range(rounds + 1):
+        run = [i for i, m in enumerate(moving) if m] if step < rounds and any(moving) else list(range(len(models)))
+        last, centers = step == rounds or not any(moving), [models[i] for i in run]
+
+        def part(f: pd.DataFrame, centers=centers, last=last) -> np.ndarray:
+            x, out = matrix(f), []
+            for c in centers:
+                d = _squares(x, c)
+                own = d.argmin(axis=1)
+                out.append([((x - c[own]) ** 2).sum()])
+                if not last:
+                    hot = np.eye(len(c))[own]
+                    out += [hot.sum(axis=0), (hot.T @ x).ravel()]
+            return np.concatenate(out)
+
+        got, at = summed(data, part), 0
+        for i in run:
+            k, dim = models[i].shape
+            cost[i], at = float(got[at]), at + 1
+            if not last:
+                n, s = got[at : at + k], got[at + k : at + k + k * dim].reshape(k, dim)
+                at += k + k * dim
+                new = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], models[i])
+                moving[i] = bool((((new - models[i]) ** 2).sum(axis=1) > tolerance**2).any())
+                models[i] = new
+        if last:
+            return list(zip(models, cost, strict=True))
+    raise AssertionError
+
+
+def fitted(rows: DataFrame, ks: list[int], starts: int = STARTS, rounds: int = ROUNDS, seed: int = SEED) -> list[tuple[np.ndarray, float]]:
+    """For each k the centres and inertia of the best of several starts, all in the same passes over the rows.
+
+    Starts are drawn from SEEDS rows at most, those with the smallest hashed ids; every round takes all rows.
+    """
+    data = stored(rows.select(F.transform("features", lambda v: v.cast("double")).alias("features")))
+    some = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(SEEDS).select("features").collect()
+    if not some:
+        raise ValueError("no rows to cluster")
+    x = np.array([r["features"] for r in some], float)
+    done = lloyd(data, [seeded(x, k, seed + s) for k in ks for s in range(starts)], rounds)
+    return [min(done[i * starts : (i + 1) * starts], key=lambda m: m[1]) for i in range(len(ks))]
+
+
+def nearest(rows: DataFrame, models: dict[str, np.ndarray]) -> DataFrame:
+    """``row_id`` and for each model the number of the nearest centre."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                x = matrix(f)
+                yield pd.DataFrame({"row_id": f["row_id"]} | {name: _squares(x, c).argmin(axis=1).astype(np.int32) for name, c in models.items()})
+
+    return rows.select("row_id", "features").mapInPandas(run, "row_id long, " + ", ".join(f"{name} int" for name in models))
+
+
 def kmeans(rows: DataFrame, k: int = K, starts: int = STARTS, rounds: int = ROUNDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, float]:
     """Labels, centres and inertia of the best of several starts."""
-    data = sealed(rows.select("row_id", array_to_vector(F.col("features")).alias("features")))
-    best = min((KMeans(k=k, maxIter=rounds, seed=seed + i).fit(data) for i in range(starts)), key=lambda m: m.summary.trainingCost)
-    labels = best.transform(data).select("row_id", F.col("prediction").alias("cluster"))
-    centers = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())], "cluster int, center array<double>")
-    return labels, centers, float(best.summary.trainingCost)
+    (best, inertia), = fitted(rows, [k], starts, rounds, seed)
+    centers = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best)], "cluster int, center array<double>")
+    return nearest(rows, {"cluster": best}), centers, inertia
 
 
 def _blocks(rows: DataFrame, block: int, *more: str) -> tuple[DataFrame, DataFrame]:
@@ -79,50 +156,27 @@ def _blocks(rows: DataFrame, block: int, *more: str) -> tuple[DataFrame, DataFra
     return left, right.select("id2", "y", *(f"{c}2" for c in more), "i", "j")
 
 
-def _apart(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    x, y = np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy())
-    return np.sqrt(np.stack([((y - row) ** 2).sum(axis=1) for row in x]))
-
+def cluster_distances(rows: DataFrame, labels: DataFrame, names: list[str], block: int = 2000) -> DataFrame:
+    """``m, a, ca, cb, s, n``: by each labelling, a row's cluster, and the sum and number of its distances to every cluster's rows.
 
-def distances(rows: DataFrame, eps: float | None = None, k: int | None = None, block: int = 2000) -> DataFrame:
-    """``a, b, d`` between rows at most ``eps`` apart (a row with itself too), or between each row and its ``k`` nearest others.
-
-    Blocks meet blocks, and only what is asked for leaves a task; of equal distances the smaller ids are nearer.
+    Distances are taken once for all labellings (columns ``names`` of ``labels``).
     """
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"m": [], "a": [], "ca": [], "cb": [], "s": [], "n": []})
         if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": [], "d": []})
-        d, x, y = _apart(a, b), a["row_id"].to_numpy(), b["id2"].to_numpy()
-        keep = np.ones(d.shape, bool) if eps is None else d <= eps
-        if k is not None:
-            keep &= x[:, None] != y[None]
-            far = np.where(keep, d, np.inf)
-            keep &= d <= np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, [min(k, far.shape[1]) - 1]]
-        i, j = np.nonzero(keep)
-        return pd.DataFrame({"a": x[i], "b": y[j], "d": d[i, j]})
-
-    left, right = _blocks(rows, block)
-    out = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, "a long, b long, d double")
-    if k is None:
-        return out
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rank") <= k)
-
-
-def cluster_distances(rows: DataFrame, labels: DataFrame, block: int = 2000) -> DataFrame:
-    """``a, ca, cb, s, n``: each row's cluster, and the sum and number of its distances to the rows of every cluster."""
+            return empty
+        d, out = apart(np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy())), []
+        for m, name in enumerate(names):
+            kinds, of = np.unique(b[f"{name}2"].to_numpy(), return_inverse=True)
+            s = d @ np.eye(len(kinds))[of]
+            wide = lambda x: np.repeat(x.to_numpy(), len(kinds))  # noqa: B023, E731
+            out.append(pd.DataFrame({"m": m, "a": wide(a["row_id"]), "ca": wide(a[name]), "cb": np.tile(kinds, len(a)), "s": s.ravel(), "n": np.tile(np.bincount(of), len(a))}))
+        return pd.concat(out)
 
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "ca": [], "cb": [], "s": [], "n": []})
-        kinds, of = np.unique(b["cluster2"].to_numpy(), return_inverse=True)
-        s = _apart(a, b) @ np.eye(len(kinds))[of]
-        wide = lambda x: np.repeat(x.to_numpy(), len(kinds))
-        return pd.DataFrame({"a": wide(a["row_id"]), "ca": wide(a["cluster"]), "cb": np.tile(kinds, len(a)), "s": s.ravel(), "n": np.tile(np.bincount(of), len(a))})
-
-    left, right = _blocks(rows.join(labels.select("row_id", "cluster"), "row_id"), block, "cluster")
-    made = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, "a long, ca int, cb int, s double, n long")
-    return made.groupBy("a", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    left, right = _blocks(rows.join(labels.select("row_id", *names), "row_id"), block, *names)
+    made = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, "m int, a long, ca int, cb int, s double, n long")
+    return made.groupBy("m", "a", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
@@ -151,48 +205,25 @@ def dbscan(rows: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) ->
     return labels.select("row_id", F.coalesce("cluster", "border", F.lit(-1)).alias("cluster"))
 
 
-def _linkage(x: np.ndarray, k: int, method: str) -> np.ndarray:
-    """Labels after merging the two closest clusters until k are left (Lance-Williams updates)."""
-    n = len(x)
-    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
-    d = d if method == "ward" else np.sqrt(d)
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    for _ in range(max(0, n - k)):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        if method == "ward":
-            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
-        else:
-            new = {"complete": np.maximum, "single": np.minimum, "average": lambda p, q: (size[i] * p + size[j] * q) / (size[i] + size[j])}[method](d[i], d[j])  # noqa: B023
-        new[[i, j]] = np.inf
-        d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
-
-
 def hierarchical(rows: DataFrame, k: int = K, linkage: str = "ward") -> DataFrame:
-    """Agglomerative clusters of up to ONE_TASK rows, which the merge order needs together."""
+    """Agglomerative clusters: single linkage exactly, others exactly up to MICRO rows and over micro-clusters beyond."""
     if linkage not in ("ward", "complete", "average", "single"):
         raise ValueError(f"unknown linkage {linkage!r}")
-    if rows.count() > ONE_TASK:
-        raise ValueError(f"hierarchies are built over {ONE_TASK} rows at most")
+    return single(rows, k) if linkage == "single" else compact(rows, k, linkage)
 
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("row_id")
-        return pd.DataFrame({"row_id": f["row_id"], "cluster": _linkage(np.stack(f["features"].to_numpy()).astype(float), k, linkage)})
 
-    return rows.select("row_id", "features").groupBy(F.lit("all")).applyInPandas(fit, "row_id long, cluster int")
+def silhouettes(rows: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
+    """``m, silhouette`` of each labelling: the mean over rows of (b - a) / max(a, b) with Euclidean distances; rows alone in a cluster count 0."""
+    by = cluster_distances(rows, labels, names)
+    same = F.col("ca") == F.col("cb")
+    per = by.groupBy("m", "a").agg(F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("own"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("other"))
+    value = F.when(F.col("own").isNull() | (F.greatest("own", "other") == 0), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
+    return per.groupBy("m").agg(F.avg(value).alias("silhouette"))
 
 
 def silhouette(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``silhouette``: the mean over rows of (b - a) / max(a, b) with Euclidean distances; rows alone in a cluster count 0."""
-    by = cluster_distances(rows, labels)
-    same = F.col("ca") == F.col("cb")
-    per = by.groupBy("a").agg(F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("own"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("other"))
-    value = F.when(F.col("own").isNull() | (F.greatest("own", "other") == 0), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
-    return per.agg(F.avg(value).alias("silhouette"))
+    """``silhouette`` of one labelling, ``cluster``; null without rows."""
+    return silhouettes(rows, labels, ["cluster"]).agg(F.max("silhouette").alias("silhouette"))
 
 
 def calinski_harabasz(rows: DataFrame, labels: DataFrame, dim: int) -> DataFrame:
@@ -215,14 +246,16 @@ def quality(rows: DataFrame, labels: DataFrame, dim: int) -> dict[str, float]:
 
 
 def optimal_k(rows: DataFrame, span: tuple[int, int] = K_RANGE) -> tuple[int, list[dict]]:
-    """The k with the best silhouette (of equals the smallest) and what each k gave."""
-    rows = sealed(rows)
-    tried = []
-    for k in range(span[0], min(span[1], rows.count() - 1) + 1):
-        labels, _, inertia = kmeans(rows, k)
-        tried.append({"k": k, "inertia": inertia, "silhouette": silhouette(rows, labels).first()[0]})
-    best = max(tried, key=lambda r: (r["silhouette"], -r["k"])) if tried else {"k": span[0]}
-    return best["k"], tried
+    """The k with the best silhouette (of equals the smallest) and what each k gave; all k share their passes over the rows."""
+    rows = stored(rows.select("row_id", "features"))
+    ks = list(range(span[0], min(span[1], rows.count() - 1) + 1))
+    if not ks:
+        return span[0], []
+    best = fitted(rows, ks)
+    names = {f"k{k}": c for k, (c, _) in zip(ks, best, strict=True)}
+    shape = {r["m"]: r["silhouette"] for r in silhouettes(rows, stored(nearest(rows, names)), list(names)).collect()}
+    tried = [{"k": k, "inertia": cost, "silhouette": shape[i]} for i, (k, (_, cost)) in enumerate(zip(ks, best, strict=True))]
+    return max(tried, key=lambda r: (r["silhouette"], -r["k"]))["k"], tried
 
 
 def cluster(rows: DataFrame, dim: int, algorithm: str = "kmeans", n_clusters: int | None = None, auto_k: bool = True, **options) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,3 +51,31 @@ def percentile_rank(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def combined_risk(anomaly: Column, rule: Column, weight: float = 0.4) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), weight * anomaly + (1 - weight) * rule))
+
+
+def quantile(rows: DataFrame, col: str, q: float, bins: int = 1024, few: int = 10_000) -> float | None:
+    """The exact quantile with linear interpolation, None without values (nulls don't count).
+
+    Values are counted in equal ranges between the smallest and the largest one, then in ranges of the one that holds
+    the place, until it has ``few`` values or they are all equal. A job gives at most ``bins`` counts.
+    """
+    values = rows.select(F.col(col).cast("double").alias("v")).where("v is not null")
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return None
+    place = q * (n - 1)
+
+    def at(rank: int) -> float:
+        lo, hi, before, inside = low, high, 0, n
+        while lo < hi and inside > few:
+            b = F.least(F.floor((F.col("v") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
+            for r in values.where(F.col("v").between(lo, hi)).groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect():
+                if rank < before + r["n"]:
+                    lo, hi, inside = r["lo"], r["hi"], r["n"]
+                    break
+                before += r["n"]
+        return lo if lo == hi else sorted(r["v"] for r in values.where(F.col("v").between(lo, hi)).collect())[rank - before]
+
+    lower = math.floor(place)
+    below = at(lower)
+    return below if place == lower else (lower + 1 - place) * below + (place - lower) * at(lower + 1)
