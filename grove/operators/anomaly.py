@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from grove.operators.fusion import min_max, percentile_rank, quantile, standardized
 from grove.operators.neighbours import distances
-from grove.storage import sealed
+from grove.operators.sums import matrix, summed
+from grove.storage import sealed, stored
 
 TREES, SAMPLE, SEED = 100, 256, 42
-#: So many rows at most are kept to fit support vectors.
-SVM_ROWS = 2000
+#: So many rows at most span the one-class machine's features; it is fitted to all rows.
+LANDMARKS = 512
 
 
 def _expected(n: float) -> float:
@@ -65,39 +66,73 @@ class IsolationForest:
 
 
 class OneClassSVM:
-    """Support vectors of a Gaussian kernel with a share of ``nu`` outside, fitted to a bounded sample by pairwise steps."""
+    """A Gaussian kernel's boundary with a share of ``nu`` outside, fitted to all rows in the space that landmarks span.
 
-    def __init__(self, nu: float = 0.1, rounds: int = 3000):
-        self.nu, self.rounds = nu, rounds
+    A row's features are its kernel values to LANDMARKS rows (those with the smallest hashed ids), whitened, so that
+    their products give the kernel; what they miss of a row's product with itself (``own``) is kept as a part that the
+    row shares with no other one. In the primal objective this part rounds off the row's hinge. Weights and offset
+    ``rho`` minimise it by Newton steps, with further rounding that shrinks: a step adds up gradients and curvatures
+    over all rows, and only these sums reach the driver. A scored row counts as one of the fitted ones.
+    """
+
+    def __init__(self, nu: float = 0.1, rounding: tuple[float, ...] = (0.3, 0.1, 0.03, 0.01), steps: int = 8):
+        self.nu, self.rounding, self.steps = nu, rounding, steps
 
     def fit(self, rows: DataFrame) -> OneClassSVM:
-        x = _sample(rows, SVM_ROWS)
-        n = len(x)
-        self.gamma = 1 / max(1, x.shape[1])
-        k = self._kernel(x, x)
-        top = 1 / max(1e-9, self.nu * n)
-        a = np.zeros(n)
-        a[: int(self.nu * n)] = top
-        if (rest := 1 - a.sum()) > 1e-12 and n:
-            a[min(int(self.nu * n), n - 1)] += rest
-        g = k @ a
-        for _ in range(self.rounds):
-            up, down = np.where(a < top - 1e-12, g, np.inf), np.where(a > 1e-12, g, -np.inf)
-            i, j = int(np.argmin(up)), int(np.argmax(down))
-            if n < 2 or down[j] - up[i] < 1e-6:
-                break
-            step = min((g[j] - g[i]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), top - a[i], a[j])
-            a[i] += step
-            a[j] -= step
-            g += step * (k[:, i] - k[:, j])
-        self.x, self.a = x[a > 1e-12], a[a > 1e-12]
+        self.z = _sample(rows, LANDMARKS)
+        self.gamma = 1 / max(1, self.z.shape[1])
+        values, axes = np.linalg.eigh(self._kernel(self.z, self.z))
+        keep = values > 1e-10 * max(values.max(initial=0), 1e-300)
+        self.axes = axes[:, keep] / np.sqrt(values[keep])
+        dim, data = self.axes.shape[1], stored(rows.select("features"))
+        mean = summed(data, lambda f: np.r_[len(f), self.phi(matrix(f)).sum(axis=0)])
+        self.w, self.rho, self.top = np.zeros(dim), 0.0, 1.0
+        if mean is None:
+            return self
+        self.w, self.top = mean[1:] / mean[0], 1 / (self.nu * mean[0])
+        self.rho = float(self.w @ self.w)
+        for share in self.rounding:
+            more = share * max(self.rho, 1e-9) / self.top
+            for _ in range(self.steps):
+
+                def slopes(f: pd.DataFrame, w=self.w, rho=self.rho, more=more) -> np.ndarray:
+                    v, own = self._rows(f)
+                    a = v @ np.r_[w, rho] / (own + more)
+                    bent = v[(a > 0) & (a < self.top)] / np.sqrt(own + more)[(a > 0) & (a < self.top), None]
+                    return np.r_[np.clip(a, 0, self.top) @ v, (bent.T @ bent).ravel()]
+
+                got = summed(data, slopes)
+                slope = np.r_[self.w, -1.0] + got[: dim + 1]
+                curve = np.diag(np.r_[np.ones(dim), 1e-9]) + got[dim + 1 :].reshape(dim + 1, dim + 1)
+                tried = np.r_[self.w, self.rho][:, None] - np.linalg.solve(curve, slope)[:, None] * np.r_[0.0, 0.5 ** np.arange(10)]
+
+                def costs(f: pd.DataFrame, tried=tried, more=more) -> np.ndarray:
+                    v, own = self._rows(f)
+                    m, wide = np.maximum(v @ tried, 0), (own + more)[:, None]
+                    return np.where(m < self.top * wide, m**2 / (2 * wide), self.top * m - self.top**2 * wide / 2).sum(axis=0)
+
+                cost = (tried[:-1] ** 2).sum(axis=0) / 2 - tried[-1] + summed(data, costs)
+                best = int(np.argmin(cost))
+                self.w, self.rho = tried[:-1, best], float(tried[-1, best])
+                if cost[0] - cost[best] <= 1e-9 * abs(cost[0]):
+                    break
         return self
 
+    def _rows(self, f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Features against the offset, and each row's own part."""
+        phi = self.phi(matrix(f))
+        return np.c_[-phi, np.ones(len(phi))], np.maximum(1 - (phi**2).sum(axis=1), 0)
+
     def _kernel(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.exp(-self.gamma * np.maximum((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2 * x @ y.T, 0))
 
+    def phi(self, x: np.ndarray) -> np.ndarray:
+        return self._kernel(x, self.z) @ self.axes
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return -(self._kernel(x, self.x) @ self.a)
+        phi = self.phi(x)
+        own, inner = np.maximum(1 - (phi**2).sum(axis=1), 0), phi @ self.w
+        return -(inner + np.minimum(np.maximum(self.rho - inner, 0), self.top * own))
 
 
 def scored(rows: DataFrame, model) -> DataFrame:

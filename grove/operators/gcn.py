@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grove.operators.ast_table import NODE_TYPES, graph_edges, graph_nodes
+from grove.operators.sums import summed
+from grove.storage import stored
 
 WIDTHS = (len(NODE_TYPES) + 1, 64, 64, 32)
 
@@ -92,30 +95,43 @@ def embed(files: DataFrame, nodes: DataFrame, weights: dict[str, np.ndarray] | N
     return files.select("filepath").join(made, "filepath", "left").withColumn("embedding", F.coalesce("embedding", zero))
 
 
-def train(examples: DataFrame, epochs: int = 50, batch: int = 32, rate: float = 0.01, seed: int = 42, most: int = 5000, drop: float = 0.5) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Weights fitted to ``target`` (a risk score over 100) of up to ``most`` graphs by Adam, and each epoch's mean error.
+def train(examples: DataFrame, epochs: int = 50, steps: int = 4, rate: float = 0.01, seed: int = 42, drop: float = 0.5) -> tuple[dict[str, np.ndarray], list[float]]:
+    """Weights fitted to ``target`` (a risk score over 100) of all graphs by Adam, and each epoch's mean error.
 
-    A share ``drop`` of the embedding is left out in each step.
+    An epoch deals the graphs into ``steps`` shares by hash. For each share, tasks add up the gradients of their graphs
+    under the weights so far; only the sums reach the driver. A share ``drop`` of the embedding is left out, by a mask
+    that depends on the graph's path and the step.
     """
-    rows = examples.orderBy(F.xxhash64("filepath"), "filepath").limit(most).collect()
-    data = [(*_inputs(r["types"], r["src"], r["dst"]), r["target"]) for r in rows]
-    w, r, losses, t = fresh(seed), np.random.default_rng(seed), [], 0
+    rows = stored(examples.select("filepath", "types", "src", "dst", "target"))
+    w, losses, t = fresh(seed), [], 0
     m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    for _ in range(epochs if data else 0):
-        total, order = 0.0, r.permutation(len(data))
-        for at in range(0, len(data), batch):
-            part, t = order[at : at + batch], t + 1
-            sums = {k: np.zeros_like(v) for k, v in w.items()}
-            for i in part:
-                loss, g = gradients(w, *data[i], (r.random(WIDTHS[-1]) >= drop) / (1 - drop) if drop else None)
-                total += loss
-                for k, v in g.items():
-                    sums[k] += v / len(part)
-            for k, g in sums.items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                s[k] = 0.999 * s[k] + 0.001 * g * g
-                w[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
-        losses.append(total / len(data))
+    names, cut = list(w), np.cumsum([v.size for v in w.values()])
+    for epoch in range(epochs):
+        total = count = 0
+        for step in range(steps):
+            t += 1
+
+            def part(f: pd.DataFrame, w=w, t=t) -> np.ndarray:
+                out = np.zeros(cut[-1] + 2)
+                for path, types, src, dst, target in zip(f["filepath"], f["types"], f["src"], f["dst"], f["target"], strict=True):
+                    mask = np.random.default_rng([seed, t, zlib.crc32(path.encode())]).random(WIDTHS[-1]) >= drop
+                    loss, g = gradients(w, *_inputs(types, src, dst), target, mask / (1 - drop) if drop else None)
+                    out += np.r_[np.concatenate([g[k].ravel() for k in names]), loss, 1.0]
+                return out
+
+            got = summed(rows.where(F.pmod(F.xxhash64("filepath", F.lit(epoch)), F.lit(steps)) == step), part)
+            if got is None:
+                continue
+            total, count, n = total + got[-2], count + got[-1], got[-1]
+            new = {}
+            for k, g in zip(names, np.split(got[:-2] / n, cut[:-1]), strict=True):
+                g = g.reshape(w[k].shape)
+                m[k], s[k] = 0.9 * m[k] + 0.1 * g, 0.999 * s[k] + 0.001 * g * g
+                new[k] = w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
+            w = new
+        if not count:
+            break
+        losses.append(float(total / count))
     return w, losses
 
 
