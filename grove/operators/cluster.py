@@ -13,12 +13,13 @@ from grove.operators.fusion import standardized
 from grove.operators.hierarchy import compact, single
 from grove.operators.neighbours import apart, distances
 from grove.operators.sums import matrix, summed
+from grove.operators.tsne import tsne
 from grove.storage import running, sealed, stored
 
 #: Rows: ``row_id long, features array<double>``. Defaults.
 K, STARTS, ROUNDS, SEED, EPS, MIN_SAMPLES, K_RANGE, MOST_COMPONENTS = 7, 10, 300, 42, 0.5, 3, (3, 15), 50
-#: So many rows at most go to one task for t-SNE, and so many starts of k-means are drawn from.
-ONE_TASK, SEEDS = 5000, 4096
+#: So many rows at most are those that starts of k-means are drawn from.
+SEEDS = 4096
 
 
 def preprocessed(rows: DataFrame, dim: int, normalize: bool = True, reduce: bool = True) -> DataFrame:
@@ -269,44 +270,9 @@ def cluster(rows: DataFrame, dim: int, algorithm: str = "kmeans", n_clusters: in
 
 
 def reduced(rows: DataFrame, dim: int, method: str = "tsne", k: int = 2, rounds: int = 500) -> DataFrame:
-    """k coordinates for plots: as they are if no more, principal components, or t-SNE over up to ONE_TASK rows."""
+    """k coordinates for plots: as they are if no more, principal components, or t-SNE around landmarks."""
     if dim <= k:
         return rows
     if method == "pca":
         return pca(rows, dim, k)
-    if (n := rows.count()) > ONE_TASK:
-        raise ValueError(f"t-SNE is run over {ONE_TASK} rows at most")
-    rows = pca(rows, dim, 50) if dim > 50 else rows
-
-    def fit(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("row_id")
-        x = np.stack(f["features"].to_numpy()).astype(float)
-        d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
-        goal, p = np.log(max(1.0, min(30.0, (n - 1) / 3))), np.zeros_like(d)  # a third, or all rows are about equally near
-        for i in range(n):
-            low, high, beta = 0.0, np.inf, 1.0
-            for _ in range(50):
-                e = np.exp(-(d[i] - np.min(np.delete(d[i], i), initial=d[i].max())) * beta)
-                e[i] = 0
-                q = e / max(e.sum(), 1e-12)
-                h = -(q[q > 0] * np.log(q[q > 0])).sum()
-                low, high = (beta, high) if h > goal else (low, beta)
-                beta = beta * 2 if high == np.inf else (low + high) / 2
-            p[i] = q
-        p = np.maximum((p + p.T) / (2 * n), 1e-12)
-        middle = x - x.mean(axis=0)
-        y = middle @ np.linalg.svd(middle, full_matrices=False)[2][:k].T
-        y *= 1e-4 / max(y[:, 0].std(), 1e-12)  # starts from scaled principal components
-        y += np.random.default_rng(SEED).standard_normal(y.shape) * 1e-6
-        v, gain = np.zeros_like(y), np.ones_like(y)
-        for step in range(rounds):
-            near = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
-            np.fill_diagonal(near, 0)
-            w = (p * (12 if step < 100 else 1) - near / near.sum()) * near
-            slope = 4 * ((np.diag(w.sum(axis=1)) - w) @ y)
-            gain = np.maximum(np.where((slope > 0) != (v > 0), gain + 0.2, gain * 0.8), 0.01)
-            v = (0.5 if step < 100 else 0.8) * v - max(n / 48, 50) * gain * slope
-            y = y + v
-        return pd.DataFrame({"row_id": f["row_id"], "features": list(y)})
-
-    return rows.select("row_id", "features").groupBy(F.lit("all")).applyInPandas(fit, "row_id long, features array<double>")
+    return tsne(stored(pca(rows, dim, 50) if dim > 50 else rows), k, rounds)

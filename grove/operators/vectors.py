@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grove.operators.sums import summed
+from grove.storage import stored
+
 IDENTIFIER = "[a-zA-Z_][a-zA-Z0-9_]*"
 
 
@@ -55,6 +62,65 @@ def dense(rows: DataFrame, docs: DataFrame, id_col: str, size: int) -> DataFrame
     return docs.select(F.col(id_col).alias("id")).join(by, "id", "left").select("id", at.alias("embedding"))
 
 
+def compressed(rows: DataFrame) -> DataFrame:
+    """``id, pos, w``: each text's places and weights as two arrays (``rows``: ``id, pos, weight``)."""
+    by = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "weight"))).alias("e"))
+    return by.select("id", F.col("e.pos").alias("pos"), F.col("e.weight").alias("w"))
+
+
+def _spread(f: pd.DataFrame, size: int) -> np.ndarray:
+    x = np.zeros((len(f), size))
+    for row, pos, w in zip(x, f["pos"], f["w"], strict=True):
+        row[pos] = w
+    return x
+
+
+def singular(rows: DataFrame, size: int, k: int, more: int = 10, power: int = 4, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest singular values of sparse rows (``compressed``) of ``size`` columns, and their right vectors (size x k).
+
+    Randomised subspace iteration: A^T A times a thin matrix is a sum over rows, which tasks add up; with ``power``
+    rounds. Each vector's largest entry is positive. There are as many values as the rows' rank at most.
+    """
+    rows = stored(rows.select("pos", "w"))
+    thin = min(size, k + more)
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, thin)))[0]
+    z = None
+    for _ in range(power + 1):
+
+        def part(f: pd.DataFrame, q=q) -> np.ndarray:
+            out = np.zeros((size, thin))
+            for a in range(0, len(f), 1000):
+                x = _spread(f.iloc[a : a + 1000], size)
+                out += x.T @ (x @ q)
+            return out.ravel()
+
+        got = summed(rows, part)
+        if got is None:
+            return np.zeros(0), np.zeros((size, 0))
+        z, last = got.reshape(size, thin), q
+        q = np.linalg.qr(z)[0]
+    values, turn = np.linalg.eigh(last.T @ z)
+    keep = np.argsort(-values)[:k]
+    keep = keep[values[keep] > 1e-12 * max(values.max(), 1e-300)]
+    axes = last @ turn[:, keep]
+    axes = axes * np.sign(axes[np.argmax(np.abs(axes), axis=0), np.arange(axes.shape[1])])
+    return np.sqrt(values[keep]), axes
+
+
+def projected(rows: DataFrame, docs: DataFrame, id_col: str, axes: np.ndarray, k: int) -> DataFrame:
+    """``id, embedding``: sparse rows on the axes, filled up with zeros to k; zeros for texts without a known term."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            y = np.stack([w @ axes[pos] for pos, w in zip(f["pos"], f["w"], strict=True)]) if len(f) else np.zeros((0, axes.shape[1]))
+            yield pd.DataFrame({"id": f["id"], "embedding": list(np.pad(y, ((0, 0), (0, k - axes.shape[1]))).astype(np.float32))})
+
+    made = rows.mapInPandas(run, f"id {kind}, embedding array<float>")
+    zero = F.array_repeat(F.lit(0.0).cast("float"), k)
+    return docs.select(F.col(id_col).alias("id")).join(made, "id", "left").select("id", F.coalesce("embedding", zero).alias("embedding"))
+
+
 def parity(a: DataFrame, b: DataFrame, key: str, hard: float = 0.999, soft: float = 1e-4) -> DataFrame:
     """How far two embedding tables differ: largest and mean difference, smallest cosine, and the verdict."""
     x, y = a.select(key, F.col("embedding").alias("x")), b.select(key, F.col("embedding").alias("y"))

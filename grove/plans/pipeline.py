@@ -11,7 +11,7 @@ from grove.config import ProjectConfig
 from grove.functions.text import basename, cleaned, guarded
 from grove.operators import anomaly, cluster, fusion, gcn, profile
 from grove.operators.ast_table import NodeColumns, ast_nodes
-from grove.operators.embed import code_embeddings, embed
+from grove.operators.embed import code_embeddings, embed, register_embed
 from grove.operators.rules import findings, risk
 from grove.operators.store import VectorStore, new_or_changed
 from grove.operators.structural import FEATURES, available, structural, vector
@@ -120,8 +120,8 @@ def graph_embeddings(files: DataFrame, weights: dict | None, out: str) -> DataFr
     return rows
 
 
-def registered(spark: SparkSession) -> list[str]:
-    """Makes the code functions callable from SQL; their names."""
+def registered(spark: SparkSession, load: Callable | None = None, dim: int = 768) -> list[str]:
+    """Makes the code functions callable from SQL; their names. ``embed`` is among them if an encoder is given."""
 
     class Nodes:
         def eval(self, code: str):  # noqa: ANN201
@@ -133,4 +133,4 @@ def registered(spark: SparkSession) -> list[str]:
 
     spark.udtf.register("ast_nodes", F.udtf(Nodes, returnType="pre int, parent_pre int, type string, lineno int, name string"))
     spark.udf.register("clean_code", F.pandas_udf(lambda s: s.map(guarded, na_action="ignore"), "string"))
-    return ["ast_nodes", "clean_code"]
+    return ["ast_nodes", "clean_code", *([register_embed(spark, load, dim)] if load else [])]

@@ -183,6 +183,41 @@ def cleaned_code(spark, d):
     return clean.join(bad, "filepath", "left").select("doc_id", F.col("bad").isNull().alias("parses"), text.code_hash(F.col("code")).alias("code_hash"))
 
 
+#: A source file around a text: it is in docstrings of a module, a class, a function and a method, in comments and in strings.
+#: Here <t> is the text in letters, digits, blanks and line feeds, <l> the same in one line.
+_AROUND = (
+    '"""<t>"""\nimport os  # <l>\n# <l>\nx = \'# <l>\'   \n\n\n\n\n\nclass A:\n    """<t>"""\n    y = 1\t\n\n    def f(self):\n        \'one\'\n        return """<t>\nend"""\n\n\nasync def g():\n    """<t>"""\n    pass  # end\n\n\n'
+)
+#: What is left without docstrings, without comments, and without both, white space normalised.
+_LEFT = {
+    "no_docs": "import os  # <l>\n# <l>\nx = '# <l>'\n\n\nclass A:\n    y = 1\n\n    def f(self):\n        return \"\"\"<s>\nend\"\"\"\n\n\nasync def g():\n    pass  # end\n",
+    "no_comments": '"""<s>"""\nimport os\n\nx = \'# <l>\'\n\n\nclass A:\n    """<s>"""\n    y = 1\n\n    def f(self):\n        \'one\'\n        return """<s>\nend"""\n\n\nasync def g():\n    """<s>"""\n    pass\n',
+    "cleaned": "import os\n\nx = '# <l>'\n\n\nclass A:\n    y = 1\n\n    def f(self):\n        return \"\"\"<s>\nend\"\"\"\n\n\nasync def g():\n    pass\n",
+}
+
+
+def _around_sql(form: str) -> str:
+    """The form as SQL over the columns t, l and s (t without blanks before line feeds and with two empty lines together at most)."""
+    return "replace(replace(replace('" + form.replace("'", "''") + "', '<t>', t), '<l>', l), '<s>', s)"
+
+
+_AROUND_SQL = (
+    "SELECT doc_id, " + ", ".join(f"sha256({_around_sql(form)}) AS {name}" for name, form in _LEFT.items())
+    + " FROM (SELECT doc_id, t, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS l, regexp_replace(regexp_replace(t, ' +\\n', chr(10), 'g'), '\\n{4,}', repeat(chr(10), 3), 'g') AS s"
+    " FROM (SELECT doc_id, 'a ' || regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 \\n]', '', 'g') || ' z' AS t FROM documents))"
+)
+
+
+@query(_AROUND_SQL)
+def cleaned_texts(spark, d):
+    """Whole documents inside source files, cleaned of docstrings, of comments, and of both."""
+    t = F.concat(F.lit("a "), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 \\n]", ""), F.lit(" z"))
+    line = F.trim(F.regexp_replace("t", "\\s+", " "))
+    rows = table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.replace(F.replace(F.lit(_AROUND), F.lit("<t>"), F.col("t")), F.lit("<l>"), line).alias("code"))
+    made = {"no_docs": text.cleaned(F.col("code"), comments=False), "no_comments": text.cleaned(F.col("code"), docs=False), "cleaned": text.cleaned(F.col("code"))}
+    return rows.select("doc_id", *(text.code_hash(c).alias(name) for name, c in made.items()))
+
+
 # ---- files
 
 

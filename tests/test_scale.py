@@ -7,7 +7,9 @@ import zlib
 import numpy as np
 import pytest
 
-from grove.operators import anomaly, cluster, gcn, hierarchy
+from grove.operators import anomaly, cluster, embed, gcn, hierarchy, tsne, vectors
+from grove.plans import pipeline
+from grove.sources import tables
 
 
 def frame(spark, x):
@@ -118,3 +120,60 @@ def test_k_means_of_several_sizes_share_their_rounds(spark):
         own = d.argmin(axis=1)
         assert cost == pytest.approx(t["inertia"]) == pytest.approx(d.min(axis=1).sum())
         assert np.allclose(c, [x[own == i].mean(axis=0) for i in range(len(c))], atol=1e-5)
+
+
+def test_landmarks_keep_neighbours(spark):
+    r = np.random.default_rng(10)
+    x = r.uniform(-6, 6, (12, 10))[r.integers(0, 12, 1500)] + r.standard_normal((1500, 10))
+    got = tsne.tsne(frame(spark, x).repartition(4), landmarks=400).orderBy("row_id").collect()
+    y = np.array([g["features"] for g in got])
+    far, near, k, n = tsne.squares(x, x), tsne.squares(y, y), 12, len(x)
+    np.fill_diagonal(far, -1)
+    np.fill_diagonal(near, np.inf)
+    rank = np.argsort(np.argsort(far, axis=1), axis=1)
+    lost = np.maximum(np.take_along_axis(rank, np.argpartition(near, k, axis=1)[:, :k], 1) - k, 0).sum()
+    trust = 1 - 2 / (n * k * (2 * n - 3 * k - 1)) * lost
+    print("trustworthiness with 400 landmarks of 1500 rows:", trust)
+    assert trust > 0.95
+    assert [len(g["features"]) for g in tsne.tsne(frame(spark, x[:2]), rounds=20).collect()] == [2, 2]
+    assert tsne.tsne(frame(spark, x[:0])).count() == 0
+
+
+def test_main_axes_match_numpy(spark):
+    r = np.random.default_rng(11)
+    x = (r.random((300, 60)) < 0.1) * r.random((300, 60)) + (r.random((300, 4)) < 0.3) @ r.random((4, 60))
+    long = [(int(i), int(j), float(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)]
+    rows = vectors.compressed(spark.createDataFrame(long, "id long, pos int, weight double").repartition(5))
+    values, axes = vectors.singular(rows, 60, 8, power=8)
+    _, s, v = np.linalg.svd(x, full_matrices=False)
+    best = x - x @ v[:8].T @ v[:8]
+    assert np.allclose(values, s[:8], rtol=1e-3) and np.linalg.norm(x - x @ axes @ axes.T) < 1.001 * np.linalg.norm(best)
+    docs = spark.createDataFrame([(i,) for i in range(300)] + [(999,)], "id long")
+    got = {e["id"]: np.array(e["embedding"]) for e in vectors.projected(rows, docs, "id", axes, 10).collect()}
+    assert all(np.allclose(got[i], np.r_[x[i] @ axes, 0, 0], atol=1e-5) for i in range(300)) and not got[999].any()
+
+
+def test_embeddings_from_sql(spark):
+    files = spark.createDataFrame([("a", "def foo(bar): return bar"), ("b", "class K: foo = 1"), ("c", None), ("d", "42")], "filepath string, code string")
+    model = vectors.tfidf_fit(files, "filepath", "code", 20)
+    want = {r["filepath"]: r["embedding"] for r in embed.code_embeddings(files, dim=20).collect()}
+    assert pipeline.registered(spark, embed.tfidf_encoder(model, 20), 20) == ["ast_nodes", "clean_code", "embed"]
+    files.createOrReplaceTempView("some_files")
+    got = {r["filepath"]: r["e"] for r in spark.sql("SELECT filepath, embed(code) AS e FROM some_files").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    small = embed.code_embeddings(files, dim=20, components=2).collect()
+    assert all(len(r["embedding"]) == 2 for r in small) and {r["filepath"] for r in small if not any(r["embedding"])} == {"c", "d"}
+
+
+def test_a_matrix_is_read_by_ranges(spark, tmp_path):
+    x = np.random.default_rng(12).standard_normal((5000, 16))
+    np.save(tmp_path / "m.npy", x)
+    names = [f"f{i}" for i in range(5000)]
+    got = tables.read_matrix(spark, str(tmp_path / "m.npy"), names, split_bytes=100_000)
+    parts = spark.read.format("npy_matrix").option("path", str(tmp_path / "m.npy")).option("split_bytes", 100_000).load()
+    assert parts.rdd.getNumPartitions() == 7
+    rows = got.orderBy("row_id").collect()
+    assert np.allclose([r["embedding"] for r in rows], x) and [r["filepath"] for r in rows] == names
+    np.save(tmp_path / "f.npy", np.asfortranarray(x))
+    with pytest.raises(ValueError, match="row order"):
+        tables.read_matrix(spark, str(tmp_path / "f.npy"), names)
