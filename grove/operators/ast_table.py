@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ast
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,61 +32,63 @@ def _called(f: ast.expr) -> tuple[str | None, bool]:
     return (f.attr, False) if isinstance(f, ast.Attribute) else (None, False)
 
 
-def _facts(node: ast.AST) -> dict:
-    """What single nodes add to the columns that all nodes have."""
-    kind = type(node).__name__
-    if isinstance(node, _DEFS):
-        a = node.args
-        names = [x.arg for x in a.args]
-        more = [x.arg for x in a.kwonlyargs] + ["*" + x.arg for x in [a.vararg] if x] + ["**" + x.arg for x in [a.kwarg] if x]
-        total = len(names) + len(more) - (names[:1] in (["self"], ["cls"]))
-        deco = [d.id if isinstance(d, ast.Name) else d.func.id for d in node.decorator_list if isinstance(d, ast.Name) or isinstance(d, ast.Call) and isinstance(d.func, ast.Name)]
-        mutable = any(isinstance(d, (ast.List, ast.Dict, ast.Set)) for d in [*a.defaults, *a.kw_defaults])
-        return {"name": node.name, "args": names + more, "num_args": len(names) + len(a.kwonlyargs), "n_params": total, "decorators": deco, "n_decorators": len(node.decorator_list), "has_hint": bool(node.returns or any(x.annotation for x in a.args)), "has_mutable_default": mutable}
-    if isinstance(node, ast.ClassDef):
-        bases = [b.id if isinstance(b, ast.Name) else b.attr for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
-        return {"name": node.name, "bases": bases, "decorators": [d.id for d in node.decorator_list if isinstance(d, ast.Name)], "n_decorators": len(node.decorator_list)}
-    if isinstance(node, ast.Name):
-        return {"name": node.id, "ctx": type(node.ctx).__name__}
-    if isinstance(node, ast.arg):
-        return {"name": node.arg}
-    if isinstance(node, ast.Call):
-        called, plain = _called(node.func)
-        return {"call_name": called, "call_is_name": plain}
-    if isinstance(node, ast.Import):
-        return {"names": [x.asname or x.name for x in node.names], "args": [x.name for x in node.names]}
-    if isinstance(node, ast.ImportFrom):
-        return {"name": node.module or "", "names": [x.name for x in node.names]}
-    if isinstance(node, ast.Global):
-        return {"names": list(node.names)}
-    if isinstance(node, ast.Assign):
-        return {"assign_names": [t.id for t in node.targets if isinstance(t, ast.Name)]}
-    if isinstance(node, ast.ExceptHandler):
-        return {"is_bare": node.type is None, "handler_name": node.type.id if isinstance(node.type, ast.Name) else None, "cc_weight": 1}
-    if isinstance(node, ast.Raise):
-        return {"is_bare": node.exc is None}
-    if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)):
-        return {"const_repr": str(node.value), "is_magic": bool(abs(node.value) > 2 and abs(node.value) not in (10, 100))}
-    if isinstance(node, ast.BoolOp):
-        return {"cc_weight": len(node.values) - 1}
-    if isinstance(node, ast.comprehension):
-        return {"cc_weight": len(node.ifs)}
-    return {"cc_weight": 1} if kind in ("If", "While", "For") else {}
+def _of_function(node: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
+    a = node.args
+    names = [x.arg for x in a.args]
+    more = [x.arg for x in a.kwonlyargs] + ["*" + x.arg for x in [a.vararg] if x] + ["**" + x.arg for x in [a.kwarg] if x]
+    total = len(names) + len(more) - (names[:1] in (["self"], ["cls"]))
+    deco = [d.id if isinstance(d, ast.Name) else d.func.id for d in node.decorator_list if isinstance(d, ast.Name) or isinstance(d, ast.Call) and isinstance(d.func, ast.Name)]
+    mutable = any(isinstance(d, (ast.List, ast.Dict, ast.Set)) for d in [*a.defaults, *a.kw_defaults])
+    return {"name": node.name, "args": names + more, "num_args": len(names) + len(a.kwonlyargs), "n_params": total, "decorators": deco, "n_decorators": len(node.decorator_list), "has_hint": bool(node.returns or any(x.annotation for x in a.args)), "has_mutable_default": mutable}
+
+
+def _of_class(node: ast.ClassDef) -> dict:
+    bases = [b.id if isinstance(b, ast.Name) else b.attr for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
+    return {"name": node.name, "bases": bases, "decorators": [d.id for d in node.decorator_list if isinstance(d, ast.Name)], "n_decorators": len(node.decorator_list)}
+
+
+def _of_number(node: ast.Constant) -> dict:
+    if not isinstance(node.value, (int, float)):
+        return {}
+    return {"const_repr": str(node.value), "is_magic": bool(abs(node.value) > 2 and abs(node.value) not in (10, 100))}
+
+
+def _one(node: ast.AST) -> dict:
+    return {"cc_weight": 1}
+
+
+#: What nodes of a type add to the columns that all nodes have.
+_FACTS = {
+    ast.FunctionDef: _of_function, ast.AsyncFunctionDef: _of_function, ast.ClassDef: _of_class, ast.Constant: _of_number, ast.If: _one, ast.While: _one, ast.For: _one,
+    ast.Name: lambda n: {"name": n.id, "ctx": type(n.ctx).__name__}, ast.arg: lambda n: {"name": n.arg}, ast.Call: lambda n: dict(zip(("call_name", "call_is_name"), _called(n.func), strict=True)),
+    ast.Import: lambda n: {"names": [x.asname or x.name for x in n.names], "args": [x.name for x in n.names]}, ast.ImportFrom: lambda n: {"name": n.module or "", "names": [x.name for x in n.names]},
+    ast.Global: lambda n: {"names": list(n.names)}, ast.Assign: lambda n: {"assign_names": [t.id for t in n.targets if isinstance(t, ast.Name)]}, ast.Raise: lambda n: {"is_bare": n.exc is None},
+    ast.ExceptHandler: lambda n: {"is_bare": n.type is None, "handler_name": n.type.id if isinstance(n.type, ast.Name) else None, "cc_weight": 1},
+    ast.BoolOp: lambda n: {"cc_weight": len(n.values) - 1}, ast.comprehension: lambda n: {"cc_weight": len(n.ifs)},
+}
+#: Columns that every node has; the others are kept as places and values.
+_DENSE = ("filepath", "pre", "post_max", "parent_pre", "bfs_ord", "type", "type_id", "lineno", "end_lineno", "nest_depth", "block_depth", "func_pre", "func_name", "funcs", "handlers", "if_funcs")
 
 
 class NodeColumns:
-    """The node relation of some files, column by column; a column that a node doesn't have is null there."""
+    """The node relation of some files, column by column, of the asked columns and node types; files that don't parse have a row."""
 
-    def __init__(self):
-        self.size = 0
-        self.values: dict[str, list] = {name: [] for name, _ in COLUMNS}
+    def __init__(self, columns: tuple[str, ...] | None = None, types: tuple[str, ...] | None = None):
+        self.columns = [c for c in COLUMNS if columns is None or c[0] in columns]
+        self.types, self.size = None if types is None else set(types), 0
+        self.dense: dict[str, list] = {name: [] for name in _DENSE}
+        self.sparse: dict[str, tuple[list[int], list]] = {name: ([], []) for name, _ in COLUMNS if name not in _DENSE}
 
-    def _row(self, path: str, facts: dict) -> None:
+    def _put(self, facts: dict) -> None:
         for name, value in facts.items():
-            mine = self.values[name]
-            mine.extend([None] * (self.size - len(mine)))
-            mine.append(value)
-        self.values["filepath"].append(path)
+            at, values = self.sparse[name]
+            at.append(self.size)
+            values.append(value)
+
+    def _failed(self, path: str, facts: dict) -> None:
+        self._put({"parse_ok": False} | facts)
+        for name, column in self.dense.items():
+            column.append(path if name == "filepath" else None)
         self.size += 1
 
     def add(self, path: str, code: str) -> None:
@@ -93,72 +96,92 @@ class NodeColumns:
         try:
             tree = ast.parse(code)
         except SyntaxError as e:
-            return self._row(path, {"parse_ok": False, "err_kind": "syntax", "err_line": e.lineno, "err_msg": str(e)})
+            return self._failed(path, {"err_kind": "syntax", "err_line": e.lineno, "err_msg": str(e)})
         except (ValueError, RecursionError, MemoryError, TypeError) as e:
-            return self._row(path, {"parse_ok": False, "err_kind": type(e).__name__, "err_msg": str(e)})
-        start, parents, ends = self.size, [], []
-        todo = [(tree, None, 0, 0, None, None, [], [], None)]
+            return self._failed(path, {"err_kind": type(e).__name__, "err_msg": str(e)})
+        parents, depths, kept, rows, types, facts = [], [], [], [], self.types, _FACTS
+        todo = [(tree, None, 0, 0, 0, None, None, [], [], None)]
         while todo:
-            node, parent, nest, block, func, name, funcs, handlers, if_funcs = todo.pop()
-            me, kind = len(parents), type(node).__name__
-            if isinstance(node, _DEFS):
+            node, parent, depth, nest, block, func, name, funcs, handlers, if_funcs = todo.pop()
+            me, of = len(parents), type(node)
+            if of in _DEFS:
                 func, name, funcs, nest = me, node.name, [*funcs, me], nest + 1
-            elif isinstance(node, _BLOCKS):
+            elif of in _BLOCKS:
                 nest, block = nest + 1, block + 1
-                if_funcs = funcs if isinstance(node, ast.If) else if_funcs
-            elif isinstance(node, ast.ExceptHandler):
+                if_funcs = funcs if of is ast.If else if_funcs
+            elif of is ast.ExceptHandler:
                 handlers = [*handlers, me]
             parents.append(parent)
-            ends.append(me)
-            base = {"parse_ok": True, "pre": me, "type": kind, "type_id": TYPE_ID.get(kind, len(NODE_TYPES)), "nest_depth": nest, "block_depth": block, "funcs": funcs, "handlers": handlers, "cc_weight": 0}
-            if func is not None:
-                base |= {"func_pre": func, "func_name": name}
-            if if_funcs is not None:
-                base["if_funcs"] = if_funcs
-            if hasattr(node, "lineno"):
-                base |= {"lineno": node.lineno, "end_lineno": node.end_lineno}
-            self._row(path, base | _facts(node))
-            todo += [(c, me, nest, block, func, name, funcs, handlers, if_funcs) for c in reversed(list(ast.iter_child_nodes(node)))]
-        kids: list[list[int]] = [[] for _ in parents]
+            depths.append(depth)
+            kind = of.__name__
+            if types is None or kind in types:
+                kept.append(me)
+                rows.append((kind, TYPE_ID.get(kind, len(NODE_TYPES)), getattr(node, "lineno", None), getattr(node, "end_lineno", None), nest, block, func, name, funcs, handlers, if_funcs))
+                if of in facts:
+                    self._put(facts[of](node))
+                self.size += 1
+            below = []
+            for field in node._fields:
+                value = getattr(node, field, None)
+                if isinstance(value, ast.AST):
+                    below.append((value, me, depth + 1, nest, block, func, name, funcs, handlers, if_funcs))
+                elif isinstance(value, list):
+                    below += [(c, me, depth + 1, nest, block, func, name, funcs, handlers, if_funcs) for c in value if isinstance(c, ast.AST)]
+            below.reverse()
+            todo += below
+        if not kept:
+            return None
+        ends = list(range(len(parents)))
         for me in range(len(parents) - 1, 0, -1):
             up = parents[me]
-            ends[up] = max(ends[up], ends[me])
-        for me in range(1, len(parents)):
-            kids[parents[me]].append(me)
-        order, queue = [0] * len(parents), deque([0])
-        for k in range(len(parents)):
-            me = queue.popleft()
-            order[me] = k
-            queue.extend(kids[me])
-        for name, column in (("parent_pre", parents), ("post_max", ends), ("bfs_ord", order)):
-            mine = self.values[name]
-            mine.extend([None] * (start - len(mine)))
-            mine.extend(column)
+            if ends[me] > ends[up]:
+                ends[up] = ends[me]
+        order = np.empty(len(parents), np.int64)  # nodes of one depth stand in the order in which they are passed
+        order[np.argsort(depths, kind="stable")] = np.arange(len(parents))
+        order = order.tolist()
+        d = self.dense
+        d["filepath"] += [path] * len(kept)
+        d["pre"] += kept
+        for column, values in (("post_max", ends), ("parent_pre", parents), ("bfs_ord", order)):
+            d[column] += [values[me] for me in kept]
+        for column, values in zip(_DENSE[5:], zip(*rows, strict=True), strict=True):
+            d[column] += values
+        return None
 
     def batch(self) -> pa.RecordBatch:
         """All rows so far."""
         arrays = []
-        for name, kind in COLUMNS:
-            values = self.values[name]
-            arrays.append(pa.array(values + [None] * (self.size - len(values)), _ARROW[kind]) if values else pa.nulls(self.size, _ARROW[kind]))
-        return pa.RecordBatch.from_arrays(arrays, [name for name, _ in COLUMNS])
-
-
-def ast_nodes(files: DataFrame, path_col: str = "filepath", code_col: str = "code") -> DataFrame:
-    """The node relation of all files; every feature and rule reads it, so no file is parsed twice."""
+        for name, kind in self.columns:
+            if name in _DENSE:
+                arrays.append(pa.array(self.dense[name], _ARROW[kind]))
+                continue
+            at, values = self.sparse[name]
+            where = np.full(self.size, -1, np.int64)
+            where[at] = np.arange(len(at))
+            filled = pa.array(values, _ARROW[kind]).take(pa.array(where, mask=where < 0))
+            if name in ("parse_ok", "cc_weight"):  # nodes have parsed, and weigh nothing unless they say so
+                node = pa.array([p is not None for p in self.dense["pre"]])
+                filled = pc.if_else(node, pc.fill_null(filled, True if name == "parse_ok" else 0), filled)
+            arrays.append(filled)
+        return pa.RecordBatch.from_arrays(arrays, [name for name, _ in self.columns])
+
+
+def ast_nodes(files: DataFrame, path_col: str = "filepath", code_col: str = "code", columns: tuple[str, ...] | None = None, types: tuple[str, ...] | None = None) -> DataFrame:
+    """The node relation of all files, so that no file is parsed twice; of some columns and node types if asked."""
+    kinds = ", ".join(f"{n} {k}" for n, k in COLUMNS if columns is None or n in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = NodeColumns()
+        made = NodeColumns(columns, types)
         for batch in batches:
             for path, code in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 if code is not None:
                     made.add(path, code)
                 if made.size > 20_000:
                     yield made.batch()
-                    made = NodeColumns()
+                    made = NodeColumns(columns, types)
         yield made.batch()
 
-    return files.select(F.col(path_col).cast("string").alias("filepath"), F.col(code_col).alias("code")).mapInArrow(run, SCHEMA)
+    return files.select(F.col(path_col).cast("string").alias("filepath"), F.col(code_col).alias("code")).mapInArrow(run, kinds)
 
 
 def functions(nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -12,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grove.operators.vectors import IDENTIFIER, compressed, dense, projected, singular, tfidf, tfidf_fit
+from grove.operators.vectors import compressed, dense, projected, singular, terms, tfidf, tfidf_fit
 from grove.storage import stored
 
 DIM, MOST_TOKENS, BATCH = 768, 512, 8
@@ -71,10 +70,8 @@ def tfidf_encoder(model: DataFrame, size: int = DIM) -> Callable[[], Encoder]:
         def encode(codes: list[str]) -> np.ndarray:
             out = np.zeros((len(codes), size), np.float32)
             for row, code in zip(out, codes, strict=True):
-                words = re.findall(IDENTIFIER, code.lower())
-                for term, n in Counter([*words, *map(" ".join, zip(words, words[1:], strict=False))]).items():
-                    if term in known:
-                        row[known[term][0]] = n * known[term][1]
+                for term, n in Counter(filter(known.__contains__, terms(code))).items():
+                    row[known[term][0]] = n * known[term][1]
                 row /= np.linalg.norm(row) or 1
             return out
 

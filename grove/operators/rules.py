@@ -16,6 +16,11 @@ RULES = {
     "UNUSED_VARIABLE": ("Unused Variable", "low"), "MAGIC_NUMBER": ("Magic Number", "low"),
 }
 MAGIC_MOST = 5
+#: What the rules read of the node relation: these columns of these nodes.
+COLUMNS = tuple(
+    "filepath parse_ok err_kind err_line err_msg pre bfs_ord type lineno end_lineno block_depth funcs handlers if_funcs name ctx call_name call_is_name names n_params has_mutable_default is_bare handler_name const_repr is_magic assign_names".split()
+)
+TYPES = tuple("FunctionDef AsyncFunctionDef For While If With Try ExceptHandler Raise Return Global Assign Name Call Constant".split())
 
 
 def _text(*parts) -> Column:

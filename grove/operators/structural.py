@@ -13,6 +13,9 @@ FEATURES = (
     "has_recursion recursion_count try_except_count bare_except_count global_var_count assertion_count lambda_count comprehension_count generator_count decorator_count total_lines "
     "code_lines has_main_guard has_type_hints"
 ).split()
+#: What the features read of the node relation: these columns of these nodes (a file has a module at least).
+COLUMNS = tuple("filepath parse_ok pre type lineno end_lineno nest_depth func_name call_name call_is_name cc_weight names n_decorators has_hint is_bare".split())
+TYPES = tuple("Module FunctionDef AsyncFunctionDef ClassDef For While If With Try Import ImportFrom ExceptHandler Global Assert Lambda ListComp SetComp DictComp GeneratorExp Call BoolOp comprehension".split())
 
 
 def _n(*types: str) -> Column:

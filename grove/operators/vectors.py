@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,34 +29,63 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(size > 0, dot(a, b) / size), F.lit(0.0))
 
 
-def _listed(text_col: str) -> Column:
-    """Identifiers of the lower-cased text and pairs of neighbours."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text_col, F.lit(""))), F.lit(IDENTIFIER), F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+def terms(text: str | None) -> list[str]:
+    """Identifiers of the lower-cased text, and pairs of neighbours."""
+    words = re.findall(IDENTIFIER, (text or "").lower())
+    return [*words, *map(" ".join, zip(words, words[1:], strict=False))]
+
+
+def _counted(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """``term, total, df`` of some texts each, passed on when there are over ``most`` terms."""
+    total, df = Counter(), Counter()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([df[t] for t in total], pa.int64())], ["term", "total", "df"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            found = terms(text.as_py())
+            total.update(found)
+            df.update(set(found))
+            if len(total) > most:
+                yield out()
+                total, df = Counter(), Counter()
+    yield out()
 
 
 def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, size: int = 768) -> DataFrame:
     """``term, idf, pos``: the terms with the largest counts (ties by term), in alphabetical order.
 
-    A text's terms and its distinct terms are counted side by side, so one shuffle of partial sums is enough.
+    Tasks count the terms of their texts, so that a term is shuffled once a task and not once an occurrence.
     """
     n = docs.count()
-    all_terms = docs.select(_listed(text_col).alias("t"))
-    each = all_terms.select(F.explode(F.array(F.struct("t", F.lit(0).alias("first")), F.struct(F.array_distinct("t").alias("t"), F.lit(1).alias("first")))).alias("x"))
-    flat = each.select(F.col("x.first").alias("first"), F.explode("x.t").alias("term"))
-    counts = flat.groupBy("term").agg(F.sum(1 - F.col("first")).alias("total"), F.sum("first").alias("df"))
+    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(_counted, "term string, total long, df long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     top = counts.orderBy(F.desc("total"), "term").limit(size)
     return top.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"), (F.row_number().over(Window.orderBy("term")) - 1).alias("pos"))
 
 
 def tfidf(docs: DataFrame, model: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, pos, term, weight``: sparse rows of length 1. The vocabulary has a fixed size, so it is broadcast, and other
-    terms go before anything is shuffled."""
-    flat = docs.select(F.col(id_col).alias("id"), F.explode(_listed(text_col)).alias("term")).join(F.broadcast(model), "term")
-    rows = flat.groupBy("id", "pos", "term", "idf").agg(F.count("*").alias("tf")).withColumn("w", F.col("tf") * F.col("idf"))
-    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return rows.select("id", "pos", "term", (F.col("w") / size).alias("weight"))
+    """``id, pos, term, weight``: sparse rows of length 1, each made where its text is; ids are unique.
+
+    The vocabulary has a fixed size and goes along with the function.
+    """
+    known = {r["term"]: (r["pos"], r["idf"]) for r in model.collect()}
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, pos, term, weight = [], [], [], []
+            for i, text in enumerate(batch.column(1)):
+                found = [(known[t][0], t, n * known[t][1]) for t, n in Counter(filter(known.__contains__, terms(text.as_py()))).items()]
+                length = math.sqrt(math.fsum(w * w for *_, w in found))
+                at += [i] * len(found)
+                pos += [p for p, _, _ in found]
+                term += [t for _, t, _ in found]
+                weight += [w / length for *_, w in found]
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(pos, pa.int32()), pa.array(term, pa.string()), pa.array(weight, pa.float64())], ["id", "pos", "term", "weight"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, pos int, term string, weight double")
 
 
 def dense(rows: DataFrame, docs: DataFrame, id_col: str, size: int) -> DataFrame:

@@ -12,8 +12,12 @@ from grove.functions.text import basename, cleaned, guarded
 from grove.operators import anomaly, cluster, fusion, gcn, profile
 from grove.operators.ast_table import NodeColumns, ast_nodes
 from grove.operators.embed import code_embeddings, embed, register_embed
+from grove.operators.rules import COLUMNS as RULED
+from grove.operators.rules import TYPES as RULED_TYPES
 from grove.operators.rules import findings, risk
 from grove.operators.store import VectorStore, new_or_changed
+from grove.operators.structural import COLUMNS as STRUCTURE
+from grove.operators.structural import TYPES as STRUCTURE_TYPES
 from grove.operators.structural import FEATURES, available, structural, vector
 from grove.plans.report import html_report, plot_data
 from grove.sources.files import scan
@@ -25,7 +29,7 @@ def extract(files: DataFrame, config: ProjectConfig | None = None) -> DataFrame:
     config = config or ProjectConfig()
     if config.clean_code:
         files = sealed(files.select("filepath", cleaned(F.col("code")).alias("code")))
-    return structural(stored(ast_nodes(files)), files)
+    return structural(ast_nodes(files, columns=STRUCTURE, types=STRUCTURE_TYPES), files)
 
 
 def analyse(features: DataFrame, files: DataFrame | None = None, embeddings: DataFrame | None = None, dim: int = 768, config: ProjectConfig | None = None) -> DataFrame:
@@ -54,7 +58,7 @@ def analyse(features: DataFrame, files: DataFrame | None = None, embeddings: Dat
     odd = anomaly.detect(raw, len(names), config.contamination, config.anomaly_algorithm)
     out = keyed.drop("raw").join(labels, "row_id").join(odd.select("row_id", "is_anomaly", F.col("score").alias("anomaly_score")), "row_id")
     if files is not None:
-        scores = risk(findings(stored(ast_nodes(files))).where("rule_id != 'SYNTAX_ERROR'"), files)
+        scores = risk(findings(stored(ast_nodes(files, columns=RULED, types=RULED_TYPES))).where("rule_id != 'SYNTAX_ERROR'"), files)
         out = out.join(scores.select("filepath", "risk_score", "risk_findings"), "filepath", "left")
         out = out.withColumns({"risk_score": F.coalesce("risk_score", F.lit(0.0)), "risk_findings": F.coalesce("risk_findings", F.lit(0))})
     return out

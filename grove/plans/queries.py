@@ -45,9 +45,17 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
 FILES = "(SELECT doc_id, coalesce(source,'none')||'__x/'||doc_id||'.py' AS path, text AS code, octet_length(encode(text)) AS size_bytes FROM documents)"
 
 
-def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    made = source_corpus(table(spark, d, "documents").select("doc_id"))
-    return made, stored(ast_table.ast_nodes(made))
+def _made(spark: SparkSession, d: str) -> DataFrame:
+    """The source corpus; its numbers are dealt out first, as a small table lies in one file's one group of rows."""
+    return source_corpus(table(spark, d, "documents").select("doc_id").repartition(2 * spark.sparkContext.defaultParallelism, "doc_id"))
+
+
+def _corpus(spark: SparkSession, d: str, **asked) -> tuple[DataFrame, DataFrame]:
+    made = _made(spark, d)
+    return made, stored(ast_table.ast_nodes(made, **asked))
+
+
+_RULED = {"columns": rules.COLUMNS, "types": rules.TYPES}
 
 
 def _id(path: str = "filepath"):
@@ -95,8 +103,8 @@ g+h+i AS try_except_count, g AS bare_except_count, 2*l AS global_var_count, a AS
 {_LINES}+1 AS total_lines, {_LINES}-2*c AS code_lines, c>0 AS has_main_guard, f>0 AS has_type_hints FROM t WHERE doc_id%11<>0"""
 )
 def structural_features(spark, d):
-    made, nodes = _corpus(spark, d)
-    out = structural.structural(nodes, made)
+    made = _made(spark, d)
+    out = structural.structural(ast_table.ast_nodes(made, columns=structural.COLUMNS, types=structural.TYPES), made)
     return out.select(_id(), *(F.round(c, 6).alias(c) if c == "avg_function_length" else c for c in structural.FEATURES))
 
 
@@ -107,7 +115,7 @@ _COUNTS = [r.lower() for r in rules.RULES]
 
 @query(f"SELECT doc_id, {', '.join(f'{r}::BIGINT AS {r}' for r in _COUNTS)} FROM {_COUNTED}")
 def rule_counts(spark, d):
-    made, nodes = _corpus(spark, d)
+    made, nodes = _corpus(spark, d, **_RULED)
     by = rules.findings(nodes).groupBy("filepath").agg(*(F.count_if(F.col("rule_id") == r).alias(r.lower()) for r in rules.RULES))
     return made.join(by, "filepath", "left").select("doc_id", *(F.coalesce(r, F.lit(0)).alias(r) for r in _COUNTS))
 
@@ -118,26 +126,26 @@ _RISK = f"(SELECT *, {_LOW} AS low, deep_nesting+global_usage AS medium, bare_ex
 
 @query(f"SELECT doc_id, CASE WHEN critical>0 THEN 100.0 ELSE round(100*(1-exp(-(5*low+15*medium+30*high)/50.0)),1) END::DOUBLE AS risk_score, (low+medium+high+critical)::BIGINT AS risk_findings, low::BIGINT AS low, medium::BIGINT AS medium, high::BIGINT AS high, critical::BIGINT AS critical FROM {_RISK}")
 def rule_risk(spark, d):
-    made, nodes = _corpus(spark, d)
+    made, nodes = _corpus(spark, d, **_RULED)
     return rules.risk(rules.findings(nodes), made).select(_id(), "risk_score", "risk_findings", "low", "medium", "high", "critical")
 
 
 @query(f"SELECT doc_id, critical>0 AS has_critical, high>0 AS has_high, (low+medium+high+critical)::BIGINT AS n FROM {_RISK}")
 def rule_reports(spark, d):
-    made, nodes = _corpus(spark, d)
+    made, nodes = _corpus(spark, d, **_RULED)
     return rules.reports(rules.findings(nodes), made).select(_id(), "has_critical", "has_high", F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, risk_score FROM (SELECT doc_id, CASE WHEN critical>0 THEN 100.0 ELSE round(100*(1-exp(-(5*low+15*medium+30*high)/50.0)),1) END::DOUBLE AS risk_score FROM {_RISK}) ORDER BY risk_score DESC, doc_id LIMIT 20")
 def riskiest_files(spark, d):
-    made, nodes = _corpus(spark, d)
+    made, nodes = _corpus(spark, d, **_RULED)
     rows = rules.risk(rules.findings(nodes), made).select(_id(), "risk_score").withColumn("row_id", F.col("doc_id"))
     return report.riskiest(rows, 20).select("doc_id", "risk_score")
 
 
 @query("SELECT (count(*) FILTER (doc_id%11<>0))::BIGINT AS parsed, (count(*) FILTER (doc_id%11=0))::BIGINT AS failed FROM documents")
 def parse_failures(spark, d):
-    return structural.failures(_corpus(spark, d)[1])
+    return structural.failures(_corpus(spark, d, columns=("filepath", "parse_ok", "pre"), types=("Module",))[1])
 
 
 @query(f"WITH t AS ({TIMES}) SELECT doc_id, name, n::BIGINT AS n FROM (SELECT doc_id, unnest(['m','f','r','s','g','d','p','q']) AS name, unnest([e,f,j,k,l,m,o,p]) AS n FROM t WHERE doc_id%11<>0) WHERE n>0")
