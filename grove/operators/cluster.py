@@ -77,7 +77,7 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * x @ c.T, 0)
 
 
-def lloyd(data: DataFrame, models: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = 1e-6) -> list[tuple[np.ndarray, float]]:
+def lloyd(data: DataFrame, models: list[np.ndarray], rounds: int = ROUNDS, tolerance: float = 1e-4) -> list[tuple[np.ndarray, float]]:
     """Centres and inertia of all models after Lloyd's rounds: a round is one job over the rows for all models together.
 
     A task sends each centre's sum and count and each model's squared error. A model rests when no centre moves by
