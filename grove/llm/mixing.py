@@ -115,14 +115,101 @@ def round_group(sizes: np.ndarray, share: np.ndarray, h: np.ndarray) -> np.ndarr
     return extra
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, group_rows: int = 1000, traits: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def searched(sizes: np.ndarray, copies: np.ndarray, floor: np.ndarray, ceiling: np.ndarray, goal: float) -> tuple[np.ndarray, float]:
+    """Changes one or two copies at a time, between ``floor`` and ``ceiling``, while that brings their sizes nearer to
+    ``goal``: the copies, and what is still lacking."""
+    copies = copies.copy()
+    while True:
+        gap = goal - float(sizes @ copies)
+        up, down = np.flatnonzero(copies < ceiling), np.flatnonzero(copies > floor)
+        row, by = np.r_[-1, up, down], np.r_[0.0, sizes[up], -sizes[down]]  # -1: no change
+        order = np.lexsort((row, by))
+        row, by = row[order], by[order]
+        other = np.clip(np.searchsorted(by, gap - by)[:, None] + np.arange(-2, 2), 0, len(by) - 1)
+        left = np.where((row[other] == row[:, None]) & (row[other] >= 0), np.inf, np.abs(gap - by[:, None] - by[other]))
+        i, j = np.unravel_index(int(np.argmin(left)), left.shape)
+        if left[i, j] > abs(gap) - 0.5:
+            return copies, gap
+        for k in (i, other[i, j]):
+            if row[k] >= 0:
+                copies[row[k]] += 1 if by[k] > 0 else -1
+
+
+def repaired(sizes: np.ndarray, copies: np.ndarray, rate: np.ndarray, goal: float, most: int, near: float = 1e-3) -> np.ndarray:
+    """``copies`` changed until their sizes add up to ``goal``, but for about ``near`` of it.
+
+    First only copies that are rates rounded up or down count; if the rest is still larger than that, all within 0 to
+    ``most``. If that is stuck at documents larger than the rest, each of them in turn takes a copy
+    less (or more) for good and the others are searched again.
+    """
+    some = np.flatnonzero(sizes > 0)
+    if not len(some):
+        return copies
+    own, rate, out = sizes[some], rate[some], copies.copy()
+    none, full, enough = np.zeros(len(some)), np.full(len(some), float(most)), max(0.5, near * goal)
+    best, gap = searched(own, copies[some], np.floor(rate), np.minimum(np.ceil(rate), most), goal)
+    if abs(gap) > enough:
+        best, gap = searched(own, best, none, full, goal)
+    if abs(gap) > enough:
+        start, way = best, 1 if gap > 0 else -1
+        for i in np.flatnonzero((own > abs(gap)) & ((start < full) if way > 0 else (start > none))):
+            tried = start.copy()
+            tried[i] += way
+            floor, ceiling = none.copy(), full.copy()
+            floor[i] = ceiling[i] = tried[i]
+            tried, rest = searched(own, tried, floor, ceiling, goal)
+            if abs(rest) < abs(gap):
+                best, gap = tried, rest
+    out[some] = best
+    return out
+
+
+def met(rounded: DataFrame, cap: float, near: float, rounds: int) -> DataFrame:
+    """``rounded`` documents with copies moved between all groups of a source, until it takes about its ``target`` words.
+
+    What a source lacks or has too much is dealt out to its groups by what each could still take or give, no document
+    counting for more than that gap, and each group changes copies until it has its part. Only gaps, a row for each source and
+    for each group, leave the documents' tasks. Ends when all sources are within ``near`` of their targets (or half a
+    word), or after ``rounds``.
+    """
+    keys, most, schema = ["rank", "_group"], int(cap), rounded.schema
+    for _ in range(rounds):
+        rounded = keep(rounded)
+        taken = rounded.groupBy("rank").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("_gap"), F.first("target").alias("_goal"))
+        taken = keep(taken.where(F.abs("_gap") > F.greatest(F.lit(0.5), near * F.col("_goal"))).select("rank", "_gap"))
+        n = taken.count()
+        if not n:
+            break
+        could = F.when(F.col("_gap") > 0, most - F.col("copies")).otherwise(F.col("copies")) * F.least(F.col("size"), F.abs("_gap"))
+        rooms = attach(rounded, taken, "rank", "inner", rows=n).groupBy(*keys).agg(F.first("_gap").alias("_gap"), exact_sum(could).alias("_room"))
+        rooms = keep(rooms.where("_room > 0"))
+        shares = attach(rooms, keep(rooms.groupBy("rank").agg(exact_sum(F.col("_room")).alias("_all"))), "rank", "inner", rows=n)
+        part = F.col("_gap") * F.col("_room") / F.col("_all")
+        dealt = F.floor(part + F.pmod(F.xxhash64(*keys), F.lit(1 << 20)) / (1 << 20))
+        parts = shares.select(F.struct(*keys).alias("_key"), F.when(F.col("_room") == F.col("_all"), part).otherwise(dealt.cast("double")).alias("_part"))
+        with_parts = attach(rounded.withColumn("_key", F.struct(*keys)), keep(parts), "_key", "left").drop("_key").fillna(0.0, ["_part"])
+
+        def change(pdf: pd.DataFrame) -> pd.DataFrame:
+            part = float(pdf["_part"].iloc[0])
+            if part:
+                pdf = pdf.sort_values(["size", "h", "copies"], kind="stable", ignore_index=True)
+                sizes, copies = pdf["size"].to_numpy(np.float64), pdf["copies"].to_numpy()
+                pdf["copies"] = repaired(sizes, copies, pdf["rate"].to_numpy(), float(sizes @ copies) + part, most, near)
+            return pdf.drop(columns="_part")
+
+        rounded = with_parts.groupBy(*keys).applyInPandas(change, schema)
+    return rounded
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, group_rows: int = 1000, near: float = 1e-3, traits: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Rates and copies of documents so that the sources' words meet target shares; a row per document.
 
     Sources in code point order (null last) have the ``weights`` in turn. The log of a document's size, and any numeric
     columns named in ``traits`` (null: 0), keep their mean over the corpus's words, so that the mix does not drift to
     short or long documents; which documents of a source are copied follows from that. Rates are rounded down or up
     into copies inside groups of about ``group_rows`` documents of one source, so the largest source is dealt over many
-    tasks and only ids and sizes are shuffled. Copies depend on ids, texts and traits alone: reruns agree. A null text
+    tasks and only ids and sizes are shuffled. Where a source then misses its target by more than ``near`` of it (one
+    document may be most of a source), copies between 0 and ``cap`` are moved in all its groups (``met``). Copies depend on ids, texts and traits alone: reruns agree. A null text
     has size 0 and takes no words; null ids are dealt out by their texts; repeated rows each take their own; an empty
     table gives an empty result; other columns are ignored.
     """
@@ -150,7 +237,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.
         low = np.floor(pdf["rate"].to_numpy())
         extra = round_group(pdf["size"].to_numpy(np.float64), pdf["rate"].to_numpy() - low, pdf["h"].to_numpy())
         pdf["copies"] = (low + extra).astype(np.int64)
-        return pdf[["id", "source", "size", "source_size", "target", "rate", "copies"]]
+        return pdf[names]
 
-    out = spread.groupBy("rank", "_group").applyInPandas(copies, f"id {kind}, source string, size long, source_size long, target double, rate double, copies long")
-    return out.withColumn("taken", F.col("size") * F.col("copies")).withColumnRenamed("id", id_col)
+    columns = f"id {kind}, source string, size long, source_size long, target double, rate double, copies long"
+    names = ["id", "source", "size", "source_size", "target", "rate", "copies", "rank", "_group", "h"]
+    out = met(spread.groupBy("rank", "_group").applyInPandas(copies, f"{columns}, rank long, _group long, h long"), cap, near, 3)
+    return out.drop("rank", "_group", "h").withColumn("taken", F.col("size") * F.col("copies")).withColumnRenamed("id", id_col)

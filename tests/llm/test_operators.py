@@ -218,6 +218,30 @@ def test_mix_meets_targets(spark):
     assert {g["doc_id"]: g["taken"] for g in got} == {g["doc_id"]: g["taken"] for g in again}
 
 
+def test_small_sources_meet_targets_where_some_choice_does(spark):
+    """Against all sums that copies of 0 to 3 can have: sources of a few documents, one of them most of its source."""
+    r = np.random.default_rng(5)
+    sizes = {s: [*r.integers(40, 400, 9).tolist(), big] for s, big in zip("abcdefghi", r.integers(100, 3000, 9).tolist(), strict=True)}
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate((n, s) for s, own in sizes.items() for n in own)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s, own in sizes.items():
+        sums = 1
+        for n in own:
+            sums |= sums << n | sums << 2 * n | sums << 3 * n
+        target = next(g["target"] for g in got if g["source"] == s)
+        best = min(abs(k - target) for k in range(sums.bit_length()) if sums >> k & 1)
+        off = abs(sum(g["taken"] for g in got if g["source"] == s) - target)
+        assert off <= max(best, 0.005 * target), (s, target, off, best)
+
+
+def test_a_source_of_many_groups_makes_up_for_its_largest_document(spark):
+    rows = [(i, "w " * (60_000 if i == 7 else 20 + i * 37 % 150), "a" if i < 900 else "b") for i in range(1800)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), group_rows=50).collect()
+    for s in "ab":
+        own = [g for g in got if g["source"] == s]
+        assert abs(sum(g["taken"] for g in own) - own[0]["target"]) <= 1e-3 * own[0]["target"] + 1 and all(g["copies"] in range(4) for g in own)
+
+
 def test_rates_are_the_duals(spark):
     """Against a plain solver over all documents: bisection on the trait's number, and on each source's inside it."""
     r = np.random.default_rng(1)
