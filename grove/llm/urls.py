@@ -14,8 +14,12 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 #: The model's symbols: anything else is "?", the end is "$"; "^" pads the start.
 SYMBOLS = "?abcdefghijklmnopqrstuvwxyz0123456789-._~/%:=&+$"
 ORDERS, PIECE = 5, 512
-#: So many contexts of an order (about 10 MB) are broadcast; more are joined by shuffling.
-CONTEXTS = 50_000
+#: Labelled URLs are scored by a model that has not seen their fold, a fifth of the hosts.
+FOLDS = 5
+#: So many contexts of an order (about 15 MB) are broadcast; more are joined by shuffling.
+CONTEXTS = 20_000
+#: The threshold is drawn to 0 as if so many URLs of each verdict had said 0.
+PRIOR = 50
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -51,69 +55,98 @@ def positions(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> DataFrame:
-    """Counts of symbols after contexts of 0 to ORDERS - 1 symbols in accepted and rejected URLs.
+    """Counts of symbols after contexts of 0 to ORDERS - 1 symbols in accepted and rejected URLs (``accepted, _fold, seen``).
 
-    A row for each context: its order ``k``, the counts of each symbol seen after it, their sums and kinds. There are at
-    most as many contexts as symbols in the labelled URLs; counts are added up before they are shuffled.
+    A row for each context: its order ``k``, the counts of each symbol seen after it, their sums and kinds. Each is an
+    array: over all URLs, then over those outside each fold. There are at most as many contexts as symbols in the
+    labelled URLs; counts are added up before they are shuffled.
     """
-    at = positions(labelled, "accepted")
-    each = at.select("accepted", "symbol", F.posexplode(F.array(*(F.col(f"c{k}") for k in range(ORDERS)))).alias("k", "context"))
-    counts = each.groupBy("k", "context", "symbol").agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"))
+    at, models = positions(labelled, "accepted", "_fold"), range(FOLDS + 1)
+    each = at.select("accepted", "_fold", "symbol", F.posexplode(F.array(*(F.col(f"c{k}") for k in range(ORDERS)))).alias("k", "context"))
+    used = [F.lit(True), *(F.col("_fold") != f for f in range(FOLDS))]
+    count = lambda says: F.array(*(F.count_if(says & u) for u in used))
+    counts = each.groupBy("k", "context", "symbol").agg(count(F.col("accepted")).alias("yes"), count(~F.col("accepted")).alias("no"))
     seen = F.map_from_entries(F.collect_list(F.struct("symbol", F.struct("yes", "no"))))  # a symbol is there once
-    sums = [F.sum(x).alias(f"n_{x}") for x in ("yes", "no")] + [F.count_if(F.col(x) > 0).alias(f"t_{x}") for x in ("yes", "no")]
-    return counts.groupBy("k", "context").agg(seen.alias("seen_after"), *sums)
+    sums = [F.array(*(F.sum(F.col(x)[i]) for i in models)).alias(f"n_{x}") for x in ("yes", "no")]
+    kinds = [F.array(*(F.count_if(F.col(x)[i] > 0) for i in models)).alias(f"t_{x}") for x in ("yes", "no")]
+    return counts.groupBy("k", "context").agg(seen.alias("seen_after"), *sums, *kinds)
 
 
 def scored(df: DataFrame, model: DataFrame, *cols: str) -> DataFrame:
-    """``llr``, the log-likelihood difference per symbol (end included) of ``seen``, for each row.
+    """``llr``, the log-likelihood difference per symbol (end included) of ``seen``, for each row, by the model of all
+    URLs or, where ``_fold`` (one of ``cols``) is not null, of those outside that fold.
 
     Witten-Bell smoothing: an order's estimate falls back on the next lower one in proportion to the kinds of symbols
     seen after the context, the lowest on equal chances. Rows that are equal in ``cols`` are scored once and repeated.
     """
     at = positions(df, *cols)
     yes = no = F.lit(1.0 / len(SYMBOLS))
+    of = lambda counts: F.coalesce(F.get(counts, F.coalesce(F.col("_fold") + 1, F.lit(0)).cast("int")), F.lit(0))
     for k in range(ORDERS):
         names = {x: f"{x}{k}" for x in ("seen_after", "n_yes", "n_no", "t_yes", "t_no")}
         at = attach(at, model.where(F.col("k") == k).select(F.col("context").alias(f"c{k}"), *(F.col(a).alias(b) for a, b in names.items())), f"c{k}", "left", CONTEXTS)
         after = F.element_at(F.col(f"seen_after{k}"), F.col("symbol"))
-        yes, no = (F.when(F.col(f"n_{x}{k}") > 0, (F.coalesce(after[x], F.lit(0)) + F.col(f"t_{x}{k}") * p) / (F.col(f"n_{x}{k}") + F.col(f"t_{x}{k}"))).otherwise(p) for x, p in (("yes", yes), ("no", no)))
+        yes, no = (F.when(of(F.col(f"n_{x}{k}")) > 0, (of(after[x]) + of(F.col(f"t_{x}{k}")) * p) / (of(F.col(f"n_{x}{k}")) + of(F.col(f"t_{x}{k}")))).otherwise(p) for x, p in (("yes", yes), ("no", no)))
         at = at.withColumns({f"p_yes{k}": yes, f"p_no{k}": no}).drop(*names.values())
         yes, no = F.col(f"p_yes{k}"), F.col(f"p_no{k}")
     out = at.select(*cols, "_first", F.log(yes / no).alias("_d")).groupBy(*cols).agg(F.avg("_d").alias("llr"), F.count_if("_first").alias("_n"))
     return out.select(*cols, "llr", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_")).drop("_")
 
 
-def threshold(rows: DataFrame, bins: int = 400, reach: float = 4.0) -> float:
-    """The difference from which on URLs are accepted: the best balanced accuracy on labelled URLs kept from training."""
-    b = F.least(F.greatest(F.floor((F.col("llr") + reach) * bins / (2 * reach)), F.lit(0)), F.lit(bins - 1))
-    seen = {r["b"]: (r["yes"], r["no"]) for r in rows.groupBy(b.alias("b")).agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no")).collect()}
-    yes, no = (sum(x[i] for x in seen.values()) for i in (0, 1))
-    if not yes or not no:
-        return 0.0 if not yes and not no else -math.inf if yes else math.inf
-    best, below_yes, below_no = [], 0, 0
-    for i in range(bins + 1):
-        edge = 2 * reach * i / bins - reach
-        best.append(((1 - below_yes / yes) + below_no / no, -abs(edge), edge))
-        below_yes, below_no = (a + b for a, b in zip((below_yes, below_no), seen.get(i, (0, 0)), strict=True))
-    return max(best)[2]
+def threshold(rows: DataFrame, prior: float = PRIOR) -> float:
+    """The difference from which on URLs are accepted, from scores of labelled URLs by models without their folds.
 
+    Where as many deviations lie below it to the rejected URLs' mean as above it to the accepted ones', so it moves with
+    all scores a little, not with single ones; drawn to 0 by ``prior`` URLs, and 0 if the means are not apart.
+    """
+    by = {r["accepted"]: r for r in rows.groupBy("accepted").agg(F.count("*").alias("n"), F.avg("llr").alias("mean"), F.stddev_pop("llr").alias("dev")).collect()}
+    if len(by) < 2:
+        return 0.0 if not by else -math.inf if True in by else math.inf
+    yes, no = by[True], by[False]
+    if yes["mean"] <= no["mean"]:
+        return 0.0
+    wide = yes["dev"] + no["dev"]
+    middle = (yes["mean"] * no["dev"] + no["mean"] * yes["dev"]) / wide if wide > 0 else (yes["mean"] + no["mean"]) / 2
+    n = min(yes["n"], no["n"])
+    return middle * n / (n + prior)
 
-def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``id_col, host, path, rule, verdict, llr``: the longest fitting rule's verdict, else the language models'.
 
-    URLs with a rule are the labels: four fifths train a model of accepted and one of rejected host-and-path strings,
-    the rest set the threshold on the length-normalised log-likelihood difference. Contexts are exact; those of an order
-    are broadcast up to CONTEXTS of them, beyond that joined by shuffling. A null or odd URL has empty host
-    and path and is judged as the empty text; repeated rows get a row each; an empty table gives an empty result;
-    other columns are ignored. With labels of one kind only, everything gets that verdict; with none, "allow".
-    """
+def held_out_accuracy(rows: DataFrame, cut: float) -> float | None:
+    """The mean of both verdicts' shares of labelled URLs (``accepted, llr``) that the scores judge as their rules do."""
+    right = F.when(F.col("accepted") == (F.col("llr") >= F.lit(cut)), 1.0).otherwise(0.0)
+    return rows.groupBy("accepted").agg(F.avg(right).alias("right")).agg(F.avg("right")).first()[0]
+
+
+def cross_fitted(labelled: DataFrame, model: DataFrame) -> DataFrame:
+    """``accepted, llr`` of labelled URLs by models that have not seen their hosts."""
+    return scored(labelled, model, "seen", "accepted", "_fold").select("accepted", "llr")
+
+
+def prepared(pages: DataFrame, rules, id_col: str, url_col: str) -> tuple[DataFrame, DataFrame]:
+    """All rows with host, path and rule, and those with a rule as labels; equal hosts are in one fold."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "says": verdict}).withColumn("seen", ascii_lower(F.concat("host", "path")))
-    labelled = rows.where("says is not null").withColumns({"accepted": F.col("says") == "allow", "_held": F.pmod(F.crc32("seen"), F.lit(5)) == 0})
-    model = keep(train(labelled.where(~F.col("_held"))))
-    cut = threshold(scored(labelled.where("_held"), model, "seen", "accepted"))
-    cols = ["_id", "host", "path", "rule", "says"]
-    out = scored(rows.withColumn("_seen", F.col("seen")), model, *cols)
+    rows = rows.withColumns({"rule": rule, "says": verdict, "seen": ascii_lower(F.concat("host", "path"))})
+    fold = F.when(F.col("says").isNotNull(), F.pmod(F.crc32("host"), F.lit(FOLDS)))
+    rows = rows.withColumn("_fold", fold)
+    return rows, rows.where("says is not null").select("seen", (F.col("says") == "allow").alias("accepted"), "_fold")
+
+
+def url_filter(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``id_col, host, path, rule, verdict, llr``: the longest fitting rule's verdict, else the language models'.
+
+    URLs with a rule are the labels: all train a model of accepted and one of rejected host-and-path strings, and each is
+    also scored by the models without its fold, a fifth of the hosts; these scores set the ``threshold`` on the
+    length-normalised log-likelihood difference. ``llr`` is by the models of all labels, for URLs with a rule by those
+    without their fold. Contexts are exact; those of an order are broadcast up to CONTEXTS of them, beyond that joined by
+    shuffling. A null or odd URL has empty host and path and is judged as the empty text; null ids stay null; repeated
+    rows get a row each; an empty table gives an empty result; other columns are ignored. With labels of one kind only,
+    everything gets that verdict; with none, "allow".
+    """
+    rows, labelled = prepared(pages, rules, id_col, url_col)
+    model = keep(train(labelled))
+    cut = threshold(cross_fitted(labelled, model))
+    cols = ["_id", "host", "path", "rule", "says", "_fold"]
+    out = scored(rows, model, *cols)
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("says", F.when(F.col("llr") >= cut, "allow").otherwise("block")).alias("verdict"), "llr")

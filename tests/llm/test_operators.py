@@ -339,17 +339,48 @@ def plain_ratio(labelled, text):
     return sum(each) / len(each)
 
 
-@pytest.mark.parametrize("contexts", [50_000, 3])
+@pytest.mark.parametrize("contexts", [20_000, 3])
 def test_url_ratios_match_a_plain_loop(spark, monkeypatch, contexts):
+    """URLs without a rule by all labels, those with one by the labels of other hosts' folds; null ids and repeated rows."""
     monkeypatch.setattr(urls, "CONTEXTS", contexts)
     r = np.random.default_rng(0)
     word = lambda n: "".join(r.choice(list("abcde-é"), n))
-    rows = [(i, f"http://{word(5)}.com/{('fr', 'de')[i % 2]}/{word(6)}") for i in range(60)] + [(100 + i, f"http://{word(5)}.net/{word(600 * (i == 0) + 5)}") for i in range(6)]
+    host = [word(5) for _ in range(25)]
+    rows = [(i, f"http://{host[i % 25]}.com/{('fr', 'de')[i % 2]}/{word(6)}") for i in range(60)] + [(100 + i, f"http://{word(5)}.net/{word(600 * (i == 0) + 5)}") for i in range(6)]
+    rows += [(3, rows[3][1]), (None, rows[63][1]), (None, rows[63][1])]
     got = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()
-    seen = {i: re.sub("[A-Z]", lambda m: m[0].lower(), u.split("://")[1]) for i, u in rows}
-    labelled = [(seen[i], "/fr/" in seen[i]) for i in seen if i < 100 and zlib.crc32(seen[i].encode()) % 5]
+    seen = [re.sub("[A-Z]", lambda m: m[0].lower(), u.split("://")[1]) for _, u in rows]
+    labelled = [(t, "/fr/" in t, zlib.crc32(t.split("/")[0].encode()) % 5) for t in seen if ".com/" in t]
+    assert len(got) == len(rows) and sum(g["page_id"] is None for g in got) == 2
     for g in got:
-        assert abs(g["llr"] - plain_ratio(labelled, seen[g["page_id"]])) < 1e-9
+        text = g["host"] + g["path"]
+        fold = zlib.crc32(g["host"].encode()) % 5 if g["rule"] else None
+        assert abs(g["llr"] - plain_ratio([(t, ok) for t, ok, f in labelled if f != fold], text)) < 1e-9
+    twin = next(g["llr"] for g in got if g["page_id"] == 103)
+    assert all(abs(g["llr"] - twin) < 1e-9 for g in got if g["page_id"] is None)
+
+
+def test_url_threshold(spark):
+    rows = lambda yes, no: spark.createDataFrame([(True, float(x)) for x in yes] + [(False, float(x)) for x in no], "accepted boolean, llr double")
+    assert urls.threshold(rows([], [])) == 0 and urls.threshold(rows([1], [])) == -np.inf and urls.threshold(rows([], [1])) == np.inf
+    assert urls.threshold(rows([0.1, 0.2], [0.3, 0.4])) == 0
+    r = np.random.default_rng(2)
+    yes, no = r.normal(1.0, 0.1, 400), r.normal(0.2, 0.3, 100)
+    middle = (yes.mean() * no.std() + no.mean() * yes.std()) / (yes.std() + no.std())
+    assert abs(urls.threshold(rows(yes, no), 0) - middle) < 1e-9 and abs(urls.threshold(rows(yes, no), 50) - middle * 100 / 150) < 1e-9
+    assert abs(urls.threshold(rows([*yes, 5.0], no), 0) - middle) < 0.05  # one score moves it little
+    assert urls.threshold(rows([1, 1], [0, 0]), 0) == 0.5 and urls.held_out_accuracy(rows([1, 1, 0], [0, 0]), 0.5) == pytest.approx(5 / 6)
+
+
+def test_url_models_judge_hosts_they_have_not_seen(spark):
+    """A small table alone, and beside ten times as many URLs."""
+    pages = lambda sf: spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "url")
+    small = pages("sf0.01")
+    both = small.unionAll(pages("sf0.1").withColumn("page_id", F.col("page_id") + 1_000_000))
+    for rows, least in ((small, 0.8), (both, 0.93)):
+        _, labelled = urls.prepared(rows, urls.RULES, "page_id", "url")
+        scores = urls.keep(urls.cross_fitted(labelled, urls.keep(urls.train(labelled))))
+        assert urls.held_out_accuracy(scores, urls.threshold(scores)) > least
 
 
 def test_fingerprints_of_long_lines_and_string_ids(spark):
