@@ -83,11 +83,11 @@ def scored(df: DataFrame, model: DataFrame, *cols: str) -> DataFrame:
     yes = no = F.lit(1.0 / len(SYMBOLS))
     of = lambda counts: F.coalesce(F.get(counts, F.coalesce(F.col("_fold") + 1, F.lit(0)).cast("int")), F.lit(0))
     for k in range(ORDERS):
-        names = {x: f"{x}{k}" for x in ("seen_after", "n_yes", "n_no", "t_yes", "t_no")}
-        at = attach(at, model.where(F.col("k") == k).select(F.col("context").alias(f"c{k}"), *(F.col(a).alias(b) for a, b in names.items())), f"c{k}", "left", CONTEXTS)
-        after = F.element_at(F.col(f"seen_after{k}"), F.col("symbol"))
-        yes, no = (F.when(of(F.col(f"n_{x}{k}")) > 0, (of(after[x]) + of(F.col(f"t_{x}{k}")) * p) / (of(F.col(f"n_{x}{k}")) + of(F.col(f"t_{x}{k}")))).otherwise(p) for x, p in (("yes", yes), ("no", no)))
-        at = at.withColumns({f"p_yes{k}": yes, f"p_no{k}": no}).drop(*names.values())
+        table = model.where(F.col("k") == k).select(F.col("context").alias(f"c{k}"), "seen_after", *(f"{a}_{x}" for a in "nt" for x in ("yes", "no")))
+        at = attach(at, table, f"c{k}", "left", CONTEXTS).withColumn("seen_after", F.element_at("seen_after", F.col("symbol")))
+        at = at.withColumns({f"c_{x}": of(F.col("seen_after")[x]) for x in ("yes", "no")} | {f"{a}_{x}": of(F.col(f"{a}_{x}")) for a in "nt" for x in ("yes", "no")})
+        yes, no = (F.when(F.col(f"n_{x}") > 0, (F.col(f"c_{x}") + F.col(f"t_{x}") * p) / (F.col(f"n_{x}") + F.col(f"t_{x}"))).otherwise(p) for x, p in (("yes", yes), ("no", no)))
+        at = at.withColumns({f"p_yes{k}": yes, f"p_no{k}": no}).drop("seen_after", *(f"{a}_{x}" for a in "cnt" for x in ("yes", "no")))
         yes, no = F.col(f"p_yes{k}"), F.col(f"p_no{k}")
     out = at.select(*cols, "_first", F.log(yes / no).alias("_d")).groupBy(*cols).agg(F.avg("_d").alias("llr"), F.count_if("_first").alias("_n"))
     return out.select(*cols, "llr", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_")).drop("_")
