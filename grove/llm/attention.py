@@ -141,19 +141,22 @@ class Learner:
         self.m, self.s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
 
     def learn(self, prior: Prior, windows: np.ndarray, seed: int = 0) -> None:
-        """Goes over ``windows`` (each WINDOW + 1 classes, padded with -1) once; over a few of them up to four times."""
-        batch = int(min(max(len(windows) // 100, 32), 512))
-        for again in range(1 if len(windows) >= 5000 else 4):
-            order = np.random.default_rng(seed + again).permutation(len(windows))
-            for i in range(0, len(order), batch):
-                part = windows[order[i : i + batch]]
-                self.steps += 1
-                step = np.float32(self.rate * min(1.0, self.steps / 20) / (1 + self.steps / 400) ** 0.5)
-                for k, g in gradients(self.w, prior, np.maximum(part[:, :-1], 0), part[:, 1:]).items():
-                    self.m[k] += np.float32(0.1) * (g - self.m[k])
-                    self.s[k] += np.float32(0.01) * (g * g - self.s[k])
-                    self.w[k] -= step * (self.m[k] / np.float32(1 - 0.9**self.steps) / (np.sqrt(self.s[k] / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8)))
-        self.windows += len(windows)
+        """Goes over ``windows`` (each WINDOW + 1 classes, padded with -1) once, in an order drawn from ``seed``.
+
+        A step takes a fiftieth of the windows that this learner has met, 32 at least and 512 at most, so first steps are
+        small and many whatever the input, and how windows come in batches doesn't matter.
+        """
+        order, i = np.random.default_rng(seed).permutation(len(windows)), 0
+        while i < len(order):
+            part = windows[order[i : i + min(max(self.windows // 50, 32), 512)]]
+            i += len(part)
+            self.windows += len(part)
+            self.steps += 1
+            step = np.float32(self.rate * min(1.0, self.steps / 20) / (1 + self.steps / 400) ** 0.5)
+            for k, g in gradients(self.w, prior, np.maximum(part[:, :-1], 0), part[:, 1:]).items():
+                self.m[k] += np.float32(0.1) * (g - self.m[k])
+                self.s[k] += np.float32(0.01) * (g * g - self.s[k])
+                self.w[k] -= step * (self.m[k] / np.float32(1 - 0.9**self.steps) / (np.sqrt(self.s[k] / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8)))
 
 
 def training_windows(classes: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -67,10 +67,14 @@ class Batch:
         word, self.owner = words(pc.ascii_lower(texts))
         self.code, distinct = coded(word)
         self.words = distinct.to_numpy(zero_copy_only=False).tolist()
-        self.keys = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
         self.count = np.bincount(self.owner, minlength=self.n)
         self.tokenizer = tokenizer
 
+    @functools.cached_property
+    def keys(self) -> np.ndarray:
+        """Hashes of the distinct words."""
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+
     @functools.cached_property
     def distinct_ids(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the distinct words one after another, and how many each has."""
@@ -232,7 +236,7 @@ def learned(rows: DataFrame, tokenizer: str, shared, rate: float | None, batch_b
                 counts.add(_before(b, classes), classes)
                 if learner:
                     learner.learn(prior, attention.training_windows(classes, b.size), seed)
-                    seed += 4
+                    seed += 1
         out = [(k, 0, x) for k, x in counts.blocks()]
         if learner and learner.windows:
             out.append((-1 - TaskContext.get().partitionId(), learner.windows, _packed(learner.w)))

@@ -164,3 +164,19 @@ def test_empty_table_and_null_ids(spark):
     rows = lm.lm_scores(df).collect()
     assert len(rows) == 3 and not any(r["held_out"] for r in rows if r["doc_id"] is None)
     assert lm.lm_scores(df.limit(0)).count() == 0
+
+
+def test_steps_depend_on_the_windows_met_only(monkeypatch):
+    sizes = []
+    monkeypatch.setattr(attention, "gradients", lambda w, prior, seen, target: sizes.append(target[:, 0].tolist()) or {})
+    windows = np.arange(9000)[:, None] + np.zeros((1, attention.WINDOW + 1), int)
+    for cuts in ([], [10, 5000], [4999]):
+        sizes.clear()
+        learner = attention.Learner(attention.fresh_weights(), 0.01)
+        for part in np.split(windows, cuts):
+            learner.learn(None, part)
+        assert sorted(x for s in sizes for x in s) == list(range(9000)) and learner.windows == 9000
+        met, parts = 0, {0, *cuts, 9000}
+        for s in sizes:
+            assert len(s) == max(met // 50, 32) or met + len(s) in parts
+            met += len(s)
