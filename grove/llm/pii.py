@@ -39,14 +39,21 @@ NEAR = 24
 LABELERS = 5
 
 
+#: Matches that are put together at a time, see found().
+_RUN = 64
+_SPANS = "array<struct<kind:string,start:int,end:int,found:string>>"
+
+
 def found(text: Column, pattern: str, kind: str, hint: Column) -> Column:
     """Leftmost non-overlapping matches as an array of ``kind, start, end, found``; offsets in code points.
 
-    What lies between matches (the split) and the matches themselves add up to the offsets.
+    What lies between matches (the split) and the matches themselves add up to the offsets. Arrays can only grow by being
+    copied, so runs of _RUN matches get offsets of their own, the runs are put behind one another, and offsets are moved
+    by where their run starts: few copies even with many thousand matches.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.expr("struct(0 AS at, cast(array() AS array<struct<kind:string,start:int,end:int,found:string>>) AS spans)")
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -54,9 +61,20 @@ def found(text: Column, pattern: str, kind: str, hint: Column) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["hit"].alias("found"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    none = F.expr("cast(array() AS array<struct<kind:string,start:int,end:int,found:string>>)")
-    return F.when(hint, F.aggregate(pairs, empty, step, lambda a: a["spans"])).otherwise(none)
+    def behind(acc: Column, run: Column) -> Column:
+        return F.struct((acc["at"] + run["at"]).alias("at"), F.concat(acc["runs"], F.array(F.struct(acc["at"].alias("from"), run["spans"].alias("spans")))).alias("runs"))
+
+    def moved(run: Column) -> Column:
+        place = lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + run["from"]).alias("start"), (s["end"] + run["from"]).alias("end"), s["found"].alias("found"))
+        return F.transform(run["spans"], place)
+
+    def placed(all_pairs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_pairs), F.lit(1)), F.lit(_RUN))
+        runs = F.transform(starts, lambda i: F.aggregate(F.slice(all_pairs, i, F.lit(_RUN)), F.expr(f"struct(0 AS at, cast(array() AS {_SPANS}) AS spans)"), step))
+        return F.aggregate(runs, F.expr(f"struct(0 AS at, cast(array() AS array<struct<from:int,spans:{_SPANS}>>) AS runs)"), behind, lambda a: F.flatten(F.transform(a["runs"], moved)))
+
+    # a variable for the pairs, which would otherwise be sought anew for each run
+    return F.when(hint, F.element_at(F.transform(F.array(pairs), placed), 1)).otherwise(F.expr(f"cast(array() AS {_SPANS})"))
 
 
 def _digits(c: Column) -> Column:

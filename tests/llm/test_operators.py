@@ -154,6 +154,15 @@ def test_base_spans_match_the_patterns(spark):
         assert got[i] == ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found))
 
 
+def test_spans_of_many_matches(spark):
+    make = lambda n: " ".join(f"\U0001f44d{'x' * (i % 5)} a{i}@b.org" for i in range(n)) + " end"
+    counts = [0, 1, 63, 64, 65, 128, 129, 20_000]
+    df = spark.createDataFrame([(n, make(n)) for n in counts], "n int, text string")
+    got = {r["n"]: r["s"] for r in df.select("n", pii.joined(pii.base_spans(F.col("text"))).alias("s")).collect()}
+    for n in counts:
+        assert got[n] == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"a[0-9]+@b\.org", make(n)))
+
+
 def test_secrets_are_found_and_masked_and_clean_text_stays(spark):
     key = hashlib.sha1(b"1").hexdigest()
     rows = [(i, f'so token = "{hashlib.sha1(str(i).encode()).hexdigest()}" it is') for i in range(20)] + [(100 + i, f"plain words and averyverylongword{i}ofletters only") for i in range(30)]
