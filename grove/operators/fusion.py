@@ -53,6 +53,18 @@ def combined_risk(anomaly: Column, rule: Column, weight: float = 0.4) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), weight * anomaly + (1 - weight) * rule))
 
 
+def weighted_risk(parts: dict[str, Column], weights: dict[str, float]) -> Column:
+    """The mean of the parts (0 to 100 each) by their weights, within 0 and 100; a null part counts as 0.
+
+    Weights of parts that aren't there are left out, and the others need not add up to 1; with no weight at all it is 0.
+    """
+    total = sum(weights.get(k, 0.0) for k in parts)
+    if not total:
+        return F.lit(0.0)
+    share = sum((F.coalesce(c.cast("double"), F.lit(0.0)) * (weights.get(k, 0.0) / total) for k, c in parts.items()), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), share))
+
+
 def quantile(rows: DataFrame, col: str, q: float, bins: int = 1024, few: int = 10_000) -> float | None:
     """The exact quantile with linear interpolation, None without values (nulls don't count).
 

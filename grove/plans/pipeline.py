@@ -33,9 +33,12 @@ def extract(files: DataFrame, config: ProjectConfig | None = None) -> DataFrame:
 
 
 def analyse(features: DataFrame, files: DataFrame | None = None, embeddings: DataFrame | None = None, dim: int = 768, config: ProjectConfig | None = None) -> DataFrame:
-    """``features`` with ``cluster, risk_score, risk_findings, is_anomaly, anomaly_score``; identity is the path throughout.
+    """``features`` with ``cluster, risk_score, risk_findings, is_anomaly, anomaly_score, combined_risk``; identity is the
+    path throughout.
 
     Clusters come from the scaled blocks side by side, anomalies from the raw features, risks from the uncleaned files.
+    ``combined_risk`` weighs the complexity (0 at the least, 100 at the most of all files), the anomaly and the rules as
+    ``risk_weights`` says; without files or complexities, their weights are left out.
     """
     config = config or ProjectConfig()
     names = available(features)
@@ -56,12 +59,17 @@ def analyse(features: DataFrame, files: DataFrame | None = None, embeddings: Dat
         labels = cluster.kmeans(x, min(config.n_clusters or cluster.optimal_k(x)[0], n))[0]
     raw = keyed.select("row_id", F.col("raw").alias("features"))
     odd = anomaly.detect(raw, len(names), config.contamination, config.anomaly_algorithm)
+    parts = {"anomaly": F.col("anomaly_score")}
+    if "cyclomatic_complexity" in names:
+        keyed = fusion.min_max(keyed, "cyclomatic_complexity", "_complexity")
+        parts["structural"] = F.col("_complexity")
     out = keyed.drop("raw").join(labels, "row_id").join(odd.select("row_id", "is_anomaly", F.col("score").alias("anomaly_score")), "row_id")
     if files is not None:
         scores = risk(findings(stored(ast_nodes(files, columns=RULED, types=RULED_TYPES))).where("rule_id != 'SYNTAX_ERROR'"), files)
         out = out.join(scores.select("filepath", "risk_score", "risk_findings"), "filepath", "left")
         out = out.withColumns({"risk_score": F.coalesce("risk_score", F.lit(0.0)), "risk_findings": F.coalesce("risk_findings", F.lit(0))})
-    return out
+        parts["rule_based"] = F.col("risk_score")
+    return out.withColumn("combined_risk", fusion.weighted_risk(parts, config.risk_weights)).drop("_complexity")
 
 
 def cluster_info(results: DataFrame) -> DataFrame:

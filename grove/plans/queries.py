@@ -9,11 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grove.config import WEIGHTS
 from grove.functions import text
 from grove.operators import anomaly, ast_table, cluster, fusion, gcn, profile, rules, store, structural, vectors
 from grove.plans import report
 from grove.plans.corpus import SEGMENTS, source_corpus
 from grove.sources import files as sources
+from grove.sources import tables
 from grove.storage import sealed, shared_dir, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -476,6 +478,68 @@ def cluster_representatives(spark, d):
     return profile.representatives(_rows(spark, d), _labels(spark, d))
 
 
+@query("SELECT vec_id AS row_id FROM embeddings WHERE label = 3")
+def cluster_members(spark, d):
+    return profile.members(_labels(spark, d), 3)
+
+
+@query(f"SELECT label::INT AS cluster, round(avg(v), 6) AS mean FROM {_LONG} WHERE i = 7 GROUP BY label")
+def cluster_comparison(spark, d):
+    c = profile.compared(profile.profiles(_rows(spark, d), _labels(spark, d), dim=DIM), "f7")
+    return c.select("cluster", F.round("mean", 6).alias("mean"))
+
+
+@query(f"WITH c AS (SELECT vec_id, sqrt(sum((v-m)**2)) AS dist FROM (SELECT vec_id, v, avg(v) OVER (PARTITION BY i) AS m FROM {_LONG} WHERE label = 3) GROUP BY 1) SELECT 3 AS cluster, count(*) AS size, round(100.0*count(*)/(SELECT count(*) FROM embeddings), 6) AS percentage, list(vec_id ORDER BY dist, vec_id)[1] AS nearest FROM c HAVING count(*) > 0")
+def cluster_lookup(spark, d):
+    p = profile.profile_of(profile.profiles(_rows(spark, d), _labels(spark, d), dim=DIM), 3)
+    return p.select("cluster", "size", F.round("percentage", 6).alias("percentage"), F.col("representatives")[0].alias("nearest"))
+
+
+@query("WITH x AS (SELECT vec_id, unnest(range(50)) AS i, unnest(embedding[1:50])::DOUBLE AS v FROM embeddings) SELECT vec_id, i, round((v-avg(v) OVER w)/coalesce(nullif(stddev_pop(v) OVER w, 0), 1), 6) AS z FROM x WINDOW w AS (PARTITION BY i)")
+def preprocessed_vectors(spark, d):
+    """What clusters are sought in; with 50 columns nothing is projected."""
+    rows = _rows(spark, d).select("row_id", F.slice("features", 1, cluster.MOST_COMPONENTS).alias("features"))
+    z = cluster.preprocessed(rows, cluster.MOST_COMPONENTS)
+    return z.select(F.col("row_id").alias("vec_id"), F.posexplode("features").alias("i", "z")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("z", 6).alias("z"))
+
+
+@query(f"SELECT filename, function_count, loop_count, max_nesting_depth, cyclomatic_complexity, risk_score::VARCHAR AS risk_score FROM {RESULTS}")
+def feature_table(spark, d):
+    """A feature table written as CSV and read again: known features with their types, the rest as text."""
+    at = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    names = ["filename", "function_count", "loop_count", "max_nesting_depth", "cyclomatic_complexity", "risk_score"]
+    _results(spark, d).select(*names).write.csv(at, header=True)
+    return tables.read_features(spark, at)
+
+
+@query(f"SELECT row_id, unnest(['function_count', 'loop_count', 'max_nesting_depth', 'cyclomatic_complexity']) AS feature, unnest([function_count, loop_count, max_nesting_depth, cyclomatic_complexity])::DOUBLE AS value FROM {RESULTS}")
+def feature_vectors(spark, d):
+    """The feature columns that a table has, as a vector beside their names."""
+    r = _results(spark, d)
+    names = structural.available(r)
+    pairs = F.arrays_zip(F.lit(names).alias("feature"), structural.vector(r, names).alias("value"))
+    return r.select("row_id", F.explode(pairs).alias("x")).select("row_id", "x.feature", F.col("x.value").cast("double").alias("value"))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE is_anomaly) AS anomalies, round(avg(risk_score), 6) AS avg_risk, count(*) FILTER (WHERE risk_score >= 60) AS high_risk, count(DISTINCT cluster) AS clusters FROM {RESULTS}")
+def report_statistics(spark, d):
+    r = _results(spark, d)
+    s = report.report_stats(r, r.select("cluster").distinct().count())
+    return spark.createDataFrame([(s["total"], s["anomalies"], round(s["avg_risk"], 6), s["high_risk"], s["clusters"])], "total long, anomalies long, avg_risk double, high_risk long, clusters long")
+
+
+@query(f"SELECT row_id, filename AS file, risk_score FROM {RESULTS} WHERE filename = 'f7.py' ORDER BY row_id LIMIT 1")
+def file_lookup(spark, d):
+    return report.file_row(_results(spark, d).withColumnRenamed("filename", "file"), "f7.py").select("row_id", "file", "risk_score")
+
+
+@query(f"SELECT row_id, round(0.4*100.0*(cyclomatic_complexity-min(cyclomatic_complexity) OVER ())/(max(cyclomatic_complexity) OVER ()-min(cyclomatic_complexity) OVER ()) + 0.3*(function_count*10) + 0.3*risk_score, 6) AS risk FROM {RESULTS}")
+def weighted_risk(spark, d):
+    r = fusion.min_max(_results(spark, d), "cyclomatic_complexity", "complexity")
+    parts = {"structural": F.col("complexity"), "anomaly": F.col("function_count") * 10, "rule_based": F.col("risk_score")}
+    return r.select("row_id", F.round(fusion.weighted_risk(parts, WEIGHTS), 6).alias("risk"))
+
+
 _MEANS = f"(SELECT cluster, avg(loop_count) l, avg(max_nesting_depth) n, avg(function_count) f, avg(cyclomatic_complexity) c FROM {RESULTS} WHERE cluster<>-1 GROUP BY 1)"
 
 

@@ -159,3 +159,12 @@ def test_scan(spark, tmp_path):
     patterns = ("test_d.py",)
     assert [r["filename"] for r in sources.scan(spark, str(tmp_path), patterns=patterns).collect()] == ["a.py"]
     assert sources.lenient(spark, str(tmp_path)).count() == 3
+
+
+def test_weighted_risk(spark):
+    df = spark.createDataFrame([(50.0, 100.0), (None, 20.0), (500.0, 500.0)], "a double, b double")
+    parts = {"anomaly": F.col("a"), "rule_based": F.col("b")}
+    risk = lambda w: [round(r[0], 6) for r in df.select(fusion.weighted_risk(parts, w)).collect()]
+    assert risk({"structural": 0.4, "anomaly": 0.3, "rule_based": 0.3}) == [75.0, 10.0, 100.0]
+    assert risk({"anomaly": 3, "rule_based": 1}) == [62.5, 5.0, 100.0]
+    assert risk({}) == risk({"structural": 1.0}) == [0.0, 0.0, 0.0]

@@ -29,6 +29,12 @@ def test_extract_and_analyse(spark, corpus, tmp_path):
     config = ProjectConfig(n_clusters=3, anomaly_algorithm="isolation_forest")
     vectors = corpus.select("filepath", F.array(F.length("code").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
     out = pipeline.analyse(features, corpus, vectors, 2, config)
+    scored = out.collect()
+    low, high = (f(r["cyclomatic_complexity"] for r in scored) for f in (min, max))
+    for r in scored:
+        part = 100 * (r["cyclomatic_complexity"] - low) / (high - low) if high > low else 0
+        w = config.risk_weights
+        assert abs(r["combined_risk"] - (w["structural"] * part + w["anomaly"] * r["anomaly_score"] + w["rule_based"] * r["risk_score"])) < 1e-6
     assert out.count() == 40 and {"cluster", "risk_score", "risk_findings", "is_anomaly", "anomaly_score"} <= set(out.columns)
     info = pipeline.cluster_info(out)
     assert sum(r["size"] for r in info.collect()) == 40
