@@ -112,8 +112,13 @@ def single(rows: DataFrame, k: int, block: int = 1000) -> DataFrame:
 
 
 def merged(d: np.ndarray, size: np.ndarray, k: int, method: str) -> np.ndarray:
-    """Labels of k clusters after the lowest merges, found along chains of nearest neighbours (Lance-Williams updates)."""
+    """Labels of k clusters after the lowest merges, found along chains of nearest neighbours (Lance-Williams updates).
+
+    Both ways a distance is the same number, and a merged cluster is no nearer than the nearer one of its parts, rounding
+    or not: so distances fall along a chain, it never comes back to a cluster, and merges rise (of equal ones parts come first).
+    """
     n = len(d)
+    d = np.minimum(d, d.T)
     np.fill_diagonal(d, np.inf)
     size, alive, chain, steps = size.astype(float).copy(), np.ones(n, bool), [], []
     while len(steps) < n - 1:
@@ -135,13 +140,14 @@ def merged(d: np.ndarray, size: np.ndarray, k: int, method: str) -> np.ndarray:
             new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         else:
             new = np.maximum(d[i], d[j])
+        new = np.maximum(new, np.minimum(d[i], d[j]))
         new[~alive] = np.inf
         new[[i, j]] = np.inf
         d[i], d[:, i], d[j], d[:, j] = new, new, np.inf, np.inf
         size[i] += size[j]
         alive[j] = False
     label = np.arange(n)
-    for _, i, j in sorted(steps)[: max(0, n - k)]:
+    for _, i, j in sorted(steps, key=lambda s: s[0])[: max(0, n - k)]:
         a, b = label[i], label[j]
         label[label == max(a, b)] = min(a, b)
     return np.unique(label, return_inverse=True)[1]
@@ -177,6 +183,12 @@ def compact(rows: DataFrame, k: int, linkage: str, micro: int = MICRO) -> DataFr
         some = np.flatnonzero(n)
         yield pd.DataFrame({"seed": some, "n": n[some], "s": list(s[some])})
 
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        some, at = np.unique(f["seed"].to_numpy(), return_inverse=True)
+        n, s = np.bincount(at, f["n"].to_numpy()), np.zeros((len(some), len(f["s"].iloc[0])))
+        np.add.at(s, at, matrix(f, "s"))
+        return pd.DataFrame({"seed": some, "n": n, "s": list(s)})
+
     def fit(f: pd.DataFrame) -> pd.DataFrame:
         n, s = np.zeros(len(at)), np.zeros_like(at)
         np.add.at(n, f["seed"].to_numpy(), f["n"].to_numpy())
@@ -187,6 +199,7 @@ def compact(rows: DataFrame, k: int, linkage: str, micro: int = MICRO) -> DataFr
         d = 2 * d * size[:, None] * size / (size[:, None] + size) if linkage == "ward" else np.sqrt(d)
         return pd.DataFrame({"seed": some, "cluster": merged(d, size, k, linkage).astype(np.int64)})
 
-    parts = placed.select("seed", "features").mapInPandas(features, "seed long, n double, s array<double>")
-    labels = parts.groupBy(F.lit("features")).applyInPandas(fit, "seed long, cluster long")  # micro rows for each task before
+    kind = "seed long, n double, s array<double>"
+    parts = placed.select("seed", "features").mapInPandas(features, kind).groupBy((F.col("seed") % 64).alias("g")).applyInPandas(add, kind)
+    labels = parts.groupBy(F.lit("features")).applyInPandas(fit, "seed long, cluster long")  # micro rows at most
     return numbered(placed.select("row_id", "seed").join(F.broadcast(sealed(labels)), "seed").select("row_id", "cluster"), k)

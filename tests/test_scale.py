@@ -50,6 +50,23 @@ def test_hierarchies_match_plain_merging(spark):
     assert labels_of(cluster.hierarchical(rows.limit(1), 3, "ward")) == [0]
 
 
+def test_hierarchies_of_repeated_rows_end():
+    """Rows of length 1 as 32-bit numbers, each several times: rounded distances used to lead chains in circles."""
+    r = np.random.default_rng(0)
+    for trial in range(60):
+        n = int(r.integers(40, 160))
+        base = r.standard_normal((int(r.integers(2, n)), 64))
+        base = (base / np.sqrt((base**2).sum(axis=1))[:, None]).astype(np.float32).astype(float)
+        kind, size = r.integers(0, len(base), n), r.integers(1, 6, n).astype(float)
+        x = base[kind] * size[:, None] * 3 / (size[:, None] * 3)
+        d = np.maximum((x**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * x @ x.T, 0)
+        d = 2 * d * size[:, None] * size / (size[:, None] + size)
+        k = min(8, len(np.unique(kind)))
+        got = hierarchy.merged(d, size, k, "ward")
+        assert len(np.unique(got)) == k, trial
+        assert all(len(np.unique(got[kind == c])) == 1 for c in np.unique(kind)), trial  # what is equal stays together
+
+
 def test_hierarchies_of_many_rows(spark):
     r = np.random.default_rng(6)
     truth = r.integers(0, 5, 20_000)
