@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from grove.operators.fusion import standardized
 from grove.operators.hierarchy import compact, single
-from grove.operators.neighbours import apart, distances
+from grove.operators.neighbours import UNITS, counted, distances, linked  # noqa: F401  distances: by this name too
 from grove.operators.sums import matrix, summed
 from grove.operators.tsne import tsne
 from grove.storage import running, sealed, stored
@@ -147,32 +147,60 @@ def kmeans(rows: DataFrame, k: int = K, starts: int = STARTS, rounds: int = ROUN
     return nearest(rows, {"cluster": best}), centers, inertia
 
 
-def _blocks(rows: DataFrame, block: int, *more: str) -> tuple[DataFrame, DataFrame]:
-    """Rows twice, cut into blocks so that every pair of blocks (i, j) meets in one task."""
-    blocks = max(1, -(-rows.count() // block))
+def _blocks(rows: DataFrame, block: int | None, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Rows twice, cut into blocks so that every pair of blocks (i <= j) meets in one task; at most UNITS blocks if none is given."""
+    n = rows.count()
+    blocks = max(1, -(-n // (block or max(500, -(-n // UNITS)))))
     marked = rows.select("row_id", F.transform("features", lambda x: x.cast("double")).alias("x"), *more, F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int").alias("k"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    left = marked.select("row_id", "x", *more, F.col("k").alias("i"), other).withColumnRenamed("other", "j")
-    right = marked.select(F.col("row_id").alias("id2"), F.col("x").alias("y"), *(F.col(c).alias(f"{c}2") for c in more), F.col("k").alias("j"), other).withColumnRenamed("other", "i")
+    left = marked.select("row_id", "x", *more, F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.lit(blocks - 1))).alias("j"))
+    right = marked.select(F.col("row_id").alias("id2"), F.col("x").alias("y"), *(F.col(c).alias(f"{c}2") for c in more), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"))
     return left, right.select("id2", "y", *(f"{c}2" for c in more), "i", "j")
 
 
-def cluster_distances(rows: DataFrame, labels: DataFrame, names: list[str], block: int = 2000) -> DataFrame:
+def _measured(x: np.ndarray, y: np.ndarray, at_once: int = 2_000_000) -> Iterator[tuple[int, np.ndarray]]:
+    """Distances of some rows of x at a time (the first one's place goes along) to all rows of y; small ones are measured anew."""
+    mid = y.mean(axis=0)
+    u, v = x - mid, y - mid
+    uu, vv = (u**2).sum(axis=1), (v**2).sum(axis=1)
+    least, right, step = 1e-6 * max(uu.max(), vv.max()), v.T.copy(), max(1, at_once // len(y))
+    for a in range(0, len(x), step):
+        d = u[a : a + step] @ right
+        d *= -2
+        d += uu[a : a + step, None]
+        d += vv
+        i, j = np.nonzero(d <= least)
+        for c in range(0, len(i), 100_000):
+            p, q = i[c : c + 100_000], j[c : c + 100_000]
+            d[p, q] = ((y[q] - x[a + p]) ** 2).sum(axis=1)
+        yield a, np.sqrt(d, out=d)
+
+
+def cluster_distances(rows: DataFrame, labels: DataFrame, names: list[str], block: int | None = None) -> DataFrame:
     """``m, a, ca, cb, s, n``: by each labelling, a row's cluster, and the sum and number of its distances to every cluster's rows.
 
-    Distances are taken once for all labellings (columns ``names`` of ``labels``).
+    Distances are taken once for all labellings (columns ``names`` of ``labels``) and for both ways round. There are few
+    blocks, whatever the number of rows, so copies of rows grow with them and only comparisons with their square.
     """
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"m": [], "a": [], "ca": [], "cb": [], "s": [], "n": []})
         if a.empty or b.empty:
-            return empty
-        d, out = apart(np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy())), []
-        for m, name in enumerate(names):
-            kinds, of = np.unique(b[f"{name}2"].to_numpy(), return_inverse=True)
-            s = d @ np.eye(len(kinds))[of]
-            wide = lambda x: np.repeat(x.to_numpy(), len(kinds))  # noqa: B023, E731
-            out.append(pd.DataFrame({"m": m, "a": wide(a["row_id"]), "ca": wide(a[name]), "cb": np.tile(kinds, len(a)), "s": s.ravel(), "n": np.tile(np.bincount(of), len(a))}))
+            return pd.DataFrame({"m": [], "a": [], "ca": [], "cb": [], "s": [], "n": []})
+        x, y, same = np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy()), bool(a["i"].iloc[0] == a["j"].iloc[0])
+        kinds = [tuple(np.unique(f[c].to_numpy(), return_inverse=True) for f, c in ((a, name), (b, f"{name}2"))) for name in names]
+        wide, high = (np.concatenate([np.eye(len(k[side][0]))[k[side][1]] for k in kinds], axis=1) for side in (1, 0))
+        to, back = np.zeros((len(x), wide.shape[1])), np.zeros((len(y), high.shape[1]))
+        for at, d in _measured(x, y):
+            to[at : at + len(d)] = d @ wide
+            if not same:
+                back += d.T @ high[at : at + len(d)]
+        out = []
+        for ids, own, s, side in ((a["row_id"], "", to, 1), (b["id2"], "2", back, 0))[: 1 if same else 2]:
+            at = 0
+            for m, name in enumerate(names):
+                (kind, of), labels = kinds[m][side], (b if own else a)[f"{name}{own}"].to_numpy()
+                part = s[:, at : at + len(kind)]
+                at += len(kind)
+                out.append(pd.DataFrame({"m": m, "a": np.repeat(ids.to_numpy(), len(kind)), "ca": np.repeat(labels, len(kind)), "cb": np.tile(kind, len(part)), "s": part.ravel(), "n": np.tile(np.bincount(of), len(part))}))
         return pd.concat(out)
 
     left, right = _blocks(rows.join(labels.select("row_id", *names), "row_id"), block, *names)
@@ -195,13 +223,14 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
 
 def dbscan(rows: DataFrame, eps: float = EPS, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """``row_id, cluster``: components of core rows numbered by their smallest row; border rows join the smallest number; noise is -1."""
-    near = sealed(distances(rows, eps=eps).select("a", "b"))
-    core = near.groupBy("a").count().where(F.col("count") >= min_samples).select("a")
-    linked = near.join(core, "a").join(core.select(F.col("a").alias("b")), "b").select("a", "b")
-    roots = smallest_reachable(linked)
+    near = counted(rows, eps).select("row_id", (F.col("near") >= min_samples).cast("int").alias("mark"))
+    marked = stored(rows.select("row_id", "features").join(near, "row_id"))
+    links = sealed(linked(marked, eps).distinct())
+    among, loop = links.where("core").select("a", "b"), marked.where("mark = 1").select(F.col("row_id").alias("a"), F.col("row_id").alias("b"))
+    roots = smallest_reachable(sealed(among.union(among.select("b", "a")).union(loop)))
     number = running(roots.select("root").distinct(), [F.col("root")], F.lit(1), "number")
-    inner = roots.join(number, "root").select("node", (F.col("number") - 1).cast("int").alias("cluster"))
-    by = near.join(inner, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster").alias("border"))
+    inner = sealed(roots.join(number, "root").select("node", (F.col("number") - 1).cast("int").alias("cluster")))
+    by = links.where("not core").join(inner, F.col("b") == F.col("node")).groupBy("a").agg(F.min("cluster").alias("border"))
     labels = rows.select("row_id").join(inner, F.col("row_id") == F.col("node"), "left").join(by, F.col("row_id") == F.col("a"), "left")
     return labels.select("row_id", F.coalesce("cluster", "border", F.lit(-1)).alias("cluster"))
 
