@@ -45,7 +45,7 @@ def depths(tree: tuple, x: np.ndarray, depth: int = 0) -> np.ndarray:
 
 def _sample(rows: DataFrame, n: int) -> np.ndarray:
     """n rows at most, the same ones every time: those whose hashed ids are smallest."""
-    got = rows.orderBy(F.xxhash64("row_id", F.lit(SEED)), "row_id").limit(n).select("features").toPandas()
+    got = sealed(rows.orderBy(F.xxhash64("row_id", F.lit(SEED)), "row_id").limit(n)).orderBy(F.xxhash64("row_id", F.lit(SEED)), "row_id").select("features").toPandas()  # so many rows reach the driver, not as many of each task
     return np.stack(got["features"].to_numpy()).astype(float) if len(got) else np.zeros((0, 1))
 
 

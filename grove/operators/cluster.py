@@ -120,7 +120,7 @@ def fitted(rows: DataFrame, ks: list[int], starts: int = STARTS, rounds: int = R
     Starts are drawn from SEEDS rows at most, those with the smallest hashed ids; every round takes all rows.
     """
     data = stored(rows.select(F.transform("features", lambda v: v.cast("double")).alias("features")))
-    some = rows.orderBy(F.xxhash64("row_id"), "row_id").limit(SEEDS).select("features").collect()
+    some = sealed(rows.orderBy(F.xxhash64("row_id"), "row_id").limit(SEEDS)).orderBy(F.xxhash64("row_id"), "row_id").select("features").collect()
     if not some:
         raise ValueError("no rows to cluster")
     x = np.array([r["features"] for r in some], float)

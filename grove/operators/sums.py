@@ -14,10 +14,10 @@ def matrix(f: pd.DataFrame, col: str = "features") -> np.ndarray:
     return np.stack(f[col].to_numpy()).astype(float)
 
 
-def summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], groups: int = 16) -> np.ndarray | None:
-    """The sum of ``part`` over batches of rows, None without rows.
+def added(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], groups: int = 16) -> DataFrame:
+    """``v``: one row, the sum of ``part`` over batches of rows; none without rows.
 
-    A task adds up its batches, ``groups`` tasks the tasks' vectors, and so many vectors reach the driver.
+    A task adds up its batches, ``groups`` tasks the tasks' vectors, and one task these.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,5 +32,11 @@ def summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], groups:
         return pd.DataFrame({"v": [np.sum(np.stack(f["v"].to_numpy()), axis=0)]})
 
     kind = "v array<double>"
-    got = rows.mapInPandas(run, kind).groupBy((F.spark_partition_id() % groups).alias("g")).applyInPandas(add, kind).collect()
-    return np.sum([np.array(r["v"]) for r in got], axis=0) if got else None
+    some = rows.mapInPandas(run, kind).groupBy((F.spark_partition_id() % groups).alias("g")).applyInPandas(add, kind)
+    return some.groupBy(F.lit("all")).applyInPandas(add, kind)
+
+
+def summed(rows: DataFrame, part: Callable[[pd.DataFrame], np.ndarray], groups: int = 16) -> np.ndarray | None:
+    """The sum of ``part`` over batches of rows, None without rows: one vector reaches the driver, whatever the number of tasks."""
+    got = added(rows, part, groups).collect()
+    return np.array(got[0]["v"]) if got else None
