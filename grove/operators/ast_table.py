@@ -25,6 +25,12 @@ SCHEMA = """filepath string, parse_ok boolean, err_kind string, err_line int, er
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 COLUMNS = [tuple(c.split()) for c in SCHEMA.replace("\n", " ").split(", ")]
 
+#: What these relations read: columns, and node types (summaries count all).
+OF_FUNCTIONS = {"columns": tuple("filepath pre bfs_ord type funcs name call_name lineno end_lineno num_args args decorators".split()), "types": ("FunctionDef", "AsyncFunctionDef", "Call", "Return")}
+OF_CLASSES = {"columns": tuple("filepath pre parent_pre bfs_ord type name lineno end_lineno bases decorators".split()), "types": ("FunctionDef", "AsyncFunctionDef", "ClassDef")}
+OF_IMPORTS = {"columns": ("filepath", "bfs_ord", "type", "name", "args", "names"), "types": ("Import", "ImportFrom")}
+OF_SUMMARIES = ("filepath", "parse_ok", "bfs_ord", "type", "name", "args", "names")
+
 
 def _called(f: ast.expr) -> tuple[str | None, bool]:
     if isinstance(f, ast.Name):
