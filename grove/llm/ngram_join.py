@@ -67,24 +67,33 @@ def _parts(batch: pa.RecordBatch, batch_bytes: int = 2 << 20):
 
 def count_vectors(token: np.ndarray, size: np.ndarray) -> list[bytes]:
     """How many of a set's tokens fall into each group. Larger sets have more groups, about four tokens to each, so that
-    the bound stays sharp; the first byte is the width of the counts that follow."""
+    the bound stays sharp; the first byte is the width of the counts that follow, or 0 for two counts below 16 in a byte."""
     out, low = [], (token & np.uint64((1 << 31) - 1)).astype(np.int64)
     for end, n in zip(np.cumsum(size), size, strict=True):
         groups = max(GROUPS, 1 << int(n // 4).bit_length())
         v = np.bincount(low[end - n : end] & (groups - 1), minlength=groups)
-        kind = "<u1" if v.max(initial=0) < 1 << 8 else "<u2" if v.max() < 1 << 16 else "<u4"
+        most = v.max(initial=0)
+        if most < 16:
+            half = v.astype(np.uint8).reshape(-1, 2)
+            out.append(b"\0" + (half[:, 0] | half[:, 1] << 4).tobytes())
+            continue
+        kind = "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4"
         out.append(bytes([int(kind[2])]) + v.astype(kind).tobytes())
     return out
 
 
 def _vector(raw: bytes, groups: int | None = None) -> np.ndarray:
     """A count vector, folded to ``groups`` groups if it has more: folding adds counts, so the bound still holds."""
-    v = np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    if raw[0]:
+        v = np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    else:
+        half = np.frombuffer(raw, np.uint8, offset=1)
+        v = np.stack([half & 15, half >> 4], axis=1).ravel().astype(np.int64)
     return v if groups is None or len(v) == groups else v.reshape(-1, groups).sum(axis=0)
 
 
 def _groups(raw: bytes) -> int:
-    return (len(raw) - 1) // raw[0]
+    return (len(raw) - 1) // raw[0] if raw[0] else 2 * (len(raw) - 1)
 
 
 _SUMMARY = "id long, n long, k1 long, k2 long, vec binary, block int, counts binary"

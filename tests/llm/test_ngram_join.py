@@ -146,3 +146,17 @@ def test_false_candidates_do_not_hide_a_link(spark, monkeypatch):
                 up[a] = min(up[a], up[b])
     assert up == {**{i: 0 for i in texts}, 7: 7}
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(df, width=1).collect()} == up
+
+
+def test_count_vectors_take_half_a_byte_a_group():
+    r = np.random.default_rng(5)
+    usual = np.sort(r.integers(0, 1 << 47, 3000)).astype(np.uint64)
+    crowded = {most: np.arange(most, dtype=np.uint64) << np.uint64(32) for most in (15, 16, 300, 70_000)}  # all in one group
+    sets = [usual, usual[:0], *crowded.values()]
+    raw = ngram_join.count_vectors(np.concatenate(sets), np.array([len(x) for x in sets]))
+    assert len(raw[0]) == 1 + 1024 // 2 and len(raw[1]) == 1 + 256 // 2
+    for x, packed in zip(sets, raw, strict=True):
+        groups = ngram_join._groups(packed)
+        want = np.bincount((x & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        assert groups == max(256, 1 << int(len(x) // 4).bit_length()) and (ngram_join._vector(packed) == want).all()
+        assert (ngram_join._vector(packed, 256) == want.reshape(-1, 256).sum(axis=0)).all()
