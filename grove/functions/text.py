@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 
 import pandas as pd
@@ -46,6 +47,17 @@ def normalized(code: Column) -> Column:
     return F.when(text == "", "").otherwise(F.concat(text, F.lit("\n")))
 
 
+#: White space other than the line feed, as Unicode (and the regular expression of ``normalized``) has it.
+_BLANKS = "\t\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def tidied(code: str) -> str:
+    """What ``normalized`` makes of a text, line by line, for functions that hold the text anyway."""
+    text = "\n".join([line.rstrip(_BLANKS) for line in code.split("\n")])
+    text = re.sub("\n{4,}", "\n\n\n", text).strip("\n")
+    return text + "\n" if text else ""
+
+
 def without_docstrings(code: str) -> str:
     """Drops the lines of every leading string of a module, class or function; code that doesn't parse stays."""
     try:
@@ -75,21 +87,20 @@ def guarded(code: str | None, docs: bool = True, comments: bool = True) -> str |
 
 
 def cleaned(code: Column, docs: bool = True, comments: bool = True) -> Column:
-    """Cleaned source: Python's tokenizer does the removals batch by batch, white space is normalised in the JVM."""
+    """Cleaned source: Python's tokenizer does the removals batch by batch, and white space is normalised right there."""
 
-    @F.pandas_udf("struct<text:string,ok:boolean>")
-    def strip(codes: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("string")
+    def strip(codes: pd.Series) -> pd.Series:
         out = []
         for c in codes:
             try:
                 t = without_docstrings(c) if docs else c
-                out.append((without_comments(t) if comments else t, True))
+                out.append(tidied(without_comments(t) if comments else t))
             except Exception:  # noqa: BLE001
-                out.append((c, False))
-        return pd.DataFrame(out, columns=["text", "ok"])
+                out.append(c)
+        return pd.Series(out, dtype=object)
 
-    got = strip(code)
-    return F.when(got["ok"], normalized(got["text"])).otherwise(code)
+    return strip(code)
 
 
 def write_cleaned(files: DataFrame, out: str) -> None:
