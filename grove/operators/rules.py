@@ -30,44 +30,63 @@ def _text(*parts) -> Column:
 def findings(nodes: DataFrame, thresholds: dict | None = None) -> DataFrame:
     """``filepath, rule_id, rule_name, severity, message, line_number, ord``.
 
-    What lies inside a function is an equality join on the enclosing functions each node carries, never a range join.
+    What a node shows by itself is read off its row. What lies inside a function or handler comes from one aggregation:
+    each node goes to the functions or handlers it carries, never by a range join; files are dealt out once for it.
     """
     t = THRESHOLDS | (thresholds or {})
     c, fits = F.col, nodes.where("parse_ok")
-    defs = fits.where("type in ('FunctionDef', 'AsyncFunctionDef')")
-    key = ["filepath", "pre"]
+    is_def, is_handler = c("type").isin("FunctionDef", "AsyncFunctionDef"), c("type") == "ExceptHandler"
 
-    def found(rows: DataFrame, rule: str, message: Column, line: str = "lineno", order: Column | None = None) -> DataFrame:
+    def shown(when: Column, rule: str, message: Column, line: Column, order: Column, within: Column | None = None) -> Column:
         name, severity = RULES[rule]
-        return rows.select("filepath", F.lit(rule).alias("rule_id"), F.lit(name).alias("rule_name"), F.lit(severity).alias("severity"), message.alias("message"), c(line).alias("line_number"), (order if order is not None else c("bfs_ord")).cast("long").alias("ord"))
-
-    inside = fits.select("filepath", F.explode("funcs").alias("pre"), "type", "bfs_ord", "lineno", "name", "ctx", "call_name", "call_is_name", "const_repr", "is_magic", "assign_names")
-    itself = inside.where("call_is_name").join(defs.select(*key, c("name").alias("call_name")), [*key, "call_name"], "left_semi").select(*key).distinct()
-    based = fits.where("type = 'Return' and if_funcs is not null").select("filepath", F.explode("if_funcs").alias("pre")).distinct()
-    again = fits.where("type = 'Raise' and is_bare").select("filepath", F.explode("handlers").alias("pre")).distinct()
-    given = inside.where("type = 'Assign'").select(*key, F.explode("assign_names").alias("name")).where("not startswith(name, '_') and name not in ('self', 'cls', 'args', 'kwargs')").distinct()
-    used = inside.where("type = 'Name' and ctx = 'Load'").select(*key, "name").distinct()
-    unused = given.join(used, [*key, "name"], "left_anti").join(defs.select(*key, c("name").alias("func"), "lineno", "bfs_ord"), key)
-    magic = inside.where("is_magic").join(defs.select(*key, c("bfs_ord").alias("func_ord")), key)
-    magic = magic.withColumn("k", F.row_number().over(Window.partitionBy("filepath").orderBy("func_ord", "bfs_ord"))).where(c("k") <= MAGIC_MOST)
+        parts = {"rule_id": F.lit(rule), "rule_name": F.lit(name), "severity": F.lit(severity), "message": message, "line_number": line, "ord": order.cast("long"), "within": (F.lit(None) if within is None else within).cast("int")}
+        return F.when(when, F.struct(*(x.alias(k) for k, x in parts.items())))
+
+    def listed(rows: DataFrame, *lists: Column) -> DataFrame:
+        return rows.select("filepath", F.explode(F.filter(F.concat(*lists), lambda x: x.isNotNull())).alias("x")).select("filepath", "x.*")
+
     long = c("end_lineno") - c("lineno") + 1
-    parts = [
-        found(nodes.where("err_kind = 'syntax'"), "SYNTAX_ERROR", _text("does not parse: ", c("err_msg")), "err_line", F.lit(0)),
-        found(fits.where("type = 'ExceptHandler' and is_bare"), "BARE_EXCEPT", F.lit("handler without a type also stops interrupts and exits")),
-        found(fits.where(c("type").isin("For", "While", "If", "With", "Try") & (c("block_depth") > t["max_nesting_depth"])), "DEEP_NESTING", _text("block at depth ", c("block_depth").cast("string")), order=c("pre")),
-        found(defs.where(long > t["max_function_length"]), "LONG_FUNCTION", _text(c("name"), " has ", long.cast("string"), " lines")),
-        found(defs.where(c("n_params") > t["max_parameters"]), "TOO_MANY_ARGS", _text(c("name"), " takes ", c("n_params").cast("string"), " arguments")),
-        found(fits.where("type = 'Global'"), "GLOBAL_USAGE", _text("rebinds module names: ", F.array_join("names", ", "))),
-        found(defs.where("has_mutable_default"), "MUTABLE_DEFAULT", _text("calls of ", c("name"), " share a default value that can change")),
-        found(defs.join(itself, key, "left_semi").join(based, key, "left_anti"), "RECURSION_NO_BASE", _text(c("name"), " calls itself and returns under no condition")),
-        found(fits.where("type = 'ExceptHandler' and handler_name in ('Exception', 'BaseException')").join(again, key, "left_anti"), "BROAD_EXCEPTION", _text("handler of any ", c("handler_name"), " that raises nothing again")),
-        found(unused, "UNUSED_VARIABLE", _text(c("func"), " never reads ", c("name"))),
-        found(magic, "MAGIC_NUMBER", _text("unnamed constant ", c("const_repr")), order=c("k")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    alone = listed(
+        nodes,
+        F.array(
+            shown(c("err_kind") == "syntax", "SYNTAX_ERROR", _text("does not parse: ", c("err_msg")), c("err_line"), F.lit(0)),
+            shown(c("parse_ok") & is_handler & c("is_bare"), "BARE_EXCEPT", F.lit("handler without a type also stops interrupts and exits"), c("lineno"), c("bfs_ord")),
+            shown(c("parse_ok") & c("type").isin("For", "While", "If", "With", "Try") & (c("block_depth") > t["max_nesting_depth"]), "DEEP_NESTING", _text("block at depth ", c("block_depth").cast("string")), c("lineno"), c("pre")),
+            shown(c("parse_ok") & is_def & (long > t["max_function_length"]), "LONG_FUNCTION", _text(c("name"), " has ", long.cast("string"), " lines"), c("lineno"), c("bfs_ord")),
+            shown(c("parse_ok") & is_def & (c("n_params") > t["max_parameters"]), "TOO_MANY_ARGS", _text(c("name"), " takes ", c("n_params").cast("string"), " arguments"), c("lineno"), c("bfs_ord")),
+            shown(c("parse_ok") & (c("type") == "Global"), "GLOBAL_USAGE", _text("rebinds module names: ", F.array_join("names", ", ")), c("lineno"), c("bfs_ord")),
+            shown(c("parse_ok") & is_def & c("has_mutable_default"), "MUTABLE_DEFAULT", _text("calls of ", c("name"), " share a default value that can change"), c("lineno"), c("bfs_ord")),
+        ),
+    ).drop("within")
+    loads = (c("type") == "Name") & (c("ctx") == "Load")
+    broad = is_handler & c("handler_name").isin("Exception", "BaseException")
+    around = (
+        F.when(is_def | broad, F.array("pre")).when(c("type") == "Return", c("if_funcs")).when((c("type") == "Raise") & c("is_bare"), c("handlers"))
+        .when(c("call_is_name") | (c("type") == "Assign") | loads | c("is_magic"), c("funcs"))
+    )
+    kept = ["type", "bfs_ord", "lineno", "name", "handler_name", "call_name", "const_repr", "assign_names"]
+    inside = fits.select("filepath", F.explode(around).alias("pre"), *kept).repartition("filepath")
+    names = F.filter("assign_names", lambda x: ~x.startswith("_") & ~x.isin("self", "cls", "args", "kwargs"))
+    by = inside.groupBy("filepath", "pre").agg(
+        F.max(F.when(is_def | is_handler, F.struct(is_def.alias("is_def"), "name", "lineno", "bfs_ord", "handler_name"))).alias("me"),
+        F.collect_set(F.when(c("type") == "Call", c("call_name"))).alias("called"),
+        F.bool_or(c("type") == "Return").alias("based"), F.bool_or(c("type") == "Raise").alias("again"),
+        F.collect_set(F.when(c("type") == "Assign", names)).alias("given"), F.collect_set(F.when(c("type") == "Name", c("name"))).alias("used"),
+        F.collect_list(F.when(c("type") == "Constant", F.struct("bfs_ord", "lineno", "const_repr"))).alias("magic"),
+    ).select("*", "me.*")
+    unused = F.array_except(F.flatten("given"), c("used"))
+    deep = listed(
+        by,
+        F.array(
+            shown(c("is_def") & F.array_contains("called", c("name")) & ~c("based"), "RECURSION_NO_BASE", _text(c("name"), " calls itself and returns under no condition"), c("lineno"), c("bfs_ord")),
+            shown(~c("is_def") & ~c("again"), "BROAD_EXCEPTION", _text("handler of any ", c("handler_name"), " that raises nothing again"), c("lineno"), c("bfs_ord")),
+        ),
+        F.transform(unused, lambda x: shown(c("is_def"), "UNUSED_VARIABLE", _text(c("name"), " never reads ", x), c("lineno"), c("bfs_ord"))),
+        F.transform(F.slice(F.array_sort("magic"), 1, MAGIC_MOST), lambda x: shown(c("is_def"), "MAGIC_NUMBER", _text("unnamed constant ", x["const_repr"]), x["lineno"], x["bfs_ord"], c("bfs_ord"))),
+    )
+    k = F.when(c("rule_id") == "MAGIC_NUMBER", F.row_number().over(Window.partitionBy("filepath", "rule_id").orderBy("within", "ord")))
+    deep = deep.withColumn("k", k).where(c("k").isNull() | (c("k") <= MAGIC_MOST)).withColumn("ord", F.coalesce(c("k").cast("long"), "ord"))
+    return alone.unionByName(deep.drop("within", "k"))
 
 
 def score(total: Column) -> Column:
