@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,31 +36,107 @@ def terms(text: str | None) -> list[str]:
     return [*words, *map(" ".join, zip(words, words[1:], strict=False))]
 
 
-def _counted(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[pa.RecordBatch]:
-    """``term, total, df`` of some texts each, passed on when there are over ``most`` terms."""
+#: Counters of the sketch of term counts (8 MB in a task, whatever the input), and how they are sent.
+COUNTERS, _BLOCK = 1 << 20, 1 << 14
+
+
+class _Terms:
+    """Words of some texts as codes, and pairs of neighbours as ``code * words + next``; counters are the same everywhere."""
+
+    def __init__(self, texts: list[str | None]):
+        found = [re.findall(IDENTIFIER, (t or "").lower()) for t in texts]
+        d = pa.array([w for x in found for w in x], pa.string()).dictionary_encode()
+        self.code, self.words = d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+        self.owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        inner = np.flatnonzero(self.owner[1:] == self.owner[:-1])
+        self.first, self.next, self.pair_owner = self.code[inner], self.code[inner + 1], self.owner[inner]
+        self.pair = self.first * len(self.words) + self.next
+        h = np.fromiter((zlib.crc32(w.encode()) for w in self.words), np.uint64, len(self.words))
+        with np.errstate(over="ignore"):
+            self.slot = self._slot(h[self.code])
+            self.pair_slot = self._slot((h[self.first] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + h[self.next])
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> np.uint64(44)).astype(np.int64)
+
+    def names(self, keys: np.ndarray, pairs: bool) -> list[str]:
+        w, n = self.words, len(self.words)
+        return [f"{w[k // n]} {w[k % n]}" if pairs else w[k] for k in keys.tolist()]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[_Terms]:
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column(0):
+            held.append(text.as_py())
+            size += len(held[-1] or "")
+            if size > most:
+                yield _Terms(held)
+                held, size = [], 0
+    yield _Terms(held)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """From each task: blocks of the sketch, and terms with counts that they surely have (of a chunk's commonest)."""
+    sketch, best = np.zeros(COUNTERS, np.int64), Counter()
+    for t in _chunks(batches):
+        for slot, key, pairs in ((t.slot, t.code, False), (t.pair_slot, t.pair, True)):
+            sketch += np.bincount(slot, minlength=COUNTERS)
+            key, n = np.unique(key, return_counts=True)
+            top = np.argsort(-n, kind="stable")[:size]
+            best.update(dict(zip(t.names(key[top], pairs), n[top].tolist(), strict=True)))
+        if len(best) > 20 * size:
+            best = Counter(dict(best.most_common(5 * size)))
+    at = np.flatnonzero(sketch.reshape(-1, _BLOCK).any(axis=1))
+    packed = [zlib.compress(sketch[k * _BLOCK : (k + 1) * _BLOCK].tobytes(), 1) for k in at]
+    terms, n = list(best), list(best.values())
+    yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), *[None] * len(terms)], pa.int32()), pa.array([*packed, *[None] * len(terms)], pa.binary()), pa.array([*[None] * len(at), *terms], pa.string()), pa.array([*[None] * len(at), *n], pa.int64())], ["block", "counts", "term", "n"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], passes: np.ndarray, most: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """``term, total, df`` of terms whose counter ``passes``, passed on when there are over ``most`` terms."""
     total, df = Counter(), Counter()
 
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([df[t] for t in total], pa.int64())], ["term", "total", "df"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            found = terms(text.as_py())
-            total.update(found)
-            df.update(set(found))
-            if len(total) > most:
-                yield out()
-                total, df = Counter(), Counter()
+    for t in _chunks(batches):
+        for slot, key, owner, pairs in ((t.slot, t.code, t.owner, False), (t.pair_slot, t.pair, t.pair_owner, True)):
+            on = passes[slot]
+            key, at, n = np.unique(key[on], return_inverse=True, return_counts=True)
+            each = np.unique(owner[on] * max(len(key), 1) + at) % max(len(key), 1)
+            names = t.names(key, pairs)
+            total.update(dict(zip(names, n.tolist(), strict=True)))
+            df.update(dict(zip(names, np.bincount(each, minlength=len(key)).tolist(), strict=True)))
+        if len(total) > most:
+            yield out()
+            total, df = Counter(), Counter()
     yield out()
 
 
 def tfidf_fit(docs: DataFrame, id_col: str, text_col: str, size: int = 768) -> DataFrame:
     """``term, idf, pos``: the terms with the largest counts (ties by term), in alphabetical order.
 
-    Tasks count the terms of their texts, so that a term is shuffled once a task and not once an occurrence.
+    Exact in two passes whose memory doesn't grow with the distinct terms. The first adds up a sketch, in which a term's
+    counter is never below its count, and counts that some terms surely have; the ``size``-th largest of these is no
+    larger than that of all counts. The second counts the terms whose counter reaches it.
     """
     n = docs.count()
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(_counted, "term string, total long, df long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+    texts = docs.select(F.col(text_col).cast("string"))
+    made = stored(texts.mapInArrow(lambda batches: _sketched(batches, size), "block int, counts binary, term string, n long"))
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["counts"]).tobytes()]})
+
+    sure = made.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).orderBy(F.desc("n")).limit(size).collect()
+    least = min((r["n"] for r in sure), default=0) if len(sure) == size else 0
+    sketch = np.zeros(COUNTERS, np.int64)
+    for r in made.where("block is not null").groupBy("block").applyInPandas(add, "block int, counts binary").toLocalIterator():  # 8 MB at most
+        sketch[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], np.int64)
+    passes = docs.sparkSession.sparkContext.broadcast(sketch >= least)
+    counts = texts.mapInArrow(lambda batches: _counted(batches, passes.value), "term string, total long, df long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     top = counts.orderBy(F.desc("total"), "term").limit(size)
     return top.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"), (F.row_number().over(Window.orderBy("term")) - 1).alias("pos"))
 
