@@ -52,20 +52,39 @@ def pair_counts(before: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np
     return first.reshape(CLASSES + 1, top), last.reshape(top + 1, CLASSES)
 
 
-def attend(w: dict[str, np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hidden states of ``seen`` (windows x WINDOW classes); each position attends to itself and those before it."""
+def projected(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All that attention needs of a class and of a place, made once for all positions that hold them: side by side the
+    vector itself, its query (scaled), its key, its value as it is mixed in, and a one for classes. Also the matrix behind."""
+    d = WIDTH
+    m = np.concatenate([np.eye(d, dtype=np.float32), w["qkv"][:, :d] * np.float32(d**-0.5), w["qkv"][:, d : 2 * d], w["qkv"][:, 2 * d :] @ w["mix"], np.zeros((d, 1), np.float32)], axis=1)
+    table, place = w["embed"] @ m, w["place"] @ m
+    table[:, -1] = 1
+    return table, place, m
+
+
+def clipped(z: np.ndarray) -> np.ndarray:
+    """Keeps exponents within 40 of 0. They hardly ever lie beyond, and looking costs less than writing them anew."""
+    return np.clip(z, -40, 40, out=z) if z.size and (z.max() > 40 or z.min() < -40) else z
+
+
+def attended(table: np.ndarray, place: np.ndarray, seen: np.ndarray, skip: int = 0) -> tuple[np.ndarray, ...]:
+    """Projections of ``seen`` (windows x WINDOW classes), exponentials of the likenesses of positions from ``skip`` on with
+    those up to them, their sums, what is mixed in, and the hidden states."""
     d = WIDTH
-    x = w["embed"][seen]
-    x += w["place"]
-    q, k, v = np.ascontiguousarray((x.reshape(-1, d) @ w["qkv"]).reshape(*seen.shape, 3, d).transpose(2, 0, 1, 3))
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(d**-0.5)
-    np.clip(a, -40, 40, out=a)
-    np.exp(a, out=a)
-    a *= _PAST
-    a /= (a.reshape(-1, WINDOW) @ _ONES[WINDOW]).reshape(*seen.shape, 1)
-    o = a @ v
-    return x, q, k, v, a, o, x + (o.reshape(-1, d) @ w["mix"]).reshape(x.shape)
+    y = table.take(seen, axis=0, mode="clip")
+    y += place
+    a = y[:, skip:, d : 2 * d] @ y[:, :, 2 * d : 3 * d].transpose(0, 2, 1)
+    np.exp(clipped(a), out=a)
+    a *= _PAST[skip:]
+    s = (a.reshape(-1, WINDOW) @ _ONES[WINDOW]).reshape(*a.shape[:2], 1)
+    o = a @ y[:, :, 3 * d : 4 * d]
+    o /= s
+    return y, a, s, o, y[:, skip:, :d] + o
+
+
+def attend(w: dict[str, np.ndarray], seen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hidden states of ``seen`` (the last result); each position attends to itself and those before it."""
+    return attended(*projected(w)[:2], seen)
 
 
 def _segments(key: np.ndarray, top: int) -> list[tuple[int, int, int]]:
@@ -75,62 +94,72 @@ def _segments(key: np.ndarray, top: int) -> list[tuple[int, int, int]]:
 
 
 def choices(w: dict[str, np.ndarray], prior: Prior, h: np.ndarray, before: np.ndarray, classes: np.ndarray):
-    """For hidden states sorted by the first two choices of their targets: exponentials of all outputs, their sums, the
-    outputs of the targets, and the segments of equal choices."""
+    """For hidden states sorted by the first two choices of their targets, one level of the tree after another:
+    exponentials of all outputs, their sums, the outputs of the targets, where these lie, and the segments of equal nodes."""
     one, two = classes // BRANCH**2, classes // BRANCH
-    z = np.empty((3, len(h), BRANCH), np.float32)
-    np.matmul(h, w["out1"][0], out=z[0])
-    z[0] += prior.one[before]
-    parts = _segments(one, BRANCH), _segments(two, BRANCH**2)
-    for level, segments in enumerate(parts, 1):
+    row = np.arange(0, len(h) * BRANCH, BRANCH)
+    levels = (prior.one, before, one, [(0, 0, len(h))]), (prior.two, before * BRANCH + one, two % BRANCH, _segments(one, BRANCH)), (prior.three, before // BRANCH * BRANCH**2 + two, classes % BRANCH, _segments(two, BRANCH**2))
+    for level, (table, at, pick, segments) in enumerate(levels, 1):
+        m, z = w[f"out{level}"], np.empty((len(h), BRANCH), np.float32)
         for g, a, b in segments:
-            np.matmul(h[a:b], w[f"out{level + 1}"][g], out=z[level, a:b])
-    z[1] += prior.two[before * BRANCH + one]
-    z[2] += prior.three[before // BRANCH * BRANCH**2 + two]
-    np.clip(z, -40, 40, out=z)
-    row = np.arange(len(h))
-    pick = one, two % BRANCH, classes % BRANCH
-    got = z[0, row, pick[0]] + z[1, row, pick[1]] + z[2, row, pick[2]]
-    np.exp(z, out=z)
-    return z, (z.reshape(-1, BRANCH) @ _ONES[BRANCH]).reshape(3, -1), got, pick, parts
+            np.matmul(h[a:b], m[g], out=z[a:b])
+        z += table.take(at, axis=0, mode="clip")
+        pick += row
+        got = clipped(z).ravel().take(pick)
+        np.exp(z, out=z)
+        yield z, z @ _ONES[BRANCH], got, pick, segments
+
+
+#: Windows that are attended to at once: what is made of them stays in a core's cache.
+_CHUNK = 128
 
 
 def gradients(w: dict[str, np.ndarray], prior: Prior, seen: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean negative log-likelihood; targets below 0 are padding."""
     d = WIDTH
-    x, q, k, v, a, o, h = attend(w, seen)
+    table, place, m = projected(w)
+    chunks = [slice(i, i + _CHUNK) for i in range(0, len(seen), _CHUNK)]
+    made = [attended(table, place, seen[c]) for c in chunks]
     t = target.ravel()
     real = np.flatnonzero(t >= 0)
     real = real[np.argsort((t[real] // BRANCH).astype(np.uint8), kind="stable")]
-    hs = h.reshape(-1, d)[real]
-    z, s, _, pick, parts = choices(w, prior, hs, seen.ravel()[real], t[real])
-    z /= s[:, :, None]
-    row = np.arange(len(real))
-    for level in range(3):
-        z[level, row, pick[level]] -= 1
-    z *= np.float32(1 / max(1, len(real)))
-    grad = {"out1": (hs.T @ z[0])[None], "out2": np.zeros_like(w["out2"]), "out3": np.zeros_like(w["out3"])}
-    ds = z[0] @ w["out1"][0].T
-    for level, segments in enumerate(parts, 1):
+    hs = np.concatenate([x[-1].reshape(-1, d) for x in made]).take(real, axis=0)
+    share = np.float32(1 / max(1, len(real)))
+    grad, ds, back = {}, np.zeros_like(hs), np.empty_like(hs)
+    for level, (z, s, _, pick, segments) in enumerate(choices(w, prior, hs, seen.ravel()[real], t[real]), 1):
+        z *= (share / s)[:, None]
+        z.ravel()[pick] -= share
+        mine = w[f"out{level}"]
+        change, turned = np.zeros_like(mine), mine.transpose(0, 2, 1)
         for g, i, j in segments:
-            grad[f"out{level + 1}"][g] = hs[i:j].T @ z[level, i:j]
-            ds[i:j] += z[level, i:j] @ w[f"out{level + 1}"][g].T
-    dh = np.zeros((seen.size, d), np.float32)
-    dh[real] = ds
-    do = (dh @ w["mix"].T).reshape(h.shape)
-    da = do @ v.transpose(0, 2, 1)
-    inner = ((da * a).reshape(-1, WINDOW) @ _ONES[WINDOW]).reshape(*seen.shape, 1)
-    da -= inner
-    da *= a
-    da *= np.float32(d**-0.5)
-    dqkv = np.concatenate([da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2).reshape(-1, 3 * d)
-    dx = dh + dqkv @ w["qkv"].T
-    flat = seen.ravel()
-    order = np.argsort(flat.astype(np.uint16), kind="stable")
-    edge = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+            np.matmul(hs[i:j].T, z[i:j], out=change[g])
+            np.matmul(z[i:j], turned[g], out=back[i:j])
+        ds += back
+        grad[f"out{level}"] = change
+    dx = np.zeros((seen.size, d), np.float32)
+    dx[real] = ds
+    dx, dm = dx.reshape(*seen.shape, d), np.zeros((d, 3 * d), np.float32)
+    for c, (y, a, s, o, _) in zip(chunks, made, strict=True):
+        dh = np.empty((*s.shape[:2], d + 1), np.float32)
+        np.divide(dx[c], s, out=dh[:, :, :d])
+        dh[:, :, d] = -np.einsum("bij,bij->bi", dh[:, :, :d], o)
+        da = dh @ y[:, :, 3 * d :].transpose(0, 2, 1)
+        da *= a
+        part = np.empty((*s.shape[:2], 3 * d), np.float32)  # of queries, keys and values
+        np.matmul(da, y[:, :, 2 * d : 3 * d], out=part[:, :, :d])
+        np.matmul(da.transpose(0, 2, 1), y[:, :, d : 2 * d], out=part[:, :, d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), dh[:, :, :d], out=part[:, :, 2 * d :])
+        part = part.reshape(-1, 3 * d)
+        dm += y.reshape(-1, y.shape[2])[:, :d].T @ part
+        dx[c] += (part @ m[:, d : 4 * d].T).reshape(-1, WINDOW, d)
+    order = np.argsort(seen.ravel().astype(np.uint16), kind="stable")
+    key = seen.ravel()[order]
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     embed = np.zeros_like(w["embed"])
-    embed[flat[order][edge]] = np.add.reduceat(dx[order], edge, axis=0)
-    return grad | {"embed": embed, "place": dx.reshape(h.shape).sum(axis=0), "qkv": x.reshape(-1, d).T @ dqkv, "mix": o.reshape(-1, d).T @ dh}
+    embed[key[edge]] = np.add.reduceat(dx.reshape(-1, d).take(order, axis=0), edge, axis=0)
+    value = dm[:, 2 * d :]
+    qkv = np.concatenate([dm[:, :d] * np.float32(d**-0.5), dm[:, d : 2 * d], value @ w["mix"].T], axis=1)
+    return grad | {"embed": embed, "place": dx.sum(axis=0), "qkv": qkv, "mix": w["qkv"][:, 2 * d :].T @ value}
 
 
 class Learner:
@@ -154,9 +183,19 @@ class Learner:
             self.steps += 1
             step = np.float32(self.rate * min(1.0, self.steps / 20) / (1 + self.steps / 400) ** 0.5)
             for k, g in gradients(self.w, prior, np.maximum(part[:, :-1], 0), part[:, 1:]).items():
-                self.m[k] += np.float32(0.1) * (g - self.m[k])
-                self.s[k] += np.float32(0.01) * (g * g - self.s[k])
-                self.w[k] -= step * (self.m[k] / np.float32(1 - 0.9**self.steps) / (np.sqrt(self.s[k] / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8)))
+                m, s, square = self.m[k], self.s[k], g * g
+                square -= s
+                square *= np.float32(0.01)
+                s += square
+                g -= m
+                g *= np.float32(0.1)
+                m += g
+                np.sqrt(s, out=square)
+                square *= np.float32((1 - 0.99**self.steps) ** -0.5)
+                square += np.float32(1e-8)
+                np.divide(m, square, out=square)
+                square *= step / np.float32(1 - 0.9**self.steps)
+                self.w[k] -= square
 
 
 def training_windows(classes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -179,28 +218,27 @@ def cut_windows(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * step
 
 
-def log_likelihoods(w: dict[str, np.ndarray], prior: Prior, classes: np.ndarray, n: np.ndarray, batch: int = 256) -> np.ndarray:
+def log_likelihoods(w: dict[str, np.ndarray], prior: Prior, classes: np.ndarray, n: np.ndarray, batch: int = 1024) -> np.ndarray:
     """The log-likelihood of every class of the texts (one after another, ``n`` each) given those before it.
 
     Each class is scored once, in the window where it has the longest context; padding is masked by position, as
-    windows are padded at their end only.
+    windows are padded at their end only. Of windows after a text's first, only positions that are scored are asked for.
     """
     start = np.cumsum(n) - n
     text, first = cut_windows(n)
-    last = len(classes) - 1
-    out = np.zeros(len(classes), np.float32)
-    place = np.arange(WINDOW)
-    for b in range(0, len(text), batch):
-        t, f = text[b : b + batch, None], first[b : b + batch, None]
-        at = f + place
-        inside = at < n[t]
-        seen = np.where(at > 0, classes[np.minimum(start[t] + np.maximum(at - 1, 0), last)], CLASSES)
-        seen = np.where(inside, seen, 0)
-        asked = np.flatnonzero(inside & ((f == 0) | (place >= CONTEXT)))
-        where = (start[t] + at).ravel()[asked]
-        goal = classes[where]
-        order = np.argsort((goal // BRANCH).astype(np.uint8), kind="stable")
-        asked, where = asked[order], where[order]
-        _, s, got, _, _ = choices(w, prior, attend(w, seen)[-1].reshape(-1, WIDTH)[asked], seen.ravel()[asked], goal[order])
-        out[where] = got - np.log(s).sum(axis=0)
+    table, place, _ = projected(w)
+    shifted = np.r_[CLASSES, classes, np.zeros(WINDOW, np.int64)]  # the class before each class; beyond the end, padding
+    shifted[start] = CLASSES
+    begin, left = start[text] + first, n[text] - first
+    out, span = np.zeros(len(classes), np.float32), np.arange(WINDOW)
+    for skip, rows in ((0, np.flatnonzero(first == 0)), (CONTEXT, np.flatnonzero(first))):
+        for b in range(0, len(rows), batch):
+            r = rows[b : b + batch]
+            at = begin[r, None] + span
+            h = np.concatenate([attended(table, place, shifted[at[i : i + _CHUNK]], skip)[-1] for i in range(0, len(r), _CHUNK)])
+            asked = np.flatnonzero(span[skip:] < left[r, None])
+            where = at[:, skip:].ravel()[asked]
+            order = np.argsort((classes[where] // BRANCH).astype(np.uint8), kind="stable")
+            asked, where = asked[order], where[order]
+            out[where] = sum(got - np.log(s) for _, s, got, _, _ in choices(w, prior, h.reshape(-1, WIDTH).take(asked, axis=0), shifted[where], classes[where]))
     return out.astype(np.float64)
