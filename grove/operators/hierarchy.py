@@ -181,7 +181,8 @@ def compact(rows: DataFrame, k: int, linkage: str, micro: int = MICRO) -> DataFr
             n += np.bincount(f["seed"], minlength=len(at))
             np.add.at(s, f["seed"].to_numpy(), matrix(f) if len(f) else np.zeros((0, at.shape[1])))
         some = np.flatnonzero(n)
-        yield pd.DataFrame({"seed": some, "n": n[some], "s": list(s[some])})
+        if len(some):  # a part of a file may hold no rows, and an empty list makes no column of arrays
+            yield pd.DataFrame({"seed": some, "n": n[some], "s": list(s[some])})
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         some, at = np.unique(f["seed"].to_numpy(), return_inverse=True)

@@ -50,6 +50,19 @@ def test_hierarchies_match_plain_merging(spark):
     assert labels_of(cluster.hierarchical(rows.limit(1), 3, "ward")) == [0]
 
 
+def test_hierarchies_of_files_read_in_parts_without_rows(spark):
+    """A file with one group of rows, read in many parts: rows are in one of them, the others have none."""
+    x = np.random.default_rng(13).standard_normal((70, 3)) * [3, 2, 1]
+    rows, name = frame(spark, x).coalesce(1), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "300b")
+    try:
+        for method in ("ward", "complete", "average"):
+            assert labels_of(hierarchy.compact(rows, 6, method)) == plain_linkage(x, 6, method)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_hierarchies_of_repeated_rows_end():
     """Rows of length 1 as 32-bit numbers, each several times: rounded distances used to lead chains in circles."""
     r = np.random.default_rng(0)
